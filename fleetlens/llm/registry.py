@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import suffixes
+from fleetlens.llm import embeddings, jaccard, line_dedup, pieces, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +15,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op3_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.sample_pieces_digest(_table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines_digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup_digest(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_suffix_dedup,)}
+    return {f.__name__: f for f in (op1_near_vectors, op2_ngram_jaccard, op3_sample_pieces, op4_suffix_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
