@@ -8,7 +8,7 @@ times is sent once, with its count, so that groups of copies do not meet in one
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm._bytes import planes, unplanes
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Set in a code where the block is the first of those that hold the key.
+FIRST = 0x80
 CODES = "block int, phase int, bucket int, codes binary"
 
 
@@ -52,9 +54,10 @@ def _bucket(u: np.ndarray, n: int) -> np.ndarray:
 
 
 def counted(sent: DataFrame) -> DataFrame:
-    """CODES: for each value of emit() a byte a key, the bit length of the key's count over all blocks (1: it is unique)."""
+    """CODES: for each value of emit() a byte a key, the bit length of the key's count over all blocks (1: it is unique), and FIRST."""
 
     def count(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
         parts = [unplanes(x) for x in table["keys"].to_pylist()]
         keys = np.concatenate(parts)
         order = np.argsort(keys, kind="stable")
@@ -64,7 +67,7 @@ def counted(sent: DataFrame) -> DataFrame:
         total = np.add.reduceat(each[order], np.flatnonzero(first))
         code = np.frexp(total.astype(np.float64))[1].astype(np.uint8)
         out = np.empty(len(keys), np.uint8)
-        out[order] = code[np.cumsum(first) - 1]
+        out[order] = code[np.cumsum(first) - 1] | first * np.uint8(FIRST)
         cut = np.cumsum([len(p) for p in parts])[:-1]
         return pa.table({"block": table["block"], "phase": table["phase"], "bucket": table["bucket"], "codes": pa.array([x.tobytes() for x in np.split(out, cut)], pa.binary())})
 
@@ -74,8 +77,18 @@ def counted(sent: DataFrame) -> DataFrame:
 SENT = "bucket int, block int, phase int, keys binary, counts binary"
 
 
+def buckets(n_blocks: int) -> int:
+    """Buckets for so many blocks."""
+    return max(16, n_blocks // 4)
+
+
 def codes_of(table: pa.Table, phase: int, keys: np.ndarray) -> np.ndarray:
-    """For each of keys (any order, repeats allowed) its code out of what counted() sent back to this block."""
+    """For each of keys (any order, repeats allowed) its code, without FIRST, out of what counted() sent back to this block."""
+    return marks_of(table, phase, keys) & ~np.uint8(FIRST)
+
+
+def marks_of(table: pa.Table, phase: int, keys: np.ndarray) -> np.ndarray:
+    """As codes_of(), with FIRST."""
     u, inverse = np.unique(keys, return_inverse=True)
     rows = sorted((b, c) for p, b, c in zip(table["phase"].to_pylist(), table["bucket"].to_pylist(), table["codes"].to_pylist(), strict=True) if p == phase)
     code = np.frombuffer(b"".join(c for _, c in rows), np.uint8)
@@ -84,20 +97,10 @@ def codes_of(table: pa.Table, phase: int, keys: np.ndarray) -> np.ndarray:
     return code[inverse]
 
 
-def first_pass(blocks: DataFrame, keys: Callable[[pa.Table], np.ndarray], n_buckets: int, phase: int = 0) -> DataFrame:
-    """What each block sends in a phase whose keys depend on the block alone."""
-
-    def send(table: pa.Table) -> pa.Table:
-        table = in_order(table)
-        return emit(keys(table), table["block"][0].as_py(), phase, n_buckets)
-
-    return blocks.groupBy("block").applyInArrow(send, SENT)
-
-
 def with_codes(blocks: DataFrame, codes: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """use(rows of a block, its codes) for each block that has rows."""
 
-    def both(left: pa.Table, right: pa.Table) -> Iterator[pa.Table]:
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
         return use(in_order(left), right)
 
     return blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(both, schema)

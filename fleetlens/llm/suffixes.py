@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm._blocks import BLOCK_BYTES, blocked, codes_of, counted, emit, first_pass, with_codes
+from fleetlens.llm._blocks import BLOCK_BYTES, FIRST, SENT, blocked, buckets, codes_of, counted, emit, in_order, marks_of, with_codes
 from fleetlens.llm._bytes import Rolling, texts
 
 #: Perfect difference sets, so any difference modulo v is that of two members (v = q * q + q + 1 for q of 2, 4, 8, 11).
@@ -35,7 +37,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other suffixes enter the sort only where every stretch of v distances holds a sample rank that ties; they go to buckets
     by their order at depth min_bytes and each bucket is sorted on its own. The order of suffixes is that of their rolling
     hashes, which ties exactly when the bytes do (but for collisions of 64 bits in both sorts at a place); no one needs the
-    alphabet's order here. Memory is that of one block of texts or of one bucket.
+    alphabet's order here. Of equal texts one takes part in both sorts, as a text with a copy loses all or nothing. Memory is
+    that of one block of texts or of one bucket.
 
     Null text is an empty one, with no spans. Texts under min_bytes, and empty tables, lose nothing. Rows that repeat (same id
     and text too) are texts of their own, so each loses all its bytes if long enough. Null ids are kept as they are; other
@@ -45,6 +48,28 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     v = max((x for x in COVERS if x * 3 <= min_bytes), default=None)
     depth = min_bytes - v + 1 if v else min_bytes
 
+    n_buckets = buckets(n)
+
+    def whole(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        found = [hashlib.blake2b(x.as_buffer() or b"", digest_size=16).digest() for x in table["body"].combine_chunks()]
+        both = np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
+
+    def whole_keys(table: pa.Table) -> pa.Table:
+        table = in_order(table)
+        a, b = whole(table)
+        block = table["block"][0].as_py()
+        return pa.concat_tables([emit(a, block, 2, n_buckets), emit(b, block, 3, n_buckets)])
+
+    def copies(table: pa.Table, codes: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Which texts have a copy somewhere, and which stand for all their copies in the sorts."""
+        a, b = whole(table)
+        mark = marks_of(codes, 2, a)
+        twice = ((mark & ~np.uint8(FIRST)) > 1) & (codes_of(codes, 3, b) > 1)
+        new = np.zeros(len(a), bool)
+        new[np.unique(a, return_index=True)[1]] = True
+        return twice, ~twice | (new & (mark >= FIRST))
+
     def positions(table: pa.Table):
         data, off = texts(table["body"])
         size = np.diff(off)
@@ -58,9 +83,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         at = at[at + depth <= end[at]]
         return at, rolling.hash(at, at + depth)
 
-    def sample_keys(table: pa.Table) -> np.ndarray:
-        data, _, inside, end = positions(table)
-        return sample(Rolling(data), inside, end)[1]
+    def sample_keys(table: pa.Table, codes: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        data, _, inside, end = positions(table.filter(pa.array(copies(table, codes)[1])))
+        return emit(sample(Rolling(data), inside, end)[1], block, 0, n_buckets)
 
     def tied(table: pa.Table, codes: pa.Table):
         """The suffixes that take part in the second sort, and their order there."""
@@ -77,15 +103,24 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return data, off, place, rolling.hash(place, place + min_bytes)
 
     def suffix_keys(table: pa.Table, codes: pa.Table) -> pa.Table:
-        return emit(tied(table, codes)[3], table["block"][0].as_py(), 1, n)
+        block = table["block"][0].as_py()
+        return emit(tied(table.filter(pa.array(copies(table, codes)[1])), codes)[3], block, 1, n_buckets)
 
     def cut(table: pa.Table, codes: pa.Table) -> pa.Table:
+        twice, stands = copies(table, codes)
+        rest = table.filter(pa.array(~stands))
+        size = np.diff(texts(rest["body"])[1])
+        spans = pa.array([[{"start": 0, "end": n}] if n >= min_bytes else [] for n in size.tolist()], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        kept = pa.array([b"" if n >= min_bytes else x.as_py() or b"" for n, x in zip(size.tolist(), rest["body"], strict=True)], pa.binary())
+        others = pa.table({"id": rest["id"], "n_bytes": pa.array(size, pa.int64()), "spans": spans, "kept": kept})
+        table = table.filter(pa.array(stands))
         data, off, place, key = tied(table, codes)
         place = place[codes_of(codes, 1, key) > 1]
         cover = np.zeros(len(data) + 1, np.int32)
         np.add.at(cover, place, 1)
         np.add.at(cover, place + min_bytes, -1)
         gone = np.cumsum(cover[:-1]) > 0
+        gone |= np.repeat(twice[stands] & (np.diff(off) >= min_bytes), np.diff(off))
         kept = data[~gone]
         left = np.concatenate([[0], np.cumsum(~gone)])[off]
         edge = gone.copy()
@@ -103,10 +138,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pa.StructArray.from_arrays([pa.array(a - off[doc], pa.int64()), pa.array(b - off[doc], pa.int64())], ["start", "end"]),
         )
         rest = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(kept))])
-        return pa.table({"id": table["id"], "n_bytes": pa.array(np.diff(off), pa.int64()), "spans": spans, "kept": rest})
+        return pa.concat_tables([pa.table({"id": table["id"], "n_bytes": pa.array(np.diff(off), pa.int64()), "spans": spans, "kept": rest}), others])
 
-    codes = counted(first_pass(blocks, sample_keys, n))
-    second = counted(with_codes(blocks, codes, suffix_keys, "bucket int, block int, phase int, keys binary, counts binary"))
+    codes = counted(blocks.groupBy("block").applyInArrow(whole_keys, SENT))
+    codes = codes.unionByName(counted(with_codes(blocks, codes, sample_keys, SENT)))
+    second = counted(with_codes(blocks, codes, suffix_keys, SENT))
     kind = docs.schema[id_col].dataType.simpleString()
     out = with_codes(blocks, codes.unionByName(second), cut, f"id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
