@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import embeddings, jaccard, line_dedup, pieces, suffixes
+from fleetlens.llm import embeddings, html_text, jaccard, line_dedup, mixing, pieces, quality, suffixes, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,27 @@ def op3_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.sample_pieces_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.url_rules(pages, urls.contract_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "shard", "place")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_digest(_table(spark, sf_dir, "pages"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines_digest(_table(spark, sf_dir, "documents"))
 
@@ -35,9 +56,23 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+_ALL = (
+    op1_near_vectors,
+    op2_ngram_jaccard,
+    op3_sample_pieces,
+    op4_suffix_dedup,
+    op5_url_filters,
+    op6_mix_sources,
+    op7_html_text,
+    op8_warc,
+    op9_quality_rules,
+    op10_line_dedup,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_near_vectors, op2_ngram_jaccard, op3_sample_pieces, op4_suffix_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filters": urls.ORACLE, "op8_warc": warc.ORACLE, "op9_quality_rules": quality.ORACLE}
