@@ -23,9 +23,24 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rows(spark: SparkSession, schema: str, values: str) -> DataFrame:
+    """A small table of literals, such as rules."""
+    return spark.sql(f"select * from values {values} as t({schema})")
+
+
+def _load() -> None:
+    from fleetlens.plans import alerting, capacity, catalog, filtering, health, ingestion, maintenance, streams  # noqa: F401  they register their queries
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
