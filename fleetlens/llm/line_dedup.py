@@ -108,7 +108,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     rows = docs.select(F.struct(*others).alias("_row"), F.col(id_col).alias("_key"), F.xxhash64(text_col).alias("_body_hash"), F.col(text_col).alias("_text"))
-    joined = rows.join(later, rows["_key"].eqNullSafe(later["_id"]) & (rows["_body_hash"] == later["_hash"]), "left").select("_row", "_text", "_starts")
+    joined = rows.join(later.hint("merge"), rows["_key"].eqNullSafe(later["_id"]) & (rows["_body_hash"] == later["_hash"]), "left").select("_row", "_text", "_starts")
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, _text string, _n_lines long, _n_removed long"
     out = joined.mapInArrow(drop, schema)
     columns: list[Column] = [F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
