@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import operator
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Common short words of English, French, German and Spanish, the stop words that running text has.
@@ -13,7 +17,7 @@ STOP_WORDS = (
     "el", "los", "las", "y", "en", "se", "por", "con", "para", "una", "su", "al", "lo", "como", "es", "del", "no",
 )
 
-#: A row is (name, measure as SQL over MEASURES, least, most); None leaves an end open. A text whose measure is outside fails the rule.
+#: A row is (name, a measure or the ratio of two, least, most); None leaves an end open. A text whose measure is outside fails the rule.
 Rule = tuple[str, str, float | None, float | None]
 RULES: tuple[Rule, ...] = (
     ("word length", "word_chars / n_words", 1.5, 25.0),
@@ -40,44 +44,62 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null text is an empty one, and all its measures are 0.
     """
     docs = docs.drop(*MEASURES)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    x = docs.withColumns({"_words": F.filter(F.split(text, _SPACE + "+"), lambda w: w != ""), "_lines": F.filter(F.split(text, "\n"), lambda v: v.rlike(r"[^\x20\x09-\x0D]"))})
-    hashes = F.when(F.size("_words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    x = x.withColumn("_windows", hashes)
-    ranked = F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    x = x.withColumn("_ranked", ranked)
-    last = F.size("_ranked") - 1
-    at = F.col("_ranked").__getitem__
-    again = F.filter(
-        F.transform("_ranked", lambda r, j: F.when(((j > 0) & (at(F.greatest(j - 1, F.lit(0))).h == r.h)) | ((j < last) & (at(F.least(j + 1, last)).h == r.h)), r.i)), lambda i: i.isNotNull()
-    )
-    x = x.withColumn("_again", F.sort_array(again))
-    start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
-    covered = F.aggregate("_again", start, lambda a, p: F.struct(p.alias("last"), (a.n + F.least(F.lit(WINDOW), p - a.last)).alias("n")), lambda a: a.n)
+    m = _measured(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select("*", m.alias("_m")).select(*docs.columns, "_m.*")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once wherever Spark moves the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _measured(text: Column) -> Column:
+    """A struct of MEASURES."""
+    words = F.filter(F.split(text, _SPACE + "+"), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda v: v.rlike(r"[^\x20\x09-\x0D]"))
+    return _let(words, lambda w: _let(lines, lambda v: _counts(text, w, v)))
+
+
+def _counts(text: Column, words: Column, lines: Column) -> Column:
     count = {
-        "n_words": F.size("_words"),
-        "word_chars": F.length(F.array_join("_words", "")),
+        "n_words": F.size(words),
+        "word_chars": F.length(F.array_join(words, "")),
         "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)),
-        "n_lines": F.size("_lines"),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": F.when(F.size(words) < WINDOW, 0).otherwise(_let(F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))), _repeated)),
+        "n_lines": F.size(lines),
         "n_shouts": F.regexp_count(text, F.lit("!")),
-        "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS)))),
-        "n_bullets": F.size(F.filter("_lines", lambda v: v.rlike("^ *[-*•]"))),
-        "n_cut_lines": F.size(F.filter("_lines", lambda v: v.rlike("(\\.\\.\\.|…) *$"))),
+        "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS)))),
+        "n_bullets": F.size(F.filter(lines, lambda v: v.rlike("^ *[-*•]"))),
+        "n_cut_lines": F.size(F.filter(lines, lambda v: v.rlike("(\\.\\.\\.|…) *$"))),
     }
-    return x.select(*docs.columns, *(c.cast("long").alias(n) for n, c in count.items()))
+    return F.struct(*(c.cast("long").alias(n) for n, c in count.items()))
 
 
-def failed(rules: tuple[Rule, ...] = RULES) -> str:
-    """SQL: the names of the rules that a row of measures fails; a measure that is null (no words, no lines) fails none."""
+def _repeated(windows: Column) -> Column:
+    """Words in windows whose hash occurs twice or more; windows are sorted only where one does."""
+    ranked = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def starts(r: Column) -> Column:
+        again = F.transform(r, lambda x, j: F.when(((j > 0) & (r[F.greatest(j - 1, F.lit(0))].h == x.h)) | ((j < F.size(r) - 1) & (r[F.least(j + 1, F.size(r) - 1)].h == x.h)), x.i))
+        return F.sort_array(F.filter(again, lambda i: i.isNotNull()))
+
+    def covered(at: Column) -> Column:
+        start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
+        return F.aggregate(at, start, lambda a, p: F.struct(p.alias("last"), (a.n + F.least(F.lit(WINDOW), p - a.last)).alias("n")), lambda a: a.n)
+
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(_let(ranked, lambda r: covered(starts(r))))
+
+
+def failed(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Names of the rules that a struct of measures fails; a measure that is null (no words, no lines) fails none."""
     each = []
     for name, measure, least, most in rules:
         a, _, b = measure.partition(" / ")
-        value = f"{a} / nullif({b}, 0)" if b else a
-        outside = " or ".join(f"{value} {sign} {limit}" for sign, limit in (("<", least), (">", most)) if limit is not None)
-        each.append(f"case when {outside} then '{name}' end")
-    return f"filter(array({', '.join(each)}), x -> x is not null)"
+        value = m[a] / F.nullif(m[b], F.lit(0)) if b else m[a]
+        outside = [value < least] * (least is not None) + [value > most] * (most is not None)
+        each.append(F.when(functools.reduce(operator.or_, outside), name))
+    return F.filter(F.array(*each), lambda x: x.isNotNull())
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, least_words: int = 20, most_repeats: int = 30) -> DataFrame:
@@ -89,9 +111,15 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
     get equal results, null ids are kept, empty tables give no rows. Added names replace those in docs.
     """
     docs = docs.drop("base_failed", "failed", "kept")
-    base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
-    x = measures(docs, text_col).withColumn("base_failed", base).withColumn("failed", F.expr(failed(rules)))
-    return x.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    docs = docs.drop(*MEASURES)
+    m = _measured(F.coalesce(F.col(text_col), F.lit("")))
+    judged = _let(m, lambda x: F.struct(*(x[n].alias(n) for n in MEASURES), _base(x, least_words, most_repeats).alias("base_failed"), failed(x, rules).alias("failed")))
+    judged = _let(judged, lambda x: F.struct(*(x[n].alias(n) for n in (*MEASURES, "base_failed", "failed")), (~x.base_failed & (F.size(x.failed) == 0)).alias("kept")))
+    return docs.select("*", judged.alias("_m")).select(*docs.columns, "_m.*")
+
+
+def _base(m: Column, least_words: int, most_repeats: int) -> Column:
+    return (m.n_words < least_words) | (100 * m.n_repeat_words > most_repeats * m.n_words)
 
 
 def _oracle() -> str:
