@@ -9,7 +9,7 @@ from fleetlens.llm._scratch import stored
 
 #: Repeats by a source's rank.
 WEIGHTS = (5, 2, 1)
-FILLERS = 2
+FILLERS = 4
 
 
 def _draw(*parts: Column | str) -> Column:
