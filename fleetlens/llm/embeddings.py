@@ -169,3 +169,18 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     linked = own.select("id", "n_links").unionByName(base.where(~F.coalesce(sound, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links")))
     out = linked.join(joined, linked["id"] == joined["node"], "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+ORACLE = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as (select vec_id, label, e, sqrt(list_dot_product(e, e)) as norm from v),
+p as (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+r(node, component) as (select vec_id, vec_id from embeddings union select p.b, r.component from r join p on p.a = r.node),
+c as (select node, min(component) as component_id from r group by 1),
+d as (select a, count(*) as n from p group by 1)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from embeddings left join c on c.node = vec_id left join d on d.a = vec_id
+"""

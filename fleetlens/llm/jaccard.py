@@ -163,3 +163,18 @@ def _overlap(s: np.ndarray, t: np.ndarray) -> int:
     at = np.searchsorted(t, s)
     at[at == len(t)] = 0
     return int(np.count_nonzero(t[at] == s)) if len(t) else 0
+
+
+ORACLE = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+s as (
+  select distinct doc_id, unnest(case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) when len(words) > 0 then [array_to_string(words, ' ')] else [] end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r(node, component) as (select doc_id, doc_id from documents union select e.b, r.component from r join e on e.a = r.node),
+c as (select node, min(component) as component_id from r group by 1)
+select documents.doc_id, coalesce(n, 0) as n_shingles, component_id from documents left join n on n.doc_id = documents.doc_id left join c on c.node = documents.doc_id
+"""

@@ -130,3 +130,17 @@ def _removed(all_lines: list[str], starts: list[int], run: int) -> list[bool]:
 def dedup_lines_digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (of the text that stays, null as empty)."""
     return dedup_lines(docs.select("doc_id", "text"), **options).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+with t as (select doc_id, coalesce(text, '') as text, text is null as missing from documents),
+x as (select doc_id, i, string_split(text, chr(10))[i] as line from t, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(i)),
+f as (select doc_id, i, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as line from x where regexp_matches(line, '[^\x20\x09-\x0D]')),
+g as (
+  select doc_id, i, lead(i, 2) over w as last, line as a, lead(line, 1) over w as b, lead(line, 2) over w as c from f window w as (partition by doc_id order by i)),
+k as (select *, row_number() over (partition by a, b, c order by doc_id, i) as n from g where last is not null),
+gone as (select distinct x.doc_id, x.i from x join k on k.doc_id = x.doc_id and k.n > 1 and x.i between k.i and k.last),
+kept as (select x.doc_id, string_agg(x.line, chr(10) order by x.i) as text from x left join gone on gone.doc_id = x.doc_id and gone.i = x.i where gone.i is null group by 1)
+select t.doc_id, case when missing then 0 else len(string_split(t.text, chr(10))) end as n_lines, coalesce((select count(*) from gone where gone.doc_id = t.doc_id), 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from t left join kept on kept.doc_id = t.doc_id
+"""

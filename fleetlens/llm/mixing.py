@@ -109,3 +109,57 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shuffled = Window.partitionBy("_shard", "_block", F.col("copies") > 0).orderBy(F.reverse("_draw"), "_id")
     place = F.when(F.col("copies") > 0, F.concat(F.col("_block"), F.lit("-"), F.lpad(F.row_number().over(shuffled).cast("string"), 9, "0")))
     return out.select(*kept, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.when(F.col("copies") > 0, F.col("_shard")).alias("shard"), place.alias("place"))
+
+
+def _oracle(levels: int = 4) -> str:
+    tree = "".join(
+        f"""t{i + 1} as (
+  select *, 2 * node + case when 2 * row_number() over (partition by node order by md5('mix/tree/{i}/' || coalesce(source, 'null') || '/' || block), source nulls first, block)
+    <= count(*) over (partition by node) + cast('0x' || substr(md5(cast(node as varchar)), 1, 4) as integer) % 2 then 0 else 1 end as node2 from t{i}),
+u{i + 1} as (select * exclude (node, node2), node2 as node from t{i + 1}),
+""".replace(f"from t{i})", f"from u{i})")
+        for i in range(levels)
+    )
+    fill = "".join(
+        f"""f{i + 1} as (
+  select source, min({{'off': abs(d.size - e.gap), 'draw': d.draw, 'size': d.size}}) as f from d join e{i} e on e.source is not distinct from d.source
+  where not d.base and d.size > 0 and abs(d.size - e.gap) < e.gap and not list_contains(e.fillers, d.draw) group by all),
+e{i + 1} as (
+  select e.source, e.gap - coalesce(f.f.size, 0) as gap, case when f.f is null then e.fillers else list_append(e.fillers, f.f.draw) end as fillers from e{i} e left join f{i + 1} f on f.source is not distinct from e.source),
+""".replace("select source, min(", "select e.source, min(").replace("group by all", "group by e.source")
+        for i in range(FILLERS)
+    )
+    return rf"""
+with s as (
+  select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) as size, md5('mix/' || coalesce(cast(doc_id as varchar), 'null')) as draw from documents),
+b as (select source, substr(draw, 1, 2) as block, cast(sum(size) as bigint) as words from s group by all),
+z as (select source, cast(sum(words) as bigint) as source_size from b group by 1),
+w as (
+  select *, list_extract([{", ".join(map(str, WEIGHTS))}], cast((row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} + 1 as integer)) as weight, 2 * source_size as bound from z),
+l as (
+  select *, row_number() over o as pos, (sum(source_size) over () * cast(1.5 as double) - coalesce(sum(bound) over (o rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (o rows between current row and unbounded following) as level
+  from w window o as (order by bound / weight, source nulls last)),
+o as (select *, min(case when level * weight <= bound then pos end) over () as opened from l),
+r as (select *, max(case when pos = opened then level end) over () as reached from o),
+g as (select source, source_size, cast(case when pos >= opened then weight * reached when source_size = 0 then 0 else bound end as double) as target from r),
+p as (select *, case when source_size > 0 then cast(floor(target / source_size) as integer) else 0 end as passes from g),
+q as (select *, target - passes * source_size as rest from p),
+k as (
+  select b.source, block, words, source_size, target, passes, rest, rest - (sum(words) over (partition by b.source order by md5('mix/' || coalesce(b.source, 'null') || '/' || block), block) - words) as room
+  from b join q on q.source is not distinct from b.source),
+u0 as (select *, 1 as node from k),
+{tree}m as (select s.*, u.* exclude (source) from s join u{levels} u on u.source is not distinct from s.source and u.block = substr(s.draw, 1, 2)),
+c as (select *, sum(size) over (partition by source order by draw, doc_id) as running from m where room > 0 and room < words),
+x as (
+  select source, max(case when running <= room then draw || lpad(cast(doc_id as varchar), 20, '0') end) as upto, coalesce(max(case when running <= room then running end), 0) as got, any_value(room) as room from c group by source),
+d as (
+  select m.*, case when m.room >= m.words then true when m.room <= 0 then false else coalesce(m.draw || lpad(cast(m.doc_id as varchar), 20, '0') <= x.upto, false) end as base from m left join x on x.source is not distinct from m.source),
+e0 as (select source, room - got as gap, cast([] as varchar[]) as fillers from x),
+{fill}a as (
+  select d.*, case when passes >= 2 then 2 else passes + case when rest > 0 and (base or coalesce(list_contains(e.fillers, d.draw), false)) then 1 else 0 end end as copies from d left join e{FILLERS} e on e.source is not distinct from d.source)
+select doc_id, size, source_size, target, copies * size as taken, case when copies > 0 then node - {2**levels} end as shard,
+  case when copies > 0 then block || '-' || lpad(cast(row_number() over (partition by node, block, copies > 0 order by reverse(draw), doc_id) as varchar), 9, '0') end as place from a
+"""
+
+
+ORACLE = _oracle()

@@ -75,4 +75,12 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": urls.ORACLE, "op8_warc": warc.ORACLE, "op9_quality_rules": quality.ORACLE}
+    return {
+        "op1_near_vectors": embeddings.ORACLE,
+        "op2_ngram_jaccard": jaccard.ORACLE,
+        "op5_url_filters": urls.ORACLE,
+        "op6_mix_sources": mixing.ORACLE,
+        "op8_warc": warc.ORACLE,
+        "op9_quality_rules": quality.ORACLE,
+        "op10_line_dedup": line_dedup.ORACLE,
+    }
