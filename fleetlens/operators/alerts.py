@@ -160,3 +160,13 @@ def next_runs(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Minutes to the next event of the same key."""
     w = Window.partitionBy(*keys).orderBy(time)
     return df.withColumn("minutes_to_next", boundary_diff("minute", time, F.lead(time).over(w)))
+
+
+def replication_inventory(articles: DataFrame, subscription: list[str], article: str) -> DataFrame:
+    """Distinct articles of each subscription."""
+    return articles.groupBy(*subscription).agg(F.count_distinct(article).alias("articles"))
+
+
+def inactive_subscriptions(subscriptions: DataFrame, status: str, active: tuple) -> DataFrame:
+    """Subscriptions that are not active, with a severity: unknown states are critical."""
+    return subscriptions.where(~F.coalesce(F.col(status).isin(*active), F.lit(False))).withColumn("severity", F.when(F.col(status).isNull(), "critical").otherwise("warning"))

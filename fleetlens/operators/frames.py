@@ -93,3 +93,19 @@ def run_slices(df: DataFrame, keys: list[str], marker: Column, order: list[str])
     x = df.withColumn("_marker", marker).withColumn("_after", F.sum(F.col("_marker").cast("int")).over(later))
     state = F.when(F.col("_after") == 0, "current").when(F.col("_after") == 1, "finished")
     return x.where("not _marker and _after <= 1").withColumn("run_state", state).drop("_marker", "_after")
+
+
+def with_group_count(df: DataFrame, keys: list[str], name: str = "group_count") -> DataFrame:
+    """df with the number of rows of its group."""
+    return df.withColumn(name, F.count("*").over(Window.partitionBy(*keys)))
+
+
+def rollup_twice(df: DataFrame, inner: list[str], outer: list[str], value: Column) -> DataFrame:
+    """Sums by inner keys, then groups and total of those by outer keys."""
+    x = df.groupBy(*inner).agg(F.sum(value).alias("_sum"))
+    return x.groupBy(*outer).agg(F.count("*").alias("n_groups"), F.sum("_sum").alias("total"), F.max("_sum").alias("largest"))
+
+
+def arg_max(df: DataFrame, keys: list[str], value: str, order: list[str], name: str) -> DataFrame:
+    """The value of the row that is last by order."""
+    return df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(name))

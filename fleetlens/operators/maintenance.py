@@ -179,3 +179,16 @@ def schema_audit(columns: DataFrame, uses: DataFrame, keys: list[str], kinds: li
 def missing_statistics(columns: DataFrame, statistics: DataFrame, keys: list[str], kinds: list[str]) -> DataFrame:
     """Columns of usable types that lead no statistics."""
     return columns.where(~F.col("type").isin(*kinds)).join(statistics.where("position = 1"), keys, "left_anti")
+
+
+def project_order(packed: DataFrame, project: str, priority: str) -> DataFrame:
+    """Projects in the order of their first item."""
+    x = packed.groupBy(project).agg(F.min(priority).alias("first_priority"))
+    return x.withColumn("project_order", F.row_number().over(Window.orderBy("first_priority", project)))
+
+
+def archive_finished(queue: DataFrame, history: DataFrame, inactive: DataFrame, key: str, pending: tuple = (-1, 4)) -> tuple[DataFrame, DataFrame]:
+    """(queue, history) after finished rows moved to the history and pending rows of inactive members were dropped."""
+    done = ~F.col("status").isin(*pending)
+    left = queue.where(~done).join(inactive.select(key), key, "left_anti").select(*queue.columns)
+    return left, history.unionByName(queue.where(done).select(*history.columns))

@@ -141,3 +141,14 @@ def job_digest(spark: SparkSession, d: str) -> DataFrame:
 def alert_subjects(spark: SparkSession, d: str) -> DataFrame:
     e = A.job_notifications(table(spark, d, "events"), "event_type", ("error",))
     return e.select("event_id", A.subject(F.col("user_id").cast("string"), F.col("event_type"), F.when(F.col("value") > 100, "big")).alias("subject"))
+
+
+@query("select l_suppkey, l_returnflag, count(distinct l_partkey) as articles from lineitem group by 1, 2")
+def replication_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return A.replication_inventory(table(spark, d, "lineitem"), ["l_suppkey", "l_returnflag"], "l_partkey")
+
+
+@query("select o_orderkey, case when o_orderkey % 10 = 0 then 'critical' else 'warning' end as severity from orders where o_orderkey % 10 = 0 or o_orderstatus <> 'F'")
+def inactive_subscriptions(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderstatus")).alias("state"))
+    return A.inactive_subscriptions(x, "state", ("F",)).select("o_orderkey", "severity")

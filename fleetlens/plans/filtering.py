@@ -161,3 +161,25 @@ select l_suppkey, cast(coalesce(sum(cast(l_quantity as decimal(18,2))) filter (l
 def pivot_by_kind(spark: SparkSession, d: str) -> DataFrame:
     x = frames.pivot_sums(table(spark, d, "lineitem"), ["l_suppkey"], "l_returnflag", frames.exact("l_quantity"), {"A": "a", "N": "n", "X": "x"})
     return x.select("l_suppkey", *(F.col(c).cast("double").alias(c) for c in ("a", "n", "x")))
+
+
+@query("select o_orderkey, count(*) over (partition by o_custkey) as group_count from orders")
+def group_count(spark: SparkSession, d: str) -> DataFrame:
+    return frames.with_group_count(table(spark, d, "orders"), ["o_custkey"]).select("o_orderkey", "group_count")
+
+
+@query("with x as (select s_nationkey, l_suppkey, sum(cast(l_quantity as bigint)) as s from lineitem join supplier on s_suppkey = l_suppkey group by all) select s_nationkey, count(*) as n_groups, cast(sum(s) as bigint) as total, max(s) as largest from x group by 1")
+def rollup_twice(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    return frames.rollup_twice(x, ["s_nationkey", "l_suppkey"], ["s_nationkey"], F.col("l_quantity").cast("long"))
+
+
+@query("select user_id, arg_max(event_type, (ts, event_id)) as last_type from events group by 1")
+def arg_max(spark: SparkSession, d: str) -> DataFrame:
+    return frames.arg_max(table(spark, d, "events"), ["user_id"], "event_type", ["ts", "event_id"], "last_type")
+
+
+@query("with x as (select l_orderkey, l_returnflag, case when l_linenumber = 3 then null else l_linenumber end as n from lineitem) select l_orderkey, case when count(*) filter (n is null) = 0 then max(n) end as longest from x group by 1")
+def max_or_open(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") != 3, F.col("l_linenumber")).alias("n"))
+    return frames.max_or_open(x, ["l_orderkey"], "n", "longest")

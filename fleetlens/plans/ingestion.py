@@ -156,3 +156,10 @@ def local_to_utc(spark: SparkSession, d: str) -> DataFrame:
     from fleetlens.functions.times import to_utc
 
     return table(spark, d, "events").select("event_id", to_utc("ts", 3).alias("utc"))
+
+
+@query("select event_id, i as step_id, event_type || '-' || i as step_name from events, (values (1), (2)) t(i) where event_id % 5 = 0")
+def job_steps(spark: SparkSession, d: str) -> DataFrame:
+    step = lambda i: F.concat(F.lit(f"<step><step_id>{i}</step_id><step_name>"), "event_type", F.lit(f"-{i}</step_name></step>"))
+    x = table(spark, d, "events").where("event_id % 5 = 0").select("event_id", F.concat(F.lit("<history>"), step(1), step(2), F.lit("</history>")).alias("message"))
+    return S.step_rows(x, ["event_id"], "message", "step", "step_id: int, step_name: string")

@@ -247,3 +247,25 @@ def duration_texts(spark: SparkSession, d: str) -> DataFrame:
     v, k = F.col("value"), F.col("event_id")
     e = table(spark, d, "events")
     return e.select("event_id", times.duration_text(F.round(v * 1000).cast("long") * 997).alias("took"), times.hms_text(F.floor(v).cast("long") * 37).alias("clock"), times.packed_seconds(k % 500 * 10000 + k % 60 * 100 + k % 60).alias("seconds"))
+
+
+@query("with x as (select o_custkey % 25 as project, min(o_orderkey) as first_priority from orders where o_orderstatus = 'O' group by 1) select project, first_priority, row_number() over (order by first_priority, project) as project_order from x")
+def project_order(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "orders").where("o_orderstatus = 'O'").select((F.col("o_custkey") % 25).alias("project"), "o_orderkey")
+    return M.project_order(x, "project", "o_orderkey")
+
+
+def _queue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    q = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 6 - 1).cast("int").alias("status"))
+    inactive = table(spark, d, "supplier").where("s_acctbal < 1000").select(F.col("s_suppkey").alias("user_id"))
+    return M.archive_finished(q.where("event_id >= 100"), q.where("event_id < 100"), inactive, "user_id")
+
+
+@query("select user_id, event_id from events where event_id >= 100 and event_id % 6 - 1 in (-1, 4) and user_id not in (select s_suppkey from supplier where s_acctbal < 1000)")
+def queue_after_archive(spark: SparkSession, d: str) -> DataFrame:
+    return _queue(spark, d)[0].select("user_id", "event_id")
+
+
+@query("select user_id, event_id from events where event_id < 100 or event_id % 6 - 1 not in (-1, 4)")
+def history_after_archive(spark: SparkSession, d: str) -> DataFrame:
+    return _queue(spark, d)[1].select("user_id", "event_id")

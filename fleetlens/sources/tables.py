@@ -101,3 +101,9 @@ def save_report(sections: dict[str, DataFrame], path: str) -> None:
     """Each section as a Parquet folder below path."""
     for name, df in sections.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def step_rows(df: DataFrame, keys: list[str], column: str, item: str, schema: str) -> DataFrame:
+    """A row for each repeated element of an XML payload, such as the steps of a job's history."""
+    x = df.select(*keys, F.explode(F.from_xml(F.col(column), f"{item} array<struct<{schema}>>")[item]).alias("_s"))
+    return x.select(*keys, "_s.*")
