@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm._bytes import Rolling, mix, texts
+from fleetlens.llm._bytes import Rolling, mix, order_of, texts
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 FILTER_BITS = 18
+#: Edges of a task's shared lattice, at about 40 bytes each.
+MOST_EDGES = 3_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,17 +49,21 @@ class Vocabulary:
         if any(b" " in p.lstrip(b" ") for x in by_length.values() for p, _, _ in x):
             raise ValueError("a piece has white space inside; such models are not supported")
         self.byte_weight = -alpha * np.log1p(n)
+        self.weights = np.zeros(n)
+        for x in by_length.values():
+            for _, i, w in x:
+                self.weights[i] = w
         self.alone = np.array([c < 128 and c not in known for c in range(256)])
         self.by_length = {}
         for size, x in sorted(by_length.items()):
             buf = np.frombuffer(b"".join(p for p, _, _ in x), np.uint8)
-            h = Rolling(buf).hash(np.arange(len(x)) * size, np.arange(1, len(x) + 1) * size)
+            h = Rolling(buf).raw(np.arange(len(x)) * size, np.arange(1, len(x) + 1) * size)
             order = np.argsort(h)
             likely = np.zeros(1 << FILTER_BITS, bool)
             likely[h >> np.uint64(64 - FILTER_BITS)] = True
-            self.by_length[size] = h[order], np.array([i for _, i, _ in x], np.int32)[order], np.array([w for _, _, w in x])[order], likely
+            self.by_length[size] = h[order], np.array([i for _, i, _ in x], np.int32)[order], likely
         self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
-        self.sizes = np.array([len(b) for b in self.raw])
+        self.sizes = np.array([len(b) for b in self.raw], np.int32)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
@@ -73,95 +79,133 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
 
 
 class Lattice:
-    """All segmentations of the distinct pieces of text (segments) that white space parts a chunk into.
+    """All segmentations of the distinct pieces of text (segments) that white space parts texts into.
 
-    A state is a byte position of a distinct segment. edge arrays are ordered by state; prob is the chance of an edge among
-    all segmentations that pass its state, from backward sums of weights; so a walk from the start draws a segmentation with
-    its probability, and a state's remaining mass is known exactly: this is the search's bound.
+    A state is a byte position of a segment. Edge arrays are ordered by state; prob is the chance of an edge among all
+    segmentations that pass its state, from backward sums of weights; so a walk from the start draws a segmentation with its
+    probability, and a state's remaining mass is known exactly: this is the search's bound. What is kept of a segment does not
+    depend on the others, to the last bit.
     """
 
-    def __init__(self, vocab: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray):
-        self.vocab, self.data = vocab, data
+    FIELDS = ("edge_from", "edge_count", "place", "left", "piece", "source", "length", "target", "prob", "within", "data", "base", "hashes")
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.edge_from, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.edge_count, self.left, self.piece, self.source, self.length, self.target = (np.zeros(0, np.int32) for _ in range(6))
+        self.prob, self.within, self.data, self.base, self.hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def covering(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[Lattice, np.ndarray]:
+        """A lattice that has these segments too, and the first state of each; hashes tell segments apart."""
+        u, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, u), max(0, len(self.hashes) - 1))
+        new = np.flatnonzero(self.hashes[at] != u) if len(self.hashes) else np.arange(len(u))
+        both = self if not len(new) else self._joined(Lattice(self.vocab)._built(data, start[sample[new]], end[sample[new]], u[new]))
+        return both, both.base[np.searchsorted(both.hashes, u)][which]
+
+    def _joined(self, part: Lattice) -> Lattice:
+        out = Lattice(self.vocab)
+        states, edges, size = len(self.place), len(self.piece), len(self.data)
+        shift = {"edge_from": edges, "place": size, "source": states, "target": states, "base": states}
+        for f in self.FIELDS:
+            a, b = getattr(self, f), getattr(part, f)
+            setattr(out, f, np.concatenate([a, b + np.array(shift[f], b.dtype) if f in shift else b]))
+        order = np.argsort(out.hashes)
+        out.hashes, out.base = out.hashes[order], out.base[order]
+        return out
+
+    def _built(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> Lattice:
+        """This lattice, filled with distinct segments."""
+        vocab = self.vocab
         size = end - start
+        stop = np.cumsum(size)
+        self.data = data = data[np.repeat(start - (stop - size), size) + np.arange(stop[-1])]
+        start, self.hashes = stop - size, hashes
         self.base = np.cumsum(size + 1) - (size + 1)
-        self.stop = self.base + size
         n = int((size + 1).sum())
         place = np.repeat(start - self.base, size + 1) + np.arange(n)  # byte of each state
-        left = np.repeat(end, size + 1) - place  # bytes from here to the segment's end
+        left = (np.repeat(stop, size + 1) - place).astype(np.int32)  # bytes from here to the segment's end
         self.place, self.left = place, left
         rolling = Rolling(data)
-        lead = np.zeros(n, bool)
-        inner = left > 0
-        lead[inner] = (data[place[inner]] & 0xC0) != 0x80
-        states = np.flatnonzero(lead)
+        states = np.flatnonzero(left > 0)
+        states = states[(data[place[states]] & 0xC0) != 0x80]
         first = data[place[states]]
-        width = np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4)))
-        width = np.minimum(width, left[states])
-        single = np.zeros(n, bool)
-        source, length, piece, weight = [], [], [], []
-        for size_, (h, ids, w, likely) in vocab.by_length.items():
-            at = states[left[states] >= size_]
-            if not len(at):
-                break
-            key = rolling.hash(place[at], place[at] + size_)
-            maybe = likely[key >> np.uint64(64 - FILTER_BITS)]
+        width = np.minimum(np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4))), left[states]).astype(np.int32)
+        room, at_byte = left[states], place[states]
+        bare = np.ones(len(states), bool)
+        found = []
+        for size_, (h, ids, likely) in reversed(vocab.by_length.items()):  # long pieces first: a walk looks at the first edges first
+            at = np.flatnonzero(room >= size_).astype(np.int32)
+            key = rolling.raw(at_byte[at], at_byte[at] + size_)
+            maybe = np.flatnonzero(likely[key >> np.uint64(64 - FILTER_BITS)])
             at, key = at[maybe], key[maybe]
             i = np.minimum(np.searchsorted(h, key), len(h) - 1)
             hit = h[i] == key
-            at, i = at[hit], i[hit]
-            source.append(at)
-            length.append(np.full(len(at), size_, np.int32))
-            piece.append(ids[i])
-            weight.append(w[i])
-        step = np.zeros(n, np.int32)
-        step[states] = width
-        for at, size_ in zip(source, length, strict=True):
-            single[at[step[at] == size_]] = True
-        bare = ~single[states]
-        source.append(states[bare])
-        length.append(width[bare].astype(np.int32))
-        piece.append(np.full(bare.sum(), -1, np.int32))
-        weight.append(vocab.byte_weight * width[bare])
-        s, length, piece, weight = (np.concatenate(x) for x in (source, length, piece, weight))
-        self._order(s, length, piece, np.arange(len(s)))
+            at = at[hit]
+            bare[at[width[at] == size_]] = False
+            found.append((states[at], ids[i[hit]]))
+        found.append((states[bare], np.full(bare.sum(), -1, np.int32)))
+        count = np.zeros(n, np.int32)
+        for at, _ in found:
+            count[at] += 1  # a state has one edge of a length at most
+        slot = np.cumsum(count, dtype=np.int64) - count
+        self.edge_from, self.edge_count = slot.copy(), count
+        self.piece = np.empty(int(count.sum()), np.int32)
+        while found:
+            at, ids = found.pop(0)
+            self.piece[slot[at]] = ids
+            slot[at] += 1
+        self.source = np.repeat(np.arange(n, dtype=np.int32), count)
+        self.length = vocab.sizes[self.piece]
+        weight = vocab.weights[self.piece]
+        none = np.flatnonzero(self.piece < 0)
+        wide = np.zeros(n, np.int32)
+        wide[states] = width
+        self.length[none] = wide[self.source[none]]
+        weight[none] = vocab.byte_weight * self.length[none]
+        self.target = self.source + self.length
         rest = self._backward(weight, n)
-        prob = np.exp(weight + rest[self.target] - rest[self.source])
-        order = np.argsort(self.source + 0.5 * (1 - prob))  # likely edges first, so that a walk looks at few
-        self._order(self.source, self.length, self.piece, order)
-        self.prob = prob[order]
-        new = np.append(True, self.source[1:] != self.source[:-1])
-        total = np.cumsum(self.prob)
-        before = (total - self.prob)[new][np.cumsum(new) - 1]
-        within = total - before
-        last = np.append(new[1:], True)
-        within[last] = 2.0
-        self.lone = new & last
-        self.within = within
+        weight += rest[self.target]
+        weight -= rest[self.source]
+        self.prob = np.exp(weight, out=weight)
+        self.within = self.prob.copy()
+        for rank in range(1, int(count.max())):  # running sums inside a state, the same whatever else there is
+            e = self.edge_from[np.flatnonzero(count > rank)] + rank
+            self.within[e] += self.within[e - 1]
+        full = np.flatnonzero(count)
+        self.within[self.edge_from[full] + count[full] - 1] = 2.0
+        self.prob[self.edge_from[full[count[full] == 1]]] = 1.0
+        return self
+
+    def log_prob(self, edges: np.ndarray) -> np.ndarray:
+        return np.log(self.prob[edges])
+
+    def log_other(self, edges: np.ndarray) -> np.ndarray:
+        """Of what the other edges of the same state have."""
         with np.errstate(divide="ignore"):
-            self.log_prob = np.where(self.lone, 0.0, np.log(self.prob))
-            self.log_other = np.where(self.lone, -np.inf, np.log(np.maximum(0.0, 1.0 - self.prob)))
-        self.edge_from = np.searchsorted(self.source, np.arange(n))
-
-    def _order(self, source, length, piece, order) -> None:
-        self.source, self.length, self.piece = source[order], length[order], piece[order]
-        self.target = self.source + self.length
+            return np.log(np.maximum(0.0, 1.0 - self.prob[edges]))
 
     def _backward(self, weight: np.ndarray, n: int) -> np.ndarray:
         """Log of the summed weights from each state to its segment's end; all states at one distance are done at once."""
         rest = np.full(n, -np.inf)
-        rest[self.stop] = 0.0
-        far = self.left[self.source]
-        order = np.argsort(far.astype(np.int64) * n + self.source)
-        edge = np.append(np.flatnonzero(np.append(True, far[order][1:] != far[order][:-1])), len(order))
-        for a, b in zip(edge, edge[1:], strict=False):
-            e = order[a:b]
-            s = self.source[e]
-            value = weight[e] + rest[self.target[e]]
-            new = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        rest[self.left == 0] = 0.0
+        full = np.flatnonzero(self.edge_count)
+        full = full[order_of(self.left[full], int(self.left.max()).bit_length() if n else 1)]
+        count = self.edge_count[full]
+        end = np.cumsum(count)
+        edges = np.arange(end[-1] if len(end) else 0) + np.repeat(self.edge_from[full] - (end - count), count)
+        weight, target = weight[edges], self.target[edges]
+        far = self.left[full]
+        cut = np.append(np.flatnonzero(np.append(True, far[1:] != far[:-1])), len(full)) if len(full) else np.zeros(1, np.int64)
+        for a, b in zip(cut, cut[1:], strict=False):
+            lo = end[a] - count[a]
+            value = weight[lo : end[b - 1]] + rest[target[lo : end[b - 1]]]
+            new = end[a:b] - count[a:b] - lo
             top = np.maximum.reduceat(value, new)
-            top = np.where(np.isfinite(top), top, 0.0)
+            top[~np.isfinite(top)] = 0.0
+            value -= np.repeat(top, count[a:b])
             with np.errstate(divide="ignore"):
-                rest[s[new]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(new, len(s))))), new))
+                rest[full[a:b]] = top + np.log(np.add.reduceat(np.exp(value), new))
         return rest
 
     def walk(self, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +251,7 @@ def _step(n: int) -> np.uint64:
 
 def uniform(key: np.ndarray) -> np.ndarray:
     """Numbers within (0, 1) that depend on the key alone."""
-    return ((mix(mix(key) + GOLD) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+    return ((mix(key + GOLD) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
 def cut_gumbel(location: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
@@ -232,11 +276,11 @@ class Search:
     def add(self, edges: np.ndarray, value: float, since: int) -> None:
         """A full segmentation whose steps from since on are new."""
         lat = self.lattice
-        logs = lat.log_prob[edges]
+        logs = lat.log_prob(edges)
         done = np.cumsum(logs)
         self.draws += 1
         u = uniform(self._seed() + np.arange(len(edges), dtype=np.uint64) * GOLD)
-        others = cut_gumbel(done - logs + lat.log_other[edges], value, u) if len(edges) else np.zeros(0)
+        others = cut_gumbel(done - logs + lat.log_other(edges), value, u) if len(edges) else np.zeros(0)
         others[:since] = -np.inf
         self.paths.append({"edges": edges, "value": value, "log": float(done[-1]) if len(edges) else 0.0, "others": others, "before": done - logs, "taken": {}})
 
@@ -256,7 +300,8 @@ class Search:
         """Pops it: the steps up to and with the child that has the value; what is left there stays behind."""
         p, lat = self.paths[i], self.lattice
         state = lat.source[p["edges"][t]]
-        a, b = lat.edge_from[state], lat.edge_from[state + 1] if state + 1 < len(lat.edge_from) else len(lat.source)
+        a = int(lat.edge_from[state])
+        b = a + int(lat.edge_count[state])
         taken = p["taken"].setdefault(t, {int(p["edges"][t])})
         free = np.array([e for e in range(a, b) if e not in taken])
         self.draws += 1
@@ -281,21 +326,33 @@ def _cuts(vocab: Vocabulary, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def sample_chunk(vocab: Vocabulary, bodies: list[bytes], keys: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
+class Shared:
+    """The lattice of one task: it keeps the segments of its first chunks, up to MOST_EDGES edges, for the later ones."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.lattice = vocab, Lattice(vocab)
+
+    def covering(self, *segments: np.ndarray) -> tuple[Lattice, np.ndarray]:
+        found, state = self.lattice.covering(*segments)
+        if len(found.piece) <= MOST_EDGES:
+            self.lattice = found
+        return found, state
+
+
+def sample_chunk(shared: Shared, bodies: list[bytes], keys: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
     """(text number, rank, ids, log-probability, perturbed value, inclusion score) for each text, up to k each."""
     marked = [b" " + b if b else b"" for b in bodies]
     data = np.frombuffer(b"".join(marked), np.uint8)
     off = np.cumsum([0, *map(len, marked)])
-    start = _cuts(vocab, data, off)
+    start = _cuts(shared.vocab, data, off)
     end = np.append(start[1:], len(data))
-    _, sample, which = np.unique(Rolling(data).hash(start, end), return_index=True, return_inverse=True)
-    lat = Lattice(vocab, data, start[sample], end[sample]) if len(data) else None
+    lat, state = shared.covering(data, start, end, Rolling(data).hash(start, end)) if len(data) else (None, None)
     doc = np.searchsorted(off, start, "right") - 1
     edge = np.searchsorted(doc, np.arange(len(bodies) + 1))
     inside = (start - off[doc]).astype(np.uint64)
     searches = []
     if lat is not None:
-        path, count = lat.walk(lat.base[which], mix(keys[doc]) + inside)
+        path, count = lat.walk(state, mix(keys[doc]) + inside)
         cut = np.concatenate([[0], np.cumsum(count)])
         for d in range(len(bodies)):
             s = Search(lat, keys[d])
@@ -315,7 +372,7 @@ def sample_chunk(vocab: Vocabulary, bodies: list[bytes], keys: np.ndarray, k: in
             passed = np.cumsum(lat.length[head])[-1]
             here = edge[d] + int(np.searchsorted(start[edge[d] : edge[d + 1]] - off[d], passed, "right")) - 1 if passed < off[d + 1] - off[d] else edge[d + 1] - 1
             inner = passed - (start[here] - off[d])
-            states.append(np.append(lat.base[which[here]] + inner, lat.base[which[here + 1 : edge[d + 1]]]))
+            states.append(np.append(state[here] + inner, state[here + 1 : edge[d + 1]]))
             seeds.append(mix(mix(keys[d : d + 1]) + np.uint64(r)) + inside[here : edge[d + 1]])
             sizes.append(edge[d + 1] - here)
         path, count = lat.walk(np.concatenate(states), np.concatenate(seeds))
@@ -354,6 +411,7 @@ def sample_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def draw(batches):
         vocab = vocabulary(model, alpha)
+        shared = Shared(vocab)
         for batch in batches:
             size = np.diff(texts(batch.column("body"))[1])
             part = np.cumsum(size) // CHUNK_BYTES
@@ -364,7 +422,7 @@ def sample_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 chunk = batch.slice(a, b - a)
                 bodies = [x or b"" for x in chunk.column("body").to_pylist()]
                 keys = np.array(chunk.column("key").to_pylist(), np.int64).view(np.uint64)
-                found = list(sample_chunk(vocab, bodies, keys, k))
+                found = list(sample_chunk(shared, bodies, keys, k))
                 ids = np.concatenate([x[2] for x in found])
                 n = np.array([len(x[2]) for x in found])
                 back = vocab.decode(ids).tobytes()
