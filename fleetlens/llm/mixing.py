@@ -62,7 +62,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = [c for c in docs.columns if c not in added]
     words = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
     draw = _draw(F.lit(seed), F.col(id_col))
-    rows = docs.select(*kept, F.col(source_col).alias("_source"), words.alias("size"), draw.alias("_draw")).withColumn("_block", F.substring("_draw", 1, digits))
+    rows = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(kept)), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), words.alias("size"), draw.alias("_draw")).withColumn("_block", F.substring("_draw", 1, digits))
     small = docs.select(F.col(source_col).alias("_source"), F.col(id_col).alias("_id"), words.alias("size"), draw.alias("_draw")).withColumn("_block", F.substring("_draw", 1, digits))
     small = stored(small, "sizes")
 
@@ -103,12 +103,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         edge = edge.select("_e", "last", "_cut", (F.col("gap") - F.coalesce("f.size", F.lit(0))).alias("gap"), F.when(F.col("f.d").isNull(), F.col("fillers")).otherwise(F.concat("fillers", F.array("f.d"))).alias("fillers"))
         edge = stored(edge, "edges")
 
-    out = with_blocks(rows).withColumn("_id", F.col(id_col)).join(edge.select("_e", "last", "fillers"), F.col("_source").eqNullSafe(F.col("_e")), "left")
+    out = with_blocks(rows).join(edge.select("_e", "last", "fillers"), F.col("_source").eqNullSafe(F.col("_e")), "left")
     extra = base | F.coalesce(F.array_contains("fillers", F.col("_draw")), F.lit(False))
     out = out.withColumn("copies", F.when(F.col("passes") >= most, F.lit(most)).otherwise(F.col("passes") + F.when(extra & (F.col("rest") > 0), 1).otherwise(0)))
     shuffled = Window.partitionBy("_shard", "_block", F.col("copies") > 0).orderBy(F.reverse("_draw"), "_id")
     place = F.when(F.col("copies") > 0, F.concat(F.col("_block"), F.lit("-"), F.lpad(F.row_number().over(shuffled).cast("string"), 9, "0")))
-    return out.select(*kept, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.when(F.col("copies") > 0, F.col("_shard")).alias("shard"), place.alias("place"))
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.when(F.col("copies") > 0, F.col("_shard")).alias("shard"), place.alias("place"))
 
 
 def _oracle(levels: int = 4) -> str:

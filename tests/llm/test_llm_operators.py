@@ -42,7 +42,7 @@ def corpus():
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
-    return df.withColumns({"source": F.when(F.col("doc_id") % 3 == 0, "s1").when(F.col("doc_id") % 3 == 1, "s2"), "kept": F.lit("clash"), "n_lines": F.lit("clash"), "block": F.lit(1), "size": F.lit("x")}).repartition(3)
+    return df.withColumns({"source": F.when(F.col("doc_id") % 3 == 0, "s1").when(F.col("doc_id") % 3 == 1, "s2"), "kept": F.lit("clash"), "n_lines": F.lit("clash"), "block": F.lit(1), "size": F.lit("x"), "rest": F.lit(1), "words": F.lit(1), "passes": F.lit(1)}).repartition(3)
 
 
 def empty(docs):
