@@ -16,6 +16,8 @@ from fleetlens.llm._scratch import stored
 
 #: Longest multi-match: a prefix needs this many shared tokens at most before a pair is verified.
 MOST_MATCHES = 8
+#: 64-bit words of a node's signature: which of 64 * WORDS classes of hashes its set has.
+WORDS = 8
 
 
 def _needed(n: int, percent: int) -> int:
@@ -46,6 +48,13 @@ def prefix(tokens: np.ndarray, codes: np.ndarray, percent: int) -> tuple[np.ndar
     return tokens[keep], level, take
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * WORDS classes of hashes: set if a token is of the class."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(tokens & np.uint64(64 * WORDS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -58,10 +67,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     100 * |intersection| >= percent * |union|. component_id is the smallest id reachable by links, itself included.
 
     Equal sets are one node, so groups of exact copies cost a row each. A node's prefix tokens (see prefix()) that occur nowhere
-    else are never sent. Of the rest, each token first proposes its smallest and its largest node as partners of all others; when
-    these pairs are verified and joined to components, only tokens that still touch more than one component go on to propose
+    else are never sent. Of the rest, each token first proposes two nodes as partners of all others: its smallest, and the one whose
+    tokens are the most frequent on the whole (of a group of near copies, the one nearest to the original). When these pairs are verified and joined to components, only tokens that still touch more than one component go on to propose
     pairs between components. So a group of near copies makes pairs in proportion to its size, and no link that could join two
-    components is left out. Pairs are verified on the whole sets.
+    components is left out. Tokens that no other text has, and classes of hashes that one set has and the other has not, bound a
+    pair's overlap from above, which drops most pairs of changed copies unseen. Pairs are verified on the whole sets.
 
     One row for each input row; rows that share an id count as one document with several texts, whose class holds them all. A
     null id has component_id null and links with nothing. Empty tables give no rows; columns besides the two are not read.
@@ -91,43 +101,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if len(s):
                 t, level, take = prefix(s, code[sizes[i] : sizes[i + 1]], percent)
                 shared = code[sizes[i] : sizes[i + 1]][np.searchsorted(s, t)] > 1
-                rows[name] = (_signed(t[shared]), level[shared], take)
+                own = code[sizes[i] : sizes[i + 1]]
+                rows[name] = (_signed(t[shared]), level[shared], take, int(np.count_nonzero(own > 1)), float(own.mean()), signature(s))
         ids, first = table["id"].to_pylist(), set()
-        out = {c: [] for c in ("id", "n", "name", "take", "tokens", "levels", "body")}
+        out = {c: [] for c in ("id", "n", "name", "take", "tokens", "levels", "known", "common", "signature", "body")}
         for i, name, s in zip(ids, names, found, strict=True):
             new = name not in first and i is not None and name in rows and len(rows[name][0]) > 0
             if new:
                 first.add(name)
-            t, level, take = rows[name] if new else (None, None, None)
-            for c, x in zip(out, (i, len(s), name, take, t, level, s.tobytes() if new else None), strict=True):
+            t, level, take, known, common, bits = rows[name] if new else (None,) * 6
+            for c, x in zip(out, (i, len(s), name, take, t, level, known, common, bits, s.tobytes() if new else None), strict=True):
                 out[c].append(x)
-        kinds = dict(id=table["id"].type, n=pa.int64(), name=pa.binary(), take=pa.int32(), tokens=pa.list_(pa.int64()), levels=pa.list_(pa.int32()), body=pa.binary())
+        kinds = dict(id=table["id"].type, n=pa.int64(), name=pa.binary(), take=pa.int32(), tokens=pa.list_(pa.int64()), levels=pa.list_(pa.int32()), known=pa.int64(), common=pa.float64(), signature=pa.list_(pa.int64()), body=pa.binary())
         return pa.table({c: pa.array(x, kinds[c]) for c, x in out.items()})
 
     codes = counted(blocks.groupBy("block").applyInArrow(send, SENT))
     kind = docs.schema[id_col].dataType.simpleString()
-    found = stored(with_codes(blocks, codes, nodes, f"id {kind}, n long, name binary, take int, tokens array<long>, levels array<int>, body binary"), "shingles")
+    found = stored(with_codes(blocks, codes, nodes, f"id {kind}, n long, name binary, take int, tokens array<long>, levels array<int>, known long, common double, signature array<long>, body binary"), "shingles")
 
     # one node for each set: the smallest id that has it
     named = found.where("n > 0 and id is not null").groupBy(F.hex("name").alias("name")).agg(F.min("id").alias("node"))
     members = stored(found.where("n > 0 and id is not null").select("id", "n", F.hex("name").alias("name")).join(named, "name").select("id", "n", "node"), "members").distinct()
-    bodies = found.where("tokens is not null").select(F.hex("name").alias("name"), "n", "take", "tokens", "levels", "body").join(named, "name").drop("name").dropDuplicates(["node"])
+    bodies = found.where("tokens is not null").select(F.hex("name").alias("name"), "n", "known", "common", "signature", "take", "tokens", "levels", "body").join(named, "name").drop("name").dropDuplicates(["node"])
     bodies = stored(bodies, "sets")
-    sets_of = bodies.select("node", "n", "body")
-    postings = bodies.select("node", "n", "take", F.explode(F.arrays_zip("tokens", "levels")).alias("x")).select("node", "n", "take", F.col("x.tokens").alias("token"), F.col("x.levels").alias("level"))
+    sets_of = bodies.select("node", "n", "known", "body")
+    postings = bodies.select("node", "n", "known", "common", "take", F.explode(F.arrays_zip("tokens", "levels")).alias("x")).select("node", "n", "known", "common", "take", F.col("x.tokens").alias("token"), F.col("x.levels").alias("level"))
     here = Window.partitionBy("token")
-    postings = postings.withColumn("least", F.min("node").over(here)).withColumn("most", F.max("node").over(here)).where("least <> most")
+    postings = postings.withColumn("least", F.min("node").over(here)).withColumn("most", F.max("node").over(here)).withColumn("best", F.max(F.struct("common", "node")).over(here)["node"]).where("least <> most")
     postings = stored(postings, "postings")
 
-    starred = postings.where("node <> least").select("node", F.col("least").alias("other")).unionByName(postings.where("node <> most").select("node", F.col("most").alias("other")))
+    starred = postings.where("node <> least").select("node", F.col("least").alias("other")).unionByName(postings.where("node <> best").select("node", F.col("best").alias("other")))
     first = stored(_verified(starred.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), sets_of, percent), "stars")
     same = members.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     joined = components(first)
 
-    postings = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("least", "most")
-    postings = postings.withColumn("least", F.min("component").over(here)).withColumn("most", F.max("component").over(here)).where("least <> most").drop("least", "most")
+    postings = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("least", "most", "best", "common")
+    postings = postings.withColumn("least", F.min("component").over(here)).withColumn("most", F.max("component").over(here)).where("least <> most").drop("least", "most").join(bodies.select("node", "signature"), "node")
     left, right = postings.alias("l"), postings.alias("r")
-    close = f"l.token = r.token and l.component < r.component and l.n * 100 >= r.n * {percent} and r.n * 100 >= l.n * {percent}"
+    close = f"l.token = r.token and l.component < r.component and {_may_link('l.n', 'l.known', 'r.n', 'r.known', percent)} and {_signatures_allow(percent)}"
     take = F.least("l.take", "r.take")
     pairs = left.join(right, F.expr(close)).where((F.col("l.level") <= take) & (F.col("r.level") <= take)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"), take.alias("take"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("matches"), F.min("take").alias("take")).where("matches >= take").select("a", "b")
@@ -137,6 +148,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return all_rows.join(classes, all_rows[id_col] == classes["node"], "left").select(id_col, "n_shingles", F.coalesce("component", id_col).alias("component_id"))
 
 
+def _may_link(n_a: str, known_a: str, n_b: str, known_b: str, percent: int) -> str:
+    """SQL: sizes are close enough, and so are the numbers of tokens that some other text has too, which bound the overlap."""
+    return f"{n_a} * 100 >= {n_b} * {percent} and {n_b} * 100 >= {n_a} * {percent} and least({known_a}, {known_b}) * {100 + percent} >= ({n_a} + {n_b}) * {percent}"
+
+
+def _signatures_allow(percent: int) -> str:
+    """SQL: the overlap is large enough even if each class of one set that the other lacks stands for one token only."""
+    lacks = lambda a, b: " - ".join([f"{a}.n", *(f"bit_count({a}.signature[{i}] & ~{b}.signature[{i}])" for i in range(WORDS))])
+    return f"least({lacks('l', 'r')}, {lacks('r', 'l')}) * {100 + percent} >= (l.n + r.n) * {percent}"
+
+
 def _verified(pairs: DataFrame, sets_of: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sets are similar."""
 
@@ -149,9 +171,9 @@ def _verified(pairs: DataFrame, sets_of: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets_of.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("body").alias("x"))
-    right = sets_of.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("body").alias("y"))
-    sizes = pairs.join(left.select("a", "n_a"), "a").join(right.select("b", "n_b"), "b").where(f"n_a * 100 >= n_b * {percent} and n_b * 100 >= n_a * {percent}").select("a", "b")
+    left = sets_of.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("known").alias("known_a"), F.col("body").alias("x"))
+    right = sets_of.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("known").alias("known_b"), F.col("body").alias("y"))
+    sizes = pairs.join(left.select("a", "n_a", "known_a"), "a").join(right.select("b", "n_b", "known_b"), "b").where(_may_link("n_a", "known_a", "n_b", "known_b", percent)).select("a", "b")
     kind = pairs.schema["a"].dataType.simpleString()
     return sizes.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}")
 
