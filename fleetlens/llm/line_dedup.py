@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm._bytes import SPACE, Rolling, lines, mix, texts
 from fleetlens.llm._scratch import stored
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def _full_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
