@@ -15,10 +15,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less their repeated runs of lines; one of which nothing but white space is left goes. n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    """Documents less their repeated runs of lines and passages of over 50 words; one of which nothing but white space is left goes. n_chars follows the text."""
+    changed = (F.col("n_removed") > 0) | (F.col("n_passage_words") > 0)
+    out = line_dedup.dedup_lines(docs, passage_words=51).where(~(changed & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm._bytes import SPACE, Rolling, lines, mix, texts
+from fleetlens.llm._bytes import SPACE, Rolling, lines, mix, texts, words
 from fleetlens.llm._scratch import stored
 
 CHUNK_BYTES = 1 << 20
+#: Words in a gram, of which the least hash of a window of words is its fingerprint.
+GRAM = 16
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _full_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,6 +43,28 @@ def winnow(keys: np.ndarray, doc: np.ndarray, run: int) -> tuple[np.ndarray, np.
     return first, best, mix(whole)
 
 
+def passages(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of size words of one text, those with one fingerprint behind each other put together.
+
+    For each such group: fingerprint, text number, first word of its first window, number of windows; and the hashes of all windows.
+    """
+    start, end, doc = words(data, off)
+    n = len(start) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    order = Rolling(Rolling(data).hash(start, end))
+    gram = min(GRAM, size)
+    at = np.arange(len(start) - gram + 1)
+    least, width, over = order.hash(at, at + gram), 1, size - gram + 1
+    while 2 * width <= over:
+        least, width = np.minimum(least[: len(least) - width], least[width:]), 2 * width
+    first = np.flatnonzero(doc[size - 1 :] == doc[:n])
+    least = np.minimum(least[first], least[first + over - width])
+    cut = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (np.diff(first) != 1)])) if len(first) else np.zeros(0, np.int64)
+    count = np.diff(np.append(cut, len(first)))
+    return least[cut], doc[first[cut]], first[cut] - np.searchsorted(doc, doc[first[cut]]), count, order.hash(first, first + size)
+
+
 def _chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in parts of bounded bytes (or single rows)."""
     size = np.diff(texts(batch.column(column))[1])
@@ -49,7 +75,7 @@ def _chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, passage_words: int | None = None) -> DataFrame:
     """All columns of docs with the text less its repeated runs of lines, and n_lines, n_removed (lines before; lines removed).
 
     A run is min_lines lines that follow each other in a text; lines without a word are passed over, and white space at a
@@ -62,6 +88,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lean on the fingerprint, before and after it, by the hashes of those windows. Windows count by their hash and the earliest
     place of each is found by a partial aggregation, so a line in a third of all texts makes no pairs.
 
+    With passage_words a repeat of so many words goes too, however its words are dealt to lines: on one line, inside a longer one or
+    over several. Windows of that many words are found and compared as runs of lines are, by a fingerprint of GRAM words; groups
+    of windows that are equal as wholes are settled as one. What stays of a line keeps its bytes; a line of which no word stays is
+    removed and counted, and so are lines without a word inside a passage. n_passage_words then gives the words that passages took.
+
     Rows that repeat with the same id and text are one text and keep or lose the same lines. Null text stays null with zero
     lines; a null id sorts first. Texts with fewer than min_lines full lines, and empty tables, lose nothing. Columns named
     n_lines or n_removed in docs are replaced.
@@ -90,29 +121,111 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = runs.select(F.col("x.runs").alias("run"), F.struct("id", "body_hash", F.col("x.starts").alias("start")).alias("place"))
     first = runs.groupBy("run").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("run", "first")
     later = runs.join(first, "run").where("place > first").groupBy("place.id", "place.body_hash").agg(F.collect_set("place.start").alias("starts"))
-    later = stored(later, "later-runs").select(F.col("id").alias("_id"), F.col("body_hash").alias("_hash"), F.col("starts").alias("_starts"))
+    if passage_words is None:
+        later = later.withColumn("spans", F.lit(None).cast("array<struct<start:int,n:int>>"))
+    else:
+        later = later.join(_later_passages(key, kind, passage_words).withColumnRenamed("id", "_i").withColumnRenamed("body_hash", "_b"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("body_hash") == F.col("_b")), "full")
+        later = later.select(F.coalesce("id", "_i").alias("id"), F.coalesce("body_hash", "_b").alias("body_hash"), "starts", "spans")
+    later = stored(later, "later-runs").select(F.col("id").alias("_id"), F.col("body_hash").alias("_hash"), F.col("starts").alias("_starts"), F.col("spans").alias("_spans"))
 
     def drop(batches):
         for b in batches:
-            kept, n_lines, gone = [], [], []
-            for text, starts in zip(b.column("_text").to_pylist(), b.column("_starts").to_pylist(), strict=True):
+            kept, n_lines, gone, taken = [], [], [], []
+            for text, starts, spans in zip(b.column("_text").to_pylist(), b.column("_starts").to_pylist(), b.column("_spans").to_pylist(), strict=True):
                 n_lines.append(0 if text is None else text.count("\n") + 1)
-                if starts:
+                gone.append(0)
+                taken.append(0)
+                if starts or spans:
                     all_lines = text.split("\n")
-                    text = "\n".join(x for x, out in zip(all_lines, _removed(all_lines, starts, min_lines), strict=True) if not out)
-                    gone.append(n_lines[-1] - (text.count("\n") + 1 if text or len(all_lines) == 0 else 0))
-                else:
-                    gone.append(0)
+                    out = _removed(all_lines, starts, min_lines) if starts else [False] * len(all_lines)
+                    if spans:
+                        all_lines, out, taken[-1] = _less_passages(all_lines, out, [(x["start"], x["start"] + x["n"] + passage_words - 1) for x in spans])
+                    text = "\n".join(x for x, o in zip(all_lines, out, strict=True) if not o)
+                    gone[-1] = sum(out)
                 kept.append(text)
-            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(gone, pa.int64())], names=["_row", "_text", "_n_lines", "_n_removed"])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(taken, pa.int64())], names=["_row", "_text", "_n_lines", "_n_removed", "_n_passage_words"])
 
-    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
+    added = ["n_lines", "n_removed"] + (["n_passage_words"] if passage_words is not None else [])
+    others = [c for c in docs.columns if c not in (text_col, *added)]
     rows = docs.select(F.struct(*others).alias("_row"), F.col(id_col).alias("_key"), F.xxhash64(text_col).alias("_body_hash"), F.col(text_col).alias("_text"))
-    joined = rows.join(later.hint("merge"), rows["_key"].eqNullSafe(later["_id"]) & (rows["_body_hash"] == later["_hash"]), "left").select("_row", "_text", "_starts")
-    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, _text string, _n_lines long, _n_removed long"
+    joined = rows.join(later.hint("merge"), rows["_key"].eqNullSafe(later["_id"]) & (rows["_body_hash"] == later["_hash"]), "left").select("_row", "_text", "_starts", "_spans")
+    schema = f"_row {rows.schema['_row'].dataType.simpleString()}, _text string, _n_lines long, _n_removed long, _n_passage_words long"
     out = joined.mapInArrow(drop, schema)
-    columns: list[Column] = [F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*columns, F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+    columns: list[Column] = [F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in added]
+    return out.select(*columns, *(F.col(f"_{c}").alias(c) for c in added))
+
+
+def _later_passages(key: DataFrame, kind: str, size: int) -> DataFrame:
+    """(id, body_hash, spans): in each text the windows of size words that stand at an earlier place too, as (first window, number)."""
+
+    def groups(batches):
+        for whole in batches:
+            for b in _chunks(whole, "body"):
+                least, doc, start, count, run = passages(*texts(b.column("body")), size)
+                edge = np.concatenate([[0], np.cumsum(count)])
+                every = Rolling(run).hash(edge[:-1], edge[1:])
+                owner = pa.array(doc)
+                # windows are compared within a fingerprint of 64 bits; 32 more tell them apart
+                short = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array((run >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(least.view(np.int64)), pa.array(every.view(np.int64)), b.column("id").take(owner), b.column("body_hash").take(owner), pa.array(start.astype(np.int32)), short],
+                    names=["print", "all", "id", "body_hash", "start", "runs"],
+                )
+
+    found = stored(key.mapInArrow(groups, f"print long, all long, id {kind}, body_hash long, start int, runs array<int>"), "passages")
+    again = found.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print")
+    place = F.struct("id", "body_hash", "start")
+    found = found.join(again, "print", "left_semi").select("print", "all", place.alias("place"), "runs")
+    alike = stored(found.groupBy("print", "all").agg(F.min(F.struct("place", "runs")).alias("least")).select("print", "all", "least.place", "least.runs"), "passage-groups")
+    # all but the first of groups that are equal as wholes
+    first = alike.select("print", "all", F.col("place").alias("first"))
+    whole = found.join(first, ["print", "all"]).where("place > first").select("place.id", "place.body_hash", F.struct(F.col("place.start").alias("start"), F.size("runs").alias("n")).alias("span"))
+    # windows of the first ones that stand in other groups too
+    mixed = alike.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print")
+    runs = alike.join(mixed, "print", "left_semi").select("print", "place", F.posexplode("runs").alias("i", "run"))
+    runs = runs.select("print", "run", F.struct("place.id", "place.body_hash", (F.col("place.start") + F.col("i")).alias("start")).alias("place"))
+    earliest = runs.groupBy("print", "run").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("print", "run", "first")
+    part = runs.join(earliest, ["print", "run"]).where("place > first").select("place.id", "place.body_hash", F.struct(F.col("place.start").alias("start"), F.lit(1).alias("n")).alias("span"))
+    return whole.unionByName(part).groupBy("id", "body_hash").agg(F.collect_set("span").alias("spans"))
+
+
+def _less_passages(all_lines: list[str], out: list[bool], spans: list[tuple[int, int]]) -> tuple[list[str], list[bool], int]:
+    """The lines less the words of spans (first word, word after the last), which lines go, and how many words the spans took."""
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    left, gone, taken, at, k = [], [], 0, 0, 0
+    for line, whole in zip(all_lines, out, strict=True):
+        found = [m.span() for m in _WORD.finditer(line)]
+        while k < len(merged) and merged[k][1] <= at:
+            k += 1
+        if whole or not found:
+            gone.append(whole or (k < len(merged) and merged[k][0] < at))
+            left.append(line)
+            at += len(found)
+            continue
+        hit, j = [False] * len(found), k
+        while j < len(merged) and merged[j][0] < at + len(found):
+            a, b = max(merged[j][0] - at, 0), min(merged[j][1] - at, len(found))
+            hit[a:b] = [True] * (b - a)
+            j += 1
+        n = sum(hit)
+        taken += n
+        gone.append(n == len(found))
+        if 0 < n < len(found):
+            parts, since = [], 0
+            for i, h in enumerate(hit):
+                if h and not (i and hit[i - 1]):
+                    parts.append(line[since : found[i][0]])
+                if h and i + 1 < len(hit) and not hit[i + 1]:
+                    since = found[i + 1][0]
+            line = "".join(parts).rstrip(" \t\r\x0b\x0c") if hit[-1] else "".join(parts) + line[since:]
+        left.append(line)
+        at += len(found)
+    return left, gone, taken
 
 
 def _removed(all_lines: list[str], starts: list[int], run: int) -> list[bool]:

@@ -141,6 +141,54 @@ def test_line_dedup_repeated_rows(spark):
     assert sorted((str(r.doc_id), r.n_removed) for r in line_dedup.dedup_lines(df).collect()) == [("1", 0), ("1", 0), ("2", 5), ("None", 0)]
 
 
+def test_line_dedup_of_passages(spark):
+    p = [f"p{i}" for i in range(60)]
+    rows = [
+        (1, "alpha beta\n" + " ".join(p) + "\nomega"),
+        (2, "own one\n" + " ".join(p) + "\nown two"),  # on a line
+        (3, "before it " + "  ".join(p) + " after it"),  # inside a line
+        (4, "x " + " ".join(p[:30]) + "\n \n" + " ".join(p[30:]) + "\ny"),  # over two lines
+        (5, " ".join(p[5:54])),  # 49 words stay
+        (6, "z " + " ".join(p[4:56]) + " z"),  # 52 words
+        (7, None),
+        (8, " ".join(f"q{i}" for i in range(51)) + " r " + " ".join(f"q{i}" for i in range(51))),
+        (2, "own one\n" + " ".join(p) + "\nown two"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_passage_words", F.lit("clash")).repartition(3)
+    got = {r.doc_id: (r.text, r.n_removed, r.n_passage_words) for r in line_dedup.dedup_lines(df, passage_words=51).collect()}
+    want = {1: (rows[0][1], 0, 0), 2: ("own one\nown two", 1, 60), 3: ("before it after it", 0, 60), 4: ("x\ny", 2, 60), 5: (rows[4][1], 0, 0), 6: ("z z", 0, 52), 7: (None, 0, 0), 8: (rows[7][1][: rows[7][1].index(" r ")] + " r", 0, 51)}
+    assert got == want
+    assert line_dedup.dedup_lines(df.where("false"), passage_words=51).count() == 0
+
+
+def test_passages_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    pool = [[f"v{x}" for x in rng.integers(0, 3000, rng.integers(15, 60))] for _ in range(8)]
+    texts = []
+    for i in range(60):
+        parts = [w for _ in range(4) for w in ([f"u{x}" for x in rng.integers(0, 9000, 9)] if rng.random() < 0.5 else pool[rng.integers(0, 8)])]
+        texts.append((i, "".join(w + (" " if rng.random() < 0.9 else "\n") for w in parts)))
+    seen, want = set(), {}
+    for i, t in texts:
+        w = WORD.findall(t)
+        gone = set()
+        for a in range(len(w) - 19):
+            gone |= set(range(a, a + 20)) if tuple(w[a : a + 20]) in seen else set()
+            seen.add(tuple(w[a : a + 20]))
+        want[i] = ([x for j, x in enumerate(w) if j not in gone], len(gone))
+    got = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string"), min_lines=10**6, passage_words=20).collect()
+    assert {r.doc_id: (WORD.findall(r.text), r.n_passage_words) for r in got} == want
+
+
+def test_the_pipeline_removes_passages(spark):
+    import corpus_pipeline
+
+    p = " ".join(f"p{i}" for i in range(60))
+    df = spark.createDataFrame([(1, p + "\nfirst", 0), (2, "own " + p + " text", 0), (3, p, 0)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_stage(spark, df, "").collect()}
+    assert got == {1: (p + "\nfirst", 0), 2: ("own text", 8)}
+
+
 def test_quality(docs):
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
     for i, t in corpus():
