@@ -118,12 +118,11 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(lines: list[tuple[str, bool]], neighbour: list[tuple[str, bool]] | None) -> str:
-    """The article's lines; where a page marks no article, all lines less those it shares with its neighbour."""
-    inside = [x for x, article in lines if article]
-    if inside:
-        return "\n\n".join(inside)
+    """All lines less those outside of an article or main element that the neighbour has outside of one too, in the same order."""
     own = [x for x, _ in lines]
-    shared = common_lines(own, [x for x, article in neighbour if not article]) if neighbour else set()
+    outside = [i for i, (_, article) in enumerate(lines) if not article]
+    found = common_lines([own[i] for i in outside], [x for x, article in neighbour if not article]) if neighbour else set()
+    shared = {outside[i] for i in found}
     return "\n\n".join(x for i, x in enumerate(own) if i not in shared)
 
 
@@ -142,8 +141,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Method. Pages of a host are paired by path: in the order of paths each page is compared with the one of its two neighbours
     whose path has the longer start in common. Elements and names that stand for menus, headers, footers, sidebars, notices,
     adverts, forms, scripts, styles and comments go first. The text lines left outside of an article or main element are aligned
-    with the neighbour's by a longest common subsequence, and shared lines are deleted. A page that marks its article keeps
-    all lines in there, so that two pages with the same article lose nothing, and none outside.
+    with the neighbour's by a longest common subsequence, and shared lines are deleted. Lines in an article or main element are
+    evidence of text and always stay, so that two pages with the same article lose nothing; lines outside stay unless shared.
 
     Hosts are cut where their pages exceed group_bytes: by ever longer starts of the path, and where many pages share one path,
     by a hash of id and page; neighbours are looked for within such a group, which is what a task holds at once.

@@ -363,6 +363,13 @@ def test_extract_text(spark):
     assert html_text.extract_text(df.where("false")).count() == 0
 
 
+def test_differencing_decides_outside_of_articles():
+    page = "<div>site name</div><div>body {0}</div><div>more {0}</div><article>teaser {0}</article><div>all rights</div>"
+    lines = [html_text.page_lines(page.format(i)) for i in (1, 2)]
+    assert html_text.main_text(lines[0], lines[1]) == "body 1\n\nmore 1\n\nteaser 1"
+    assert html_text.main_text(lines[0], None) == "site name\n\nbody 1\n\nmore 1\n\nteaser 1\n\nall rights"
+
+
 def test_warc(spark, tmp_path):
     long = "<p>" + "x" * 1200 + "é"
     fake = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nrest"
