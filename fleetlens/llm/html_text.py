@@ -19,7 +19,10 @@ BLOCKS = frozenset(
 DROPPED = frozenset("aside button canvas dialog footer form head header iframe menu nav noscript object script search select style svg template textarea title".split())
 RAW = frozenset("script style template textarea noscript iframe title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE = re.compile(r"(?i)(?:^|[\s_-])(ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|menu|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])")
+FURNITURE = re.compile(r"ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|menu|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget")
+#: Parts of a name that say what kind of box it is, and parts that say that a page has or lacks something.
+BOXES = frozenset("area articles bar block bottom box btn button buttons container cta form group icon icons inner item items left link links list media outer panel posts primary right row secondary section signup slot stories this toggle top unit widgets wrap wrapper".split())
+MODIFIERS = frozenset("has with no without not hide show".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -28,33 +31,59 @@ _SPACES = re.compile(r"\s+")
 
 
 def _names_furniture(attribute: str, value: str, article: bool) -> bool:
-    """Whether a class, id or role is one of page furniture; in an article a header holds its heading."""
+    """Whether a class, id or role is one of page furniture; in an article a header holds its heading.
+
+    A class or id counts if it is such a name as a whole or ends in one, less the parts of BOXES and numbers at its end.
+    """
+    value = value.lower()
     if attribute.lower() == "role":
-        return value.lower() in ROLES
-    return any(not (article and x.lower() == "header") for x in FURNITURE.findall(value))
+        return value in ROLES
+    for token in value.split():
+        parts = [x for x in re.split(r"[-_]", token.split("--")[0]) if x]
+        if not parts or not MODIFIERS.isdisjoint(parts):
+            continue
+        while len(parts) > 1 and (parts[-1] in BOXES or parts[-1].isdigit()):
+            parts.pop()
+        if FURNITURE.fullmatch(parts[-1]) and not (article and parts[-1] == "header"):
+            return True
+    return False
 
 
 def page_lines(page: str) -> list[tuple[str, bool]]:
     """(line, within the article) for each block of text outside of page furniture.
 
     A line is the text between two block borders, character references decoded, white space made one space. Furniture is what
-    lies in elements of DROPPED, or whose class, id or role names one. The end tag of an element also ends what is open inside.
+    lies in elements of DROPPED, or whose class, id or role names one. A form and a named element stay if they hold an article
+    or main element, or more than half of the page's text while no article or main element stands elsewhere (else a long advert
+    beside a short article would stay); what is named inside is judged by itself. The end tag of an element also ends what is
+    open inside.
     """
-    lines: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
-    parts: list[str] = []
+    lines: list[tuple[list[tuple[str, int]], bool]] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # name, furniture, article, innermost named element
+    parts: list[tuple[str, int]] = []
+    # of each named element: the one around it, whether it holds an article, stands in one, characters; 0 is the page
+    outer, holds, within, size = [0], [True], [False], [0]
+    marked = False
     furniture = article = False
+    inside = 0
 
     def flush() -> None:
-        text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
-        parts.clear()
-        if text:
-            lines.append((text, article))
+        nonlocal parts
+        if parts:
+            lines.append((parts, article))
+            parts = []
+
+    def top() -> tuple[bool, bool, int]:
+        return stack[-1][1:] if stack else (False, False, 0)
+
+    def add(text: str) -> None:
+        parts.append((text, inside))
+        size[inside] += len(text.strip())
 
     at = 0
     while m := _TOKEN.search(page, at):
         if not furniture and m.start() > at:
-            parts.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -62,13 +91,13 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
         if name in BLOCKS or name in DROPPED:
             flush()
         elif name == "br":
-            parts.append(" ")
+            parts.append((" ", inside))
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
                     break
-            furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            furniture, article, inside = top()
         elif name not in VOID and not m[3].endswith("/"):
             if name in ("p", "li", "dd", "dt", "tr", "td", "th", "option") and stack:
                 for i in range(len(stack) - 1, -1, -1):  # these end an open one of their kind
@@ -77,20 +106,38 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
                         break
                     if stack[i][0] in BLOCKS and stack[i][0] not in ("p", "td", "th", "li", "dd", "dt"):
                         break
-                furniture, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                furniture, article, inside = top()
             marks = _ATTRIBUTE.findall(m[3]) if m[3] else ()
             named = name not in ("html", "body", "main", "article") and any(_names_furniture(k, v.strip("\"'"), article) for k, v in marks)
-            dropped = name in DROPPED and not (name == "header" and article)
-            article = article or name in ("article", "main")
-            furniture = furniture or dropped or named
-            stack.append((name, furniture, article))
+            furniture = furniture or (name in DROPPED and name != "form" and not (name == "header" and article))
+            if not furniture and name in ("article", "main"):
+                article, marked, i = True, True, inside
+                while not holds[i]:
+                    holds[i], i = True, outer[i]
+            if not furniture and (named or name == "form"):
+                outer.append(inside)
+                holds.append(False)
+                within.append(article)
+                size.append(0)
+                inside = len(outer) - 1
+            stack.append((name, furniture, article, inside))
             if name in RAW:
                 end = re.compile(rf"</{name}[\s>/]", re.I).search(page, at)
                 at = end.start() if end else len(page)
     if not furniture and at < len(page):
-        parts.append(page[at:])
+        add(page[at:])
     flush()
-    return lines
+    for i in range(len(outer) - 1, 0, -1):
+        size[outer[i]] += size[i]
+    kept = [True]
+    for i in range(1, len(outer)):
+        kept.append(kept[outer[i]] and (holds[i] or ((within[i] or not marked) and 2 * size[i] > size[0])))
+    out = []
+    for pieces, is_article in lines:
+        text = _SPACES.sub(" ", html.unescape("".join(x for x, i in pieces if kept[i]))).strip()
+        if text:
+            out.append((text, is_article))
+    return out
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:

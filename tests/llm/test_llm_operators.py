@@ -363,6 +363,20 @@ def test_extract_text(spark):
     assert html_text.extract_text(df.where("false")).count() == 0
 
 
+def test_furniture_names_are_whole_or_last_parts():
+    body = "<p>" + "word " * 30 + "</p><div class='widget'>side</div>"
+    for name in ("container has-sidebar", "with-sidebar", "no-sidebar", "has-header", "article-comments-off", "content ad-free", "page widget-page", "social-science", "page--sidebar"):
+        assert html_text.page_lines(f"<div class='{name}'><p>little</p></div>{body}")[0] == ("little", False), name
+    for name in ("ad", "main-nav", "share-box", "related-posts", "ad-slot-3", "site_footer", "header--dark", "sidebar-left"):
+        assert [x for x, _ in html_text.page_lines(f"<div class='{name}'><p>little</p></div>{body}")] == [("word " * 30).strip()], name
+
+
+def test_furniture_never_takes_an_article_or_most_of_a_page():
+    assert html_text.page_lines("<div class='sidebar'><div class='ad'>buy</div><article>body</article></div><p>" + "long " * 30) == [("body", True), (("long " * 30).strip(), False)]
+    assert html_text.page_lines("<form id=f><p>the whole of the text</p><div class='menu'>a b</div></form><p>rest</p>") == [("the whole of the text", False), ("rest", False)]
+    assert html_text.page_lines("<aside><article>teaser</article></aside><p>own</p>") == [("own", False)]
+
+
 def test_differencing_decides_outside_of_articles():
     page = "<div>site name</div><div>body {0}</div><div>more {0}</div><article>teaser {0}</article><div>all rights</div>"
     lines = [html_text.page_lines(page.format(i)) for i in (1, 2)]
