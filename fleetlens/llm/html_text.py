@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm._scratch import stored
@@ -173,6 +175,13 @@ def main_text(lines: list[tuple[str, bool]], neighbour: list[tuple[str, bool]] |
     return "\n\n".join(x for i, x in enumerate(own) if i not in shared)
 
 
+def _digest(lines: list[tuple[str, bool]]) -> int | None:
+    """A number for the lines of a page, None where it has none."""
+    if not lines:
+        return None
+    return int.from_bytes(hashlib.blake2b("\n".join(x for x, _ in lines).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def _likeness(a: str, b: str) -> int:
     n = 0
     for x, y in zip(a, b, strict=False):
@@ -185,49 +194,70 @@ def _likeness(a: str, b: str) -> int:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_bytes: int = 8 << 20) -> DataFrame:
     """(id, url, text, n_chars): the main text of each whole page; blocks are joined by two line feeds.
 
-    Method. Pages of a host are paired by path: in the order of paths each page is compared with the one of its two neighbours
-    whose path has the longer start in common. Elements and names that stand for menus, headers, footers, sidebars, notices,
+    Method. Pages of a host are paired by path: in the order of paths each page is compared with the next page before or after it
+    that has other lines (copies and empty pages are passed over), the one whose path has the longer start in common.
+    Elements and names that stand for menus, headers, footers, sidebars, notices,
     adverts, forms, scripts, styles and comments go first. The text lines left outside of an article or main element are aligned
     with the neighbour's by a longest common subsequence, and shared lines are deleted. Lines in an article or main element are
     evidence of text and always stay, so that two pages with the same article lose nothing; lines outside stay unless shared.
 
-    Hosts are cut where their pages exceed group_bytes: by ever longer starts of the path, and where many pages share one path,
-    by a hash of id and page; neighbours are looked for within such a group, which is what a task holds at once.
+    Hosts are cut where their pages exceed group_bytes, into slices of that order, which is what a task holds at once. A page's
+    two neighbours are looked for over the whole host and sent to its slice too, so the size of slices changes no result.
 
     Null html is an empty page with empty text. A null or bad url counts as an empty host and path. Rows that repeat are pages
-    of their own (each other's nearest, of course). Empty tables give no rows; other columns are not read.
+    of their own. Empty tables give no rows; other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"))
+    rows = rows.withColumn("tie", F.xxhash64("id", "html"))
     size = F.coalesce(F.octet_length("html"), F.lit(0))
-    cuts = [F.lit(""), F.regexp_extract("path", r"^(/[^/]*/)", 1), *(F.substring("path", 1, n) for n in (6, 8, 10, 16, 24, 40, 80))]
-    # the shortest start of the path with which a page's group is small enough
-    tried = rows.groupBy("host", "path").agg(F.sum(size).alias("bytes"), F.count("*").alias("pages"))
-    for i, c in enumerate(cuts):
-        tried = tried.withColumn(f"c{i}", c)
-    tried = stored(tried, "paths")
-    level = F.lit(len(cuts))
-    for i in reversed(range(len(cuts))):
-        sums = tried.groupBy(F.col("host").alias("_h"), F.col(f"c{i}").alias("_c")).agg(F.sum("bytes").alias(f"b{i}"))
-        small = sums.where(F.col(f"b{i}") > group_bytes).select("_h", "_c", F.lit(True).alias(f"big{i}"))
-        tried = tried.join(small, (tried["host"] == small["_h"]) & (tried[f"c{i}"] == small["_c"]), "left").drop("_h", "_c")
-        level = F.when(F.col(f"big{i}").isNull(), F.lit(i)).otherwise(level)
-    parts = F.greatest(F.lit(1), F.ceil(F.col("bytes") / group_bytes)).cast("int")
-    split = stored(tried.select("host", "path", level.alias("level"), parts.alias("parts")).where("level > 0 or parts > 1"), "large-hosts")
-    key = rows.join(split.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "level", "parts"), (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").drop("_h", "_p")
-    start = F.element_at(F.array(*cuts, F.col("path")), F.coalesce("level", F.lit(0)) + 1)
-    salt = F.when(F.coalesce("level", F.lit(0)) >= len(cuts), F.pmod(F.xxhash64("id", "html"), F.coalesce("parts", F.lit(1)))).otherwise(0)
-    key = key.select("id", "url", "path", "html", F.xxhash64("host", start, F.coalesce("level", F.lit(0)), salt).alias("group"))
+    large = stored(rows.groupBy("host").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > group_bytes).select("host"), "large-hosts")
+
+    def digests(batches):
+        for b in batches:
+            found = [_digest(page_lines(x) if x else []) for x in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("host", "path", "tie", "bytes")), pa.array(found, pa.int64())], names=["host", "path", "tie", "bytes", "digest"])
+
+    keys = rows.join(large, "host", "left_semi").select("host", "path", "tie", size.cast("long").alias("bytes"), "html").mapInArrow(digests, "host string, path string, tie long, bytes long, digest long")
+    on, back = (Window.partitionBy("host").orderBy(*order) for order in (("path", "tie"), (F.desc("path"), F.desc("tie"))))
+    keys = keys.withColumn("slice", F.floor(F.sum("bytes").over(on) / group_bytes))  # rows with one key end in one slice
+    keys = stored(keys.withColumn("slice", F.dense_rank().over(Window.partitionBy("host").orderBy("slice"))), "large-host-pages")
+    near = keys.where("digest is not null")
+    for name, w in (("before", on), ("after", back)):
+        last = F.lag(F.struct("path", "tie", "digest", "slice")).over(w)
+        near = near.withColumn("_last", last).withColumn(name, F.last(F.when(F.col("_last.digest") != F.col("digest"), F.col("_last")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    guests = near.select("host", F.col("slice").alias("to"), F.explode(F.array("before", "after")).alias("x")).where("x.slice <> to")
+    guests = guests.groupBy("host").agg(F.collect_set(F.struct("x.path", "x.tie", F.col("to").alias("slice"))).alias("guests"))
+    cuts = keys.groupBy("host", "slice").agg(F.min(F.struct("path", "tie")).alias("cut")).groupBy("host").agg(F.collect_set("cut").alias("cuts"))
+    slices = stored(cuts.join(guests, "host", "left"), "slices")
+    here = F.struct("path", "tie")
+    own = F.coalesce(F.size(F.filter("cuts", lambda c: c <= here)), F.lit(0))
+    own = F.when(F.col("cuts").isNull(), 0).otherwise(own)
+    more = F.transform(F.filter("guests", lambda g: (g["path"] == F.col("path")) & (g["tie"] == F.col("tie"))), lambda g: F.struct(g["slice"].alias("slice"), F.lit(True).alias("guest")))
+    places = F.concat(F.array(F.struct(own.alias("slice"), F.lit(False).alias("guest"))), F.coalesce(more, F.array().cast("array<struct<slice:int,guest:boolean>>")))
+    key = rows.join(slices, "host", "left").select("id", "url", "host", "path", "tie", "html", F.explode(places).alias("x"))
+    key = key.select("id", "url", "path", "tie", "html", F.col("x.guest").alias("guest"), F.xxhash64("host", "x.slice").alias("group"))
 
     def extract(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("path", "ascending"), ("id", "ascending"), ("html", "ascending")])
+        table = table.sort_by([("path", "ascending"), ("tie", "ascending")])
         paths = table["path"].to_pylist()
         lines = [page_lines(x) if x else [] for x in table["html"].to_pylist()]
+        full = [i for i, x in enumerate(lines) if x]
+        same = [_digest(lines[i]) for i in full]
+        near: dict[int, list[int]] = {i: [] for i in full}
+        for step in (1, -1):
+            walk, before = range(len(full))[::step], None
+            for k in walk:
+                last = k - step
+                if 0 <= last < len(full):
+                    before = before if same[last] == same[k] else full[last]
+                if before is not None:
+                    near[full[k]].append(before)
         out = []
         for i, own in enumerate(lines):
-            near = [j for j in (i - 1, i + 1) if 0 <= j < len(lines)]
-            near.sort(key=lambda j: -_likeness(paths[i], paths[j]))
-            out.append(main_text(own, lines[near[0]] if near else None))
-        return pa.table({"id": table["id"], "url": table["url"], "text": pa.array(out, pa.string()), "n_chars": pa.array([len(x) for x in out], pa.int64())})
+            best = max(near.get(i, ()), key=lambda j: _likeness(paths[i], paths[j]), default=None)
+            out.append(main_text(own, None if best is None else lines[best]))
+        done = pa.table({"id": table["id"], "url": table["url"], "text": pa.array(out, pa.string()), "n_chars": pa.array([len(x) for x in out], pa.int64())})
+        return done.filter(pc.invert(table["guest"]))
 
     kind = pages.schema[id_col].dataType.simpleString()
     done = key.groupBy("group").applyInArrow(extract, f"id {kind}, url string, text string, n_chars long")

@@ -377,6 +377,17 @@ def test_furniture_never_takes_an_article_or_most_of_a_page():
     assert html_text.page_lines("<aside><article>teaser</article></aside><p>own</p>") == [("own", False)]
 
 
+def test_neighbours_do_not_depend_on_group_bytes_or_copies(spark):
+    page = "<div>site name</div><p>own {}</p><div>all rights</div>"
+    data = [(i, f"http://h/en/{i:02}", page.format(i)) for i in range(12)]
+    data += [(20, "http://h/fr/1", page.format(20)), (3, "http://h/en/03", page.format(3)), (31, "http://h/en/03/print", page.format(3)), (40, "http://h/en/05x", ""), (41, "http://h/en/05x", None), (50, "http://alone/", page.format(50)), (51, "http://alone/b", page.format(50))]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    for size in (8 << 20, 1000, 60):
+        got = sorted((r.page_id, r.text) for r in html_text.extract_text(df, group_bytes=size).collect())
+        want = [(i, f"own {3 if i == 31 else i}") for i, _, h in data if h and i < 50] + [(i, "") for i in (40, 41)] + [(i, "site name\n\nown 50\n\nall rights") for i in (50, 51)]
+        assert got == sorted(want), size
+
+
 def test_differencing_decides_outside_of_articles():
     page = "<div>site name</div><div>body {0}</div><div>more {0}</div><article>teaser {0}</article><div>all rights</div>"
     lines = [html_text.page_lines(page.format(i)) for i in (1, 2)]
