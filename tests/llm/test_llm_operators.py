@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -422,6 +423,34 @@ def test_chains_skip_what_payloads_hold():
     assert gzip.decompress(gzip.compress(data)) == data and html.unescape("&lt;") == "<"
 
 
+def hostile_pages():
+    head = "\r\n\r\nWARC/1.1\r\nWARC-Type: revisit\r\nX-Payload-Length: {}\r\nContent-Length: {}\r\n\r\nab\r\n\r\n"
+    bodies = [head.format("abc", 2), head.format("7", "²"), head.format("7", "9" * 5000), head.format("9" * 5000, 2), head.format("²", 2) * 2, "WARC/1.1\r\n" * 90_000, "WARC/1.1\r\nA: b\r\n" * 60_000, "X: WARC/1.1\r\n" * 70_000 + "\r\n"]
+    return bodies + ["\r\n\r\n", "z" * 1_000_000, head.format(1, 2) * 9000]
+
+
+def test_warc_survives_what_pages_hold(spark):
+    data = [(i, "http://a/WARC/1.1", h) for i, h in enumerate(hostile_pages())] + [(100, "http://a/" + "u" * 200_000, "x")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    start = time.monotonic()
+    got = {r.page_id: r for r in warc.archived_digest(df).collect()}
+    assert {i: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for i, r in got.items()} == {i: (len(h.encode()), hashlib.sha1(h.encode()).hexdigest(), "response", None) for i, _, h in data}
+    assert time.monotonic() - start < 60
+
+
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    data = [(i, "u", f"{i} " + "y" * (400_000 if i % 3 == 0 else 50)) for i in range(30)]
+    warc.write_warc(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), records_a_file=64, file_bytes=1 << 20)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").rglob("*.gz")]
+    assert max(sizes) < 1.1 * (1 << 20) and len(warc.read_warc(spark, str(tmp_path / "w")).collect()) == 30
+
+
+def test_a_broken_chain_ends_and_odd_lengths_count_as_none(spark, tmp_path):
+    record = lambda p, extra="": f"WARC/1.1\r\nWARC-Type: revisit\r\nX-Payload-Length: {extra}\r\nContent-Length: {len(p)}\r\n\r\n{p}\r\n\r\n".encode()
+    (tmp_path / "x.warc").write_bytes(record("", "abc") + record("", "²") + record("ab", "12") + record("lost")[:-3])
+    assert sorted(r.payload_bytes for r in warc.read_warc(spark, str(tmp_path)).collect()) == [0, 0, 12]
+
+
 def test_components(spark):
     from fleetlens.llm._components import components
 
