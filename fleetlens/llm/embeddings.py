@@ -87,7 +87,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counts in the first. A tile gives out sums of links and a forest of its links, never pairs.
 
     Null, empty or zero vectors, vectors with null or non-finite components, and rows with a null label or id link with
-    nothing: n_links 0, component_id their own id. Rows that share an id are one vertex for component_id. Vectors of different
+    nothing: n_links 0, component_id their own id. Rows that share an id are one vertex for component_id, but each vector has its own n_links. Vectors of different
     length never link. Empty tables give no rows; columns besides the three are not read.
     """
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -98,7 +98,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([(np.array(x) + 0.0).tobytes() for x in b.column("v").to_pylist()], pa.binary())], names=["id", "label", "v"])
 
     packed = stored(base.where(F.coalesce(sound, F.lit(False))).mapInArrow(pack, "id long, label string, v binary"), "vectors")
-    nodes = stored(packed.groupBy("label", "v").agg(F.min("id").alias("node"), F.count("*").alias("weight")), "distinct-vectors")
+    nodes = packed.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")  # numbers hold as they are written once
     sizes = nodes.groupBy("label", F.octet_length("v").alias("width")).agg(F.count("*").alias("n"))
     placed = nodes.withColumn("width", F.octet_length("v")).join(sizes, ["label", "width"])
 
@@ -163,9 +164,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     found = stored(tiled.groupBy(*key, "low", "high").applyInArrow(tile, "a long, b long, links long"), "tiles")
     degree = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    copies = packed.join(nodes, ["label", "v"]).select("id", "node", "weight")
-    own = stored(copies.join(degree, "node", "left").select("id", "node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.xxhash64("id").alias("h")), "degrees")
-    joined = components(found.where("a <> b").select("a", "b").unionByName(own.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))))
+    copies = packed.join(nodes, ["label", "v"]).select("id", "least", "node", "weight")
+    own = stored(copies.join(degree, "node", "left").select("id", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.xxhash64("id").alias("h")), "degrees")
+    ids = nodes.select("node", "least")
+    links = found.where("a <> b").select("a", "b").join(ids.select(F.col("node").alias("a"), F.col("least").alias("i")), "a").join(ids.select(F.col("node").alias("b"), F.col("least").alias("j")), "b")
+    joined = components(links.select(F.col("i").alias("a"), F.col("j").alias("b")).unionByName(own.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))))
     linked = own.select("id", "n_links").unionByName(base.where(~F.coalesce(sound, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links")))
     out = linked.join(joined, linked["id"] == joined["node"], "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
