@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm._blocks import BLOCK_BYTES, SENT, blocked, buckets, codes_of, counted, emit, in_order, with_codes
@@ -73,7 +73,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components is left out. Tokens that no other text has, and classes of hashes that one set has and the other has not, bound a
     pair's overlap from above, which drops most pairs of changed copies unseen. Pairs are verified on the whole sets.
 
-    One row for each input row; rows that share an id count as one document with several texts, whose class holds them all. A
+    One row for each input row; rows that share an id count as one document with several texts, whose class holds them all: a
+    node stands for a set, and only the links that were found are put in terms of ids. A
     null id has component_id null and links with nothing. Empty tables give no rows; columns besides the two are not read.
     """
     blocks, n_blocks = blocked(docs, id_col, text_col, block_bytes)
@@ -119,31 +120,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     found = stored(with_codes(blocks, codes, nodes, f"id {kind}, n long, name binary, take int, tokens array<long>, levels array<int>, known long, common double, signature array<long>, body binary"), "shingles")
 
-    # one node for each set: the smallest id that has it
-    named = found.where("n > 0 and id is not null").groupBy(F.hex("name").alias("name")).agg(F.min("id").alias("node"))
-    members = stored(found.where("n > 0 and id is not null").select("id", "n", F.hex("name").alias("name")).join(named, "name").select("id", "n", "node"), "members").distinct()
-    bodies = found.where("tokens is not null").select(F.hex("name").alias("name"), "n", "known", "common", "signature", "take", "tokens", "levels", "body").join(named, "name").drop("name").dropDuplicates(["node"])
-    bodies = stored(bodies, "sets")
+    # one node for each set; least is the smallest id that has it
+    full = found.where("n > 0 and id is not null")
+    named = full.groupBy("name").agg(F.min("id").alias("least"))
+    same = full.select("id", "name").join(named, "name").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    same = stored(same, "copies")
+    bodies = found.where("tokens is not null").select("name", "n", "known", "common", "signature", "take", "tokens", "levels", "body").dropDuplicates(["name"]).join(named, "name").drop("name")
+    bodies = stored(bodies.withColumn("node", F.monotonically_increasing_id()), "sets")  # numbers hold as they are written once
     sets_of = bodies.select("node", "n", "known", "body")
     postings = bodies.select("node", "n", "known", "common", "take", F.explode(F.arrays_zip("tokens", "levels")).alias("x")).select("node", "n", "known", "common", "take", F.col("x.tokens").alias("token"), F.col("x.levels").alias("level"))
-    here = Window.partitionBy("token")
-    postings = postings.withColumn("least", F.min("node").over(here)).withColumn("most", F.max("node").over(here)).withColumn("best", F.max(F.struct("common", "node")).over(here)["node"]).where("least <> most")
-    postings = stored(postings, "postings")
+    hubs = postings.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.max(F.struct("common", "node")).alias("best")).where("least <> most").select("token", "least", F.col("best.node").alias("best"))
+    postings = stored(postings.join(hubs, "token"), "postings")
 
     starred = postings.where("node <> least").select("node", F.col("least").alias("other")).unionByName(postings.where("node <> best").select("node", F.col("best").alias("other")))
     first = stored(_verified(starred.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), sets_of, percent), "stars")
-    same = members.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     joined = components(first)
 
-    postings = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("least", "most", "best", "common")
-    postings = postings.withColumn("least", F.min("component").over(here)).withColumn("most", F.max("component").over(here)).where("least <> most").drop("least", "most").join(bodies.select("node", "signature"), "node")
+    postings = postings.drop("least", "best", "common").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = postings.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
+    postings = postings.join(mixed, "token", "left_semi").join(bodies.select("node", "signature"), "node")
     left, right = postings.alias("l"), postings.alias("r")
     close = f"l.token = r.token and l.component < r.component and {_may_link('l.n', 'l.known', 'r.n', 'r.known', percent)} and {_signatures_allow(percent)}"
     take = F.least("l.take", "r.take")
     pairs = left.join(right, F.expr(close)).where((F.col("l.level") <= take) & (F.col("r.level") <= take)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"), take.alias("take"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("matches"), F.min("take").alias("take")).where("matches >= take").select("a", "b")
     rest = _verified(pairs, sets_of, percent)
-    classes = components(first.unionByName(rest).unionByName(same))
+    ids = bodies.select("node", "least")
+    links = first.unionByName(rest).join(ids.select(F.col("node").alias("a"), F.col("least").alias("i")), "a").join(ids.select(F.col("node").alias("b"), F.col("least").alias("j")), "b")
+    classes = components(links.select(F.col("i").alias("a"), F.col("j").alias("b")).unionByName(same))
     all_rows = found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"))
     return all_rows.join(classes, all_rows[id_col] == classes["node"], "left").select(id_col, "n_shingles", F.coalesce("component", id_col).alias("component_id"))
 
