@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,32 +41,46 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: int = 2, weights:
     return x.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", digits: int = 2, levels: int = 4) -> DataFrame:
-    """All columns of docs, and size, source_size, target, copies, taken, shard, place: the mix as a decision for each row.
+def mix_sources(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", digits: int | None = None, levels: int | None = None, block_words: int = 4_000_000, shard_words: int = 16_000_000
+) -> DataFrame:
+    """All columns of docs, and size, source_size, target, copies, taken, shards, places: the mix as a decision for each row.
 
     size is the number of runs without white space in the text (null: 0), target the words that the row's source should give
-    (see source_targets()), copies how often the mix holds the document (at most `most`), taken their words. shard tells the
-    output shard of a document that is taken, and place its rank there after the local shuffle; both are null for others.
+    (see source_targets()), copies how often the mix holds the document (at most `most`), taken their words. shards has the
+    output shard of each copy, and places what the copy is ordered by in its shard; both are empty for documents not taken.
 
     Method. Draws come from MD5 of the seed and the id, so reruns agree. Each source's documents are cut into blocks by the
-    first digits of a draw: a random permutation dealt in 16 ** digits blocks. A splitting tree of `levels` halvings recursively
-    parts all blocks among 2 ** levels shards: at each node one half goes left, without replacement over the blocks of all sources, so that
-    the counts by source are multivariate-hypergeometric and the shards' quotas of blocks exact. A source gives whole passes over
-    all its blocks, and for the rest of its target blocks in permuted order; the block in which the target falls gives
-    documents in permuted order while they fit, and then, FILLERS times, the one document of the source whose size comes closest
-    to what is missing is added if that brings the total nearer. Within a shard documents are shuffled locally, block by block.
-
-    Sums run by (source, block), so a source with a third of all rows is dealt over 16 ** digits groups; tables by source
-    or block are small and of bounded size for each source. No row is lost. Rows that share an id and source get the same draws;
-    a null id is one more id, a null source one more source. Empty tables give no rows. Added names replace those in docs.
+    first digits of a draw: a random permutation dealt in 16 ** digits blocks. A source gives whole passes over all its blocks,
+    and for the rest of its target blocks in permuted order; the block in which the target falls gives documents in permuted
+    order while they fit, and then, FILLERS times, the one document of the source whose size comes closest to what is missing is
+    added if that brings the total nearer. This makes the quotas: each block as often as it is given, whole or in part.
+
+    A splitting tree of `levels` halvings parts these quotas among 2 ** levels shards. At a node the given blocks of a source are
+    drawn without replacement, in an order of their own, to the two sides in turn, copies of a block one after the other; of
+    the sources with an odd number half are drawn, without replacement again, to have one more on the left. So shards differ by one
+    given block of a source at most, all of them by few on the whole, and copies of a document part as high up as they can.
+    Within a shard documents are ordered block by block, and by a draw of the copy in the block: a sort inside a shard (see
+    write_shards()) shuffles them.
+
+    digits and levels follow the words of the corpus where they are not given: blocks of about block_words, two digits at least, and
+    shards of about shard_words, four levels at least. Sums run by (source, block), so a source with a third of all rows is
+    dealt over 16 ** digits groups; no window is over documents but the one of the block in which a source's target falls. No row is
+    lost. Rows that share an id and source get the same draws; a null id is one more id, a null source one more source. Empty
+    tables give no rows. Added names replace those in docs.
     """
-    added = ("size", "source_size", "target", "copies", "taken", "shard", "place")
+    added = ("size", "source_size", "target", "copies", "taken", "shards", "places")
     kept = [c for c in docs.columns if c not in added]
     words = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
     draw = _draw(F.lit(seed), F.col(id_col))
-    rows = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(kept)), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), words.alias("size"), draw.alias("_draw")).withColumn("_block", F.substring("_draw", 1, digits))
-    small = docs.select(F.col(source_col).alias("_source"), F.col(id_col).alias("_id"), words.alias("size"), draw.alias("_draw")).withColumn("_block", F.substring("_draw", 1, digits))
-    small = stored(small, "sizes")
+    small = stored(docs.select(F.col(source_col).alias("_source"), F.col(id_col).alias("_id"), words.alias("size"), draw.alias("_draw")), "sizes")
+    if digits is None or levels is None:
+        total = small.agg(F.sum("size")).first()[0] or 0
+        digits = digits or max(2, math.ceil(math.log(max(1, total / block_words), 16)))
+        levels = levels or max(4, math.ceil(math.log2(max(1, total * share / shard_words))))
+    block = F.substring("_draw", 1, digits).alias("_block")
+    small = small.select("*", block)
+    rows = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(kept)), F.col(source_col).alias("_source"), words.alias("size"), draw.alias("_draw")).select("*", block)
 
     blocks = small.groupBy("_source", "_block").agg(F.sum("size").alias("words"))
     by_source = source_targets(blocks.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size")), share, most, weights)
@@ -73,51 +89,77 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = blocks.join(by_source, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
     order = Window.partitionBy("_source").orderBy(_draw(F.lit(seed), F.col("_source"), F.col("_block")), "_block")
     blocks = blocks.withColumn("until", F.sum("words").over(order)).withColumn("room", F.col("rest") - (F.col("until") - F.col("words")))
+    blocks = stored(blocks.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "source_size", "target", "passes", "rest", "words", "room"), "blocks")
 
-    tree = blocks.withColumn("node", F.lit(1))
-    for level in range(levels):
-        key = _draw(F.lit(seed), F.lit("tree"), F.lit(level), F.col("_source"), F.col("_block"))
-        inside = Window.partitionBy("node")
-        left = F.row_number().over(inside.orderBy(key, "_source", "_block")) * 2 <= F.count("*").over(inside) + F.pmod(F.conv(F.substring(F.md5(F.col("node").cast("string")), 1, 4), 16, 10).cast("int"), F.lit(2))
-        tree = tree.withColumn("node", F.col("node") * 2 + F.when(left, 0).otherwise(1))
-    blocks = tree.withColumn("_shard", (F.col("node") - F.lit(2**levels)).cast("int")).select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "source_size", "target", "passes", "rest", "words", "room", "_shard")
-
-    def with_blocks(left: DataFrame) -> DataFrame:
-        return left.join(blocks, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).drop("_s", "_b")
+    def with_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).drop("_s", "_b")
 
     # documents of the block in which the rest of the target falls
-    cut = small.join(blocks.where("room > 0 and room < words"), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
+    cut = with_blocks(small, blocks.where("room > 0 and room < words"))
     running = Window.partitionBy("_source", "_block").orderBy("_draw", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = cut.withColumn("sum", F.sum("size").over(running))
-    edge = cut.groupBy("_source").agg(
-        F.max(F.when(F.col("sum") <= F.col("room"), F.struct("_draw", "_id"))).alias("last"), F.coalesce(F.max(F.when(F.col("sum") <= F.col("room"), F.col("sum"))), F.lit(0)).alias("got"), F.first("room").alias("room"), F.first("_block").alias("_cut")
-    )
-    edge = edge.select(F.col("_source").alias("_e"), "last", "_cut", (F.col("room") - F.col("got")).alias("gap"))
-    base = F.when(F.col("room") >= F.col("words"), True).when(F.col("room") <= 0, False).otherwise(F.coalesce(F.struct("_draw", "_id") <= F.col("last"), F.lit(False)))
+    fits = F.col("sum") <= F.col("room")
+    edge = cut.groupBy("_source").agg(F.max(F.when(fits, F.col("_draw"))).alias("last"), F.coalesce(F.max(F.when(fits, F.col("sum"))), F.lit(0)).alias("got"), F.first("room").alias("room"))
+    edge = edge.select(F.col("_source").alias("_e"), "last", (F.col("room") - F.col("got")).alias("gap"), F.array().cast("array<string>").alias("fillers"))
+    base = F.when(F.col("room") >= F.col("words"), True).when(F.col("room") <= 0, False).otherwise(F.coalesce(F.col("_draw") <= F.col("last"), F.lit(False)))
     # documents that bring a source nearest to its target
-    edge = edge.withColumn("fillers", F.array().cast("array<string>"))
     for _ in range(FILLERS):
-        spare = with_blocks(small).join(edge, F.col("_source").eqNullSafe(F.col("_e"))).where(~base & (F.col("size") > 0) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")) & ~F.array_contains("fillers", F.col("_draw")))
+        spare = with_blocks(small, blocks).join(edge, F.col("_source").eqNullSafe(F.col("_e"))).where(~base & (F.col("size") > 0) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")) & ~F.array_contains("fillers", F.col("_draw")))
         found = spare.groupBy("_source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("_draw").alias("d"), F.col("size").alias("size"))).alias("f"))
         edge = edge.join(found, F.col("_e").eqNullSafe(F.col("_source")), "left")
-        edge = edge.select("_e", "last", "_cut", (F.col("gap") - F.coalesce("f.size", F.lit(0))).alias("gap"), F.when(F.col("f.d").isNull(), F.col("fillers")).otherwise(F.concat("fillers", F.array("f.d"))).alias("fillers"))
+        edge = edge.select("_e", "last", (F.col("gap") - F.coalesce("f.size", F.lit(0))).alias("gap"), F.when(F.col("f.d").isNull(), F.col("fillers")).otherwise(F.concat("fillers", F.array("f.d"))).alias("fillers"))
         edge = stored(edge, "edges")
 
-    out = with_blocks(rows).join(edge.select("_e", "last", "fillers"), F.col("_source").eqNullSafe(F.col("_e")), "left")
+    # the quotas: a row for each time that a block is given, whole or in part
+    quotas = blocks.join(edge.select("_e", "last", "fillers"), F.col("_s").eqNullSafe(F.col("_e")), "left").drop("_e")
+    part = (F.col("rest") > 0) & ((F.col("room") > 0) & ((F.col("room") >= F.col("words")) | F.col("last").isNotNull()) | F.coalesce(F.exists("fillers", lambda d: F.substring(d, 1, digits) == F.col("_b")), F.lit(False)))
+    quotas = quotas.withColumn("given", F.least(F.col("passes") + F.when(part, 1).otherwise(0), F.lit(most)))
+    tree = quotas.where("given > 0").select("_s", "_b", F.explode(F.sequence(F.lit(1), F.col("given"))).alias("copy"), F.lit(1).alias("node"))
+    for level in range(levels):
+        at = Window.partitionBy("node", "_s").orderBy(_draw(F.lit(seed), F.lit("tree"), F.lit(level), F.col("_s"), F.col("_b")), "_b", "copy")
+        odd = tree.groupBy("node", "_s").agg(F.count("*").alias("n")).where("n % 2 = 1")
+        turn = F.row_number().over(Window.partitionBy("node").orderBy(_draw(F.lit(seed), F.lit("odd"), F.col("node"), F.col("_s")), "_s")) + F.conv(F.substring(F.md5(F.col("node").cast("string")), 1, 4), 16, 10).cast("int")
+        odd = odd.select(F.col("node").alias("_n"), F.col("_s").alias("_t"), (turn % 2).alias("late"))
+        tree = tree.join(odd, (F.col("node") == F.col("_n")) & F.col("_s").eqNullSafe(F.col("_t")), "left")
+        right = (F.row_number().over(at) + F.coalesce("late", F.lit(0)) + 1) % 2
+        tree = tree.select("_s", "_b", "copy", (F.col("node") * 2 + right).alias("node"))
+        if level % 4 == 3:
+            tree = stored(tree, "tree")
+    placed = tree.groupBy("_s", "_b").agg(F.transform(F.sort_array(F.collect_list(F.struct("copy", "node"))), lambda x: (x["node"] - F.lit(2**levels)).cast("int")).alias("_shards"))
+    placed = placed.select(F.col("_s").alias("_t"), F.col("_b").alias("_c"), "_shards")
+    quotas = stored(quotas.join(placed, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_b") == F.col("_c")), "left").drop("_t", "_c"), "quotas")
+
+    out = with_blocks(rows, quotas)
     extra = base | F.coalesce(F.array_contains("fillers", F.col("_draw")), F.lit(False))
-    out = out.withColumn("copies", F.when(F.col("passes") >= most, F.lit(most)).otherwise(F.col("passes") + F.when(extra & (F.col("rest") > 0), 1).otherwise(0)))
-    shuffled = Window.partitionBy("_shard", "_block", F.col("copies") > 0).orderBy(F.reverse("_draw"), "_id")
-    place = F.when(F.col("copies") > 0, F.concat(F.col("_block"), F.lit("-"), F.lpad(F.row_number().over(shuffled).cast("string"), 9, "0")))
-    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.when(F.col("copies") > 0, F.col("_shard")).alias("shard"), place.alias("place"))
+    out = out.withColumn("copies", F.least(F.lit(most), F.col("passes") + F.when(extra & (F.col("rest") > 0), 1).otherwise(0)))
+    shards = F.slice(F.coalesce("_shards", F.array().cast("array<int>")), 1, F.col("copies"))
+    places = F.transform(shards, lambda x, i: F.concat(F.col("_block"), F.lit("-"), F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.lit("place"), i.cast("string"), F.col("_draw"))), 1, 16)))
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), shards.alias("shards"), places.alias("places"))
+
+
+def write_shards(mixed: DataFrame, path: str) -> None:
+    """The mix as Parquet: a folder for each shard, a row for each copy, in the order of places."""
+    added = ("size", "source_size", "target", "copies", "taken", "shards", "places")
+    rows = mixed.select(*(c for c in mixed.columns if c not in added), F.explode(F.arrays_zip("shards", "places")).alias("_at"))
+    rows = rows.select(*(c for c in rows.columns if c != "_at"), F.col("_at.shards").alias("shard"), F.col("_at.places").alias("_place"))
+    rows.repartition("shard").sortWithinPartitions("shard", "_place").drop("_place").write.partitionBy("shard").parquet(path)
+
+
+def mix_sources_digest(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and shard and place of the first and second copy."""
+    at = lambda c, i: F.get(c, F.lit(i))
+    mixed = mix_sources(docs.select("doc_id", "text", "source"), **options)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", at("shards", 0).alias("shard"), at("places", 0).alias("place"), at("shards", 1).alias("shard_2"), at("places", 1).alias("place_2"))
 
 
 def _oracle(levels: int = 4) -> str:
     tree = "".join(
-        f"""t{i + 1} as (
-  select *, 2 * node + case when 2 * row_number() over (partition by node order by md5('mix/tree/{i}/' || coalesce(source, 'null') || '/' || block), source nulls first, block)
-    <= count(*) over (partition by node) + cast('0x' || substr(md5(cast(node as varchar)), 1, 4) as integer) % 2 then 0 else 1 end as node2 from t{i}),
-u{i + 1} as (select * exclude (node, node2), node2 as node from t{i + 1}),
-""".replace(f"from t{i})", f"from u{i})")
+        f"""t{i} as (
+  select *, row_number() over (partition by node, source order by md5('mix/tree/{i}/' || coalesce(source, 'null') || '/' || block), block, copy) as pos, count(*) over (partition by node, source) % 2 as odd from u{i}),
+u{i + 1} as (
+  select source, block, copy, 2 * node + (pos + 1 + case when odd = 1 then (dense_rank() over (partition by node, odd order by md5('mix/odd/' || cast(node as varchar) || '/' || coalesce(source, 'null')), source nulls first)
+    + cast('0x' || substr(md5(cast(node as varchar)), 1, 4) as integer)) % 2 else 0 end) % 2 as node from t{i}),
+"""
         for i in range(levels)
     )
     fill = "".join(
@@ -147,18 +189,24 @@ q as (select *, target - passes * source_size as rest from p),
 k as (
   select b.source, block, words, source_size, target, passes, rest, rest - (sum(words) over (partition by b.source order by md5('mix/' || coalesce(b.source, 'null') || '/' || block), block) - words) as room
   from b join q on q.source is not distinct from b.source),
-u0 as (select *, 1 as node from k),
-{tree}m as (select s.*, u.* exclude (source) from s join u{levels} u on u.source is not distinct from s.source and u.block = substr(s.draw, 1, 2)),
+m as (select s.*, k.* exclude (source) from s join k on k.source is not distinct from s.source and k.block = substr(s.draw, 1, 2)),
 c as (select *, sum(size) over (partition by source order by draw, doc_id) as running from m where room > 0 and room < words),
 x as (
-  select source, max(case when running <= room then draw || lpad(cast(doc_id as varchar), 20, '0') end) as upto, coalesce(max(case when running <= room then running end), 0) as got, any_value(room) as room from c group by source),
+  select source, max(case when running <= room then draw end) as upto, coalesce(max(case when running <= room then running end), 0) as got, any_value(room) as room from c group by source),
 d as (
-  select m.*, case when m.room >= m.words then true when m.room <= 0 then false else coalesce(m.draw || lpad(cast(m.doc_id as varchar), 20, '0') <= x.upto, false) end as base from m left join x on x.source is not distinct from m.source),
+  select m.*, case when m.room >= m.words then true when m.room <= 0 then false else coalesce(m.draw <= x.upto, false) end as base from m left join x on x.source is not distinct from m.source),
 e0 as (select source, room - got as gap, cast([] as varchar[]) as fillers from x),
-{fill}a as (
+{fill}v as (
+  select k.*, least(2, passes + case when rest > 0 and (room > 0 and (room >= words or upto is not null) or coalesce(list_contains(list_transform(e.fillers, lambda d: substr(d, 1, 2)), k.block), false)) then 1 else 0 end) as given
+  from k left join e{FILLERS} e on e.source is not distinct from k.source left join (select source as s, upto from x) on s is not distinct from k.source),
+u0 as (select source, block, copy, 1 as node from v, unnest(range(1, given + 1)) x(copy)),
+{tree}h as (select source, block, list(node - {2**levels} order by copy) as shards from u{levels} group by all),
+a as (
   select d.*, case when passes >= 2 then 2 else passes + case when rest > 0 and (base or coalesce(list_contains(e.fillers, d.draw), false)) then 1 else 0 end end as copies from d left join e{FILLERS} e on e.source is not distinct from d.source)
-select doc_id, size, source_size, target, copies * size as taken, case when copies > 0 then node - {2**levels} end as shard,
-  case when copies > 0 then block || '-' || lpad(cast(row_number() over (partition by node, block, copies > 0 order by reverse(draw), doc_id) as varchar), 9, '0') end as place from a
+select doc_id, size, source_size, target, copies * size as taken,
+  case when copies >= 1 then shards[1] end as shard, case when copies >= 1 then a.block || '-' || substr(md5('mix/place/0/' || draw), 1, 16) end as place,
+  case when copies >= 2 then shards[2] end as shard_2, case when copies >= 2 then a.block || '-' || substr(md5('mix/place/1/' || draw), 1, 16) end as place_2
+from a left join h on h.source is not distinct from a.source and h.block = a.block
 """
 
 

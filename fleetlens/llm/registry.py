@@ -33,7 +33,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "shard", "place")
+    return mixing.mix_sources_digest(_table(spark, sf_dir, "documents"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
