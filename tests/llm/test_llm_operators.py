@@ -84,6 +84,13 @@ def test_near_duplicates_null_and_repeated_rows(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in jaccard.near_duplicates(df).collect()) == [("5", "5"), ("5", "5"), ("7", "5"), ("None", "None")]
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    a, b, c = (words(40, 99999) for _ in range(3))
+    rows = [(5, a), (5, b), (7, [*a, "x"]), (8, [*b, "y"]), (9, c), (9, [*b, "y"]), (11, [*c, "z"]), (12, words(40, 99999)), (5, a)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(4)
+    assert {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(df, block_bytes=300).collect()} == {(5, 5), (7, 5), (8, 5), (9, 5), (11, 5), (12, 12)}
+
+
 def test_prefixes_of_similar_sets_meet():
     for _ in range(60):
         n = int(RNG.integers(5, 80))
@@ -218,8 +225,9 @@ def test_mixing(spark, docs):
         taken = sum(r.taken for r in rows if r.source == source)
         assert target <= 2 * size + 1e-9 and abs(taken - target) <= max(0.05 * target, max(r.size for r in rows if r.source == source)), source
     assert all(r.taken in (0, r.size, 2 * r.size) for r in rows)
-    again = {r.doc_id: (r.taken, r.shard, r.place) for r in mixing.mix_sources(docs.repartition(5)).collect()}
-    assert again == {r.doc_id: (r.taken, r.shard, r.place) for r in rows}
+    assert all(len(r.shards) == len(r.places) == r.copies for r in rows)
+    again = {r.doc_id: (r.taken, r.shards, r.places) for r in mixing.mix_sources(docs.repartition(5)).collect()}
+    assert again == {r.doc_id: (r.taken, r.shards, r.places) for r in rows}
     assert mixing.mix_sources(empty(docs)).count() == 0
 
 
@@ -239,10 +247,43 @@ def test_targets_share_the_excess(spark):
     assert {s: round(t, 9) for s, t in got.items()} == {s: round(t, 9) for s, t in want.items()}
 
 
-def test_quotas_of_shards_are_even(spark):
-    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), (F.col("id") % 2).cast("string").alias("source"))
-    n = [r["count"] for r in mixing.mix_sources(df, share=2.0).select("source", "shard", F.substring("place", 1, 2).alias("b")).distinct().groupBy("shard").count().collect()]
-    assert len(n) == 16 and max(n) - min(n) <= 4
+@pytest.mark.parametrize("share", [1.5, 2.0, 0.7])
+def test_quotas_of_shards_are_even(spark, share):
+    """Shards differ by one given block of a source at most, and copies of a document lie in different halves of the tree."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 7 + 1).cast("int"))).alias("text"), F.element_at(F.array(*map(F.lit, "abcc")), (F.col("id") % 4 + 1).cast("int")).alias("source"))
+    rows = mixing.mix_sources(df, share=share).collect()
+    given = collections.defaultdict(set)
+    for r in rows:
+        for copy, (shard, place) in enumerate(zip(r.shards, r.places, strict=True)):
+            given[r.source, shard].add((place[:2], copy))
+        assert len(r.shards) < 2 or r.shards[0] // 8 != r.shards[1] // 8
+    for source in "abc":
+        n = [len(given[source, shard]) for shard in range(16)]
+        assert max(n) - min(n) <= 1, (source, n)
+    n = [sum(len(given[source, shard]) for source in "abc") for shard in range(16)]
+    assert max(n) - min(n) <= 3
+    words_of = collections.Counter()
+    for r in rows:
+        for shard in r.shards:
+            words_of[shard] += r.size
+    assert max(words_of.values()) < 1.5 * min(words_of.values())
+
+
+def test_blocks_and_shards_follow_the_words(spark):
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("s").alias("source"))
+    rows = mixing.mix_sources(df, block_words=1, shard_words=40).collect()
+    assert {len(p.split("-")[0]) for r in rows for p in r.places} == {3} and 50 < len({x for r in rows for x in r.shards}) <= 128
+    assert sum(r.taken for r in rows) == 3000
+
+
+def test_mixing_repeated_ids_equal_sizes_and_shards_on_disk(spark, tmp_path):
+    df = spark.createDataFrame([(i % 40, "one two three", "s" if i % 2 else None) for i in range(80)] + [(None, "x y z", None)], "doc_id long, text string, source string").withColumn("shard", F.lit("clash"))
+    mixed = mixing.mix_sources(df)
+    rows = mixed.collect()
+    by = {}
+    assert all(by.setdefault((r.doc_id, r.source), (r.taken, r.shards)) == (r.taken, r.shards) for r in rows) and len(rows) == 81
+    mixing.write_shards(mixed.drop("shard"), str(tmp_path / "mix"))
+    assert spark.read.parquet(str(tmp_path / "mix")).count() == sum(r.copies for r in rows)
 
 
 def vectors():
@@ -267,6 +308,34 @@ def test_near_vectors(spark, monkeypatch):
     assert embeddings.near_vectors(df.where("false")).count() == 0
 
 
+def test_near_vectors_over_cells_bands_and_tiles(spark, monkeypatch):
+    """A label of many small cells with repeats over bands, groups of near copies larger than a tile, and ids that repeat."""
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 16)
+    monkeypatch.setattr(embeddings, "TILE_ROWS", 24)
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((900, 24))
+    x[300:360] = x[0] + 0.1 * rng.standard_normal((60, 24))
+    for i in range(400, 700, 3):
+        x[i + 1] = x[i] + 0.13 * rng.standard_normal(24)
+        x[i + 2] = x[i + 1] + 0.13 * rng.standard_normal(24)
+    ids = np.arange(900)
+    ids[[850, 851]] = [0, 401]  # second vectors of these ids
+    x[851] = x[10] * 2
+    label = np.where(np.arange(900) < 800, 0, 1)
+    label[850:852] = 0
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & (label[:, None] == label[None]) & ~np.eye(900, dtype=bool)
+    edges = [(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(near), strict=True)]
+    root = union(edges, {int(i) for i in ids})
+    df = spark.createDataFrame([(int(i), [float(c) for c in v], int(k)) for i, v, k in zip(ids, x, label, strict=True)], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = collections.Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df).collect())
+    want = collections.Counter((int(i), int(near[k].sum()), root[int(i)], root[int(i)] == i) for k, i in enumerate(ids))
+    assert near.sum() > 1000
+    found, due = (sum(n * c for (_, n, _, _), c in x.items()) for x in (got, want))
+    assert found / due > 0.999  # recall of link ends
+    assert got == want
+
+
 def test_codes_bound_the_products():
     x = RNG.standard_normal((300, 64))
     x[150:] = x[:150] + 0.1 * RNG.standard_normal((150, 64))
