@@ -24,9 +24,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; rows without an id belong to none and stay."""
+    """The document with the smallest id of each near-duplicate group; rows without an id belong to none and stay.
+
+    Rows that share that id are one document: all its texts stay, each once (of rows equal in id and text the least stays, by
+    its other columns as JSON).
+    """
     first = jaccard.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.lit(0).alias("_"), *others)
+    least = docs.join(first, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    kept = least.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c).alias(c) for c in docs.columns))
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
