@@ -78,6 +78,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_vectors": embeddings.ORACLE,
         "op2_ngram_jaccard": jaccard.ORACLE,
+        "op4_suffix_dedup": suffixes.ORACLE,
         "op5_url_filters": urls.ORACLE,
         "op6_mix_sources": mixing.ORACLE,
         "op8_warc": warc.ORACLE,
