@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm._bytes import SPACE, Rolling, lines, mix, texts, words
+from fleetlens.llm._bytes import SPACE, Rolling, lines, texts, words
 from fleetlens.llm._scratch import stored
 
 CHUNK_BYTES = 1 << 20
@@ -30,17 +30,25 @@ def _full_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return Rolling(data).hash(a[full], b[full]), doc[full], number[full]
 
 
-def winnow(keys: np.ndarray, doc: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of run lines of one text: its first line, the line of its least key (the last such), its own hash."""
+def winnow(keys: np.ndarray, doc: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of run lines of one text: its first line, and the line of its least key (the last such)."""
     n = len(keys) - run + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.flatnonzero(doc[run - 1 :] == doc[:n])
-    best, whole = first.copy(), np.zeros(len(first), np.uint64)
+    best = first.copy()
     for i in range(run):
         best = np.where(keys[first + i] <= keys[best], first + i, best)
-        whole = whole * np.uint64(0xD6E8FEB86659FD93) + keys[first + i]
-    return first, best, mix(whole)
+    return first, best
+
+
+def _around(keys: np.ndarray, start: np.ndarray, end: np.ndarray, step: int) -> pa.Array:
+    """Lists of the keys from start to end, from the end backwards if step is -1."""
+    n = end - start
+    edge = np.concatenate([[0], np.cumsum(n)])
+    i = np.arange(edge[-1]) - np.repeat(edge[:-1], n)
+    at = np.repeat(start, n) + i if step > 0 else np.repeat(end, n) - 1 - i
+    return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(keys[at].view(np.int64)))
 
 
 def passages(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,10 +91,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed, with the lines passed over inside it; longer repeats are removed whole as all their runs are. The first place of
     each run stays, so nothing disappears from the corpus.
 
-    Method. Each window of min_lines line hashes gives its least one as a fingerprint, so any repeat of that length shares one.
-    Fingerprints that occur once are left out; the rest are joined by position, and a match is extended over the windows that
-    lean on the fingerprint, before and after it, by the hashes of those windows. Windows count by their hash and the earliest
-    place of each is found by a partial aggregation, so a line in a third of all texts makes no pairs.
+    Method. Each window of min_lines line hashes gives its least one as a fingerprint, so any repeat of that length shares one at
+    the same place of the window. Fingerprints that occur once are left out. The positions of the others are joined by
+    fingerprint, and a match is extended line by line to both sides, over as many lines before and after it as a window that
+    leans on it has: these lines are the rest of the join's key, and its partner is the earliest place that has them all. Extended
+    matches that touch make the maximal run that goes. The earliest places are found by a partial aggregation and the joins are
+    between two shuffles, which Spark can split where a fingerprint is hot; a line in a third of all texts makes no pairs.
 
     With passage_words a repeat of so many words goes too, however its words are dealt to lines: on one line, inside a longer one or
     over several. Windows of that many words are found and compared as runs of lines are, by a fingerprint of GRAM words; groups
@@ -104,23 +114,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for whole in batches:
             for b in _chunks(whole, "body"):
                 h, doc, _ = _full_lines(*texts(b.column("body")))
-                first, best, run = winnow(h, doc, min_lines)
-                base = np.searchsorted(doc, doc)
-                order = np.argsort(best, kind="stable")
-                at, count = np.unique(best[order], return_counts=True)
-                cut = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+                first, best = winnow(h, doc, min_lines)
+                order = np.lexsort((first, best))
+                at, start, count = np.unique(best[order], return_index=True, return_counts=True)
+                base = np.searchsorted(doc, doc[at])
+                lead = (best - first)[order]
+                most = np.maximum.reduceat(lead, start) if len(at) else lead
+                least = np.minimum.reduceat(lead, start) if len(at) else lead
                 owner = pa.array(doc[at])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(h[at].view(np.int64)), b.column("id").take(owner), b.column("body_hash").take(owner),
-                    pa.ListArray.from_arrays(cut, pa.array(run[order].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array((first - base[first])[order].astype(np.int32))),
-                ], names=["print", "id", "body_hash", "runs", "starts"])
-
-    found = stored(key.mapInArrow(fingerprints, f"print long, id {kind}, body_hash long, runs array<long>, starts array<int>"), "fingerprints")
-    again = found.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print")
-    runs = found.join(again, "print", "left_semi").select("id", "body_hash", F.explode(F.arrays_zip("runs", "starts")).alias("x"))
-    runs = runs.select(F.col("x.runs").alias("run"), F.struct("id", "body_hash", F.col("x.starts").alias("start")).alias("place"))
-    first = runs.groupBy("run").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("run", "first")
-    later = runs.join(first, "run").where("place > first").groupBy("place.id", "place.body_hash").agg(F.collect_set("place.start").alias("starts"))
+                    pa.array(h[at].view(np.int64)), b.column("id").take(owner), b.column("body_hash").take(owner), pa.array((at - base).astype(np.int32)),
+                    _around(h, at - most, at, -1), _around(h, at + 1, at + min_lines - least, 1),
+                    pa.ListArray.from_arrays(pa.array(np.append(start, len(lead)), pa.int32()), pa.array(lead.astype(np.int32))),
+                ], names=["print", "id", "body_hash", "line", "before", "after", "leads"])
+
+    found = stored(key.mapInArrow(fingerprints, f"print long, id {kind}, body_hash long, line int, before array<long>, after array<long>, leads array<int>"), "fingerprints")
+    again = stored(found.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print"), "repeated-prints")
+    found = found.join(again, "print", "left_semi").select("*", F.explode("leads").alias("lead"))
+    extension = F.xxhash64("lead", F.slice("before", F.lit(1), F.col("lead")), F.slice("after", F.lit(1), F.lit(min_lines - 1) - F.col("lead")))
+    runs = found.select("print", extension.alias("extension"), F.struct("id", "body_hash", (F.col("line") - F.col("lead")).alias("start")).alias("place"))
+    first = runs.groupBy("print", "extension").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("print", "extension", "first")
+    later = runs.join(stored(first, "first-places"), ["print", "extension"]).where("place > first").groupBy("place.id", "place.body_hash").agg(F.collect_set("place.start").alias("starts"))
     if passage_words is None:
         later = later.withColumn("spans", F.lit(None).cast("array<struct<start:int,n:int>>"))
     else:
@@ -173,7 +187,7 @@ def _later_passages(key: DataFrame, kind: str, size: int) -> DataFrame:
                 )
 
     found = stored(key.mapInArrow(groups, f"print long, all long, id {kind}, body_hash long, start int, runs array<int>"), "passages")
-    again = found.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print")
+    again = stored(found.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print"), "repeated-passages")
     place = F.struct("id", "body_hash", "start")
     found = found.join(again, "print", "left_semi").select("print", "all", place.alias("place"), "runs")
     alike = stored(found.groupBy("print", "all").agg(F.min(F.struct("place", "runs")).alias("least")).select("print", "all", "least.place", "least.runs"), "passage-groups")
@@ -181,11 +195,11 @@ def _later_passages(key: DataFrame, kind: str, size: int) -> DataFrame:
     first = alike.select("print", "all", F.col("place").alias("first"))
     whole = found.join(first, ["print", "all"]).where("place > first").select("place.id", "place.body_hash", F.struct(F.col("place.start").alias("start"), F.size("runs").alias("n")).alias("span"))
     # windows of the first ones that stand in other groups too
-    mixed = alike.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print")
+    mixed = stored(alike.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print"), "mixed-passages")
     runs = alike.join(mixed, "print", "left_semi").select("print", "place", F.posexplode("runs").alias("i", "run"))
     runs = runs.select("print", "run", F.struct("place.id", "place.body_hash", (F.col("place.start") + F.col("i")).alias("start")).alias("place"))
     earliest = runs.groupBy("print", "run").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("print", "run", "first")
-    part = runs.join(earliest, ["print", "run"]).where("place > first").select("place.id", "place.body_hash", F.struct(F.col("place.start").alias("start"), F.lit(1).alias("n")).alias("span"))
+    part = runs.join(stored(earliest, "first-passages"), ["print", "run"]).where("place > first").select("place.id", "place.body_hash", F.struct(F.col("place.start").alias("start"), F.lit(1).alias("n")).alias("span"))
     return whole.unionByName(part).groupBy("id", "body_hash").agg(F.collect_set("span").alias("spans"))
 
 
