@@ -7,7 +7,6 @@ import html
 import re
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +26,10 @@ BOXES = frozenset("area articles bar block bottom box btn button buttons contain
 MODIFIERS = frozenset("has with no without not hide show".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?])")
+#: What follows a tag's name up to its end; quotes count behind an equals sign. Possessive, so that nothing is tried twice.
+_REST = re.compile(r"""((?:[^>="']++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
+_LONG_NUMBER = re.compile(r"&#0*(?:([1-9][0-9]{7,})|0{8,}(?=[0-9]?));?")
 _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _SPACES = re.compile(r"\s+")
 
@@ -51,18 +53,20 @@ def _names_furniture(attribute: str, value: str, article: bool) -> bool:
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, bool]]:
-    """(line, within the article) for each block of text outside of page furniture.
+def all_lines(page: str) -> list[tuple[str, bool, bool]]:
+    """(line, within the article, furniture) for each block of text, page furniture too, but no script, style, title or comment.
 
     A line is the text between two block borders, character references decoded, white space made one space. Furniture is what
     lies in elements of DROPPED, or whose class, id or role names one. A form and a named element stay if they hold an article
     or main element, or more than half of the page's text while no article or main element stands elsewhere (else a long advert
     beside a short article would stay); what is named inside is judged by itself. The end tag of an element also ends what is
-    open inside.
+    open inside. A tag or comment that never ends takes the rest of the page. Time is linear in the page, whatever it holds.
     """
-    lines: list[tuple[list[tuple[str, int]], bool]] = []
+    lines: list[tuple[list[tuple[str, int, bool]], bool]] = []
     stack: list[tuple[str, bool, bool, int]] = []  # name, furniture, article, innermost named element
-    parts: list[tuple[str, int]] = []
+    where: dict[str, list[int]] = {}  # places of each name in the stack
+    borders = [-1]  # and of what a paragraph does not reach across
+    parts: list[tuple[str, int, bool]] = []
     # of each named element: the one around it, whether it holds an article, stands in one, characters; 0 is the page
     outer, holds, within, size = [0], [True], [False], [0]
     marked = False
@@ -75,41 +79,44 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
             lines.append((parts, article))
             parts = []
 
-    def top() -> tuple[bool, bool, int]:
-        return stack[-1][1:] if stack else (False, False, 0)
-
     def add(text: str) -> None:
-        parts.append((text, inside))
-        size[inside] += len(text.strip())
+        parts.append((text, inside, furniture))
+        if not furniture:
+            size[inside] += len(text.strip())
+
+    def close(i: int) -> tuple[bool, bool, int]:
+        for name, *_ in stack[i:]:
+            where[name].pop()
+        del stack[i:]
+        while borders[-1] >= i:
+            borders.pop()
+        return stack[-1][1:] if stack else (False, False, 0)
 
     at = 0
-    while m := _TOKEN.search(page, at):
-        if not furniture and m.start() > at:
+    while m := _START.search(page, at):
+        if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+        name = (m[3] or "").lower()
         if not name:
+            end = page.find("-->" if m[1] else ">", m.end() - (2 if m[1] else 0))
+            at = end + (3 if m[1] else 1) if end >= 0 else len(page)
             continue
+        rest = _REST.match(page, m.end())
+        if not rest:
+            at = len(page)
+            break
+        at = rest.end()
         if name in BLOCKS or name in DROPPED:
             flush()
         elif name == "br":
-            parts.append((" ", inside))
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-            furniture, article, inside = top()
-        elif name not in VOID and not m[3].endswith("/"):
-            if name in ("p", "li", "dd", "dt", "tr", "td", "th", "option") and stack:
-                for i in range(len(stack) - 1, -1, -1):  # these end an open one of their kind
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCKS and stack[i][0] not in ("p", "td", "th", "li", "dd", "dt"):
-                        break
-                furniture, article, inside = top()
-            marks = _ATTRIBUTE.findall(m[3]) if m[3] else ()
+            parts.append((" ", inside, furniture))
+        if m[2]:
+            if where.get(name):
+                furniture, article, inside = close(where[name][-1])
+        elif name not in VOID and not rest[1].endswith("/"):
+            if name in ("p", "li", "dd", "dt", "tr", "td", "th", "option") and where.get(name) and where[name][-1] > borders[-1]:  # these end an open one of their kind
+                furniture, article, inside = close(where[name][-1])
+            marks = _ATTRIBUTE.findall(rest[1]) if rest[1] else ()
             named = name not in ("html", "body", "main", "article") and any(_names_furniture(k, v.strip("\"'"), article) for k, v in marks)
             furniture = furniture or (name in DROPPED and name != "form" and not (name == "header" and article))
             if not furniture and name in ("article", "main"):
@@ -122,11 +129,14 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
                 within.append(article)
                 size.append(0)
                 inside = len(outer) - 1
+            where.setdefault(name, []).append(len(stack))
+            if name in BLOCKS and name not in ("p", "td", "th", "li", "dd", "dt", "tr", "option"):
+                borders.append(len(stack))
             stack.append((name, furniture, article, inside))
             if name in RAW:
                 end = re.compile(rf"</{name}[\s>/]", re.I).search(page, at)
                 at = end.start() if end else len(page)
-    if not furniture and at < len(page):
+    if at < len(page):
         add(page[at:])
     flush()
     for i in range(len(outer) - 1, 0, -1):
@@ -136,12 +146,25 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
         kept.append(kept[outer[i]] and (holds[i] or ((within[i] or not marked) and 2 * size[i] > size[0])))
     out = []
     for pieces, is_article in lines:
-        text = _SPACES.sub(" ", html.unescape("".join(x for x, i in pieces if kept[i]))).strip()
-        if text:
-            out.append((text, is_article))
+        for other in (False, True):
+            text = _plain("".join(x for x, i, f in pieces if (f or not kept[i]) == other))
+            if text:
+                out.append((text, is_article, other))
     return out
 
 
+def _plain(text: str) -> str:
+    """Character references decoded and white space made one space."""
+    if "&#" in text:
+        text = _LONG_NUMBER.sub(lambda m: "\ufffd" if m[1] else "&#0", text)
+    return _SPACES.sub(" ", html.unescape(text)).strip()
+
+
+def page_lines(page: str) -> list[tuple[str, bool]]:
+    """(line, within the article) for each block of text outside of page furniture: see all_lines()."""
+    return [(x, article) for x, article, furniture in all_lines(page) if not furniture]
+
+
 def common_lines(a: list[str], b: list[str]) -> set[int]:
     """Positions in a of a longest common subsequence with b, by rows of bits held in integers."""
     where: dict[str, int] = {}
@@ -168,11 +191,14 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 def main_text(lines: list[tuple[str, bool]], neighbour: list[tuple[str, bool]] | None) -> str:
     """All lines less those outside of an article or main element that the neighbour has outside of one too, in the same order."""
-    own = [x for x, _ in lines]
-    outside = [i for i, (_, article) in enumerate(lines) if not article]
-    found = common_lines([own[i] for i in outside], [x for x, article in neighbour if not article]) if neighbour else set()
-    shared = {outside[i] for i in found}
-    return "\n\n".join(x for i, x in enumerate(own) if i not in shared)
+    return differenced([(x, article, False) for x, article in lines], None if neighbour is None else [x for x, article in neighbour if not article])[0]
+
+
+def differenced(lines: list[tuple[str, bool, bool]], outside: list[str] | None) -> tuple[str, int]:
+    """The text of the lines less furniture and less what stands outside of an article and is shared, in order, with a neighbour's such lines; and how many are shared."""
+    own = [i for i, (_, article, _) in enumerate(lines) if not article]
+    shared = {own[i] for i in common_lines([lines[i][0] for i in own], outside)} if outside else set()
+    return "\n\n".join(x for i, (x, _, furniture) in enumerate(lines) if not furniture and i not in shared), len(shared)
 
 
 def _digest(lines: list[tuple[str, bool]]) -> int | None:
@@ -191,74 +217,116 @@ def _likeness(a: str, b: str) -> int:
     return n
 
 
+#: A page as its lines within its article and outside; marks has a byte for each in order (1: article, 2: furniture), digest is null where nothing but furniture stands.
+PARSED = "id {}, url string, host string, path string, tie long, digest long, inside array<string>, outside array<string>, marks binary"
+_PAGE = "struct<path: string, tie: long, digest: long>"
+_EDGE = f"pid int, side string, host string, page {_PAGE}, other {_PAGE}"
+_NEAR = "host string, path string, tie long, partner_path string, partner_tie long"
+_TYPE = pa.struct([("path", pa.string()), ("tie", pa.int64()), ("digest", pa.int64())])
+
+
+def nearest(hosts: list, paths: list, ties: list, digests: list, before: dict | None = None, after: dict | None = None) -> list[tuple]:
+    """For pages in order of (host, path, tie): the nearest before and after of the same host with another digest, as (path, tie, digest) or None.
+
+    before is the last page ahead of these, after the first one behind them, each with its host and the nearest other page beyond.
+    """
+    out = []
+    for walk, edge in ((range(len(hosts)), before), (range(len(hosts) - 1, -1, -1), after)):
+        found = [None] * len(hosts)
+        host, last, other = (edge["host"], edge["page"], edge["other"]) if edge else (None, None, None)
+        for i in walk:
+            if hosts[i] != host:
+                host, last, other = hosts[i], None, None
+            if last is not None and last[2] != digests[i]:
+                other = last
+            found[i], last = other, (paths[i], ties[i], digests[i])
+        out.append(found)
+    return list(zip(*out, strict=True))
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_bytes: int = 8 << 20) -> DataFrame:
-    """(id, url, text, n_chars): the main text of each whole page; blocks are joined by two line feeds.
+    """(id, url, text, n_chars, n_shared): the main text of each whole page; blocks are joined by two line feeds.
 
     Method. Pages of a host are paired by path: in the order of paths each page is compared with the next page before or after it
-    that has other lines (copies and empty pages are passed over), the one whose path has the longer start in common.
-    Elements and names that stand for menus, headers, footers, sidebars, notices,
-    adverts, forms, scripts, styles and comments go first. The text lines left outside of an article or main element are aligned
-    with the neighbour's by a longest common subsequence, and shared lines are deleted. Lines in an article or main element are
-    evidence of text and always stay, so that two pages with the same article lose nothing; lines outside stay unless shared.
+    that has other lines (copies and empty pages are passed over), the one whose path has the longer start in common. All lines
+    that stand outside of an article or main element, menus, headers and footers as well as the rest, are aligned with the
+    neighbour's by a longest common subsequence, and shared lines are deleted; n_shared tells how many. What a page's own marks
+    name as menus, headers, footers, sidebars, notices, adverts, forms and comments goes too, as such lines often differ from page
+    to page. Lines in an article or main element always stay, so that pages with the same passage in their articles keep it.
 
-    Hosts are cut where their pages exceed group_bytes, into slices of that order, which is what a task holds at once. A page's
-    two neighbours are looked for over the whole host and sent to its slice too, so the size of slices changes no result.
+    Pages are parsed once, where they are read, and written as lines. Neighbours are found on keys alone (host, path, digest),
+    sorted over all hosts in slices of about group_bytes; of the pages at a slice's edges, and of the nearest other page beyond
+    them, the next slice knows the keys, so the size of slices changes no result and a host may hold all pages. Then a
+    neighbour's lines outside of its article, which are few, are joined to the page.
 
     Null html is an empty page with empty text. A null or bad url counts as an empty host and path. Rows that repeat are pages
     of their own. Empty tables give no rows; other columns are not read.
     """
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"))
-    rows = rows.withColumn("tie", F.xxhash64("id", "html"))
-    size = F.coalesce(F.octet_length("html"), F.lit(0))
-    large = stored(rows.groupBy("host").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > group_bytes).select("host"), "large-hosts")
+    spark = pages.sparkSession
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.xxhash64(id_col, html_col).alias("tie"), F.col(html_col).alias("html"))
+    kind = pages.schema[id_col].dataType.simpleString()
 
-    def digests(batches):
+    def parse(batches):
         for b in batches:
-            found = [_digest(page_lines(x) if x else []) for x in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("host", "path", "tie", "bytes")), pa.array(found, pa.int64())], names=["host", "path", "tie", "bytes", "digest"])
-
-    keys = rows.join(large, "host", "left_semi").select("host", "path", "tie", size.cast("long").alias("bytes"), "html").mapInArrow(digests, "host string, path string, tie long, bytes long, digest long")
-    on, back = (Window.partitionBy("host").orderBy(*order) for order in (("path", "tie"), (F.desc("path"), F.desc("tie"))))
-    keys = keys.withColumn("slice", F.floor(F.sum("bytes").over(on) / group_bytes))  # rows with one key end in one slice
-    keys = stored(keys.withColumn("slice", F.dense_rank().over(Window.partitionBy("host").orderBy("slice"))), "large-host-pages")
-    near = keys.where("digest is not null")
-    for name, w in (("before", on), ("after", back)):
-        last = F.lag(F.struct("path", "tie", "digest", "slice")).over(w)
-        near = near.withColumn("_last", last).withColumn(name, F.last(F.when(F.col("_last.digest") != F.col("digest"), F.col("_last")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    guests = near.select("host", F.col("slice").alias("to"), F.explode(F.array("before", "after")).alias("x")).where("x.slice <> to")
-    guests = guests.groupBy("host").agg(F.collect_set(F.struct("x.path", "x.tie", F.col("to").alias("slice"))).alias("guests"))
-    cuts = keys.groupBy("host", "slice").agg(F.min(F.struct("path", "tie")).alias("cut")).groupBy("host").agg(F.collect_set("cut").alias("cuts"))
-    slices = stored(cuts.join(guests, "host", "left"), "slices")
-    here = F.struct("path", "tie")
-    own = F.coalesce(F.size(F.filter("cuts", lambda c: c <= here)), F.lit(0))
-    own = F.when(F.col("cuts").isNull(), 0).otherwise(own)
-    more = F.transform(F.filter("guests", lambda g: (g["path"] == F.col("path")) & (g["tie"] == F.col("tie"))), lambda g: F.struct(g["slice"].alias("slice"), F.lit(True).alias("guest")))
-    places = F.concat(F.array(F.struct(own.alias("slice"), F.lit(False).alias("guest"))), F.coalesce(more, F.array().cast("array<struct<slice:int,guest:boolean>>")))
-    key = rows.join(slices, "host", "left").select("id", "url", "host", "path", "tie", "html", F.explode(places).alias("x"))
-    key = key.select("id", "url", "path", "tie", "html", F.col("x.guest").alias("guest"), F.xxhash64("host", "x.slice").alias("group"))
-
-    def extract(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("path", "ascending"), ("tie", "ascending")])
-        paths = table["path"].to_pylist()
-        lines = [page_lines(x) if x else [] for x in table["html"].to_pylist()]
-        full = [i for i, x in enumerate(lines) if x]
-        same = [_digest(lines[i]) for i in full]
-        near: dict[int, list[int]] = {i: [] for i in full}
-        for step in (1, -1):
-            walk, before = range(len(full))[::step], None
-            for k in walk:
-                last = k - step
-                if 0 <= last < len(full):
-                    before = before if same[last] == same[k] else full[last]
-                if before is not None:
-                    near[full[k]].append(before)
-        out = []
-        for i, own in enumerate(lines):
-            best = max(near.get(i, ()), key=lambda j: _likeness(paths[i], paths[j]), default=None)
-            out.append(main_text(own, None if best is None else lines[best]))
-        done = pa.table({"id": table["id"], "url": table["url"], "text": pa.array(out, pa.string()), "n_chars": pa.array([len(x) for x in out], pa.int64())})
-        return done.filter(pc.invert(table["guest"]))
-
-    kind = pages.schema[id_col].dataType.simpleString()
-    done = key.groupBy("group").applyInArrow(extract, f"id {kind}, url string, text string, n_chars long")
-    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+            lines = [all_lines(x) if x else [] for x in b.column("html").to_pylist()]
+            digests = [_digest([(x, article) for x, article, furniture in page if not furniture]) for page in lines]
+            part = lambda inside: pa.array([[x for x, article, _ in page if article == inside] for page in lines], pa.list_(pa.string()))  # noqa: E731, B023
+            marks = pa.array([bytes(article + 2 * furniture for _, article, furniture in page) for page in lines], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "url", "host", "path", "tie")), pa.array(digests, pa.int64()), part(True), part(False), marks], names=["id", "url", "host", "path", "tie", "digest", "inside", "outside", "marks"])
+
+    parsed = stored(rows.mapInArrow(parse, PARSED.format(kind)), "page-lines")
+    key = ["host", "path", "tie"]
+    full = parsed.where("digest is not null")
+    size = full.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 24), F.count("*")).first()
+    slices = max(-(-(size[0] or 0) // group_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size[1] // 1024)), 1)
+    keys = full.select(*key, "digest").distinct().repartitionByRange(slices, *key)
+    keys = stored(keys.select(F.spark_partition_id().alias("pid"), *key, "digest"), "page-keys")  # a slice's number holds as it is written once
+
+    def columns(table: pa.Table) -> list[list]:
+        table = table.sort_by([(c, "ascending") for c in key])
+        return [table[c].to_pylist() for c in (*key, "digest")]
+
+    def edges(table: pa.Table) -> pa.Table:
+        host, path, tie, digest = columns(table)
+        near, pid, names = nearest(host, path, tie, digest), table["pid"][0].as_py(), ("path", "tie", "digest")
+        ends = [("head", 0, near[0][1]), ("tail", len(host) - 1, near[-1][0])]
+        return pa.table({
+            "pid": pa.array([pid] * 2, pa.int32()), "side": [side for side, _, _ in ends], "host": pa.array([host[i] for _, i, _ in ends], pa.string()),
+            "page": pa.array([dict(zip(names, (path[i], tie[i], digest[i]), strict=True)) for _, i, _ in ends], _TYPE), "other": pa.array([x and dict(zip(names, x, strict=True)) for _, _, x in ends], _TYPE),
+        })
+
+    # two rows for each slice: its first and last page, with the nearest other page of the host in the slice and then beyond it
+    ends = stored(keys.groupBy("pid").applyInArrow(edges, _EDGE), "slice-edges")
+    beyond = None
+    for side, order in (("tail", [F.col("pid"), F.col("side")]), ("head", [F.desc("pid"), F.desc("side")])):
+        w = Window.partitionBy("host").orderBy(*order)
+        last = F.lag("page").over(Window.partitionBy("host", "side").orderBy(*order))
+        x = ends.withColumn("_near", F.coalesce("other", F.when(last["digest"] != F.col("page.digest"), last)))
+        x = x.withColumn("other", F.last(F.when(F.col("side") == side, F.col("_near")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        x = x.withColumn("_lent", F.last(F.when(F.col("side") == side, F.struct("page", "other")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        x = x.where((F.col("side") != side) & F.col("_lent").isNotNull()).select("pid", "side", "host", "_lent.page", "_lent.other")
+        beyond = x if beyond is None else beyond.unionByName(x)
+
+    def partners(table: pa.Table, lent: pa.Table) -> pa.Table:
+        host, path, tie, digest = columns(table)
+        known = {r["side"]: {"host": r["host"], **{k: r[k] and tuple(r[k].values()) for k in ("page", "other")}} for r in lent.to_pylist()}
+        best = [max((x for x in pair if x), key=lambda x: _likeness(path[i], x[0]), default=None) for i, pair in enumerate(nearest(host, path, tie, digest, known.get("head"), known.get("tail")))]  # noqa: B023
+        at = [i for i, x in enumerate(best) if x]
+        take = lambda c: [c[i] for i in at]
+        return pa.table({"host": pa.array(take(host), pa.string()), "path": pa.array(take(path), pa.string()), "tie": pa.array(take(tie), pa.int64()), "partner_path": pa.array([best[i][0] for i in at], pa.string()), "partner_tie": pa.array([best[i][1] for i in at], pa.int64())})
+
+    near = stored(keys.groupBy("pid").cogroup(beyond.groupBy("pid")).applyInArrow(partners, _NEAR), "neighbours")
+    lines = full.groupBy(*key).agg(F.first("outside").alias("_other")).where(F.size("_other") > 0).select("host", F.col("path").alias("partner_path"), F.col("tie").alias("partner_tie"), "_other")
+    near = near.join(lines, ["host", "partner_path", "partner_tie"]).select(*key, "_other")
+    joined = parsed.join(near, key, "left").select("id", "url", "inside", "outside", "marks", "_other")
+
+    def difference(batches):
+        for b in batches:
+            out = []
+            for inside, outside, marks, other in zip(*(b.column(c).to_pylist() for c in ("inside", "outside", "marks", "_other")), strict=True):
+                parts = (iter(outside), iter(inside))
+                out.append(differenced([(next(parts[m & 1]), bool(m & 1), bool(m & 2)) for m in marks], other))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array([x for x, _ in out], pa.string()), pa.array([len(x) for x, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], names=["id", "url", "text", "n_chars", "n_shared"])
+
+    done = joined.mapInArrow(difference, f"id {kind}, url string, text string, n_chars long, n_shared long")
+    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars", "n_shared")
