@@ -122,7 +122,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # one node for each set; least is the smallest id that has it
     full = found.where("n > 0 and id is not null")
-    named = full.groupBy("name").agg(F.min("id").alias("least"))
+    named = stored(full.groupBy("name").agg(F.min("id").alias("least")), "names")
     same = full.select("id", "name").join(named, "name").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     same = stored(same, "copies")
     bodies = found.where("tokens is not null").select("name", "n", "known", "common", "signature", "take", "tokens", "levels", "body").dropDuplicates(["name"]).join(named, "name").drop("name")
