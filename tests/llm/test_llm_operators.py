@@ -122,6 +122,41 @@ def test_suffix_dedup(docs, length):
     assert suffixes.suffix_dedup(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize(("length", "v"), [(40, 7), (400, 133), (64, 21), (5, 1)])
+def test_suffixes_of_a_bucket_are_in_the_order_of_their_bytes(length, v):
+    rng = np.random.default_rng(1)
+    base = bytes(rng.integers(97, 100, 2000).astype(np.uint8))
+    parts, residue = [b"ab" * (length + 20), b"ab" * (length + 20) + b"c", b"a" * length], [0, v // 2, 0]
+    for _ in range(40):
+        a, n = int(rng.integers(0, 1200)), int(rng.integers(length, length + 300))
+        b = bytearray(base[a : a + n])
+        if rng.random() < 0.3:
+            b[int(rng.integers(0, len(b)))] = 120
+        parts.append(bytes(b))
+        residue.append(int(rng.integers(0, v)))
+    off = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    place, kind = suffixes.suffix_classes(data, off, np.array(residue), length, v)
+    strings = [data.tobytes()[p : p + length] for p in place]
+    rank = {x: i for i, x in enumerate(sorted(set(strings)))}
+    assert len(place) == sum(len(x) - length + 1 for x in parts) and [rank[x] for x in strings] == kind.tolist()
+
+
+def test_hash_collisions_remove_nothing(spark, monkeypatch):
+    """Where all samples, anchors and slices meet, bytes still decide."""
+    monkeypatch.setattr(suffixes.Rolling, "hash", lambda self, start, end: np.zeros(len(start), np.uint64))
+    data, off = np.frombuffer(b"abcdefghij" * 9 + b"klmnopqrst" * 9, np.uint8), np.array([0, 90, 180])
+    place, kind = suffixes.suffix_classes(data, off, np.array([0, 3]), 40, 7)
+    assert len(set(kind[:51].tolist()) & set(kind[51:].tolist())) == 0 and len(place) == 102
+
+
+def test_suffix_dedup_keeps_whole_characters(spark):
+    p = "é" * 10 + "x" * 30
+    df = spark.createDataFrame([(1, "aĩ" + p[1:]), (2, "b" + p), (None, None), (3, p[:20]), (3, p[:20])], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_removed, r.text) for r in suffixes.suffix_dedup_digest(df, min_bytes=20, block_bytes=64).collect())
+    assert got == [("1", 49, "a"), ("2", 50, "b"), ("3", 30, ""), ("3", 30, ""), ("None", 0, "")]  # one byte of the second character stays
+
+
 def test_covers():
     assert all(suffixes.is_cover(v, c) for v, c in suffixes.COVERS.items())
 
@@ -458,6 +493,51 @@ def test_neighbours_do_not_depend_on_group_bytes_or_copies(spark):
         assert got == sorted(want), size
 
 
+def test_neighbours_of_many_slices_and_runs_of_copies(spark):
+    """Hosts that end in a slice, span many, or are all copies: neighbours are those of a plain search."""
+    rng = np.random.default_rng(4)
+    data = []
+    for i in range(120):
+        host, body = "abc"[int(rng.integers(0, 3))], int(rng.integers(0, 3)) if rng.random() < 0.8 else i
+        data.append((i, f"http://{host}/{'x' if rng.random() < 0.5 else 'y'}/{int(rng.integers(0, 60)):02}", f"<div>site</div><p>own {body}</p><div>{'even' if i % 2 else 'odd'}</div>"))
+    data += [(200 + i, f"http://copies/{i}", "<p>same</p>") for i in range(20)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    keys = {(r.page_id): (r.url.split("/")[2], "/" + r.url.split("/", 3)[3], r.tie) for r in df.withColumn("tie", F.xxhash64("page_id", "html")).collect()}
+    order = sorted(data, key=lambda r: (keys[r[0]][0].encode(), keys[r[0]][1].encode(), keys[r[0]][2]))
+    want = {}
+    for i, (page, _, body) in enumerate(order):
+        host, path, _ = keys[page]
+        near = [next((r for r in side if keys[r[0]][0] == host and r[2] != body), None) for side in (order[:i][::-1], order[i + 1 :])]
+        best = max((r for r in near if r), key=lambda r: html_text._likeness(path, keys[r[0]][1]), default=None)
+        want[page] = html_text.main_text(html_text.page_lines(body), best and html_text.page_lines(best[2]))
+    for size in (8 << 20, 700, 30):
+        assert {r.page_id: r.text for r in html_text.extract_text(df, group_bytes=size).collect()} == want, size
+
+
+def test_a_neighbour_changes_the_result(spark):
+    page = "<div>site name</div><header>top</header><p>own {0}</p><ul><li>one<li>two</ul><div>all rights</div>"
+    rows = [(i, f"http://h/{i}", page.format(i)) for i in (1, 2)]
+    get = lambda x: {r.page_id: (r.text, r.n_shared) for r in html_text.extract_text(spark.createDataFrame(x, "page_id long, url string, html string")).collect()}
+    assert get(rows) == {1: ("own 1", 5), 2: ("own 2", 5)}
+    assert get(rows[:1]) == {1: ("site name\n\nown 1\n\none\n\ntwo\n\nall rights", 0)}
+    assert get([rows[0], (3, "http://h/3", rows[0][2])])[1] == get(rows[:1])[1]  # a copy is no neighbour
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a ="', "<a ='", "<!", "<!--", "<", "</", "<a b=\"x\" ", "<div></span>", "<div>", "<b></i>", "<p><b>", "&#" + "9" * 30, "<script>", "<a>'", "class=", "<li><div><b>", '<a class="ad" ', "&", "<form><article>"])
+def test_pages_are_parsed_in_linear_time(piece):
+    start = time.monotonic()
+    html_text.all_lines(piece * (1_000_000 // len(piece)))
+    assert time.monotonic() - start < 20
+
+
+def test_odd_markup():
+    plain = lambda x: [t for t, _ in html_text.page_lines(x)]
+    assert plain("<p>a<p title=\"x > y\">b<p don't>c") == ["a", "b", "c"]
+    assert plain("<p>a &#" + "9" * 6000 + "; &#" + "0" * 6000 + "65; &#x" + "f" * 6000 + ";") == ["a \ufffd A \ufffd"]
+    assert plain("text <b unclosed") == ["text"]
+    assert plain("<li><b>x<div><i><li>y</li></i></div>") == ["x", "y"]
+
+
 def test_differencing_decides_outside_of_articles():
     page = "<div>site name</div><div>body {0}</div><div>more {0}</div><article>teaser {0}</article><div>all rights</div>"
     lines = [html_text.page_lines(page.format(i)) for i in (1, 2)]
