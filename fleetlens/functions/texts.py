@@ -44,9 +44,9 @@ def undashed(c: Column | str) -> Column:
     return F.regexp_replace(col(c), "^--", "")
 
 
-def decode(c: Column | str, names: dict, default: str = "Unknown") -> Column:
+def decode(c: Column | str, names: dict, default: str | None = "Unknown") -> Column:
     """names[c], else default."""
-    out = F.lit(default)
+    out = F.lit(default).cast("string")
     for k, v in reversed(names.items()):
         out = F.when(col(c) == k, v).otherwise(out)
     return out
@@ -55,6 +55,9 @@ def decode(c: Column | str, names: dict, default: str = "Unknown") -> Column:
 #: Codes of the telemetry tables.
 QUEUE_STATUS = {-1: "Not executed", 0: "Failed", 1: "Succeded", 2: "Retry", 3: "Canceled", 4: "In progress"}
 EVENT_TYPE = {0: "info", 1: "alert", 2: "job-history", 3: "report-html", 4: "action", 5: "backup-job-history", 6: "alert-custom"}
+OS_LOG = {1: "Application", 2: "System", 3: "Setup"}
+OS_LEVEL = {1: "Critical", 2: "Error", 3: "Warning", 4: "Information"}
+SUBJECT = {0: "info", 1: "alert", 2: "job status", 3: "report", 4: "action", 5: "job status", 6: "alert"}
 RECOVERY_MODEL = {1: "FULL", 2: "BULK_LOGGED", 3: "SIMPLE"}
 PAGE_VERIFY = {0: "NONE", 1: "TORN_PAGE_DETECTION", 2: "CHECKSUM"}
 WEEKDAY_BITS = {1: "Sunday", 2: "Monday", 4: "Tuesday", 8: "Wednesday", 16: "Thursday", 32: "Friday", 64: "Saturday"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.measures import growth_percent
@@ -26,23 +26,35 @@ def frequent_maintenance(events: DataFrame, keys: list[str], time: str, tie: str
 
 
 def paired_actions(info: DataFrame, actions: DataFrame, keys: list[str], time: str, tolerance_seconds: int | None = None) -> DataFrame:
-    """Info rows with the action of the same object; the nearest within the tolerance, or with None every one."""
+    """Info rows with the action of the same object; the nearest within the tolerance, or with None every one.
+
+    Within a tolerance time is cut in buckets of that length, and a row meets actions of its bucket and the two beside it only.
+    Equal info rows have the same nearest action: they are paired as one, and each comes out.
+    """
     a = actions.select(*keys, F.col(time).alias("action_time"))
-    x = info.join(a, keys)
     if tolerance_seconds is None:
-        return x
-    far = F.abs(F.unix_micros(F.col("action_time").cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp")))
-    w = Window.partitionBy(*info.columns).orderBy(far, "action_time")
-    return x.where(far <= tolerance_seconds * 1_000_000).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        return info.join(a, keys)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    bucket = lambda c: F.floor(micros(c) / (tolerance_seconds * 1_000_000))
+    x = info.groupBy(*info.columns).agg(F.count("*").alias("_copies")).withColumn("_bucket", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: bucket(time) + i)))
+    far = F.abs(micros("action_time") - micros(time))
+    x = x.join(a.distinct().withColumn("_bucket", bucket("action_time")), [*keys, "_bucket"]).where(far <= tolerance_seconds * 1_000_000)
+    x = x.groupBy(*info.columns, "_copies").agg(F.min_by("action_time", F.struct(far, F.col("action_time"))).alias("action_time"))
+    return x.select(*info.columns, "action_time", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 
 def backup_capacity(details: DataFrame, backups: DataFrame, keys: list[str], size: Column, file: str, kind: str, bytes_: Column, kinds: dict[str, str]) -> DataFrame:
-    """Members and their size, with backup files and bytes of each kind; sides are summed on their own and joined null-safe."""
+    """Members and their size, with backup files and bytes of each kind; sides are summed on their own and joined null-safe.
+
+    Backups are summed by key, file and kind first, so that distinct files are counted without a second copy of the rows.
+    """
     left = details.groupBy(*keys).agg(F.count("*").alias("n_members"), F.sum(size).alias("size_total"))
+    each = backups.groupBy(*keys, file, kind).agg(F.sum(bytes_).alias("_bytes"), F.count(file).alias("_files"))
     sums = []
     for k, name in kinds.items():
-        sums += [F.sum(F.when(F.col(kind) == k, bytes_)).alias(f"{name}_bytes"), F.count(F.when(F.col(kind) == k, F.col(file))).alias(f"{name}_files")]
-    right = backups.groupBy(*keys).agg(F.count_distinct(file).alias("n_files"), *sums)
+        sums += [F.sum(F.when(F.col(kind) == k, F.col("_bytes"))).alias(f"{name}_bytes"), F.sum(F.when(F.col(kind) == k, F.col("_files"))).alias(f"{name}_files")]
+    each = each.groupBy(*keys, file).agg(*sums)
+    right = each.groupBy(*keys).agg(F.count(file).alias("n_files"), *(F.sum(f"{name}_{x}").alias(f"{name}_{x}") for name in kinds.values() for x in ("bytes", "files")))
     on = [left[k].eqNullSafe(right[k]) for k in keys]
     x = left.join(right, on, "left").select(*(left[k] for k in keys), "n_members", "size_total", *(right[c] for c in right.columns if c not in keys))
     return x.na.fill(0)
@@ -57,10 +69,9 @@ def replica_fallback(members: DataFrame, group: list[str], role: str, primary: s
 def space_by_owner(files: DataFrame, owner: list[str], is_log: Column, size: str, used: str, mount: str) -> DataFrame:
     """Data and log size and used percent (0 for no size) and the mount points of each owner."""
     s, u = exact(size), exact(used)
-    x = files.groupBy(*owner).agg(
-        *(F.coalesce(F.sum(F.when(c, v)), F.lit(0)).alias(n) for c, v, n in ((~is_log, s, "data_size"), (is_log, s, "log_size"), (~is_log, u, "_du"), (is_log, u, "_lu"))),
-        F.array_join(F.sort_array(F.collect_set(mount)), ", ").alias("mount_points"),
-    )
+    parts = ((~is_log, s, "data_size"), (is_log, s, "log_size"), (~is_log, u, "_du"), (is_log, u, "_lu"))
+    x = files.groupBy(*owner, mount).agg(*(F.sum(F.when(c, v)).alias(n) for c, v, n in parts))  # mounts are distinct before they are listed
+    x = x.groupBy(*owner).agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for _, _, n in parts), F.array_join(F.sort_array(F.collect_list(mount)), ", ").alias("mount_points"))
     pct = lambda a, b: F.when(F.col(b) != 0, F.round(F.col(a).cast("double") * 100 / F.col(b).cast("double"), 2)).otherwise(0.0)
     return x.select(*owner, F.col("data_size").cast("double").alias("data_size"), F.col("log_size").cast("double").alias("log_size"), pct("_du", "data_size").alias("data_used_percent"), pct("_lu", "log_size").alias("log_used_percent"), "mount_points")
 
@@ -77,6 +88,15 @@ def prefix_attribution(items: DataFrame, path: str, prefixes: DataFrame, prefix:
     return items.join(best, items[path] == best["_path"], "left").drop("_path")
 
 
+def size_with_fallback(members: DataFrame, measured: DataFrame, key: list[str], group: list[str], parts: list[str], fallback: str) -> DataFrame:
+    """Size by group: the sum of a member's parts, or where one of them is null its fallback measure of another table."""
+    own = F.col(parts[0])
+    for p in parts[1:]:
+        own = own + F.col(p)
+    x = members.join(measured.select(*key, F.col(fallback).alias("_fallback")), key, "left")
+    return x.groupBy(*group).agg(F.sum(F.coalesce(own, "_fallback")).alias("size_total"), F.count(F.when(own.isNull(), 1)).alias("n_fallback"))
+
+
 def last_event_or_null(members: DataFrame, events: DataFrame, keys: list[str], time: str, name: str, sentinel: str = "1900-01-01") -> DataFrame:
     """Each member with its last event; the sentinel date stands for never and becomes null."""
     last = events.groupBy(*keys).agg(F.max(time).alias(name))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import texts
+from fleetlens.sources.tables import shred
 
 
 def projects(project: DataFrame, solution: DataFrame) -> DataFrame:
@@ -39,6 +40,33 @@ def of_instance(facts: DataFrame, instance: DataFrame, extra: list[str] | None =
     return facts.join(i, keys)
 
 
+def of_database(facts: DataFrame, instance: DataFrame, database: DataFrame) -> DataFrame:
+    """Fact rows (details, usage) of a catalogued database with its and its instance's name, and the total of data and log size."""
+    i = instance.select(F.col("id").alias("instance_id"), "project_id", F.col("name").alias("instance_name"))
+    b = database.select(F.col("id").alias("catalog_database_id"), "instance_id", "project_id", F.col("name").alias("database_name"), F.col("active").alias("database_active"))
+    x = facts.join(b, ["catalog_database_id", "instance_id"]).join(i, ["instance_id", "project_id"])
+    return x.withColumn("size_mb", F.col("data_size_mb") + F.col("log_size_mb"))
+
+
+def os_events(facts: DataFrame, instance: DataFrame) -> DataFrame:
+    """Events of operating systems, by instance, project and machine, with their log and level as text (null for others)."""
+    x = of_instance(facts, instance, ["machine_id"])
+    return x.withColumns({"log_type_desc": texts.decode("log_type_id", texts.OS_LOG, None), "level_desc": texts.decode("level_id", texts.OS_LEVEL, None)})
+
+
+def task_schedule(schedule: DataFrame, task: DataFrame, project: DataFrame) -> DataFrame:
+    """Scheduled weekdays with their task, and the project if it is not the default row."""
+    t = task.select(F.col("id").alias("task_id"), F.col("descriptor").alias("job_descriptor"), "task_name")
+    p = project.select(F.col("id").alias("project_id"), F.col("code").alias("project_code"))
+    return schedule.join(t, "task_id").join(p, "project_id", "left")
+
+
+def object_skip_list(skip: DataFrame, task: DataFrame) -> DataFrame:
+    """Objects that a task leaves out, with the task's name and flags."""
+    t = task.select(F.col("id").alias("task_id"), F.col("descriptor").alias("job_descriptor"), "task_name", "flg_actions")
+    return skip.join(t, "task_id")
+
+
 def job_queue(queue: DataFrame, instance: DataFrame) -> DataFrame:
     """Queue rows with the name of the instance they run for (null for an unknown one) and the status as text."""
     i = instance.select(F.col("id").alias("for_instance_id"), F.col("name").alias("for_instance_name"))
@@ -76,9 +104,11 @@ def either_key(left: DataFrame, right: DataFrame, by_id: tuple[str, str], by_nam
     return a.unionByName(b)
 
 
-def events(log: DataFrame, instance: DataFrame) -> DataFrame:
+def events(log: DataFrame, instance: DataFrame, payload: str | None = None, schema: str | None = None) -> DataFrame:
+    """Logged events with their instance (null for an unknown one) and type as text, and the fields of an XML payload."""
     i = instance.select(F.col("id").alias("instance_id"), "project_id", F.col("name").alias("instance_name"))
-    return log.join(i, ["instance_id", "project_id"], "left").withColumn("event_type_desc", texts.decode("event_type", texts.EVENT_TYPE))
+    x = log.join(i, ["instance_id", "project_id"], "left").withColumn("event_type_desc", texts.decode("event_type", texts.EVENT_TYPE))
+    return shred(x, payload, schema) if payload else x
 
 
 def database_details(details: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import enum
+import itertools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,10 @@ class Sections(enum.IntFlag):
     GROWTH = 128
 
 
+#: Patterns that one expression may have.
+MOST_PATTERNS = 1000
+
+
 def member_filter(df: DataFrame, column: str, pattern: str = "%") -> DataFrame:
     """Members whose name matches a pattern with % and _, without regard to case."""
     return df if pattern == "%" else df.where(F.col(column).ilike(pattern))
@@ -57,15 +62,26 @@ def skip_rules(df: DataFrame, rules: DataFrame, rule_id: int, keys: list[str], k
 
 
 def skip_rules_wild(df: DataFrame, rules: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
-    """Skip rules whose skip_value may be %, for all, and whose skip_value2 equals or is a pattern for one of texts."""
+    """Skip rules whose skip_value may be %, for all, and whose skip_value2 equals or is a pattern for one of texts.
+
+    Rules that name a member are equi-joined, key by key, and the pattern is a condition of that join. Those for all members, of
+    which there may be MOST_PATTERNS, become one expression; more are an error, as each costs every row a test.
+    """
     live = rules.where("active").select(F.lower("skip_value").alias("_k1"), F.lower("skip_value2").alias("_k2")).distinct()
-    first = F.expr("_k1 = '%'")
-    for k in keys:
-        first = first | (F.lower(F.col(k)) == F.col("_k1"))
+    for_all = [r[0] for r in live.where("_k1 = '%'").select("_k2").limit(MOST_PATTERNS + 1).collect()]
+    if len(for_all) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} skip rules for all members")
+    hit = F.lit(any(p is None for p in for_all))
+    for p in (p for p in for_all if p is not None):
+        for t in texts:
+            hit = hit | F.coalesce(F.lower(F.col(t)).like(p), F.lit(False))
+    df = df.where(~hit)
     second = F.col("_k2").isNull()
     for t in texts:
         second = second | F.coalesce(F.like(F.lower(F.col(t)), F.col("_k2")), F.lit(False))
-    return df.join(live, first & second, "left_anti")
+    for k in keys:
+        df = df.join(live.where("_k1 <> '%'"), (F.lower(F.col(k)) == F.col("_k1")) & second, "left_anti")
+    return df
 
 
 def skip_rules_label(df: DataFrame, rules: DataFrame, server: str, database: str, publication: str) -> DataFrame:
@@ -81,11 +97,25 @@ def like_to_regex(pattern: str) -> str:
 
 
 def pattern_suppression(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
-    """Drops rows whose text matches a pattern: one compiled alternation, so a log of any length is read once. Null texts stay."""
+    """Drops rows whose text matches a pattern, without regard to case. Null texts stay.
+
+    One expression, so a log of any length is read once: a word between %, or before one, is looked for in the lower-cased text,
+    which needs no backtracking; only what is left of patterns is a compiled alternation.
+    """
     if not patterns:
         return df
-    one = "|".join(f"(?:{like_to_regex(p)[5:]})" for p in patterns)
-    return df.where(F.col(text).isNull() | ~F.col(text).rlike("(?is)" + one))
+    low, hit, rest = F.lower(F.col(text)), F.lit(False), []
+    for p in patterns:
+        word = p.strip("%").lower()
+        if "%" in word or "_" in word or not word or p.strip("%") != p[p.startswith("%") : len(p) - p.endswith("%")]:
+            rest.append(f"(?:{like_to_regex(p)[5:]})")
+        elif p.startswith("%"):
+            hit = hit | (low.contains(word) if p.endswith("%") else low.endswith(word))
+        else:
+            hit = hit | (low.startswith(word) if p.endswith("%") else low == word)
+    if rest:
+        hit = hit | F.col(text).rlike("(?is)" + "|".join(rest))
+    return df.where(F.col(text).isNull() | ~hit)
 
 
 def recent(df: DataFrame, utc: str, local: str, hours: int, as_of: str, as_of_local: str | None = None) -> DataFrame:
@@ -95,12 +125,18 @@ def recent(df: DataFrame, utc: str, local: str, hours: int, as_of: str, as_of_lo
 
 
 def flag_subset_skip(df: DataFrame, rules: DataFrame, keys: list[str], flags: int) -> DataFrame:
-    """Drops rows named by a rule all of whose flags are among the flags in force; a null key of a rule fits any."""
+    """Drops rows named by a rule all of whose flags are among the flags in force; a null key of a rule fits any.
+
+    Rules are equi-joined by the keys that they have, a join for each set of such keys; one without keys drops all rows.
+    """
     live = rules.where(F.col("active") & (F.lit(flags).bitwiseAND(F.col("flags")) == F.col("flags")))
-    on = F.lit(True)
-    for k in keys:
-        on = on & (F.col(f"r.{k}").isNull() | (F.col(f"d.{k}") == F.col(f"r.{k}")))
-    return df.alias("d").join(live.alias("r"), on, "left_anti")
+    for named in itertools.product((True, False), repeat=len(keys)):
+        on = [k for k, n in zip(keys, named, strict=True) if n]
+        some = live
+        for k, n in zip(keys, named, strict=True):
+            some = some.where(F.col(k).isNotNull() if n else F.col(k).isNull())
+        df = df.join(some.select(*on).distinct(), on, "left_anti") if on else df.join(F.broadcast(some.select(F.lit(1).alias("_any")).limit(1)), F.lit(True), "left_anti")  # one row
+    return df
 
 
 def admitted_state(state: Column | str, admitted: str) -> Column:

@@ -46,6 +46,11 @@ def top_per_owner(df: DataFrame, owner: list[str], order: list[Column], most: in
     return df.withColumn("row_no", F.row_number().over(Window.partitionBy(*owner).orderBy(*order))).where(F.col("row_no") <= most)
 
 
+def largest(df: DataFrame, value: str, tie: list[str], most: int) -> DataFrame:
+    """The most rows with the largest values of all, in that order."""
+    return df.orderBy(F.col(value).desc(), *tie).limit(most)
+
+
 def last_occurrence(df: DataFrame, keys: list[str], message: str, time: str) -> DataFrame:
     """Last time of each message of a key, and how often it came."""
     return df.groupBy(*keys, message).agg(F.max(time).alias("last_time"), F.count("*").alias("occurrences"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.measures import reclaimable
 from fleetlens.functions.times import day_age
+from fleetlens.operators.capacity import frequent_maintenance
 from fleetlens.operators.filters import Sections, admitted_state, pattern_suppression, recent
 from fleetlens.operators.frames import last_occurrence, position_and_total, top_per_owner
 
@@ -100,7 +101,7 @@ def size_outliers(members: DataFrame, size: str, least: float, used: str | None
     """Members of at least a size (0: the rule is off), largest first, with what could be reclaimed."""
     if not least:
         return members.limit(0)
-    x = members.where(F.col(size) >= least)
+    x = members.where(F.col(size) >= least).orderBy(F.col(size).desc())
     return x.withColumn("reclaimable", reclaimable(size, used)) if used else x
 
 
@@ -119,15 +120,37 @@ def log_ratio(members: DataFrame, log_size: str, data_size: str, ratio: float) -
 
 
 def log_issues(log: DataFrame, owner: str, text: str, utc: str, local: str, patterns: list[str], hours: int, as_of: str, most: int, order: list[Column]) -> DataFrame:
-    """The log's last hours without suppressed texts: row number and count of each owner, the first most rows."""
-    x = position_and_total(pattern_suppression(recent(log, utc, local, hours, as_of), text, patterns), [owner], order)
-    return x.where(F.col("row_no") <= most) if most else x
+    """The log's last hours without suppressed texts: row number and count of each owner, the first most rows (0: all).
+
+    The counts are an aggregation beside the top rows, so that of a large owner no more than most rows of a partition are moved.
+    """
+    x = pattern_suppression(recent(log, utc, local, hours, as_of), text, patterns)
+    if not most:
+        return position_and_total(x, [owner], order)
+    n = x.groupBy(F.col(owner).alias("_owner")).agg(F.count("*").alias("row_count"))
+    return top_per_owner(x, [owner], order, most).join(n, F.col(owner).eqNullSafe(F.col("_owner"))).drop("_owner")
 
 
 def complete_detail(facts: DataFrame, owner: list[str], order: list[Column]) -> DataFrame:
     return position_and_total(facts, owner, order)
 
 
+def fragmented_indexes(actions: DataFrame, keys: list[str], time: str, tie: str, action: str, kinds: tuple[str, ...], max_days: int, pages: str, least_pages: int, fill: str, least_fill: int, instance: str) -> tuple[DataFrame, DataFrame]:
+    """(indexes, counts by instance): objects that one of several kinds of maintenance came back to within max_days, each kind for itself, of a size and fill factor at least."""
+    found = None
+    for k in kinds:
+        x = frequent_maintenance(actions.where(F.col(action) == k), keys, time, tie, max_days)
+        found = x if found is None else found.unionByName(x)
+    found = found.where((F.col(pages) >= least_pages) & (F.col(fill) >= least_fill))
+    return found, found.groupBy(instance).agg(F.count("*").alias("index_count"))
+
+
+def jobs_detail(runs: DataFrame, instance: str, columns: list[str], job: str, run: Column, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(detail, runs by instance): distinct rows of jobs with their place in the instance's section; and distinct (job, run) of each instance."""
+    detail = position_and_total(runs.select(instance, *columns).distinct(), [instance], order)
+    return detail, runs.select(instance, job, run.alias("_run")).distinct().groupBy(instance).agg(F.count("*").alias("n_runs"))
+
+
 def disk_detail(volumes: DataFrame, machine: list[str], volume: str, total: str, free: str) -> DataFrame:
     """Largest total and least free of each volume, then summed by machine."""
     x = volumes.groupBy(*machine, volume).agg(F.max(total).alias("_t"), F.min(free).alias("_f"))

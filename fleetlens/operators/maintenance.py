@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.functions.measures import stale
+
 
 def heap_action(fragmentation: Column, deviation: Column, forwarded: Column, rebuild: float, defrag: float) -> Column:
     return F.when((fragmentation >= rebuild) | (deviation >= rebuild) | (forwarded >= defrag), "rebuild").otherwise("none")
@@ -99,16 +101,19 @@ def lsn_number(triple: Column) -> Column:
 
 
 def due_tasks(schedule: DataFrame, projects: DataFrame, day: str) -> DataFrame:
-    """Tasks of a day by project: the project's own row of the schedule, else the default row (null project)."""
+    """Tasks of a day by project: the project's own row of the schedule, else the default row (null project).
+
+    The default tasks that are due go to every project, which is the result asked for; others are left out before that.
+    """
     on = F.col("active") & F.col("scheduled_weekday").isin("Daily", pd.Timestamp(day).day_name())
-    own = schedule.where("project_id is not null").select("project_id", "task_id", on.alias("_own"))
-    default = schedule.where("project_id is null").select("task_id", on.alias("_default"))
-    x = projects.select("project_id").crossJoin(default).join(own, ["project_id", "task_id"], "full")
-    return x.where(F.coalesce("_own", "_default")).select("project_id", "task_id")
+    own = schedule.where("project_id is not null").select("project_id", "task_id", on.alias("_due"))
+    default = schedule.where("project_id is null").where(on).select("task_id")
+    by_default = projects.select("project_id").crossJoin(default).join(own, ["project_id", "task_id"], "left_anti")
+    return by_default.unionByName(own.where("_due").select("project_id", "task_id"))
 
 
 def work_list(members: DataFrame, tasks: DataFrame, skip: DataFrame, queued: DataFrame, keys: list[str]) -> DataFrame:
-    """Members by tasks, less skipped and queued ones."""
+    """Members by tasks, which is the work there may be, less skipped and queued ones; tasks is the short list of what is due."""
     return members.crossJoin(tasks).join(skip, keys, "left_anti").join(queued, keys, "left_anti")
 
 
@@ -120,6 +125,43 @@ def queue_stats(queue: DataFrame, time: str, as_of: str, expire_hours: int, keys
     return queue.groupBy(*keys).agg(n(s == -1, "pending"), n(s == 4, "running"), n(s == 0, "failed"), n(~s.isin(-1, 0, 4), "finished"), n((s == -1) & old, "expired"))
 
 
+def overdue_checks(members: DataFrame, key: str, last_check: str, as_of: str, days: int, unreadable: DataFrame, production: str | None = None) -> DataFrame:
+    """Members whose last check is days old or more, or that never had one, without those that an unreadable replica holds; with production only these."""
+    x = members.where(F.col(production)) if production else members
+    age = F.datediff(F.to_date(F.lit(as_of)), F.to_date(F.col(last_check)))
+    return x.where(F.col(last_check).isNull() | (age >= days)).withColumn("age_days", age).join(unreadable.select(key), key, "left_anti")
+
+
+def starts_per_minute(starts: DataFrame, time: str, heavy: Column) -> DataFrame:
+    """Job starts of each minute, and those that are resource-intensive."""
+    return starts.groupBy(F.date_trunc("minute", time).cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("starts"), F.count(F.when(heavy, 1)).alias("heavy"))
+
+
+def shared_volume_load(pending: DataFrame, running: DataFrame, instance: str, key: str, volumes: str, heavy: str, separator: str = ",") -> DataFrame:
+    """(key, n_running, n_same_volume): for each pending job what runs on its instance, and the resource-intensive jobs of these on one of its volumes.
+
+    Lists of volumes are cut to one row a volume on both sides, so the join is on equal volumes.
+    """
+    cut = lambda df: df.withColumn("_volume", F.explode(F.split(F.col(volumes), separator))).withColumn("_volume", F.trim("_volume"))
+    n = running.groupBy(instance).agg(F.count("*").alias("n_running"))
+    mine = cut(pending.select(instance, F.col(key).alias("_pending"), volumes)).select(instance, "_pending", "_volume").distinct()
+    busy = cut(running.where(heavy).select(instance, F.col(key).alias("_running"), volumes)).select(instance, "_running", "_volume").distinct()
+    same = mine.join(busy, [instance, "_volume"]).select("_pending", "_running").distinct().groupBy("_pending").agg(F.count("*").alias("n_same_volume"))
+    x = pending.select(instance, key).join(n, instance, "left").join(same, F.col(key) == F.col("_pending"), "left")
+    return x.select(key, F.coalesce("n_running", F.lit(0)).alias("n_running"), F.coalesce("n_same_volume", F.lit(0)).alias("n_same_volume"))
+
+
+def ghost_totals(indexes: DataFrame, acted_on: DataFrame, keys: list[str], group: list[str], ghosts: str, least: int) -> DataFrame:
+    """Ghost records of each group over the members that no action was taken on, where they reach a total."""
+    return indexes.join(acted_on.select(*keys), keys, "left_anti").groupBy(*group).agg(F.sum(ghosts).alias("ghosts")).where(F.col("ghosts") >= least)
+
+
+def stale_partitions(statistics: DataFrame, keys: list[str], partition: str, age: Column, rows: Column, changes: Column, most_age: int, percent: float) -> DataFrame:
+    """Incremental statistics by partition: (keys, partitions): the stale ones of each, in order; those without rows do not count."""
+    x = statistics.where((rows > 0) & stale(age, rows, changes, most_age, percent))
+    return x.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_set(partition)), lambda p: p.cast("string")), ",").alias("partitions"), F.count("*").alias("n_stale"))
+
+
 def replica_eligibility(members: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """members with run and reason of the decision table (role, preference, task); no row of it means run.
 

@@ -170,3 +170,15 @@ def growth_events(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "lineitem").withColumn("pages", F.col("l_quantity").cast("long"))
     files = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     return C.growth_events(x, files, ["l_suppkey"], ["l_returnflag"], "pages", "l_shipdate", "1998-01-01")
+
+
+@query("""
+with m as (select s_suppkey, s_nationkey, case when s_suppkey % 3 = 0 then null else s_suppkey * 10 end as data, case when s_suppkey % 5 = 0 then null else s_suppkey end as log from supplier),
+f as (select l_suppkey, sum(cast(l_quantity as bigint)) as q from lineitem where l_linenumber < 4 group by 1)
+select s_nationkey, sum(coalesce(data + log, q)) as size_total, count(*) filter (data + log is null) as n_fallback from m left join f on l_suppkey = s_suppkey group by 1
+""")
+def size_with_fallback(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    m = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.when(k % 3 != 0, k * 10).alias("data"), F.when(k % 5 != 0, k).alias("log"))
+    f = table(spark, d, "lineitem").where("l_linenumber < 4").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
+    return C.size_with_fallback(m, f, ["s_suppkey"], ["s_nationkey"], ["data", "log"], "q")

@@ -87,20 +87,124 @@ def either_key_join(spark: SparkSession, d: str) -> DataFrame:
     return V.either_key(c, s, ("c_custkey", "s_suppkey"), ("c_as", "s_as")).select("c_custkey", "s_suppkey")
 
 
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    return s.select(k.alias("id"), (k % 5).alias("project_id"), F.col("s_name").alias("name"), (F.col("s_acctbal") > 2000).alias("active"), (k % 3).alias("machine_id"))
+
+
+def _databases(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("p_partkey") % 20 + 1
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), i.alias("instance_id"), (i % 5).alias("project_id"), F.col("p_name").alias("name"), (F.col("p_size") > 5).alias("active"))
+
+
+_OF_DATABASE = """
+with f as (select *, case when l_linenumber = 7 then 0 else l_partkey % 20 + 1 end as instance_id from lineitem)
+select l_orderkey, l_linenumber, p_name as database_name, s_name as instance_name, p_size > 5 as database_active, l_quantity + l_tax as size_mb{} from f join part on p_partkey = l_partkey and p_partkey % 20 + 1 = instance_id join supplier on s_suppkey = instance_id
+"""
+
+
+def _database_facts(spark: SparkSession, d: str) -> DataFrame:
+    i = F.when(F.col("l_linenumber") == 7, 0).otherwise(F.col("l_partkey") % 20 + 1)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("catalog_database_id"), i.alias("instance_id"), F.col("l_quantity").alias("data_size_mb"), F.col("l_tax").alias("log_size_mb"), F.col("l_linenumber").alias("recovery_model"), (F.col("l_linenumber") - 1).alias("page_verify_option"))
+
+
+@query(
+    _OF_DATABASE.format(
+        ", case l_linenumber when 1 then 'FULL' when 2 then 'BULK_LOGGED' when 3 then 'SIMPLE' else 'Unknown' end as recovery_model_desc, case l_linenumber - 1 when 0 then 'NONE' when 1 then 'TORN_PAGE_DETECTION' when 2 then 'CHECKSUM' else 'Unknown' end as page_verify_option_desc"
+    )
+)
+def database_details(spark: SparkSession, d: str) -> DataFrame:
+    x = V.database_details(V.of_database(_database_facts(spark, d), _members(spark, d), _databases(spark, d)))
+    return x.select("l_orderkey", "l_linenumber", "database_name", "instance_name", "database_active", "size_mb", "recovery_model_desc", "page_verify_option_desc")
+
+
+@query(_OF_DATABASE.format(""))
+def database_usage_history(spark: SparkSession, d: str) -> DataFrame:
+    return V.of_database(_database_facts(spark, d), _members(spark, d), _databases(spark, d)).select("l_orderkey", "l_linenumber", "database_name", "instance_name", "database_active", "size_mb")
+
+
+_OF_INSTANCE = "s_suppkey = {0} and s_suppkey % 5 = case when {1} % 10 = 0 then -1 else {0} % 5 end"
+
+
+def _facts(spark: SparkSession, d: str, name: str, instance: str, number: str, *columns: str) -> DataFrame:
+    """Rows of a table as facts of instances; each tenth names a project that the instance is not in."""
+    project = F.when(F.col(number) % 10 == 0, -1).otherwise(F.col(instance) % 5)
+    return table(spark, d, name).select(F.col(instance).alias("instance_id"), project.alias("project_id"), number, *columns)
+
+
+@query("select event_id, s_name as instance_name, s_acctbal > 2000 as instance_active, props as message from events join supplier on " + _OF_INSTANCE.format("user_id", "event_id"))
+def collection_errors(spark: SparkSession, d: str) -> DataFrame:
+    return V.of_instance(_facts(spark, d, "events", "user_id", "event_id", "props"), _members(spark, d)).select("event_id", "instance_name", "instance_active", F.col("props").alias("message"))
+
+
+@query("select l_orderkey, l_linenumber, s_name as instance_name, l_extendedprice as total_size_mb, l_discount as percent_available from lineitem join supplier on " + _OF_INSTANCE.format("l_suppkey", "l_orderkey"))
+def disk_space(spark: SparkSession, d: str) -> DataFrame:
+    x = V.of_instance(_facts(spark, d, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"), _members(spark, d))
+    return x.select("l_orderkey", "l_linenumber", "instance_name", F.col("l_extendedprice").alias("total_size_mb"), F.col("l_discount").alias("percent_available"))
+
+
+@query("select event_id, s_name as instance_name, ts as log_date, event_type as text from events join supplier on " + _OF_INSTANCE.format("user_id", "event_id"))
+def errorlog(spark: SparkSession, d: str) -> DataFrame:
+    return V.of_instance(_facts(spark, d, "events", "user_id", "event_id", "ts", "event_type"), _members(spark, d)).select("event_id", "instance_name", F.col("ts").alias("log_date"), F.col("event_type").alias("text"))
+
+
+@query("select o_orderkey, s_name as instance_name, o_orderstatus as last_execution_status, o_orderdate as last_execution from orders join supplier on " + _OF_INSTANCE.format("o_custkey", "o_orderkey"))
+def agent_jobs_history(spark: SparkSession, d: str) -> DataFrame:
+    x = V.of_instance(_facts(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate"), _members(spark, d))
+    return x.select("o_orderkey", "instance_name", F.col("o_orderstatus").alias("last_execution_status"), F.col("o_orderdate").alias("last_execution"))
+
+
+@query(
+    "select event_id, s_name as instance_name, case event_id % 5 when 1 then 'Application' when 2 then 'System' when 3 then 'Setup' end as log_type_desc, case event_id % 6 when 1 then 'Critical' when 2 then 'Error' when 3 then 'Warning' when 4 then 'Information' end as level_desc from events join supplier on s_suppkey % 3 = event_id % 3 and "
+    + _OF_INSTANCE.format("user_id", "event_id")
+)
+def os_events(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    x = _facts(spark, d, "events", "user_id", "event_id").withColumns({"machine_id": k % 3, "log_type_id": k % 5, "level_id": k % 6})
+    return V.os_events(x, _members(spark, d)).select("event_id", "instance_name", "log_type_desc", "level_desc")
+
+
 @query("""
-select l_orderkey, l_linenumber, l_quantity + l_tax as size_mb, case l_linenumber when 1 then 'FULL' when 2 then 'BULK_LOGGED' when 3 then 'SIMPLE' else 'Unknown' end as recovery_model_desc,
-  case l_linenumber - 1 when 0 then 'NONE' when 1 then 'TORN_PAGE_DETECTION' when 2 then 'CHECKSUM' else 'Unknown' end as page_verify_option_desc from lineitem where l_orderkey < 3000
+select p_partkey as id, r_name as task_name, n_name as project_code, p_size > 25 as active from part join region on r_regionkey = p_partkey % 6 left join nation on n_nationkey = case when p_partkey % 4 <> 0 then p_partkey % 25 end
 """)
-def database_details(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "lineitem").where("l_orderkey < 3000").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("data_size_mb"), F.col("l_tax").alias("log_size_mb"), F.col("l_linenumber").alias("recovery_model"), (F.col("l_linenumber") - 1).alias("page_verify_option"))
-    return V.database_details(x).select("l_orderkey", "l_linenumber", "size_mb", "recovery_model_desc", "page_verify_option_desc")
+def task_schedule(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    s = table(spark, d, "part").select(k.alias("id"), (k % 6).alias("task_id"), F.when(k % 4 != 0, k % 25).alias("project_id"), (F.col("p_size") > 25).alias("active"))
+    t = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.lit("d").alias("descriptor"), F.col("r_name").alias("task_name"))
+    p = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("code"))
+    return V.task_schedule(s, t, p).select("id", "task_name", "project_code", "active")
+
 
+@query("select p_partkey as id, p_name as object_name, r_name as task_name, r_regionkey * 2 as flg_actions from part join region on r_regionkey = p_partkey % 6")
+def object_skip_list(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 6).alias("task_id"), F.col("p_name").alias("object_name"))
+    t = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.lit("d").alias("descriptor"), F.col("r_name").alias("task_name"), (F.col("r_regionkey") * 2).alias("flg_actions"))
+    return V.object_skip_list(s, t).select("id", "object_name", "task_name", "flg_actions")
 
-@query("select event_id, s_name as instance_name, case event_id % 9 when 0 then 'info' when 1 then 'alert' when 2 then 'job-history' when 3 then 'report-html' when 4 then 'action' when 5 then 'backup-job-history' when 6 then 'alert-custom' else 'Unknown' end as event_type_desc from events left join supplier on s_suppkey = user_id")
+
+@query("""
+select p_partkey, case when p_size % 2 = 0 then replace('/data/' || p_brand || '\\log', '\\', '/') else replace('/data/' || p_brand || '\\log', '/', '\\') end as path, cast(p_size % 20 as integer) as major, 'dbo' as schema_name, p_brand as object_name,
+  p_name as message, cast(p_retailprice * 1000 as bigint) as took from part
+""".replace("\\\\", "\\"))
+def text_parts(spark: SparkSession, d: str) -> DataFrame:
+    from fleetlens.functions import times
+
+    p, size = table(spark, d, "part"), F.col("p_size")
+    schema, name = texts.two_part_name(F.concat(F.lit("[dbo].["), "p_brand", F.lit("]")))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    end = F.timestamp_millis(F.unix_millis(start) + F.expr("cast(p_retailprice * 1000 as bigint)"))
+    return p.select(
+        "p_partkey", texts.platform_path(F.concat(F.lit("/data/"), "p_brand", F.lit("\\log")), F.when(size % 2 == 0, "Linux").otherwise("Windows")).alias("path"), texts.major_version(F.concat((size % 20).cast("string"), F.lit(".0.1"))).alias("major"),
+        schema.alias("schema_name"), name.alias("object_name"), texts.undashed(F.concat(F.lit("--"), "p_name")).alias("message"), times.millis_between(start, end).alias("took"),
+    )
+
+
+@query("select event_id, value, s_name as instance_name, case event_id % 9 when 0 then 'info' when 1 then 'alert' when 2 then 'job-history' when 3 then 'report-html' when 4 then 'action' when 5 then 'backup-job-history' when 6 then 'alert-custom' else 'Unknown' end as event_type_desc from events left join supplier on s_suppkey = user_id")
 def event_view(spark: SparkSession, d: str) -> DataFrame:
-    log = table(spark, d, "events").select("event_id", F.col("user_id").alias("instance_id"), F.lit(1).alias("project_id"), (F.col("event_id") % 9).alias("event_type"))
+    payload = F.concat(F.lit("<detail><value>"), F.col("value").cast("string"), F.lit("</value></detail>"))
+    log = table(spark, d, "events").select("event_id", F.col("user_id").alias("instance_id"), F.lit(1).alias("project_id"), (F.col("event_id") % 9).alias("event_type"), payload.alias("message"))
     i = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(1).alias("project_id"), F.col("s_name").alias("name"))
-    return V.events(log, i).select("event_id", "instance_name", "event_type_desc")
+    return V.events(log, i, "message", "value double").select("event_id", "value", "instance_name", "event_type_desc")
 
 
 @query("select o_orderkey, case when s_acctbal > 3000 then o_orderstatus else 'INSTANCE OFFLINE' end as synchronization_state_desc from orders join supplier on s_suppkey = o_custkey % 100")

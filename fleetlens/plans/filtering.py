@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.operators import filters as X
-from fleetlens.operators import frames
+from fleetlens.operators import frames, health
 from fleetlens.plans.registry import query, rows, table
 
 _RULES = "('Supplier#000000003', null), ('supplier#000000010', 'NATION_4'), ('NATION_7', null)"
@@ -35,11 +35,11 @@ def skip_rules_wild(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 select o_orderkey from orders where lower('[' || o_orderstatus || '].[' || o_orderpriority || '](' || cast(o_custkey as varchar) || ')') not in
-  (select lower(v) from (values ('[F].[1-URGENT](7)'), ('[o].[2-high](11)')) t(v)) and o_custkey < 40
+  (select lower(v) from (values ('[F].[1-URGENT](7)'), ('[o].[2-high](11)')) t(v))
 """)
 def skip_rules_label(spark: SparkSession, d: str) -> DataFrame:
     r = rows(spark, "skip_value, active", "('[F].[1-URGENT](7)', true), ('[o].[2-high](11)', true)")
-    x = table(spark, d, "orders").where("o_custkey < 40").withColumn("_c", F.col("o_custkey").cast("string"))
+    x = table(spark, d, "orders").withColumn("_c", F.col("o_custkey").cast("string"))
     return X.skip_rules_label(x, r, "o_orderstatus", "o_orderpriority", "_c").select("o_orderkey")
 
 
@@ -63,7 +63,17 @@ def exclude_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_orderkey, o_orderstatus from orders where o_orderstatus not in ('F', 'O')")
 def admitted_state(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where(~X.admitted_state("o_orderstatus", "F, O")).select("o_orderkey", "o_orderstatus")
+    return health.not_admitted(table(spark, d, "orders"), "o_orderstatus", "F, O").select("o_orderkey", "o_orderstatus")
+
+
+@query("select c_custkey from customer where c_name ilike 'CUSTOMER#%_7'")
+def member_filter(spark: SparkSession, d: str) -> DataFrame:
+    return X.member_filter(table(spark, d, "customer"), "c_name", "CUSTOMER#%_7").select("c_custkey")
+
+
+@query("select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber limit 25")
+def largest_rows(spark: SparkSession, d: str) -> DataFrame:
+    return frames.largest(table(spark, d, "lineitem"), "l_extendedprice", ["l_orderkey", "l_linenumber"], 25).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 @query("""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fleetlens.operators import frames
 from fleetlens.operators import health as H
 from fleetlens.operators.filters import Sections
-from fleetlens.plans.registry import query, table
+from fleetlens.plans.registry import place, query, table
+from fleetlens.sources.tables import save_report
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
@@ -175,3 +176,59 @@ def report_index(spark: SparkSession, d: str) -> DataFrame:
         Sections.LOGS: ("logs", lambda: table(spark, d, "events")),
     }
     return H.issue_index(H.report(sections, Sections.BACKUPS | Sections.DISKS))
+
+
+_FRAGMENTED = """
+with e as (select *, lag(ts) over w as before, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as n from events window w as (partition by user_id, event_type order by ts, event_id)),
+x as (select * from e where event_type in ('click', 'view') and n = 1 and before is not null and ceil(date_diff('hour', before, ts) / 24.0) <= 3 and event_id >= 50 and event_id % 100 >= 30)
+"""
+
+
+def _fragmented(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", F.col("event_id").alias("pages"), (F.col("event_id") % 100).alias("fill"), (F.col("user_id") % 10).alias("instance"))
+    return H.fragmented_indexes(e, ["user_id"], "ts", "event_id", "event_type", ("click", "view"), 3, "pages", 50, "fill", 30, "instance")
+
+
+@query(_FRAGMENTED + "select event_id, event_type from x")
+def fragmented_indexes(spark: SparkSession, d: str) -> DataFrame:
+    return _fragmented(spark, d)[0].select("event_id", "event_type")
+
+
+@query(_FRAGMENTED + "select user_id % 10 as instance, count(*) as index_count from x group by 1")
+def fragmented_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _fragmented(spark, d)[1]
+
+
+_JOBS = "with x as (select distinct o_custkey, o_orderpriority, o_orderstatus, o_orderdate from orders)"
+
+
+def _jobs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    order = [F.col(c) for c in ("o_orderpriority", "o_orderdate", "o_orderstatus")]
+    return H.jobs_detail(table(spark, d, "orders"), "o_custkey", ["o_orderpriority", "o_orderstatus", "o_orderdate"], "o_orderpriority", F.to_date("o_orderdate"), order)
+
+
+@query(_JOBS + "select *, row_number() over (partition by o_custkey order by o_orderpriority, o_orderdate, o_orderstatus) as row_no, count(*) over (partition by o_custkey) as row_count from x")
+def jobs_detail(spark: SparkSession, d: str) -> DataFrame:
+    return _jobs(spark, d)[0]
+
+
+@query("select o_custkey, count(distinct (o_orderpriority, cast(o_orderdate as date))) as n_runs from orders group by 1")
+def job_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _jobs(spark, d)[1]
+
+
+@query("""
+select 'backups' as section, count(*) as n_issues from orders where o_orderstatus = 'F' and o_totalprice > 300000
+union all select 'disks', count(*) from supplier where s_acctbal < 2000 union all select 'logs', count(*) from events where event_type = 'error'
+""")
+def saved_report(spark: SparkSession, d: str) -> DataFrame:
+    """All enabled sections written with one row of the run: its issues by section."""
+    sections = {
+        Sections.BACKUPS: ("backups", lambda: table(spark, d, "orders").where("o_orderstatus = 'F' and o_totalprice > 300000")),
+        Sections.DISKS: ("disks", lambda: table(spark, d, "supplier").where("s_acctbal < 2000")),
+        Sections.LOGS: ("logs", lambda: table(spark, d, "events").where("event_type = 'error'")),
+        Sections.GROWTH: ("growth", lambda: table(spark, d, "no_such_table")),
+    }
+    flags, at = Sections.BACKUPS | Sections.DISKS | Sections.LOGS, place(spark)
+    save_report(H.report(sections, flags), at, "fleet", int(flags))
+    return spark.read.parquet(f"{at}/runs").where("build_at is not null and build_duration_ms >= 0").select(F.explode("issues").alias("section", "n_issues"))

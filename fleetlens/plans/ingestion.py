@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators import ingest as I
-from fleetlens.plans.registry import query, table
+from fleetlens.plans.registry import place, query, table
 from fleetlens.sources import tables as S
 
 _DAY = "timestamp '1999-01-01'"
@@ -112,16 +112,16 @@ def payload_shred(spark: SparkSession, d: str) -> DataFrame:
     return S.shred_json(table(spark, d, "events").select("event_id", "props"), "props", "k int").select("event_id", "k")
 
 
-@query("select event_id, event_type, cast(value as decimal(18,2))::double as value from events where event_id % 3 = 0")
+@query("select event_id, event_type, cast(value as decimal(18,2))::double as value from events")
 def xml_shred(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "events").where("event_id % 3 = 0").select("event_id", S.to_payload(["event_type", "value"]).alias("message"))
+    x = table(spark, d, "events").select("event_id", S.to_payload(["event_type", "value"]).alias("message"))
     return S.shred(x, "message", "event_type string, value double").select("event_id", "event_type", "value")
 
 
-@query("select event_id, event_type as \"Level\", cast(user_id as varchar) as \"Id\" from events where event_id % 4 = 0")
+@query("select event_id, event_type as \"Level\", cast(user_id as varchar) as \"Id\" from events")
 def property_pivot(spark: SparkSession, d: str) -> DataFrame:
     p = lambda n, c: F.concat(F.lit(f'<Property Name="{n}">'), F.col(c).cast("string"), F.lit("</Property>"))
-    x = table(spark, d, "events").where("event_id % 4 = 0").select("event_id", F.concat(F.lit("<Object>"), p("Id", "user_id"), p("Level", "event_type"), p("Other", "value"), F.lit("</Object>")).alias("bag"))
+    x = table(spark, d, "events").select("event_id", F.concat(F.lit("<Object>"), p("Id", "user_id"), p("Level", "event_type"), p("Other", "value"), F.lit("</Object>")).alias("bag"))
     return S.pivot_properties(x, ["event_id"], "bag", ["Level", "Id"])
 
 
@@ -158,8 +158,33 @@ def local_to_utc(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", to_utc("ts", 3).alias("utc"))
 
 
-@query("select event_id, i as step_id, event_type || '-' || i as step_name from events, (values (1), (2)) t(i) where event_id % 5 = 0")
+@query("select event_id, i as step_id, event_type || '-' || i as step_name from events, (values (1), (2)) t(i)")
 def job_steps(spark: SparkSession, d: str) -> DataFrame:
     step = lambda i: F.concat(F.lit(f"<step><step_id>{i}</step_id><step_name>"), "event_type", F.lit(f"-{i}</step_name></step>"))
-    x = table(spark, d, "events").where("event_id % 5 = 0").select("event_id", F.concat(F.lit("<history>"), step(1), step(2), F.lit("</history>")).alias("message"))
+    x = table(spark, d, "events").select("event_id", F.concat(F.lit("<history>"), step(1), step(2), F.lit("</history>")).alias("message"))
     return S.step_rows(x, ["event_id"], "message", "step", "step_id: int, step_name: string")
+
+
+@query("select event_id, cast(i as bigint) as object_id, event_type || '-' || i as step_name from events, (values (1), (2), (3)) t(i)")
+def object_positions(spark: SparkSession, d: str) -> DataFrame:
+    step = lambda i: F.concat(F.lit("<step><step_name>"), "event_type", F.lit(f"-{i}</step_name></step>"))
+    x = table(spark, d, "events").select("event_id", F.concat(F.lit("<history>"), step(1), step(2), step(3), F.lit("</history>")).alias("message"))
+    return S.step_rows(x, ["event_id"], "message", "step", "step_name: string", number="object_id")
+
+
+@query("select p_partkey, p_size, p_brand from part")
+def fixed_lines(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat(F.lpad(F.col("p_partkey").cast("string"), 12, " "), F.lpad(F.col("p_size").cast("string"), 6, " "), F.rpad("p_brand", 10, " "))
+    x = S.parse_fixed(table(spark, d, "part").select(line.alias("line")), "line", [("p_partkey", 1, 12, "long"), ("p_size", 13, 6, "int"), ("p_brand", 19, 10, "string")])
+    return x.drop("line")
+
+
+@query("select cast(ts as date) as day, count(*) as n, sum(case when event_type = 'error' then 0 else 1 end) as n_kept from events group by 1")
+def daily_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Days are written, then all with an error are written again without errors: only these change."""
+    e, at = table(spark, d, "events").select("event_id", "ts", "event_type"), place(spark)
+    S.write_daily(e.withColumn("pass", F.lit(1)), "ts", f"{at}/days")
+    again = e.withColumn("bad", F.max((F.col("event_type") == "error").cast("int")).over(Window.partitionBy(F.to_date("ts")))).where("bad = 1").drop("bad")
+    S.write_daily(again.withColumn("pass", F.lit(2)), "ts", f"{at}/days")
+    back = spark.read.parquet(f"{at}/days")
+    return back.groupBy("day").agg(F.count("*").alias("n"), F.sum(F.when(F.col("event_type") == "error", 0).otherwise(1)).alias("n_kept"))

@@ -161,21 +161,25 @@ def due_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select c_custkey, t.task_id from customer cross join (values (1), (2), (8)) t(task_id) where c_nationkey < 5 and not (t.task_id = 2 and c_mktsegment = 'BUILDING') and not exists (select 1 from orders where o_custkey = c_custkey and o_orderkey % 8 = t.task_id)
+select c_custkey, t.task_id from customer cross join (values (1), (2), (8)) t(task_id) where not (t.task_id = 2 and c_mktsegment = 'BUILDING') and not exists (select 1 from orders where o_custkey = c_custkey and o_orderkey % 8 = t.task_id)
 """)
 def work_list(spark: SparkSession, d: str) -> DataFrame:
-    members = table(spark, d, "customer").where("c_nationkey < 5")
+    members = table(spark, d, "customer")
     tasks = rows(spark, "task_id", "(1), (2), (8)")
     skip = members.where("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit(2).alias("task_id"))
     queued = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") % 8).cast("int").alias("task_id"))
     return M.work_list(members.select("c_custkey"), tasks, skip, queued, ["c_custkey", "task_id"])
 
 
-@query("select c_custkey, max(o_orderdate) as last_check from customer join orders on o_custkey = c_custkey where c_mktsegment <> 'BUILDING' group by 1 having date_diff('day', max(o_orderdate), date '2001-08-01') >= 60")
+@query("""
+with m as (select c_custkey, c_nationkey, max(o_orderdate) as last_check from customer left join orders on o_custkey = c_custkey where c_mktsegment <> 'BUILDING' group by all)
+select c_custkey, last_check from m where (last_check is null or date_diff('day', last_check, date '2001-08-01') >= 60) and c_custkey not in (select s_suppkey from supplier where s_acctbal < 3000) and c_nationkey < 20
+""")
 def overdue(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"))
-    x = c.groupBy("c_custkey").agg(F.max("o_orderdate").alias("last_check"))
-    return x.where(times.day_age("last_check", "2001-08-01") >= 60)
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last_check"))
+    m = table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").join(o, "c_custkey", "left").withColumn("production", F.col("c_nationkey") < 20)
+    unreadable = table(spark, d, "supplier").where("s_acctbal < 3000").select(F.col("s_suppkey").alias("c_custkey"))
+    return M.overdue_checks(m, "c_custkey", "last_check", "2001-08-01", 60, unreadable, "production").select("c_custkey", "last_check")
 
 
 @query("select c_custkey, cast(avg(cast(o_totalprice as decimal(18,2))) as decimal(18,4))::double as mean_runtime from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'F' group by 1")
@@ -196,7 +200,7 @@ def queue_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select date_trunc('minute', ts) as minute, count(*) as starts, count(*) filter (value > 100) as heavy from events group by 1")
 def starts_per_minute(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("starts"), F.count(F.when(F.col("value") > 100, 1)).alias("heavy"))
+    return M.starts_per_minute(table(spark, d, "events"), "ts", F.col("value") > 100)
 
 
 @query("""
@@ -209,7 +213,18 @@ def replica_eligibility(spark: SparkSession, d: str) -> DataFrame:
     return M.replica_eligibility(s, rules, ["role", "preference"]).select("s_suppkey", "reason", "run")
 
 
-@query()
+@query("""
+with recursive o as (
+  select c_nationkey, o_orderkey as item_id, o_orderstatus = 'F' as production, o_orderdate as last_check, case when o_orderkey % 9 <> 0 then o_totalprice / 10000 end as runtime, o_totalprice as size from orders join customer on c_custkey = o_custkey),
+k as (select *, row_number() over (partition by c_nationkey order by production desc, last_check nulls first, runtime desc, item_id) as n from o where runtime is not null),
+r as (
+  select c_nationkey, n, item_id, runtime <= 60 as fits, cast(240 - case when runtime <= 60 then runtime else 0 end as double) as remains from k where n = 1
+  union all
+  select k.c_nationkey, k.n, k.item_id, r.remains > 0 and k.runtime <= r.remains and k.runtime <= 60, r.remains - case when r.remains > 0 and k.runtime <= r.remains and k.runtime <= 60 then k.runtime else 0 end from r join k on k.c_nationkey = r.c_nationkey and k.n = r.n + 1),
+x as (select o.*, coalesce(r.fits, false) as in_budget, r.n from o left join r on r.c_nationkey = o.c_nationkey and r.item_id = o.item_id)
+select c_nationkey, item_id, in_budget, case when in_budget then row_number() over (partition by c_nationkey, in_budget order by n)
+  else row_number() over (partition by c_nationkey, in_budget order by production desc, coalesce(runtime, size) desc, item_id) + count(*) filter (in_budget) over (partition by c_nationkey) end as priority from x
+""")
 def budget_packing(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     q = o.select("c_nationkey", F.col("o_orderkey").alias("item_id"), (F.col("o_orderstatus") == "F").alias("production"), F.col("o_orderdate").alias("last_check"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice") / 10000).alias("runtime"), F.col("o_totalprice").alias("size"))
@@ -223,9 +238,37 @@ def missing_stats(spark: SparkSession, d: str) -> DataFrame:
     return M.missing_statistics(c, s, ["p_partkey"], ["Brand#3", "Brand#4"]).select("p_partkey")
 
 
-@query("select l_suppkey, sum(l_linenumber) as ghosts from lineitem where l_returnflag <> 'A' group by 1 having sum(l_linenumber) >= 1500")
+@query("""
+select l_suppkey, sum(l_linenumber) as ghosts from lineitem where (l_orderkey, l_linenumber) not in (select (l_orderkey, l_linenumber) from lineitem where l_returnflag = 'A') group by 1 having sum(l_linenumber) >= 1500
+""")
 def residual_total(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_returnflag <> 'A'").groupBy("l_suppkey").agg(F.sum("l_linenumber").alias("ghosts")).where("ghosts >= 1500")
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", F.col("l_linenumber").cast("long").alias("n"))
+    return M.ghost_totals(x, x.where("l_returnflag = 'A'"), ["l_orderkey", "l_linenumber"], ["l_suppkey"], "n", 1500)
+
+
+@query("""
+with x as (select l_partkey, l_linenumber, l_orderkey % 40 as age, cast(l_quantity as bigint) * 10 as n, l_orderkey % 97 as changes from lineitem where l_linenumber <> 5),
+s as (select l_partkey, l_linenumber from x where n > 0 and ((age >= 30 and changes <> 0) or changes * 100.0 / n >= 80 or sqrt(1000.0 * n) <= changes))
+select l_partkey, string_agg(distinct l_linenumber::varchar, ',' order by l_linenumber::varchar) as partitions, count(*) as n_stale from s group by 1
+""")
+def stale_partitions(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem").where("l_linenumber <> 5")
+    return M.stale_partitions(x, ["l_partkey"], "l_linenumber", F.col("l_orderkey") % 40, F.col("l_quantity").cast("long") * 10, F.col("l_orderkey") % 97, 30, 80.0)
+
+
+@query("""
+with q as (select event_id, user_id % 20 as host, event_type = 'view' as pending, value > 60 as heavy, '/m' || event_id % 6 || ',/n' || user_id % 4 as vols from events),
+p as (select * from q where pending), r as (select * from q where not pending),
+n as (select host, count(*) as n from r group by 1),
+pv as (select distinct host, event_id, unnest(string_split(vols, ',')) as v from p), rv as (select distinct host, event_id, unnest(string_split(vols, ',')) as v from r where heavy),
+s as (select pv.event_id, count(distinct rv.event_id) as n from pv join rv on pv.host = rv.host and pv.v = rv.v group by 1)
+select p.event_id, coalesce(n.n, 0) as n_running, coalesce(s.n, 0) as n_same_volume from p left join n on n.host = p.host left join s on s.event_id = p.event_id
+""")
+def shared_volume_load(spark: SparkSession, d: str) -> DataFrame:
+    k, u = F.col("event_id"), F.col("user_id")
+    volumes = F.concat(F.lit("/m"), (k % 6).cast("string"), F.lit(",/n"), (u % 4).cast("string"))
+    q = table(spark, d, "events").select("event_id", (u % 20).alias("host"), (F.col("event_type") == "view").alias("pending"), (F.col("value") > 60).alias("heavy"), volumes.alias("vols"))
+    return M.shared_volume_load(q.where("pending"), q.where("not pending"), "host", "event_id", "vols", "heavy")
 
 
 @query("""

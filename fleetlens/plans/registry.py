@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.sources import tables
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -24,7 +28,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.load(spark, sf_dir, (name,))[name]
+
+
+def place(spark: SparkSession) -> str:
+    """A new folder for what a query writes, in the folder that all machines share; a temporary one on one machine only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="fleetlens-")
+    return f"{root}/written-{uuid.uuid4().hex}"
 
 
 def rows(spark: SparkSession, schema: str, values: str) -> DataFrame:

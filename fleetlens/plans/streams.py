@@ -2,37 +2,43 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.plans.registry import query, table
+from fleetlens.plans.alerting import decided
+from fleetlens.plans.registry import place, query, table
 from fleetlens.streaming import streams as P
 
 
-def _place(spark: SparkSession) -> str:
-    """A new folder for a stream's checkpoint and result: in the shared folder where one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetlens-")
-    return f"{root}/streams-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return P.event_stream(spark, d, table(spark, d, "events").schema, pattern="events.parquet")
 
 
 @query("select event_id, user_id, event_type from events")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    at = _place(spark)
+    at = place(spark)
     P.ingest(_events(spark, d).select("event_id", "user_id", "event_type"), f"{at}/rows", ["event_id"], f"{at}/state")
     return spark.read.parquet(f"{at}/rows")
 
 
+def _closed(spark: SparkSession, d: str, build) -> DataFrame:
+    """A stream's windows, all of them: a last event in the year 2100 ends the others."""
+    e = _events(spark, d).select("ts", "event_type")
+    return P.drain_closed(e, build, spark.sql("select timestamp'2100-01-01' as ts, 'end' as event_type"), place(spark))
+
+
 @query("select time_bucket(interval 1 day, ts) as window_start, event_type, count(*) as n from events group by all")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    at = _place(spark)
-    x = P.drain_complete(P.windowed_counts(_events(spark, d), ["event_type"], "ts", "1 day"), f"{at}/rows", f"{at}/state")
+    x = _closed(spark, d, lambda e: P.windowed_counts(e, ["event_type"], "ts", "1 day"))
+    return x.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("""
+with w as (select time_bucket(interval 1 hour, ts) - i * interval 1 hour as window_start, event_type from events, (values (0), (1), (2), (3), (4), (5)) t(i))
+select window_start, event_type, count(*) as n from w group by all
+""")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    x = _closed(spark, d, lambda e: P.windowed_counts(e, ["event_type"], "ts", "6 hours", "1 hour"))
     return x.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
@@ -42,21 +48,20 @@ r as (select *, sum(new) over (partition by event_type order by ts rows unbounde
 select min(ts) as session_start, event_type, count(*) as n from r group by event_type, k
 """)
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    at = _place(spark)
-    x = P.drain_complete(P.sessions(_events(spark, d), ["event_type"], "ts", "30 minutes"), f"{at}/rows", f"{at}/state")
+    x = _closed(spark, d, lambda e: P.sessions(e, ["event_type"], "ts", "30 minutes"))
     return x.select(F.col("session_start").cast("timestamp_ntz").alias("session_start"), "event_type", "n")
 
 
 @query("select distinct user_id, event_type from events")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    at = _place(spark)
+    at = place(spark)
     return P.drain(P.deduplicated(_events(spark, d), ["user_id", "event_type"], "ts").select("user_id", "event_type"), f"{at}/rows", f"{at}/state")
 
 
 @query("select cast(user_id as varchar) as key, event_id, cast(floor(epoch(ts)) - floor(epoch(lag(ts) over (partition by user_id order by ts, event_id))) as bigint) as gap_seconds from events")
 def stream_gaps(spark: SparkSession, d: str) -> DataFrame:
-    at = _place(spark)
-    return P.drain(P.occurrence_gaps(_events(spark, d), "user_id"), f"{at}/rows", f"{at}/state")
+    at = place(spark)
+    return P.occurrence_gaps(_events(spark, d), f"{at}/rows", f"{at}/state", "user_id")
 
 
 @query("""
@@ -65,14 +70,14 @@ k as (select user_id, event_id, after from m where marker), s as (select user_id
 select cast(k.user_id as varchar) as key, cast(k.after as bigint) as run_no, k.event_id as marker_id, coalesce(n, 0) as steps from k left join s on s.user_id = k.user_id and s.after = k.after
 """)
 def stream_runs(spark: SparkSession, d: str) -> DataFrame:
-    at = _place(spark)
-    return P.drain(P.marker_runs(_events(spark, d), "user_id", F.col("event_type") == "purchase"), f"{at}/rows", f"{at}/state")
+    at = place(spark)
+    return P.marker_runs(_events(spark, d), f"{at}/rows", f"{at}/state", "user_id", F.col("event_type") == "purchase")
 
 
-@query()
+@query(decided(cap=3, minutes=120, repeat=60).replace("select instance, event_id, ts, alert_key, event_type,", "select instance, event_id,"))
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
-    at = _place(spark)
+    at = place(spark)
     e = _events(spark, d)
     kind = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "purchase", 6).otherwise(0)
     rows = e.select((F.col("user_id") % 8).cast("string").alias("instance"), "event_id", "ts", F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("alert_key"), kind.alias("event_type"), (F.col("event_type") == "view").alias("ignored"))
-    return P.drain(P.alert_stream(rows, cap=3, minutes=120), f"{at}/rows", f"{at}/state")
+    return P.alert_stream(rows, f"{at}/rows", f"{at}/state", cap=3, minutes=120)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+from time import time as now
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,7 +47,7 @@ def error_rows(spark: SparkSession, errors: list[tuple[str, str]], descriptor: s
 
 
 def parse_lines(df: DataFrame, column: str, names: list[tuple[str, str]], separator: str = "|") -> tuple[DataFrame, DataFrame]:
-    """Delimited lines as typed columns (name, type), and the lines that do not fit as dead letters."""
+    """Delimited lines as typed columns (name, type), and the rows whose line does not fit, null ones too, as dead letters: one parse, no shuffle."""
     parts = F.split(F.col(column), f"\\Q{separator}\\E", -1)
     x = df.withColumn("_parts", parts)
     for i, (name, kind) in enumerate(names):
@@ -53,7 +55,7 @@ def parse_lines(df: DataFrame, column: str, names: list[tuple[str, str]], separa
     ok = F.coalesce(F.size("_parts") == len(names), F.lit(False))
     for name, _ in names:
         ok = ok & F.col(name).isNotNull()
-    return x.where(ok).drop("_parts"), df.join(x.where(ok).select(column).distinct(), column, "left_anti")
+    return x.where(ok).drop("_parts"), x.where(~ok).select(*df.columns)
 
 
 def parse_fixed(df: DataFrame, column: str, fields: list[tuple[str, int, int, str]]) -> DataFrame:
@@ -97,13 +99,21 @@ def missing_days(df: DataFrame, time: str, first: str, last: str) -> DataFrame:
     return days.join(df.select(F.to_date(time).alias("day")).distinct(), "day", "left_anti")
 
 
-def save_report(sections: dict[str, DataFrame], path: str) -> None:
-    """Each section as a Parquet folder below path."""
+def save_report(sections: dict[str, DataFrame], path: str, project: str, flags: int) -> DataFrame:
+    """Each section as a Parquet folder below path, and one row more in path/runs: when the run was built, in how many ms, and its issues by section."""
+    spark = next(iter(sections.values())).sparkSession
+    began = now()
+    counts = {}
     for name, df in sections.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+        counts[name] = spark.read.parquet(f"{path}/{name}").count()
+    row = (project, flags, datetime.datetime.fromtimestamp(began, datetime.timezone.utc).replace(tzinfo=None), int((now() - began) * 1000), counts)
+    run = spark.createDataFrame([row], "project string, flags int, build_at timestamp_ntz, build_duration_ms long, issues map<string,long>")
+    run.write.mode("append").parquet(f"{path}/runs")
+    return run
 
 
-def step_rows(df: DataFrame, keys: list[str], column: str, item: str, schema: str) -> DataFrame:
-    """A row for each repeated element of an XML payload, such as the steps of a job's history."""
-    x = df.select(*keys, F.explode(F.from_xml(F.col(column), f"{item} array<struct<{schema}>>")[item]).alias("_s"))
-    return x.select(*keys, "_s.*")
+def step_rows(df: DataFrame, keys: list[str], column: str, item: str, schema: str, number: str | None = None) -> DataFrame:
+    """A row for each repeated element of an XML payload, such as the steps of a job's history; number names its position, from 1."""
+    x = df.select(*keys, F.posexplode(F.from_xml(F.col(column), f"{item} array<struct<{schema}>>")[item]).alias("_i", "_s"))
+    return x.select(*keys, *([(F.col("_i") + 1).cast("long").alias(number)] if number else []), "_s.*")

@@ -1,16 +1,20 @@
-"""Structured Streaming jobs over the event log."""
+"""Structured Streaming jobs over the event log.
+
+Windows, sessions and deduplication are Spark's own, closed by watermarks. What depends on the row before (gaps, runs, alerts) is
+computed batch by batch with the functions of the batch library: see carry().
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from fleetlens.operators.alerts import Decider
+from fleetlens.operators.alerts import decide_alerts
+
+Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
 def event_stream(spark: SparkSession, path: str, schema: StructType, time: str = "ts", pattern: str | None = None, files_a_trigger: int = 1000) -> DataFrame:
@@ -21,7 +25,7 @@ def event_stream(spark: SparkSession, path: str, schema: StructType, time: str =
 
 
 def windowed_counts(events: DataFrame, keys: list[str], time: str, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Counts in tumbling or sliding windows; rows later than late are lost, and state older than that goes."""
+    """Counts in tumbling or sliding windows, for append mode: a window is given out and forgotten once it ended late ago; rows later than that are lost."""
     window = F.window(time, width, slide) if slide else F.window(time, width)
     x = events.withWatermark(time, late).groupBy(window, *keys).agg(F.count("*").alias("n"))
     return x.select(F.col("window.start").alias("window_start"), *keys, "n")
@@ -33,90 +37,121 @@ def deduplicated(events: DataFrame, keys: list[str], time: str, late: str = "1 h
 
 
 def sessions(events: DataFrame, keys: list[str], time: str, gap: str, late: str = "1 hour") -> DataFrame:
-    """Runs of events without a pause of gap."""
+    """Runs of events without a pause of gap, for append mode as windowed_counts()."""
     x = events.withWatermark(time, late).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n"))
     return x.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), *keys, "n")
 
 
-def occurrence_gaps(events: DataFrame, key: str, time: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """Seconds since the event before of the same key, over batches; events of a batch are taken in order of time."""
-
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        x = pd.concat(list(frames)).sort_values([time, id_col])
-        seconds = (x[time].astype("int64") // {"ns": 10**9, "us": 10**6}.get(x[time].dt.unit, 10**9)).tolist()
-        before = [last, *seconds[:-1]]
-        state.update((int(seconds[-1]),))
-        yield pd.DataFrame({"key": [str(name[0])] * len(x), "event_id": x[id_col].tolist(), "gap_seconds": pd.array([None if b is None else s - b for s, b in zip(seconds, before, strict=True)], dtype="Int64")})
+def _run(writer) -> None:
+    writer.trigger(availableNow=True).start().awaitTermination()
 
-    return events.groupBy(key).applyInPandasWithState(step, "key string, event_id long, gap_seconds long", "last long", "append", GroupStateTimeout.NoTimeout)
 
+def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all there is into Parquet below target, and reads that."""
+    _run(stream.writeStream.format("parquet").outputMode(mode).option("path", target).option("checkpointLocation", checkpoint))
+    return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
-def alert_stream(events: DataFrame, cap: int = 50, minutes: int = 5, repeat_minutes: int = 60) -> DataFrame:
-    """Suppression and flood control on a stream: the batch rules, with each instance's state kept between batches."""
-
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.get if state.exists else ([], [], [])
-        d = Decider(cap, minutes, repeat_minutes, list(kept[0]), dict(zip(kept[1], kept[2], strict=True)))
-        x = pd.concat(list(frames)).sort_values(["second", "event_id"])
-        out = [d.decide(int(s), k, int(t), bool(i)) for s, k, t, i in zip(x["second"], x["alert_key"], x["event_type"], x["ignored"], strict=True)]
-        now = int(x["second"].iloc[-1]) // 60
-        d.last = {k: m for k, m in d.last.items() if now - m <= repeat_minutes}
-        state.update((d.sent, list(d.last), list(d.last.values())))
-        yield pd.DataFrame({"instance": [name[0]] * len(x), "event_id": x["event_id"].tolist(), "is_sent": [o[0] for o in out], "flood_control": [o[1] for o in out]})
 
-    rows = events.select("instance", "event_id", "alert_key", "event_type", "ignored", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"))
-    return rows.groupBy("instance").applyInPandasWithState(step, "instance string, event_id long, is_sent boolean, flood_control boolean", "sent array<long>, keys array<string>, times array<long>", "append", GroupStateTimeout.NoTimeout)
+def drain_closed(events: DataFrame, build: Callable[[DataFrame], DataFrame], last: DataFrame, path: str, time: str = "ts") -> DataFrame:
+    """build(events) in append mode to its very end: when all there is has been read, last (a row far in the future) comes as
+    one more event and moves the watermark past all windows; its own stays open and is not given out. All is kept below path.
+    """
+    spark = events.sparkSession
+    last = last.select(*(F.col(f.name).cast(f.dataType) for f in events.schema))
+    last.limit(0).write.parquet(f"{path}/closing")
+    closing = event_stream(spark, f"{path}/closing", last.schema, time)
+    out = build(events.unionByName(closing))
+    drain(out, f"{path}/rows", f"{path}/state")
+    last.write.mode("append").parquet(f"{path}/closing")
+    return drain(out, f"{path}/rows", f"{path}/state")
 
 
 def ingest(stream: DataFrame, target: str, keys: list[str], checkpoint: str) -> None:
     """Appends rows whose keys target does not have yet; the checkpoint keeps what was read. Ends when all there is has been read."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(target)  # so that the first batch finds a table
 
     def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        try:
-            known = spark.read.parquet(target).select(*keys)
-            fresh = fresh.join(known, keys, "left_anti")
-        except Exception:  # the first batch finds no target
-            pass
-        fresh.write.mode("append").parquet(target)
+        known = spark.read.schema(batch.schema).parquet(target).select(*keys)
+        batch.dropDuplicates(keys).join(known, keys, "left_anti").write.mode("append").parquet(target)
 
-    stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    _run(stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint))
 
 
-def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all there is into Parquet below target, and reads that."""
-    stream.writeStream.format("parquet").outputMode(mode).option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(target)
+def carry(stream: DataFrame, target: str, checkpoint: str, step: Step, carried: str, schema: str) -> DataFrame:
+    """Runs step(batch, state) -> (rows, next state) over all micro-batches; state is a small table (carried) of what later rows need.
 
+    Rows and state are written by the number of their batch, over what a failed try may have left, so a batch that is run again
+    gives the same. No group is held in a Python worker: a step is DataFrame code, in which a large key is sorted by Spark.
+    """
+    spark = stream.sparkSession
+    read = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet
+    spark.createDataFrame([], schema).write.mode("append").parquet(f"{target}/batch-none")
 
-def drain_complete(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
-    """As drain(), for aggregations whose last result counts, late windows included."""
+    def run(batch: DataFrame, number: int) -> None:
+        state = spark.read.schema(carried).parquet(f"{checkpoint}-carried/{number - 1}") if number else spark.createDataFrame([], carried)
+        rows, after = step(batch, state)
+        rows.write.mode("overwrite").parquet(f"{target}/batch-{number}")
+        after.write.mode("overwrite").parquet(f"{checkpoint}-carried/{number}")
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    _run(stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint))
+    return read(target)
 
-    run: Callable = stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start
-    run().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
+def _unexpired(rows: DataFrame, time: str, keep: str | None) -> DataFrame:
+    """Rows not older than keep (an interval) before the newest one."""
+    if keep is None:
+        return rows
+    newest = rows.agg(F.max(time).alias("_newest"))
+    return rows.join(F.broadcast(newest), F.col(time) >= F.col("_newest") - F.expr(f"interval {keep}")).drop("_newest")  # one row
+
+
+def occurrence_gaps(events: DataFrame, target: str, checkpoint: str, key: str, time: str = "ts", id_col: str = "event_id", keep: str | None = None) -> DataFrame:
+    """(key, event_id, gap_seconds): seconds since the event before of the same key, over batches; events of a batch are taken in order of time.
+
+    The last event of each key is carried on, for as long as it is not older than keep before the newest one.
+    """
+
+    def step(batch: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:
+        x = batch.select(F.col(key).cast("string").alias("key"), F.col(id_col).alias("event_id"), F.col(time).cast("timestamp").alias("time"), F.lit(True).alias("new"))
+        x = x.unionByName(last.withColumn("new", F.lit(False)))
+        seconds = F.unix_seconds("time")
+        w = Window.partitionBy("key").orderBy("new", "time", "event_id")
+        rows = x.withColumn("gap_seconds", seconds - F.lag(seconds).over(w)).where("new").select("key", "event_id", "gap_seconds")
+        after = x.groupBy("key").agg(F.max(F.struct("new", "time", "event_id")).alias("m")).select("key", "m.event_id", "m.time")
+        return rows, _unexpired(after, "time", keep)
+
+    return carry(events, target, checkpoint, step, "key string, event_id long, time timestamp", "key string, event_id long, gap_seconds long")
+
+
+def marker_runs(events: DataFrame, target: str, checkpoint: str, key: str, marker: Column, time: str = "ts", keep: str | None = None) -> DataFrame:
+    """(key, run_no, marker_id, steps): closes a run of a key at each marker, with the rows since the marker before, over batches."""
+
+    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        x = batch.select(F.col(key).cast("string").alias("key"), "event_id", F.col(time).cast("timestamp").alias("time"), marker.alias("marker"))
+        w = Window.partitionBy("key").orderBy("time", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+        x = x.withColumn("others", F.count(F.when(~F.col("marker"), 1)).over(w)).withColumn("run", F.count(F.when(F.col("marker"), 1)).over(w))
+        state = before.select("key", F.col("open").alias("_open"), F.col("number").alias("_number"))
+        at = Window.partitionBy("key").orderBy("run")
+        closed = x.where("marker").join(state, "key", "left").withColumn("steps", F.col("others") - F.coalesce(F.lag("others").over(at), -F.coalesce("_open", F.lit(0))))
+        rows = closed.select("key", (F.col("run") + F.coalesce("_number", F.lit(0))).alias("run_no"), F.col("event_id").alias("marker_id"), "steps")
+        sums = x.groupBy("key").agg(F.max("others").alias("o"), F.max("run").alias("r"), F.max(F.when(F.col("marker"), F.col("others"))).alias("c"), F.max("time").alias("t"))
+        after = before.join(sums, "key", "full").select(
+            "key", (F.coalesce("o", F.lit(0)) - F.coalesce("c", -F.coalesce("open", F.lit(0)))).alias("open"), (F.coalesce("number", F.lit(0)) + F.coalesce("r", F.lit(0))).alias("number"), F.coalesce("t", "time").alias("time")
+        )
+        return rows, _unexpired(after, "time", keep)
+
+    return carry(events, target, checkpoint, step, "key string, open long, number long, time timestamp", "key string, run_no long, marker_id long, steps long")
+
+
+def alert_stream(events: DataFrame, target: str, checkpoint: str, cap: int = 50, minutes: int = 5, repeat_minutes: int = 60) -> DataFrame:
+    """Suppression and flood control on a stream: the batch rules; what was sent within the limits is carried on, older events go."""
+    fields = "instance string, event_id long, ts timestamp_ntz, alert_key string, event_type int"
+
+    def step(batch: DataFrame, sent: DataFrame) -> tuple[DataFrame, DataFrame]:
+        done = decide_alerts(batch.withColumn("ts", F.col("ts").cast("timestamp_ntz")), cap, minutes, repeat_minutes, sent)
+        names = [x.split()[0] for x in fields.split(", ")]
+        after = done.where("is_sent").select(*names).unionByName(sent.select(*names))
+        return done.select("instance", "event_id", "is_sent", "flood_control"), _unexpired(after, "ts", f"{max(minutes, repeat_minutes) + 1} minutes")
 
-def marker_runs(events: DataFrame, key: str, marker: Column, time: str = "ts") -> DataFrame:
-    """Closes a run of a key at each marker: rows since the marker before, over batches."""
-
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_rows, number = state.get if state.exists else (0, 0)
-        x = pd.concat(list(frames)).sort_values([time, "event_id"])
-        out = []
-        for i, m in zip(x["event_id"], x["_marker"], strict=True):
-            if m:
-                number += 1
-                out.append((str(name[0]), number, int(i), open_rows))
-                open_rows = 0
-            else:
-                open_rows += 1
-        state.update((open_rows, number))
-        yield pd.DataFrame(out, columns=["key", "run_no", "marker_id", "steps"])
-
-    return events.withColumn("_marker", marker).groupBy(key).applyInPandasWithState(step, "key string, run_no long, marker_id long, steps long", "open long, number long", "append", GroupStateTimeout.NoTimeout)
+    return carry(events, target, checkpoint, step, fields, "instance string, event_id long, is_sent boolean, flood_control boolean")

@@ -170,3 +170,75 @@ def test_lines_and_payloads(spark):
 def test_addresses(spark, address, ok):
     df = spark.createDataFrame([("g", address)], "g string, ip string")
     assert rows(maintenance.address_profile(df, ["g"], "ip")) == [("g", int(ok), int(not ok))]
+
+
+def test_wild_rules_patterns_and_flags(spark):
+    df = spark.createDataFrame([("m1", "sign up"), ("m2", "error"), ("m3", "click"), (None, None)], "m string, t string")
+    rule = lambda *r: spark.createDataFrame([(*x, True) for x in r], "skip_value string, skip_value2 string, active boolean")
+    left = lambda r: sorted(str(x.m) for x in filters.skip_rules_wild(df, r, ["m"], ["t"]).collect())
+    assert left(rule(("%", "sign%"), ("M2", None), ("m3", "x%"))) == ["None", "m3"]
+    assert left(rule(("%", None))) == [] and left(rule(("zz", None))) == ["None", "m1", "m2", "m3"]
+    texts_ = spark.createDataFrame([("ABC.def",), ("xabc",), ("abc",), ("a_c",), ("a%c",), (None,)], "text string")
+    kept = lambda *p: sorted(str(r.text) for r in filters.pattern_suppression(texts_, "text", list(p)).collect())
+    assert kept("abc%") == ["None", "a%c", "a_c", "xabc"] and kept("%abc") == ["ABC.def", "None", "a%c", "a_c"] and kept("abc") == ["ABC.def", "None", "a%c", "a_c", "xabc"]
+    assert kept("%b%f") == ["None", "a%c", "a_c", "abc", "xabc"] and kept("a_c") == ["ABC.def", "None", "xabc"] and kept("%") == ["None"]
+    rules = spark.createDataFrame([("m1", None, 1, True), (None, "error", 2, True), (None, None, 8, True)], "m string, t string, flags int, active boolean")
+    assert sorted(str(r.m) for r in filters.flag_subset_skip(df, rules, ["m", "t"], 3).collect()) == ["None", "m3"]
+    assert filters.flag_subset_skip(df, rules, ["m", "t"], 8).count() == 0
+
+
+def test_paired_actions_take_the_nearest_for_equal_rows_too(spark):
+    info = spark.createDataFrame([("k", ts("2024-01-01 00:00:59")), ("k", ts("2024-01-01 00:00:59")), ("k", ts("2024-01-01 02:00:00")), ("j", ts("2024-01-01 00:00:59"))], "key string, ts timestamp_ntz")
+    acts = spark.createDataFrame([("k", ts("2024-01-01 00:01:30")), ("k", ts("2024-01-01 00:00:10")), ("k", ts("2024-01-01 01:58:59"))], "key string, ts timestamp_ntz")
+    got = capacity.paired_actions(info, acts, ["key"], "ts", 60)
+    assert rows(got) == [("k", ts("2024-01-01 00:00:59"), ts("2024-01-01 00:01:30"))] * 2
+    assert capacity.paired_actions(info, acts, ["key"], "ts").count() == 9
+
+
+def test_decider_state_stays_small():
+    d = alerts.Decider(cap=5, minutes=5, repeat_minutes=10)
+    sent = [d.decide(60 * (i // 1000), f"k{i}", 0, False)[0] for i in range(50_000)]
+    assert all(sent) and len(d.sent) <= 6 and len(d.last) <= 11_000
+    assert d.decide(60 * 49, "new", 1, False) == (False, True) and d.decide(60 * 60, "new", 1, False) == (True, False) and d.decide(60 * 65, "new", 1, False) == (False, True)
+
+
+def test_dead_letters_and_fixed_lines(spark):
+    df = spark.createDataFrame([("1|a",), ("x|b",), ("1|a|c",), (None,), ("x|b",)], "line string")
+    ok, bad = tables.parse_lines(df, "line", [("n", "int"), ("s", "string")])
+    assert rows(ok.select("n", "s")) == [(1, "a")] and rows(bad) == sorted([("x|b",), ("x|b",), ("1|a|c",), (None,)], key=str)
+    assert "Exchange" not in bad._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_are_loaded(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "region.parquet"))
+    t = tables.load(spark, str(tmp_path), ("region",))
+    assert t["region"].count() == 5
+    run = tables.save_report({"a": t["region"], "b": t["region"].where("id > 2")}, str(tmp_path / "report"), "p", 3).first()
+    assert run.issues == {"a": 5, "b": 2} and run.project == "p" and run.build_duration_ms >= 0
+
+
+def test_jdbc_tables_are_read_in_parts(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    try:
+        spark.range(20).write.format("jdbc").options(url=url, dbtable="T", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    except Exception as e:
+        pytest.skip(f"no database in this Spark: {str(e)[:80]}")
+    df = tables.load_jdbc(spark, url, "T", '"id"', (0, 20), 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert df.count() == 20 and df.rdd.getNumPartitions() == 4
+
+
+def test_transactions_reach_a_threshold(spark):
+    df = lambda schema, *r: spark.createDataFrame(list(r), "host string, session_id int, " + schema)
+    sessions = df("idle_seconds int", ("h", 1, 5), ("h", 2, 5), ("h", 3, -5), ("h", 4, 5))
+    requests = df("request_id int, request_seconds int", ("h", 1, 7, 100), ("h", 3, 8, 1))
+    transactions = df("transaction_seconds int", ("h", 2, 90), ("h", 2, 10), ("h", 4, 10))
+    space = df("request_id int, alloc_pages int, dealloc_pages int", ("h", 3, 8, 200_000, 0))
+    waits = df("blocking_session_id int, wait_seconds int", ("h", 4, 2, 3), ("h", 2, 2, 99))
+    got = {r.session_id: r for r in alerts.transaction_snapshot(sessions, requests, transactions, space, waits, ["host"], {"request": 60, "transaction": 60, "wait": 60, "temp_mb": 1000}).collect()}
+    assert set(got) == {1, 2, 3} and got[2].transaction_seconds == 90 and got[3].tempdb_space_used_mb == 1562 and got[2].request_completed
+
+
+def test_replicas_and_never_checked_members(spark):
+    m = spark.createDataFrame([("a", None, True), ("b", ts("2024-01-01"), True), ("c", ts("2024-03-01"), True), ("d", None, True), ("e", None, False)], "k string, t timestamp_ntz, production boolean")
+    hidden = spark.createDataFrame([("d",)], "k string")
+    assert [r.k for r in maintenance.overdue_checks(m, "k", "t", "2024-03-10", 30, hidden, "production").orderBy("k").collect()] == ["a", "b"]

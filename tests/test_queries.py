@@ -46,3 +46,7 @@ def test_stream_of_alerts_decides_as_the_batch(spark):
     stream = {(r.event_id, r.is_sent) for r in registry.queries()["stream_alerts"](spark, DATA).collect()}
     batch = {(r.event_id, r.is_sent) for r in registry.queries()["flood_control"](spark, DATA).collect()}
     assert stream == batch
+
+
+def test_every_query_has_its_sql():
+    assert set(registry.queries()) == set(registry.oracle_sql())
