@@ -23,8 +23,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_collecting: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/fleetlens/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/fleetlens/{name}-{uuid.uuid4().hex}"
+    if _collecting:
+        _collecting[-1].append(path)
+    return path
+
+
+def deleted(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders, wherever they are; one that is not there is no error."""
+    jvm = spark.sparkContext._jvm
+    for p in map(jvm.org.apache.hadoop.fs.Path, paths):
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def freed_tables(spark: SparkSession):
+    """Intermediate tables that are written meanwhile go at the end; what is read of them must have been written elsewhere by then."""
+    paths: list[str] = []
+    _collecting.append(paths)
+    try:
+        yield
+    finally:
+        _collecting.remove(paths)
+        deleted(spark, *paths)
 
 
 @contextlib.contextmanager

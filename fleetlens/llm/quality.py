@@ -39,8 +39,8 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     n_words, word_chars: words are runs without white space, word_chars their code points. n_symbols: characters of #*$%&|<>.
     n_dup_lines: lines with a word that equal an earlier line. n_repeat_words: words in windows of WINDOW words that occur twice
-    or more in the text, the first included. n_lines: lines with a word. n_shouts: exclamation marks. n_stop_words: words of
-    STOP_WORDS, A-Z lower-cased. n_bullets, n_cut_lines: lines that start with a bullet; that end in an ellipsis.
+    or more in the text, the first included. n_lines: lines with a word. n_shouts: exclamation marks. n_stop_words: words that are
+    STOP_WORDS when lower-cased. n_bullets, n_cut_lines: lines that start with a bullet; that end in an ellipsis.
     A null text is an empty one, and all its measures are 0.
     """
     docs = docs.drop(*MEASURES)
