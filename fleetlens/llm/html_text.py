@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm._scratch import stored
 from fleetlens.llm.urls import host_of, path_of
 
+PART_BYTES = 2 << 20
 #: Elements that break a line, that hold no running text, and names of page furniture.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
@@ -217,6 +219,13 @@ def _likeness(a: str, b: str) -> int:
     return n
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about PART_BYTES, as Python's strings take several times the room of Arrow's."""
+    step = max(1, int(batch.num_rows * PART_BYTES / max(1, batch.nbytes)))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
 #: A page as its lines within its article and outside; marks has a byte for each in order (1: article, 2: furniture), digest is null where nothing but furniture stands.
 PARSED = "id {}, url string, host string, path string, tie long, digest long, inside array<string>, outside array<string>, marks binary"
 _PAGE = "struct<path: string, tie: long, digest: long>"
@@ -254,10 +263,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     name as menus, headers, footers, sidebars, notices, adverts, forms and comments goes too, as such lines often differ from page
     to page. Lines in an article or main element always stay, so that pages with the same passage in their articles keep it.
 
-    Pages are parsed once, where they are read, and written as lines. Neighbours are found on keys alone (host, path, digest),
-    sorted over all hosts in slices of about group_bytes; of the pages at a slice's edges, and of the nearest other page beyond
-    them, the next slice knows the keys, so the size of slices changes no result and a host may hold all pages. Then a
-    neighbour's lines outside of its article, which are few, are joined to the page.
+    Neighbours are found on keys alone (host, path, digest), sorted over all hosts in slices of about group_bytes; of the pages at
+    a slice's edges, and of the nearest other page beyond them, the next slice knows the keys, so the size of slices changes no
+    result and a host may hold all pages. Only the lines outside of articles, which are few, are written on the way; they are joined
+    to the pages, which are parsed a second time, so that whole pages are on disk in one shuffle only.
 
     Null html is an empty page with empty text. A null or bad url counts as an empty host and path. Rows that repeat are pages
     of their own. Empty tables give no rows; other columns are not read.
@@ -267,16 +276,16 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     kind = pages.schema[id_col].dataType.simpleString()
 
     def parse(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole)):
             lines = [all_lines(x) if x else [] for x in b.column("html").to_pylist()]
             digests = [_digest([(x, article) for x, article, furniture in page if not furniture]) for page in lines]
             part = lambda inside: pa.array([[x for x, article, _ in page if article == inside] for page in lines], pa.list_(pa.string()))  # noqa: E731, B023
             marks = pa.array([bytes(article + 2 * furniture for _, article, furniture in page) for page in lines], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "url", "host", "path", "tie")), pa.array(digests, pa.int64()), part(True), part(False), marks], names=["id", "url", "host", "path", "tie", "digest", "inside", "outside", "marks"])
 
-    parsed = stored(rows.mapInArrow(parse, PARSED.format(kind)), "page-lines")
+    parsed = rows.mapInArrow(parse, PARSED.format(kind))
     key = ["host", "path", "tie"]
-    full = parsed.where("digest is not null")
+    full = stored(parsed.where("digest is not null").select(*key, "digest", "outside"), "outside-lines")
     size = full.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 24), F.count("*")).first()
     slices = max(-(-(size[0] or 0) // group_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size[1] // 1024)), 1)
     keys = full.select(*key, "digest").distinct().repartitionByRange(slices, *key)
@@ -321,7 +330,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     joined = parsed.join(near, key, "left").select("id", "url", "inside", "outside", "marks", "_other")
 
     def difference(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole)):
             out = []
             for inside, outside, marks, other in zip(*(b.column(c).to_pylist() for c in ("inside", "outside", "marks", "_other")), strict=True):
                 parts = (iter(outside), iter(inside))
