@@ -16,12 +16,16 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nulls and self-links are dropped.
     """
     edges = stored(_oriented(links), "links")
+    before = _sum(edges)
     for _ in range(max_rounds):
+        if not before[0]:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         grown = _star(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), larger=True)
         after = stored(_star(grown, larger=False), "links")
-        if _sum(after) == _sum(edges):
+        now = _sum(after)
+        if now == before:
             return after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        edges = after
+        edges, before = after, now
     raise RuntimeError("components did not settle")
 
 
