@@ -30,22 +30,24 @@ def url_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
     rule's. Of the rules that fit, that with the longest host and path together wins, then the one with the longer host, then
     block before allow. rule is the winner's host and path, null without one, and the verdict then is default.
 
-    Method. Each distinct url gives an expression for every suffix of its host and every prefix of its path whose length some
-    rule has; rules and expressions meet on the first prefix_digits hexadecimal digits of their SHA-256, and the full digests
+    Method. Each distinct url gives an expression for every suffix of its host of as many labels, and every prefix of its path of
+    as many characters, as some rule has, so an url of any length gives few; rules and expressions meet on the first prefix_digits hexadecimal digits of their SHA-256, and the full digests
     confirm. Whether rules or urls are many, the join is on equal short hashes, and Spark broadcasts rules only when they are
     known to be small. Rows that share an url are judged once.
 
     A null url, or one without ://, has empty host and path and fits no rule unless the rule's host and path are empty. Null
     rule fields count as empty; equal rules count once. Empty tables of urls give no rows, empty rules leave the default.
     """
-    lengths = sorted(r[0] for r in rules.select(F.length(F.coalesce("path", F.lit("")))).distinct().collect())  # at most as many as an url has characters
+    shape = rules.agg(F.collect_set(F.length(F.coalesce("path", F.lit("")))), F.collect_set(F.size(F.split(F.coalesce("host", F.lit("")), r"\."))))
+    lengths, depths = map(sorted, shape.first())  # at most as many as an url has characters
     known = rules.select(F.coalesce("host", F.lit("")).alias("_r_host"), F.coalesce("path", F.lit("")).alias("_r_path"), F.col("verdict").alias("_r_verdict")).distinct()
     known = known.withColumn("_r_digest", _digest(F.col("_r_host"), F.col("_r_path"))).withColumn("_short", F.substring("_r_digest", 1, prefix_digits))
     each = urls.select(F.col(url_col).alias("_url")).distinct().withColumns({"_host": host_of(F.col("_url")), "_path": path_of(F.col("_url"))})
     labels = F.split("_host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("_path"))
-    prefixes = F.transform(fitting, lambda n: F.substring(F.col("_path"), F.lit(1), n))
+    numbers = lambda x: F.array(*map(F.lit, x)) if x else F.array().cast("array<int>")
+    suffixes = F.transform(F.filter(numbers(depths), lambda n: n <= F.size("_labels")), lambda n: F.array_join(F.slice("_labels", F.size("_labels") - n + 1, n), "."))
+    prefixes = F.transform(F.filter(numbers(lengths), lambda n: n <= F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n))
+    each = each.withColumn("_labels", labels)
     parts = each.select("_url", "_host", F.explode(suffixes).alias("_suffix"), prefixes.alias("_prefixes")).select("_url", "_suffix", F.explode("_prefixes").alias("_prefix"))
     parts = parts.withColumn("_digest", _digest(F.col("_suffix"), F.col("_prefix"))).select("_url", "_suffix", "_prefix", "_digest", F.substring("_digest", 1, prefix_digits).alias("_short"))
     met = parts.join(known, "_short").where("_digest = _r_digest and _suffix = _r_host and _prefix = _r_path")

@@ -415,6 +415,28 @@ def test_pieces_round_trip(spark, docs):
     assert pieces.sample_pieces(empty(docs)).count() == 0
 
 
+def test_pieces_of_repeated_rows_are_the_same(spark):
+    t = " ".join(words(12, 9999))
+    df = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t), (None, t), (3, None), (4, "")], "doc_id long, text string").repartition(3)
+    got = collections.defaultdict(list)
+    for r in pieces.sample_pieces(df, k=3).collect():
+        got[r.doc_id, r.rank].append(tuple(r.ids))
+    assert all(len(set(x)) == 1 for x in got.values()) and len(got[1, 0]) == len(got[None, 0]) == 2 and got[3, 0] == got[4, 0] == [()]
+    assert [got[1, i] for i in range(3)] != [got[2, i] for i in range(3)]
+
+
+def test_very_long_urls(spark):
+    data = [(1, "http://" + "a." * 50_000 + "net/de/8" + "/x" * 100_000), (2, "http://example.net" + "/" * 300_000), (3, "x" * 500_000), (4, "http://x.com/en/" + "é" * 200_000)]
+    got = {r.page_id: (r.rule, r.verdict, len(r.path)) for r in urls.url_rules(spark.createDataFrame(data, "page_id long, url string"), urls.contract_rules(spark)).collect()}
+    assert got == {1: ("net/de/", "allow", 200_005), 2: (None, "allow", 300_000), 3: (None, "allow", 0), 4: ("com/en/", "block", 200_004)}
+
+
+def test_quality_of_null_ids_and_repeated_rows(spark):
+    good = " ".join(["the", *words(40, 99999)])
+    df = spark.createDataFrame([(None, good), (None, good), (1, good), (1, good), (None, None), (2, "")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.kept, r.n_words) for r in quality.quality_digest(df).collect()) == [("1", True, 41), ("1", True, 41), ("2", False, 0), ("None", False, 0), ("None", True, 41), ("None", True, 41)]
+
+
 def test_url_rules(spark):
     data = ["https://a.example.com/en/71?x", "http://example.com/en/", "ftp://X.NET/de/1#y", "http://net/de/8", "http://b.example.net/de/81", "http://notexample.net/de/8", "org/es/", "http://x.org/es", "http://x.org/es/a//b", None, "", "a://b://c.org/es/?", "http://x.org:80/es/"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(data)] + [(0, data[0])], "page_id long, url string").withColumn("host", F.lit("clash"))
