@@ -17,8 +17,8 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_id, user_id, event_type from events")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     at = place(spark)
-    P.ingest(_events(spark, d).select("event_id", "user_id", "event_type"), f"{at}/rows", ["event_id"], f"{at}/state")
-    return spark.read.parquet(f"{at}/rows")
+    P.ingest(_events(spark, d).select("event_id", "user_id", "event_type", "ts"), f"{at}/rows", ["event_id"], f"{at}/state", "ts")
+    return spark.read.parquet(f"{at}/rows").select("event_id", "user_id", "event_type")
 
 
 def _closed(spark: SparkSession, d: str, build) -> DataFrame:

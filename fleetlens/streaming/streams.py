@@ -66,14 +66,21 @@ def drain_closed(events: DataFrame, build: Callable[[DataFrame], DataFrame], las
     return drain(out, f"{path}/rows", f"{path}/state")
 
 
-def ingest(stream: DataFrame, target: str, keys: list[str], checkpoint: str) -> None:
-    """Appends rows whose keys target does not have yet; the checkpoint keeps what was read. Ends when all there is has been read."""
+def ingest(stream: DataFrame, target: str, keys: list[str], checkpoint: str, time: str | None = None) -> None:
+    """Appends rows whose keys target does not have yet; the checkpoint keeps what was read. Ends when all there is has been read.
+
+    With time, a column that rows of one key share, a batch looks only at what target has between its first and last time, so
+    that a growing target is not read as a whole for each batch.
+    """
     spark = stream.sparkSession
     spark.createDataFrame([], stream.schema).write.mode("append").parquet(target)  # so that the first batch finds a table
 
     def append(batch: DataFrame, _: int) -> None:
-        known = spark.read.schema(batch.schema).parquet(target).select(*keys)
-        batch.dropDuplicates(keys).join(known, keys, "left_anti").write.mode("append").parquet(target)
+        known = spark.read.schema(batch.schema).parquet(target)
+        if time:
+            first, last = batch.agg(F.min(time), F.max(time)).first()
+            known = known.where(F.col(time).between(F.lit(first), F.lit(last)) | F.col(time).isNull())
+        batch.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti").write.mode("append").parquet(target)
 
     _run(stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint))
 

@@ -74,5 +74,5 @@ def test_alerts_over_batches_decide_as_one_batch(spark, files):
 def test_ingest_twice_adds_nothing(spark, files):
     _, stream, out = files
     streams.ingest(stream, f"{out}/a", ["event_id"], f"{out}/s")
-    streams.ingest(stream, f"{out}/a", ["event_id"], f"{out}/other")
+    streams.ingest(stream, f"{out}/a", ["event_id"], f"{out}/other", "ts")
     assert spark.read.parquet(f"{out}/a").count() == 80
