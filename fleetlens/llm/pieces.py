@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from fleetlens.llm._bytes import Rolling, mix, order_of, texts
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 FILTER_BITS = 18
 #: Edges of a task's shared lattice, at about 40 bytes each.
-MOST_EDGES = 3_000_000
+MOST_EDGES = 2_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -400,7 +400,7 @@ def sample_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A space is put before a text, and characters that are no piece become bytes, so decode_pieces() gives every text back;
     round_trip says that it did in the task itself. The piece weights make white space part segments, and equal segments of a
-    chunk share one lattice. Memory is bounded by chunks of 2 MB, or one text. model is a path that all executors have.
+    chunk share one lattice. Memory is bounded by chunks of 1 MB, or one text. model is a path that all executors have.
 
     Null and empty texts have one segmentation, of no pieces. Rows that repeat an id and text repeat the sample; a null id
     counts as one more id. Empty tables give no rows; other columns are not read. ids are array<int>, or with packed a binary
