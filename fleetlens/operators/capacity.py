@@ -46,15 +46,15 @@ def paired_actions(info: DataFrame, actions: DataFrame, keys: list[str], time: s
 def backup_capacity(details: DataFrame, backups: DataFrame, keys: list[str], size: Column, file: str, kind: str, bytes_: Column, kinds: dict[str, str]) -> DataFrame:
     """Members and their size, with backup files and bytes of each kind; sides are summed on their own and joined null-safe.
 
-    Backups are summed by key, file and kind first, so that distinct files are counted without a second copy of the rows.
+    Distinct files are counted beside the sums: these combine before they are shuffled, and only keys and files are moved for the count.
     """
     left = details.groupBy(*keys).agg(F.count("*").alias("n_members"), F.sum(size).alias("size_total"))
-    each = backups.groupBy(*keys, file, kind).agg(F.sum(bytes_).alias("_bytes"), F.count(file).alias("_files"))
     sums = []
     for k, name in kinds.items():
-        sums += [F.sum(F.when(F.col(kind) == k, F.col("_bytes"))).alias(f"{name}_bytes"), F.sum(F.when(F.col(kind) == k, F.col("_files"))).alias(f"{name}_files")]
-    each = each.groupBy(*keys, file).agg(*sums)
-    right = each.groupBy(*keys).agg(F.count(file).alias("n_files"), *(F.sum(f"{name}_{x}").alias(f"{name}_{x}") for name in kinds.values() for x in ("bytes", "files")))
+        sums += [F.sum(F.when(F.col(kind) == k, bytes_)).alias(f"{name}_bytes"), F.count(F.when(F.col(kind) == k, F.col(file))).alias(f"{name}_files")]
+    totals = backups.groupBy(*keys).agg(*sums)
+    files = backups.select(*(F.col(k).alias(f"_{k}") for k in keys), file).distinct().groupBy(*(f"_{k}" for k in keys)).agg(F.count(file).alias("n_files"))
+    right = totals.join(files, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*(f"_{k}" for k in keys))
     on = [left[k].eqNullSafe(right[k]) for k in keys]
     x = left.join(right, on, "left").select(*(left[k] for k in keys), "n_members", "size_total", *(right[c] for c in right.columns if c not in keys))
     return x.na.fill(0)
