@@ -114,3 +114,22 @@ def rollup_twice(df: DataFrame, inner: list[str], outer: list[str], value: Colum
 def arg_max(df: DataFrame, keys: list[str], value: str, order: list[str], name: str) -> DataFrame:
     """The value of the row that is last by order."""
     return df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(name))
+
+
+def ranked(df: DataFrame, order: list[Column], name: str, path: str) -> DataFrame:
+    """df with its rows' places in order over all rows, from 1, without one task that sees them all.
+
+    Rows go to ranges of the order, are sorted there and written to path with their place in the range; a range starts behind the
+    rows of those before it. The driver gets a number a range. Rows that tie in all of order get places next to each other.
+    """
+    spark = df.sparkSession
+    x = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    x = x.withColumns({"_range": F.spark_partition_id(), name: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1})
+    x.write.parquet(path)
+    rows = spark.read.schema(x.schema).parquet(path)
+    before, total = [], 0
+    for r in sorted(rows.groupBy("_range").count().collect()):
+        before.append((r["_range"], total))
+        total += r["count"]
+    starts = spark.createDataFrame(before, "_range int, _before long")
+    return rows.join(F.broadcast(starts), "_range").select(*df.columns, (F.col("_before") + F.col(name)).alias(name))  # a row a range
