@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import embeddings, html_text, jaccard, line_dedup, mixing, pieces, quality, suffixes, urls, warc
+from fleetlens.llm import embeddings, exact, html_text, importance, jaccard, line_dedup, mixing, phrases, pieces, quality, suffixes, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,18 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_sample_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_copies_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations_digest(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_near_vectors,
     op2_ngram_jaccard,
@@ -67,6 +79,9 @@ _ALL = (
     op8_warc,
     op9_quality_rules,
     op10_line_dedup,
+    op11_importance_sample,
+    op12_exact_copies,
+    op13_collocations,
 )
 
 
@@ -84,4 +99,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc": warc.ORACLE,
         "op9_quality_rules": quality.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
+        "op12_exact_copies": exact.ORACLE,
+        "op13_collocations": phrases.ORACLE,
     }
