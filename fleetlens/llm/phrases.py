@@ -19,12 +19,30 @@ BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 WORD[[0x20, 0x09]] = False
 WORD &= ~BREAK
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 RANGE_BYTES = 8 << 20
 RANGES = 64
 AUTOMATON = "words binary, sizes binary, parents array<binary>, symbols array<binary>, weights array<binary>"
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, in a byte each where few are larger than that, else in as many as the largest needs."""
+    large = x[x >= 255]
+    if 16 * len(large) <= len(x):
+        return b"\0" + len(x).to_bytes(8, "little") + np.minimum(x, 255).astype(np.uint8).tobytes() + large.astype(np.uint64).tobytes()
+    kind = np.min_scalar_type(int(x.max()))
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    if b[0]:
+        return np.frombuffer(b, f"u{b[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(b[1:9], "little")
+    x = np.frombuffer(b, np.uint8, n, 9).astype(np.int64)
+    x[x == 255] = np.frombuffer(b, np.uint64, offset=9 + n).astype(np.int64)
+    return x
+
+
 class Automaton:
     """Phrases and their weights as the paths of an acyclic automaton.
 
@@ -38,14 +56,13 @@ class Automaton:
 
     def columns(self) -> dict[str, object]:
         body, off = texts(self.words)
-        wide = lambda x: b"\x04" + x.astype(np.uint32).tobytes() if not len(x) or x.max() < 1 << 32 else b"\x08" + x.astype(np.uint64).tobytes()
-        return {"words": body.tobytes(), "sizes": wide(np.diff(off)), "parents": [wide(p) for p, _, _ in self.levels], "symbols": [wide(s) for _, s, _ in self.levels], "weights": [wide(w) for _, _, w in self.levels]}
+        steps = [np.diff(p, prepend=0) for p, _, _ in self.levels]  # parents are in order
+        return {"words": body.tobytes(), "sizes": packed(np.diff(off)), "parents": [packed(p) for p in steps], "symbols": [packed(s) for _, s, _ in self.levels], "weights": [packed(w) for _, _, w in self.levels]}
 
     @staticmethod
     def of(row: dict[str, object]) -> Automaton:
-        read = lambda b: np.frombuffer(b, np.uint32 if b[0] == 4 else np.uint64, offset=1).astype(np.int64)
-        words = _tokens.joined(np.frombuffer(row["words"], np.uint8), read(row["sizes"]))
-        return Automaton(words, [tuple(map(read, x)) for x in zip(row["parents"], row["symbols"], row["weights"], strict=True)])
+        words = _tokens.joined(np.frombuffer(row["words"], np.uint8), unpacked(row["sizes"]))
+        return Automaton(words, [(np.cumsum(unpacked(p)), unpacked(s), unpacked(w)) for p, s, w in zip(row["parents"], row["symbols"], row["weights"], strict=True)])
 
     def symbols_at(self, level: int) -> list[np.ndarray]:
         """Words of the phrases of a level, a column a place."""
@@ -288,7 +305,7 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int, n: int, shard_words: i
         langs = batch.column("lang").to_pylist()
         for w in _tokens.words(batch.column("body"), WORD, BREAK):
             code = np.array([names.setdefault(x, max(names.values(), default=-1) + 1) for x in langs[w.row[0] : w.row[-1] + 1]])[w.row - w.row[0]]
-            held.append((w.body, w.size, w.opens, code))
+            held.append((w.body, w.size.astype(np.int32), w.opens, code.astype(np.int32)))
             if sum(len(x[1]) for x in held) >= shard_words:
                 yield from flush(False)
     if held:
