@@ -165,7 +165,8 @@ def exact_copies(
     spread_bytes are hashed by many tasks and put together by their lengths. Rows with equal length and fingerprint are a class.
     Texts of classes of several rows are then compared chunk by chunk (see _same()). A class that turns out to hold different
     texts, which is all but impossible with four lanes, is grouped by the texts' bytes. Copies are combined before each shuffle
-    but for the last one, where a row is told its group: a join that Spark can split, as the group's side is unique.
+    but for the last one, where rows are told their groups of several: the groups are written first, so both sides of that join
+    are plain shuffles and Spark can split what a large group brings to one task.
     """
     body = docs.select(F.col(id_col).alias("id"), F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("body"))
     long = F.octet_length("body") > spread_bytes
@@ -182,8 +183,10 @@ def exact_copies(
         read = fingerprinted(body.select("id", "body", F.octet_length("body").alias("n_bytes")), chunk_bytes, lanes)
         apart = read.join(mixed, ["n_bytes", "print"], "left_semi").groupBy("n_bytes", "print", "id", F.col("body").alias("text")).agg(F.count("*").alias("n")).withColumn("sha", F.sha2("text", 256))
         rows = sizes.join(mixed, ["n_bytes", "print"], "left_anti").withColumn("text", F.lit(b"")).unionByName(apart)
-    groups = rows.groupBy(*key).agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    told = rows.join(groups, key).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    groups = rows.groupBy(*key).agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size")).where("group_size > 1")
+    groups = stored(groups.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("keep_id").alias("_keep"), "group_size"), "groups")
+    told = rows.join(groups, [F.col(k) == F.col(f"_{k}") for k in key], "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    told = told.withColumns({"keep_id": F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("_keep")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)
     return told.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"), "n_bytes", "print")
 
