@@ -190,3 +190,27 @@ def importance_sample(docs: DataFrame, target: DataFrame, percent: int = 5, min_
 
 def importance_sample_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return importance_sample(docs, benchmark).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: The checksum is computed byte by byte from its table of 256 values, once for each distinct feature.
+ORACLE = """
+with recursive bits as (select i as b, i::bigint as c, 0 as k from range(256) t(i)
+  union all select b, case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end, k + 1 from bits where k < 8),
+crc_table as materialized (select list(c order by b) as t from bits where k = 8),
+texts as (select row_number() over () as row_no, * from (select 'd' as part, doc_id, text from documents union all select 'b', null, text from benchmark)),
+w as materialized (select part, row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from texts),
+g as materialized (select part, row_no, g, count(*) as c from (select part, row_no, unnest(w) as g from w
+  union all select part, row_no, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w
+  union all select part, row_no, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w) group by all),
+u as materialized (select g, hex(encode(g)) as x from (select distinct g from g)),
+h as (select g, xor(list_reduce(list_transform(range(1, len(x) // 2 + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::bigint), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) % 10000 as bucket from u, crc_table),
+f as materialized (select part, row_no, bucket, c from g join h using (g)),
+n as (select bucket, coalesce(sum(c) filter (part = 'd'), 0) as s, coalesce(sum(c) filter (part = 'b'), 0) as t, sum(s) over () as s_all, sum(t) over () as t_all from f group by bucket),
+gain as (select bucket, floor(1000 * ln((t + 1)::double * (s_all + 10000)::double / ((s + 1)::double * (t_all + 10000)::double)))::bigint as gain from n),
+d as (select row_no, sum(c)::bigint as n_features, sum(c * gain)::bigint as weight from f join gain using (bucket) where part = 'd' group by row_no),
+scored as (select doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+  ('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint as h from w left join d using (row_no) where part = 'd'),
+ranked as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from scored),
+placed as (select *, case when n_words >= 20 then row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last) end as place, count(*) filter (n_words >= 20) over () as n from ranked)
+select doc_id, n_features, weight, score, case when place <= 5 * n // 100 then place end as rank from placed
+"""

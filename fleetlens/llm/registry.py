@@ -99,6 +99,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc": warc.ORACLE,
         "op9_quality_rules": quality.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
+        "op11_importance_sample": importance.ORACLE,
         "op12_exact_copies": exact.ORACLE,
         "op13_collocations": phrases.ORACLE,
     }
