@@ -387,8 +387,13 @@ def collocations(
     known = stored(x.mapInArrow(shards, f"range int, lang string, {AUTOMATON}").groupBy("range").applyInArrow(unite, f"range int, lang string, total long, {AUTOMATON}"), "phrases")
     told = known.groupBy("range").cogroup(known.mapInArrow(ask, f"range int, source int, lang string, {AUTOMATON}").groupBy("range")).applyInArrow(answer, f"range int, lang string, longer boolean, {AUTOMATON}")
     found = known.groupBy("range").cogroup(told.groupBy("range")).applyInArrow(score, "lang string, phrase string, a long, l long, r long, score long")
+    found = stored(found, "scored")
+    # below (score, a) of what comes at place `top` nothing is needed, so a language's candidates never meet in one task
+    each = found.groupBy("lang", "score", "a").agg(F.count("*").alias("c"))
+    ahead = F.sum("c").over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc())) - F.col("c")
+    cut = each.withColumn("ahead", ahead).where(F.col("ahead") < top).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("cut"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase"))
-    best = found.withColumn("rank", place.cast("long")).where(F.col("rank") <= top)
+    best = found.join(stored(cut, "cuts"), "lang").where(F.struct("score", "a") >= F.col("cut")).withColumn("rank", place.cast("long")).where(F.col("rank") <= top)
     words = known.groupBy("lang").agg(F.sum("total").alias("n"))
     return best.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
