@@ -154,6 +154,30 @@ def suffix_classes(data: np.ndarray, off: np.ndarray, residue: np.ndarray, min_b
 SLICE = "block int, text int, start long, n int, anchor long, residue int, digest binary, body binary"
 
 
+#: A part of a slice: strings that start side by side in it, from `at` on, and share a finer key.
+PART = "parent binary, at int, digest binary, copies long, n int, key long, residue int, body binary"
+_PARTS = pa.schema([("parent", pa.binary()), ("at", pa.int32()), ("digest", pa.binary()), ("copies", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("residue", pa.int32()), ("body", pa.binary())])
+
+
+def finer(body: np.ndarray, n: int, min_bytes: int, level: int) -> np.ndarray:
+    """A key of each of the n strings of a slice by its own bytes, so that equal strings share it and neighbours often do.
+
+    Level 1: the least hashes of short strings in its first and in its last third, where the contexts of a common passage differ.
+    Level 2: a hash of the whole string.
+    """
+    rolling, start = Rolling(body), np.arange(n)
+    if level > 1:
+        return rolling.hash(start, start + min_bytes)
+    third = max(1, min_bytes // 3)
+    gram = min(8, third)
+    at = np.arange(len(body) - gram + 1)
+    least, width, over = mix(rolling.hash(at, at + gram)), 1, third - gram + 1
+    while 2 * width <= over:
+        least, width = np.minimum(least[: len(least) - width], least[width:]), 2 * width
+    window = lambda x: np.minimum(least[x], least[x + over - width])
+    return mix(window(start) + np.uint64(0x9FB21C651E98DF25) * window(start + min_bytes - third))
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = 1 << 20) -> DataFrame:
     """(id, n_bytes, spans, kept, text): each text's bytes without those covered by a min_bytes string that starts anywhere else too.
 
@@ -166,8 +190,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sample prefixes of that depth are counted over the corpus (by a hash; a collision only lets more in), and a suffix enters the
     sort only if one of its next v positions is a sample position that ties. Suffixes are dealt to buckets by an anchor, the
     least hash of the GRAM byte strings in their first min_bytes, which equal ones share and neighbours mostly share too: a run
-    of them goes as one slice of text. Equal slices are put together by a partial aggregation, so a passage in a third of all
-    texts comes to its bucket as a few slices. Each bucket is sorted on its own, long ties by the ranks of its cover sample (see
+    of them goes as one slice of text. Equal slices are put together by a partial aggregation. A passage in many texts still
+    brings a slice for each context that it stands in; an anchor with more than bucket_bytes of different slices is split by
+    finer keys of the strings (see finer()), first by their ends, then one by one, and equal parts are put together again, so no
+    bucket holds all contexts. Each bucket is sorted on its own, long ties by the ranks of its cover sample (see
     suffix_classes()), and no hash decides: strings of one class have equal bytes. Of equal texts (128 bits) one takes part, as a
     text with a copy loses all or nothing. Memory is that of one block of texts or of one bucket.
 
@@ -282,13 +308,48 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         text = pa.Array.from_buffers(pa.string(), len(off) - 1, [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[~part]))])
         return pa.table({"id": table["id"], "n_bytes": pa.array(np.diff(off), pa.int64()), "spans": spans, "kept": rest, "text": text})
 
+    def split(level: int):
+        def run(batches):
+            for batch in batches:
+                rows = []
+                for parent, copies, residue, n, body in zip(*(batch.column(c).to_pylist() for c in ("digest", "copies", "residue", "n", "body")), strict=True):
+                    key = finer(np.frombuffer(body, np.uint8), n, min_bytes, level)
+                    edge = [0, *(np.flatnonzero(np.diff(key.view(np.int64))) + 1).tolist(), n]
+                    for a, b in zip(edge, edge[1:], strict=False):
+                        part = body[a : b - 1 + min_bytes]
+                        rows.append({"parent": parent, "at": a, "digest": hashlib.blake2b(part, digest_size=16).digest(), "copies": copies, "n": b - a, "key": int(key[a].view(np.int64)), "residue": (residue + a) % v, "body": part})
+                yield pa.RecordBatch.from_pylist(rows, _PARTS)
+
+        return run
+
+    def together(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) if x is not None else np.zeros(n, np.uint8) for x, n in zip(table["again"].to_pylist(), table["n"].to_pylist(), strict=True)]
+        return pa.table({"digest": table["parent"].slice(0, 1), "again": pa.array([np.packbits(np.concatenate(bits)).tobytes()], pa.binary())})
+
+    def repeated(slices: DataFrame, level: int = 0) -> DataFrame:
+        """(digest, again): which strings of each slice are there more than once. slices: (digest, copies, n, key, residue, body)."""
+        heavy = stored(slices.groupBy("key").agg(F.sum(F.octet_length("body")).alias("bytes")).where(F.col("bytes") > bucket_bytes).select("key"), "heavy-keys") if level < 2 else None
+        split_up = heavy is not None and not heavy.isEmpty()
+        whole = slices.join(heavy, "key", "left_anti") if split_up else slices
+        total = whole.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+        bucket = F.pmod(F.xxhash64("key"), F.lit(max(16, -(-total // bucket_bytes)))).cast("int")
+        out = whole.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(sort, "digest binary, again binary").where("again is not null")
+        if split_up:
+            parts = stored(slices.join(heavy, "key", "left_semi").mapInArrow(split(level + 1), PART), "slice-parts")
+            again = repeated(distinct(parts), level + 1)
+            back = parts.join(again, "digest").select("parent").distinct()  # parents with a repeat; all their parts are needed
+            marked = parts.join(back, "parent", "left_semi").join(again, "digest", "left").select("parent", "at", "n", "again")
+            out = out.unionByName(marked.groupBy("parent").applyInArrow(together, "digest binary, again binary"))
+        return stored(out, "repeats")
+
+    def distinct(slices: DataFrame) -> DataFrame:
+        return stored(slices.groupBy("digest").agg(F.sum("copies").alias("copies"), *(F.first(c).alias(c) for c in ("n", "key", "residue", "body"))), "distinct-slices")
+
     codes = counted(blocks.groupBy("block").applyInArrow(whole_keys, SENT))
     codes = codes.unionByName(counted(with_codes(blocks, codes, sample_keys, SENT)))
     found = stored(with_codes(blocks, codes, slices, SLICE), "slices")
-    distinct = found.where("digest is not null").groupBy("digest").agg(F.count("*").alias("copies"), F.first("anchor").alias("anchor"), F.first("residue").alias("residue"), F.first("body").alias("body"))
-    total = found.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(max(16, -(-total // bucket_bytes)))).cast("int")
-    sorted_ = stored(distinct.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(sort, "digest binary, again binary").where("again is not null"), "repeats")
+    sorted_ = repeated(distinct(found.where("digest is not null").withColumns({"copies": F.lit(1).cast("long"), "key": F.col("anchor")})))
     marks = found.select("block", "text", "start", "n", "digest").join(sorted_, "digest", "left").where("digest is null or again is not null").drop("digest")
     kind = docs.schema[id_col].dataType.simpleString()
     out = with_codes(blocks, marks, cut, f"id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, text string")
