@@ -26,6 +26,7 @@ FURNITURE = re.compile(r"ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?
 #: Parts of a name that say what kind of box it is, and parts that say that a page has or lacks something.
 BOXES = frozenset("area articles bar block bottom box btn button buttons container cta form group icon icons inner item items left link links list media outer panel posts primary right row secondary section signup slot stories this toggle top unit widgets wrap wrapper".split())
 MODIFIERS = frozenset("has with no without not hide show".split())
+OWNERS = frozenset("article author blog entry google page post reader site story user visitor".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 _START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?])")
@@ -39,7 +40,8 @@ _SPACES = re.compile(r"\s+")
 def _names_furniture(attribute: str, value: str, article: bool) -> bool:
     """Whether a class, id or role is one of page furniture; in an article a header holds its heading.
 
-    A class or id counts if it is such a name as a whole or ends in one, less the parts of BOXES and numbers at its end.
+    A class or id counts if it is such a name as a whole or ends in one, less the parts of BOXES and numbers at its end. In an
+    article all its parts must be such names or say whose they are: market-share and release-notice are what the article is about.
     """
     value = value.lower()
     if attribute.lower() == "role":
@@ -50,7 +52,7 @@ def _names_furniture(attribute: str, value: str, article: bool) -> bool:
             continue
         while len(parts) > 1 and (parts[-1] in BOXES or parts[-1].isdigit()):
             parts.pop()
-        if FURNITURE.fullmatch(parts[-1]) and not (article and parts[-1] == "header"):
+        if FURNITURE.fullmatch(parts[-1]) and not (article and (parts[-1] == "header" or any(x not in OWNERS and x not in BOXES and not FURNITURE.fullmatch(x) for x in parts[:-1]))):
             return True
     return False
 
@@ -59,10 +61,10 @@ def all_lines(page: str) -> list[tuple[str, bool, bool]]:
     """(line, within the article, furniture) for each block of text, page furniture too, but no script, style, title or comment.
 
     A line is the text between two block borders, character references decoded, white space made one space. Furniture is what
-    lies in elements of DROPPED, or whose class, id or role names one. A form and a named element stay if they hold an article
-    or main element, or more than half of the page's text while no article or main element stands elsewhere (else a long advert
+    lies in elements of DROPPED, or whose class, id or role names one. Inside of an article only blocks
+    count by their names, never what stands in a line. A form and a named element stay if they hold an article or main element, or more than half of the page's text while no article or main element stands elsewhere (else a long advert
     beside a short article would stay); what is named inside is judged by itself. The end tag of an element also ends what is
-    open inside. A tag or comment that never ends takes the rest of the page. Time is linear in the page, whatever it holds.
+    open inside. A tag or comment that never ends takes the rest of the page. Time is linear in the page, whatever it holds; aligning its lines (see common_lines()) is not.
     """
     lines: list[tuple[list[tuple[str, int, bool]], bool]] = []
     stack: list[tuple[str, bool, bool, int]] = []  # name, furniture, article, innermost named element
@@ -119,7 +121,7 @@ def all_lines(page: str) -> list[tuple[str, bool, bool]]:
             if name in ("p", "li", "dd", "dt", "tr", "td", "th", "option") and where.get(name) and where[name][-1] > borders[-1]:  # these end an open one of their kind
                 furniture, article, inside = close(where[name][-1])
             marks = _ATTRIBUTE.findall(rest[1]) if rest[1] else ()
-            named = name not in ("html", "body", "main", "article") and any(_names_furniture(k, v.strip("\"'"), article) for k, v in marks)
+            named = name not in ("html", "body", "main", "article") and (name in BLOCKS or not article) and any(_names_furniture(k, v.strip("\"'"), article) for k, v in marks)
             furniture = furniture or (name in DROPPED and name != "form" and not (name == "header" and article))
             if not furniture and name in ("article", "main"):
                 article, marked, i = True, True, inside
@@ -167,27 +169,60 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
     return [(x, article) for x, article, furniture in all_lines(page) if not furniture]
 
 
+class _Places:
+    """The places of each line of a list as bits of an integer; a line with few places has them made when they are asked for."""
+
+    def __init__(self, lines: list[str]):
+        self.at: dict[str, list[int]] = {}
+        for j, x in enumerate(lines):
+            self.at.setdefault(x, []).append(j)
+        self.bytes = len(lines) // 8 + 1
+        self.many: dict[str, int] = {}
+
+    def of(self, line: str) -> int:
+        at = self.at.get(line, ())
+        if len(at) < 2:
+            return 1 << at[0] if at else 0
+        if line in self.many:
+            return self.many[line]
+        bits = bytearray(self.bytes)
+        for j in at:
+            bits[j >> 3] |= 1 << (j & 7)
+        found = int.from_bytes(bits, "little")
+        if len(at) >= 256:
+            self.many[line] = found
+        return found
+
+
 def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of a longest common subsequence with b, by rows of bits held in integers."""
-    where: dict[str, int] = {}
-    for j, x in enumerate(b):
-        where[x] = where.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    row, rows = full, []
-    for x in a:
-        hit = row & where.get(x, 0)
-        row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
+    """Positions in a of a longest common subsequence with b, by rows of bits held in integers.
+
+    Of all rows one in about sqrt(len(a)) is kept; those between are computed again when the way back comes by.
+    """
+    places, full = _Places(b), (1 << len(b)) - 1
+    step = max(1, int(len(a) ** 0.5))
+
+    def rows_from(row: int, first: int, last: int) -> Iterator[int]:
+        for x in a[first:last]:
+            hit = row & places.of(x)
+            row = ((row + hit) | (row - hit)) & full
+            yield row
+
+    kept = [full]  # before line 0, step, 2 * step ...
+    for i, row in enumerate(rows_from(full, 0, len(a)), 1):
+        if i % step == 0:
+            kept.append(row)
     found, j = set(), len(b)
-    for i in range(len(a) - 1, -1, -1):  # a row's zero bits are where the length steps up
-        before = rows[i - 1] if i else full
-        while j and rows[i] >> (j - 1) & 1:
-            j -= 1
-        if not j:
-            break
-        if before >> (j - 1) & 1:  # the step at j is new in row i
-            found.add(i)
-            j -= 1
+    for k in range(len(kept) - 1, -1, -1):
+        rows = [kept[k], *rows_from(kept[k], k * step, min(len(a), (k + 1) * step))]
+        for i in range(len(rows) - 1, 0, -1):  # a row's zero bits are where the length steps up
+            while j and rows[i] >> (j - 1) & 1:
+                j -= 1
+            if not j:
+                return found
+            if rows[i - 1] >> (j - 1) & 1:  # the step at j is new in row i
+                found.add(k * step + i - 1)
+                j -= 1
     return found
 
 
