@@ -30,8 +30,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     written in one stream. Rows are written by classes of payload size, each a factor of eight; a class has as few records in a
     file as its largest payloads ask for, so a file stays within file_bytes (or is one record), whatever sizes the pages have.
 
-    Null html is an empty payload. A null url gives an empty target; control characters and spaces in urls are percent-encoded. Rows with a null
-    id revisit like others but are never named; rows that share the largest id are all responses. Other columns are not read.
+    Null html is an empty payload. A null url gives an empty target; control characters and spaces in urls, which a header
+    must not hold, are percent-encoded, all else of a url stays as it is. Rows with a null id revisit like others but are never named; rows that share the largest id are all responses. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("key"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html")).withColumn("bytes", F.octet_length("html"))
@@ -39,9 +39,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     twice = stored(twice, "payloads")
     rows = rows.join(twice, "digest", "left")
     again = F.col("keeper").isNotNull() & ~F.col("key").eqNullSafe(F.col("keeper"))
-    target = F.url_encode("url")
-    for code, char in (("%2F", "/"), ("%3A", ":"), ("%3F", "?"), ("%23", "#"), ("%3D", "="), ("%26", "&")):
-        target = F.replace(target, F.lit(code), F.lit(char))
+    target = F.col("url")
+    for code in (*range(0x21), 0x7F):
+        target = F.replace(target, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    target = F.when(F.col("url").rlike(r"[\x00-\x20\x7F]"), target).otherwise(F.col("url"))
     block = F.when(again, F.lit("")).otherwise(F.concat(F.lit(_HTTP), F.col("bytes").cast("string"), F.lit(END), F.col("html")))
     record = F.concat(
         F.lit(MAGIC.decode() + "WARC-Type: "), F.when(again, "revisit").otherwise("response"),
