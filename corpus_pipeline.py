@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import jaccard, line_dedup, mixing, pieces, quality
 from fleetlens.llm._scratch import deleted, freed_shuffles, freed_tables, new_path
 
 
+def _apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but the used ones under names of their own, which no operator adds; and what names them back."""
+    names = {c: c if c in used else f"_own{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality_rules(docs).where("kept").select(*docs.columns)
+    rows, back = _apart(docs, "doc_id", "text")
+    return quality.quality_rules(rows).where("kept").select(*back)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less their repeated runs of lines and passages of over 50 words; one of which nothing but white space is left goes. n_chars follows the text."""
+    rows, back = _apart(docs, "doc_id", "text", "n_chars")
     changed = (F.col("n_removed") > 0) | (F.col("n_passage_words") > 0)
-    out = line_dedup.dedup_lines(docs, passage_words=51).where(~(changed & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    out = line_dedup.dedup_lines(rows, passage_words=51).where(~(changed & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*back)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,18 +37,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share that id are one document: all its texts stay, each once (of rows equal in id and text the least stays, by
     its other columns as JSON).
     """
-    first = jaccard.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.struct(F.lit(0).alias("_"), *others)
-    least = docs.join(first, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("_row"))
-    kept = least.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c).alias(c) for c in docs.columns))
-    return kept.unionByName(docs.where("doc_id is null"))
+    first = jaccard.near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    rows, back = _apart(docs, "doc_id", "text")
+    row = F.struct(F.lit(0).alias("_"), *(c for c in rows.columns if c not in ("doc_id", "text")))
+    least = rows.join(first, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    kept = least.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c).alias(c) for c in rows.columns))
+    return kept.unionByName(rows.where("doc_id is null")).select(*back)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as its source's target takes it."""
-    mixed = mixing.mix_sources(docs).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows, back = _apart(docs, "doc_id", "text", "source")
+    mixed = mixing.mix_sources(rows).where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*back)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
