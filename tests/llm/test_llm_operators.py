@@ -7,6 +7,7 @@ import hashlib
 import html
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -321,6 +322,95 @@ def test_mixing_repeated_ids_equal_sizes_and_shards_on_disk(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "mix")).count() == sum(r.copies for r in rows)
 
 
+@pytest.mark.parametrize("share", [1.5, 1.1, 0.4])
+def test_mixing_rows_that_share_an_id_meet_the_target(spark, share):
+    """A source of equal rows, one of one id with many texts, one with a null id: each within a row of its target, none lost."""
+    data = [(1, "x x x x x x x x x x", "a", i) for i in range(900)] + [(2, " ".join(["y"] * (5 + i % 9)) + f" {i}", "b", i) for i in range(600)] + [(None, "z z", "c", i % 2) for i in range(700)] + [(i, f"q {i}", None, i) for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, other long").repartition(5)
+    rows = mixing.mix_sources(df, share=share).collect()
+    assert sorted((r.doc_id or 0, r.text, r.source or "", r.other) for r in rows) == sorted((i or 0, t, s or "", o) for i, t, s, o in data)
+    taken, target = collections.Counter(), {}
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 2 * r.size and len(r.shards) == r.copies == len(r.places)
+    assert all(abs(taken[s] - target[s]) <= 10 for s in target), (taken, target)
+    again = collections.Counter((r.doc_id, r.text, r.source, r.other, r.taken, tuple(r.shards)) for r in mixing.mix_sources(df.repartition(3), share=share).collect())
+    assert again == collections.Counter((r.doc_id, r.text, r.source, r.other, r.taken, tuple(r.shards)) for r in rows)
+
+
+def test_suffix_dedup_of_a_passage_in_many_contexts(spark, monkeypatch):
+    """No bucket holds the contexts of a hot passage, and the result is that of counting strings."""
+    rng = np.random.default_rng(4)
+    noise = lambda n: " ".join(f"{x:x}" for x in rng.integers(0, 16**3, n))
+    passage, shared = noise(110)[:420], noise(40)
+    data = [(i, noise(20) + (shared if i % 3 == 0 else "") + passage + noise(20)) for i in range(600)] + [(700, noise(60000)), (701, noise(3000) + passage)]
+    want = {}
+    count = collections.Counter()
+    for _, t in data:
+        count.update({t[i : i + 60]: t.count(t[i : i + 60]) for i in range(len(t) - 59)} if len(t) < 5000 else collections.Counter(t[i : i + 60] for i in range(len(t) - 59)))
+    for i, t in data:
+        gone = np.zeros(len(t) + 1, int)
+        for p in range(len(t) - 59):
+            if count[t[p : p + 60]] > 1:
+                gone[p] += 1
+                gone[p + 60] -= 1
+        want[i] = "".join(x for x, g in zip(t, np.cumsum(gone), strict=False) if not g)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    most = spark.sparkContext.accumulator(0)
+    plain = suffixes.suffix_classes
+
+    def counted(data, off, *rest):
+        most.add(0 if len(data) < 60000 else 1)  # a bucket of over twice bucket_bytes
+        return plain(data, off, *rest)
+
+    monkeypatch.setattr(suffixes, "suffix_classes", counted)
+    got = {r.doc_id: r.text for r in suffixes.suffix_dedup(df, min_bytes=60, block_bytes=20000, bucket_bytes=30000).collect()}
+    assert got == want and most.value == 0
+
+
+@pytest.mark.parametrize("level", [1, 2])
+def test_finer_keys_of_equal_strings_are_equal(level):
+    base = RNG.integers(97, 123, 3000, dtype=np.uint8)
+    a, b = suffixes.finer(base[100:900], 800 - 399, 400, level), suffixes.finer(base[350:1200], 850 - 399, 400, level)
+    assert (a[250:] == b[: len(a) - 250]).all() and len(set(a.tolist())) > 3
+
+
+def test_alignment_takes_little_memory_and_gives_a_longest_sequence():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = ([chr(97 + x) for x in rng.integers(0, 5, rng.integers(0, 25))] for _ in range(2))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+        got, it = html_text.common_lines(a, b), iter(b)
+        assert len(got) == table[-1, -1] and all(a[i] in it for i in sorted(got))
+    n = 20000
+    a, b = [f"{i % 17}" if i % 4 == 0 else f"l{i}" for i in range(n)], [f"{i % 17}" if i % 4 == 0 else f"l{i}" if i % 3 else f"m{i}" for i in range(n)]
+    tracemalloc.start()
+    assert len(html_text.common_lines(a, b)) >= n // 2
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("kept", ['<pre><span class="hljs-comment">c</span></pre>', '<code><span class="token comment">c</span></code>', '<div class="market-share">c</div>', '<section class="file-menu">c</section>', '<p class="release-notice">c</p>', '<em id="ad">c</em>'])
+def test_names_do_not_take_what_an_article_is_about(kept):
+    assert ("c", True) in html_text.page_lines(f"<html><body><nav>menu</nav><article><p>text</p>{kept}</article></body></html>")
+
+
+@pytest.mark.parametrize("gone", ['<div class="ad">c</div>', '<section id="comments">c</section>', '<div class="post-comments">c</div>', '<ul class="share-buttons"><li>c</li></ul>', '<div class="related-posts">c</div>', "<aside>c</aside>", '<div class="cookie-notice">c</div>'])
+def test_furniture_in_an_article_goes(gone):
+    assert html_text.page_lines(f"<html><body><article><p>text</p>{gone}</article></body></html>") == [("text", True)]
+
+
+def test_urls_stay_what_they_are_in_archives(spark, tmp_path):
+    urls_ = ["http://x.com/a%20b~c?q=é&r=1+2#f", "http://x.com/a b\tc\n", "", None, "http://x.com/[1]|{2}"]
+    warc.write_warc(spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls_)], "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = {r.record_id: r.target_uri for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert got == {f"urn:page:{i}": (u or "").replace(" ", "%20").replace("\t", "%09").replace("\n", "%0A") for i, u in enumerate(urls_)}
+
+
 def vectors():
     x = RNG.standard_normal((40, 16))
     x[10:20] = x[0] + 0.08 * RNG.standard_normal((10, 16))

@@ -178,3 +178,14 @@ def test_stages_of_an_empty_table_and_of_clashing_columns(spark, docs):
         assert stage(spark, docs.where("false"), "").count() == 0, name
         out = stage(spark, odd, "")
         assert out.count() > 0 and (name == "SentencePiece encoding" or out.columns == odd.columns), name
+
+
+def test_stages_keep_columns_that_operators_use_for_themselves(spark, docs):
+    """Columns named like the operators' own, and _, come out as they went in."""
+    names = ["_", "_row", "_own1", "kept", "n_lines", "n_removed", "size", "copies", "shards", "component_id", "n_words", "c0"]
+    clash = docs.withColumns({n: F.concat(F.lit(n), F.col("n_chars").cast("string")) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, "")
+        assert out.columns == clash.columns
+        bad = [f"not `{n}` <=> concat('{n}', cast(n_chars as string))" for n in names]
+        assert out.count() and (stage is corpus_pipeline.line_stage or out.where(" or ".join(bad)).count() == 0)
