@@ -159,23 +159,11 @@ PART = "parent binary, at int, digest binary, copies long, n int, key long, resi
 _PARTS = pa.schema([("parent", pa.binary()), ("at", pa.int32()), ("digest", pa.binary()), ("copies", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("residue", pa.int32()), ("body", pa.binary())])
 
 
-def finer(body: np.ndarray, n: int, min_bytes: int, level: int) -> np.ndarray:
-    """A key of each of the n strings of a slice by its own bytes, so that equal strings share it and neighbours often do.
-
-    Level 1: the least hashes of short strings in its first and in its last third, where the contexts of a common passage differ.
-    Level 2: a hash of the whole string.
-    """
-    rolling, start = Rolling(body), np.arange(n)
-    if level > 1:
-        return rolling.hash(start, start + min_bytes)
-    third = max(1, min_bytes // 3)
-    gram = min(8, third)
-    at = np.arange(len(body) - gram + 1)
-    least, width, over = mix(rolling.hash(at, at + gram)), 1, third - gram + 1
-    while 2 * width <= over:
-        least, width = np.minimum(least[: len(least) - width], least[width:]), 2 * width
-    window = lambda x: np.minimum(least[x], least[x + over - width])
-    return mix(window(start) + np.uint64(0x9FB21C651E98DF25) * window(start + min_bytes - third))
+def window_hashes(table: pa.Table, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the bodies of slices where a string of min_bytes starts, the slice that each is of, and a hash of each string."""
+    data, off = texts(table["body"])
+    place = np.flatnonzero(np.arange(len(data)) + min_bytes <= np.repeat(off[1:], np.diff(off)))
+    return place - off[np.searchsorted(off, place, "right") - 1], np.searchsorted(off, place, "right") - 1, Rolling(data).hash(place, place + min_bytes)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = 1 << 20) -> DataFrame:
@@ -191,8 +179,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sort only if one of its next v positions is a sample position that ties. Suffixes are dealt to buckets by an anchor, the
     least hash of the GRAM byte strings in their first min_bytes, which equal ones share and neighbours mostly share too: a run
     of them goes as one slice of text. Equal slices are put together by a partial aggregation. A passage in many texts still
-    brings a slice for each context that it stands in; an anchor with more than bucket_bytes of different slices is split by
-    finer keys of the strings (see finer()), first by their ends, then one by one, and equal parts are put together again, so no
+    brings a slice for each context that it stands in. An anchor with more than bucket_bytes of different slices is cut to the
+    runs of strings that are there more than once, which are counted as the samples are; its contexts go, and what is left of
+    the passage is equal in all texts and put together again. What then is still more is dealt string by string, so no
     bucket holds all contexts. Each bucket is sorted on its own, long ties by the ranks of its cover sample (see
     suffix_classes()), and no hash decides: strings of one class have equal bytes. Of equal texts (128 bits) one takes part, as a
     text with a copy loses all or nothing. Memory is that of one block of texts or of one bucket.
@@ -308,24 +297,56 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         text = pa.Array.from_buffers(pa.string(), len(off) - 1, [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[~part]))])
         return pa.table({"id": table["id"], "n_bytes": pa.array(np.diff(off), pa.int64()), "spans": spans, "kept": rest, "text": text})
 
-    def split(level: int):
-        def run(batches):
-            for batch in batches:
-                rows = []
-                for parent, copies, residue, n, body in zip(*(batch.column(c).to_pylist() for c in ("digest", "copies", "residue", "n", "body")), strict=True):
-                    key = finer(np.frombuffer(body, np.uint8), n, min_bytes, level)
-                    edge = [0, *(np.flatnonzero(np.diff(key.view(np.int64))) + 1).tolist(), n]
-                    for a, b in zip(edge, edge[1:], strict=False):
-                        part = body[a : b - 1 + min_bytes]
-                        rows.append({"parent": parent, "at": a, "digest": hashlib.blake2b(part, digest_size=16).digest(), "copies": copies, "n": b - a, "key": int(key[a].view(np.int64)), "residue": (residue + a) % v, "body": part})
-                yield pa.RecordBatch.from_pylist(rows, _PARTS)
-
-        return run
+    def twice_or_once(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        table = table.sort_by("digest")
+        return table, *window_hashes(table, min_bytes)
+
+    def window_keys(table: pa.Table) -> pa.Table:
+        table, _, owner, key = twice_or_once(table)
+        again = np.array(table["copies"].to_pylist(), np.int64)[owner] > 1
+        return emit(np.concatenate([key, key[again]]), table["block"][0].as_py(), 0, n_buckets)
+
+    def parts_of(table: pa.Table, codes: pa.Table) -> pa.Table:
+        """Runs of strings that the same number of slices have (by its length in bits), more than one."""
+        table, inside, owner, key = twice_or_once(table)
+        code = codes_of(codes, 0, key)
+        edge = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(code.astype(np.int16)) != 0))[: len(code)])
+        rows, columns = [], [table[c].to_pylist() for c in ("digest", "copies", "key", "residue", "body")]
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(code)], strict=True):
+            if code[a] > 1:
+                parent, copies, anchor, residue, body = (c[owner[a]] for c in columns)
+                at, n = int(inside[a]), b - a
+                part = body[at : at + n - 1 + min_bytes]
+                rows.append({"parent": parent, "at": at, "digest": hashlib.blake2b(part, digest_size=16).digest(), "copies": copies, "n": n, "key": anchor, "residue": (residue + at) % v, "body": part})
+        return pa.Table.from_pylist(rows, _PARTS)
+
+    def one_by_one(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                table = pa.Table.from_batches([batch.slice(i, 1)])
+                inside, _, key = window_hashes(table, min_bytes)
+                parent, copies, residue, body = (table[c][0].as_py() for c in ("digest", "copies", "residue", "body"))
+                bodies = [body[a : a + min_bytes] for a in inside.tolist()]
+                yield pa.RecordBatch.from_pydict({
+                    "parent": [parent] * len(bodies), "at": inside, "digest": [hashlib.blake2b(x, digest_size=16).digest() for x in bodies], "copies": [copies] * len(bodies), "n": [1] * len(bodies),
+                    "key": key.view(np.int64), "residue": (residue + inside) % v, "body": bodies,
+                }, _PARTS)
+
+    def split(hot: DataFrame, level: int) -> DataFrame:
+        """Slices cut up: at first into runs of strings that are there more than once, then, should that not do, string by string."""
+        if level:
+            return hot.mapInArrow(one_by_one, PART)
+        total = hot.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+        dealt = hot.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(max(16, -(-total // block_bytes)))).cast("int"))
+        codes = counted(dealt.groupBy("block").applyInArrow(window_keys, SENT))
+        return dealt.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(parts_of, PART)
 
     def together(table: pa.Table) -> pa.Table:
-        table = table.sort_by("at")
-        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) if x is not None else np.zeros(n, np.uint8) for x, n in zip(table["again"].to_pylist(), table["n"].to_pylist(), strict=True)]
-        return pa.table({"digest": table["parent"].slice(0, 1), "again": pa.array([np.packbits(np.concatenate(bits)).tobytes()], pa.binary())})
+        """The bits of a slice out of those of its parts; what no part has is there once."""
+        again = np.zeros(table["total"][0].as_py(), np.uint8)
+        for at, n, bits in zip(*(table[c].to_pylist() for c in ("at", "n", "again")), strict=True):
+            again[at : at + n] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
+        return pa.table({"digest": table["parent"].slice(0, 1), "again": pa.array([np.packbits(again).tobytes()], pa.binary())})
 
     def repeated(slices: DataFrame, level: int = 0) -> DataFrame:
         """(digest, again): which strings of each slice are there more than once. slices: (digest, copies, n, key, residue, body)."""
@@ -336,10 +357,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bucket = F.pmod(F.xxhash64("key"), F.lit(max(16, -(-total // bucket_bytes)))).cast("int")
         out = whole.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(sort, "digest binary, again binary").where("again is not null")
         if split_up:
-            parts = stored(slices.join(heavy, "key", "left_semi").mapInArrow(split(level + 1), PART), "slice-parts")
+            hot = slices.join(heavy, "key", "left_semi")
+            parts = stored(split(hot, level), "slice-parts")
             again = repeated(distinct(parts), level + 1)
-            back = parts.join(again, "digest").select("parent").distinct()  # parents with a repeat; all their parts are needed
-            marked = parts.join(back, "parent", "left_semi").join(again, "digest", "left").select("parent", "at", "n", "again")
+            marked = parts.select("parent", "at", F.col("n"), "digest").join(again, "digest").drop("digest").join(hot.select(F.col("digest").alias("parent"), F.col("n").alias("total")), "parent")
             out = out.unionByName(marked.groupBy("parent").applyInArrow(together, "digest binary, again binary"))
         return stored(out, "repeats")
 
