@@ -367,13 +367,8 @@ def test_suffix_dedup_of_a_passage_in_many_contexts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "suffix_classes", counted)
     got = {r.doc_id: r.text for r in suffixes.suffix_dedup(df, min_bytes=60, block_bytes=20000, bucket_bytes=30000).collect()}
     assert got == want and most.value == 0
-
-
-@pytest.mark.parametrize("level", [1, 2])
-def test_finer_keys_of_equal_strings_are_equal(level):
-    base = RNG.integers(97, 123, 3000, dtype=np.uint8)
-    a, b = suffixes.finer(base[100:900], 800 - 399, 400, level), suffixes.finer(base[350:1200], 850 - 399, 400, level)
-    assert (a[250:] == b[: len(a) - 250]).all() and len(set(a.tolist())) > 3
+    got = {r.doc_id: r.text for r in suffixes.suffix_dedup(df, min_bytes=60, block_bytes=20000, bucket_bytes=600).collect()}  # down to single strings
+    assert got == want
 
 
 def test_alignment_takes_little_memory_and_gives_a_longest_sequence():
