@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.plans.alerting import decided
 from fleetlens.plans.registry import place, query, table
 from fleetlens.streaming import streams as P
+from fleetlens.streaming.state import returned
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -21,6 +22,14 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{at}/rows").select("event_id", "user_id", "event_type")
 
 
+def _ended(spark: SparkSession, d: str, build) -> DataFrame:
+    """What a stream over all columns has given when a last event in the year 2100 has passed."""
+    last = spark.sql("select -1L as event_id, -1L as user_id, 'end' as event_type, timestamp'2100-01-01' as ts")
+    e = _events(spark, d)
+    missing = [c for c in e.columns if c not in last.columns]
+    return P.drain_closed(e, build, last.select("*", *(F.lit(None).alias(c) for c in missing)), place(spark))
+
+
 def _closed(spark: SparkSession, d: str, build) -> DataFrame:
     """A stream's windows, all of them: a last event in the year 2100 ends the others."""
     e = _events(spark, d).select("ts", "event_type")
@@ -60,8 +69,7 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select cast(user_id as varchar) as key, event_id, cast(floor(epoch(ts)) - floor(epoch(lag(ts) over (partition by user_id order by ts, event_id))) as bigint) as gap_seconds from events")
 def stream_gaps(spark: SparkSession, d: str) -> DataFrame:
-    at = place(spark)
-    return P.occurrence_gaps(_events(spark, d), f"{at}/rows", f"{at}/state", "user_id")
+    return _ended(spark, d, lambda e: P.gap_stream(e, "user_id"))
 
 
 @query("""
@@ -70,8 +78,36 @@ k as (select user_id, event_id, after from m where marker), s as (select user_id
 select cast(k.user_id as varchar) as key, cast(k.after as bigint) as run_no, k.event_id as marker_id, coalesce(n, 0) as steps from k left join s on s.user_id = k.user_id and s.after = k.after
 """)
 def stream_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _ended(spark, d, lambda e: P.run_stream(e, "user_id", F.col("event_type") == "purchase"))
+
+
+@query("""
+with d as (select event_id, ts, case when user_id % 7 = 0 then null else cast(user_id as varchar) end as key from events)
+select key, event_id, cast(floor(epoch(ts)) - floor(epoch(lag(ts) over (partition by key order by ts, event_id))) as bigint) as gap_seconds from d
+""")
+def stream_gaps_by_batch(spark: SparkSession, d: str) -> DataFrame:
+    at = place(spark)
+    e = _events(spark, d).withColumn("key", F.when(F.col("user_id") % 7 != 0, F.col("user_id")))
+    return P.occurrence_gaps(e, f"{at}/rows", f"{at}/state", "key")
+
+
+@query("""
+with m as (select *, case when user_id % 7 = 0 then null else cast(user_id as varchar) end as key, event_type = 'purchase' as marker from events),
+a as (select *, sum(marker::int) over (partition by key order by ts, event_id rows unbounded preceding) as after from m),
+k as (select key, event_id, after from a where marker), s as (select key, after + 1 as after, count(*) as n from a where not marker group by all)
+select k.key, cast(k.after as bigint) as run_no, k.event_id as marker_id, coalesce(n, 0) as steps from k left join s on s.key is not distinct from k.key and s.after = k.after
+""")
+def stream_runs_by_batch(spark: SparkSession, d: str) -> DataFrame:
+    at = place(spark)
+    e = _events(spark, d).withColumn("key", F.when(F.col("user_id") % 7 != 0, F.col("user_id")))
+    return P.marker_runs(e, f"{at}/rows", f"{at}/state", "key", F.col("event_type") == "purchase")
+
+
+@query("select cast(user_id as varchar) as key, min(ts) as first_time from events group by 1")
+def stream_returned(spark: SparkSession, d: str) -> DataFrame:
     at = place(spark)
-    return P.marker_runs(_events(spark, d), f"{at}/rows", f"{at}/state", "user_id", F.col("event_type") == "purchase")
+    x = P.drain(returned(_events(spark, d), "user_id", "ts", "30 days"), f"{at}/rows", f"{at}/state", idle_batches=False)
+    return x.select("key", F.col("first_time").cast("timestamp_ntz").alias("first_time"))
 
 
 @query(decided(cap=3, minutes=120, repeat=60).replace("select instance, event_id, ts, alert_key, event_type,", "select instance, event_id,"))

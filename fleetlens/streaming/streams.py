@@ -1,7 +1,8 @@
 """Structured Streaming jobs over the event log.
 
-Windows, sessions and deduplication are Spark's own, closed by watermarks. What depends on the row before (gaps, runs, alerts) is
-computed batch by batch with the functions of the batch library: see carry().
+Windows, sessions and deduplication are Spark's own, closed by watermarks. Gaps and runs keep state by key, with timers (gap_stream(),
+run_stream() and state.py), where rows of a key that come between two watermarks fit a task. For a first load of a long history
+the same is computed batch by batch with windows, which Spark sorts (occurrence_gaps(), marker_runs()), as alerts are: see carry().
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fleetlens.operators.alerts import decide_alerts
+from fleetlens.streaming.state import in_order, rocksdb
 
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
@@ -42,28 +44,35 @@ def sessions(events: DataFrame, keys: list[str], time: str, gap: str, late: str
     return x.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), *keys, "n")
 
 
-def _run(writer) -> None:
-    writer.trigger(availableNow=True).start().awaitTermination()
+def _run(writer, spark: SparkSession, idle_batches: bool = True) -> None:
+    with rocksdb(spark, idle_batches):
+        writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all there is into Parquet below target, and reads that."""
-    _run(stream.writeStream.format("parquet").outputMode(mode).option("path", target).option("checkpointLocation", checkpoint))
+def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", idle_batches: bool = True) -> DataFrame:
+    """Runs a stream over all there is into Parquet below target, and reads that. A stream with timers on the clock's time needs idle_batches False to end."""
+    _run(stream.writeStream.format("parquet").outputMode(mode).option("path", target).option("checkpointLocation", checkpoint), stream.sparkSession, idle_batches)
     return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
 
 def drain_closed(events: DataFrame, build: Callable[[DataFrame], DataFrame], last: DataFrame, path: str, time: str = "ts") -> DataFrame:
     """build(events) in append mode to its very end: when all there is has been read, last (a row far in the future) comes as
-    one more event and moves the watermark past all windows; its own stays open and is not given out. All is kept below path.
+    one more event and moves the watermark past all others; what it belongs to itself stays open and is not given out. All is
+    kept below path; a job that is started again goes on from there.
     """
     spark = events.sparkSession
     last = last.select(*(F.col(f.name).cast(f.dataType) for f in events.schema))
-    last.limit(0).write.parquet(f"{path}/closing")
-    closing = event_stream(spark, f"{path}/closing", last.schema, time)
-    out = build(events.unionByName(closing))
-    drain(out, f"{path}/rows", f"{path}/state")
-    last.write.mode("append").parquet(f"{path}/closing")
-    return drain(out, f"{path}/rows", f"{path}/state")
+    last.limit(0).write.mode("append").parquet(f"{path}/closing")
+    out = build(events.unionByName(event_stream(spark, f"{path}/closing", last.schema, time)))
+    with rocksdb(spark):
+        job = out.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").start()
+        try:
+            job.processAllAvailable()
+            last.write.mode("append").parquet(f"{path}/closing")
+            job.processAllAvailable()
+        finally:
+            job.stop()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
 
 
 def ingest(stream: DataFrame, target: str, keys: list[str], checkpoint: str, time: str | None = None) -> None:
@@ -82,7 +91,7 @@ def ingest(stream: DataFrame, target: str, keys: list[str], checkpoint: str, tim
             known = known.where(F.col(time).between(F.lit(first), F.lit(last)) | F.col(time).isNull())
         batch.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti").write.mode("append").parquet(target)
 
-    _run(stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint))
+    _run(stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint), spark)
 
 
 def carry(stream: DataFrame, target: str, checkpoint: str, step: Step, carried: str, schema: str) -> DataFrame:
@@ -101,7 +110,7 @@ def carry(stream: DataFrame, target: str, checkpoint: str, step: Step, carried:
         rows.write.mode("overwrite").parquet(f"{target}/batch-{number}")
         after.write.mode("overwrite").parquet(f"{checkpoint}-carried/{number}")
 
-    _run(stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint))
+    _run(stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint), spark)
     return read(target)
 
 
@@ -113,6 +122,29 @@ def _unexpired(rows: DataFrame, time: str, keep: str | None) -> DataFrame:
     return rows.join(F.broadcast(newest), F.col(time) >= F.col("_newest") - F.expr(f"interval {keep}")).drop("_newest")  # one row
 
 
+def gap_stream(events: DataFrame, key: str, time: str = "ts", id_col: str = "event_id", late: str = "1 hour", keep: str | None = None) -> DataFrame:
+    """A stream (key, event_id, gap_seconds): seconds since the event before of the same key, in order of time; null for the first,
+    and for one that comes more than keep after the last.
+    """
+
+    def step(kept, row):
+        return (row[0],), (row[1], None if kept is None else row[0] // 1000000 - kept[0] // 1000000)
+
+    return in_order(events, key, time, step, "at long", "event_id long, gap_seconds long", late, keep, id_col)
+
+
+def run_stream(events: DataFrame, key: str, marker: Column, time: str = "ts", id_col: str = "event_id", late: str = "1 hour", keep: str | None = None) -> DataFrame:
+    """A stream (key, run_no, marker_id, steps): closes a run of a key at each marker, with the rows since the marker before, in
+    order of time. After a silence of more than keep a key starts anew, with run 1 and without what was open.
+    """
+
+    def step(kept, row):
+        _, steps, number = kept or (0, 0, 0)
+        return ((row[0], 0, number + 1), (number + 1, row[1], steps)) if row[2] else ((row[0], steps + 1, number), None)
+
+    return in_order(events, key, time, step, "at long, steps long, number long", "run_no long, marker_id long, steps long", late, keep, id_col, marker)
+
+
 def occurrence_gaps(events: DataFrame, target: str, checkpoint: str, key: str, time: str = "ts", id_col: str = "event_id", keep: str | None = None) -> DataFrame:
     """(key, event_id, gap_seconds): seconds since the event before of the same key, over batches; events of a batch are taken in order of time.
 
@@ -140,11 +172,11 @@ def marker_runs(events: DataFrame, target: str, checkpoint: str, key: str, marke
         x = x.withColumn("others", F.count(F.when(~F.col("marker"), 1)).over(w)).withColumn("run", F.count(F.when(F.col("marker"), 1)).over(w))
         state = before.select("key", F.col("open").alias("_open"), F.col("number").alias("_number"))
         at = Window.partitionBy("key").orderBy("run")
-        closed = x.where("marker").join(state, "key", "left").withColumn("steps", F.col("others") - F.coalesce(F.lag("others").over(at), -F.coalesce("_open", F.lit(0))))
+        closed = x.where("marker").join(state.withColumnRenamed("key", "_key"), F.col("key").eqNullSafe(F.col("_key")), "left").drop("_key").withColumn("steps", F.col("others") - F.coalesce(F.lag("others").over(at), -F.coalesce("_open", F.lit(0))))
         rows = closed.select("key", (F.col("run") + F.coalesce("_number", F.lit(0))).alias("run_no"), F.col("event_id").alias("marker_id"), "steps")
-        sums = x.groupBy("key").agg(F.max("others").alias("o"), F.max("run").alias("r"), F.max(F.when(F.col("marker"), F.col("others"))).alias("c"), F.max("time").alias("t"))
-        after = before.join(sums, "key", "full").select(
-            "key", (F.coalesce("o", F.lit(0)) - F.coalesce("c", -F.coalesce("open", F.lit(0)))).alias("open"), (F.coalesce("number", F.lit(0)) + F.coalesce("r", F.lit(0))).alias("number"), F.coalesce("t", "time").alias("time")
+        sums = x.groupBy(F.col("key").alias("_key")).agg(F.max("others").alias("o"), F.max("run").alias("r"), F.max(F.when(F.col("marker"), F.col("others"))).alias("c"), F.max("time").alias("t"))
+        after = before.withColumn("_had", F.lit(True)).join(sums, F.col("key").eqNullSafe(F.col("_key")), "full").select(
+            F.when(F.col("_had"), F.col("key")).otherwise(F.col("_key")).alias("key"), (F.coalesce("o", F.lit(0)) - F.coalesce("c", -F.coalesce("open", F.lit(0)))).alias("open"), (F.coalesce("number", F.lit(0)) + F.coalesce("r", F.lit(0))).alias("number"), F.coalesce("t", "time").alias("time")
         )
         return rows, _unexpired(after, "time", keep)
 

@@ -1,12 +1,13 @@
 """Streams over several batches against the batch forms; state that goes."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import alerts
-from fleetlens.streaming import streams
+from fleetlens.streaming import state, streams
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string"
@@ -76,3 +77,108 @@ def test_ingest_twice_adds_nothing(spark, files):
     streams.ingest(stream, f"{out}/a", ["event_id"], f"{out}/s")
     streams.ingest(stream, f"{out}/a", ["event_id"], f"{out}/other", "ts")
     assert spark.read.parquet(f"{out}/a").count() == 80
+
+
+def write_flat(spark, path, data, name):
+    """One file of events that a stream reads in the order of their names' times."""
+    spark.createDataFrame(data, SCHEMA).coalesce(1).write.parquet(f"{path}/tmp-{name}")
+    (path / "flat").mkdir(exist_ok=True)
+    for p in (path / f"tmp-{name}").glob("*.parquet"):
+        p.rename(path / "flat" / f"{name}.parquet")
+
+
+END = (-1, datetime(2100, 1, 1), None, "end")
+
+
+def brute_gaps(data, keep=None):
+    last, out = {}, []
+    for i, ts, key, _ in sorted(data, key=lambda r: (r[1], r[0])):
+        before = last.get(key)
+        silent = before is not None and keep is not None and ts - before > keep
+        out.append((None if key is None else str(key), i, None if before is None or silent else int((ts - before).total_seconds())))
+        last[key] = ts
+    return sorted(out, key=str)
+
+
+def brute_runs(data, keep=None):
+    state, out = {}, []
+    for i, ts, key, kind in sorted(data, key=lambda r: (r[1], r[0])):
+        last, steps, number = state.get(key, (None, 0, 0))
+        if last is not None and keep is not None and ts - last > keep:
+            steps = number = 0
+        if kind == "purchase":
+            number += 1
+            out.append((None if key is None else str(key), number, i, steps))
+            steps = 0
+        else:
+            steps += 1
+        state[key] = (ts, steps, number)
+    return sorted(out, key=str)
+
+
+def keyed(n=90):
+    """Events of three keys, one null, in three batches, some later than newer ones of the batch before."""
+    data = [(i, T0 + timedelta(minutes=7 * i, seconds=i % 3), (None, 1, 2)[i % 3], ("purchase", "error", "view")[i * i % 7 % 3]) for i in range(n)]
+    parts = [data[:30], data[30:60], data[60:]]
+    parts[0][-2], parts[1][0] = parts[1][0], parts[0][-2]  # one comes a batch late, within the watermark
+    return data, parts
+
+
+@pytest.mark.parametrize("keep", [None, "30 minutes", "10 minutes"])
+def test_state_by_key_over_batches_with_null_keys(spark, tmp_path, keep):
+    data, parts = keyed()
+    silent = None if keep is None else timedelta(minutes=int(keep.split()[0]))
+    for n, part in enumerate([*parts, [END]]):
+        write_flat(spark, tmp_path, part, n)
+    events = streams.event_stream(spark, str(tmp_path / "flat"), spark.createDataFrame([], SCHEMA).schema, files_a_trigger=1)
+    got = streams.drain(streams.gap_stream(events, "user_id", keep=keep), str(tmp_path / "g"), str(tmp_path / "gs"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_gaps(data, silent)
+    got = streams.drain(streams.run_stream(events, "user_id", F.col("event_type") == "purchase", keep=keep), str(tmp_path / "r"), str(tmp_path / "rs"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_runs(data, silent)
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    data, parts = keyed()
+    got = []
+    for n, part in enumerate([*parts, [END]]):
+        write_flat(spark, tmp_path, part, n)
+        events = streams.event_stream(spark, str(tmp_path / "flat"), spark.createDataFrame([], SCHEMA).schema)
+        gaps = streams.drain(streams.gap_stream(events, "user_id", late="2 hours"), str(tmp_path / "g"), str(tmp_path / "s"))
+        got.append(gaps.count())
+    assert sorted((tuple(r) for r in gaps.collect()), key=str) == brute_gaps(data) and got == sorted(got) and got[1] > 0
+
+
+def test_state_does_not_grow_with_keys_that_are_gone(spark, tmp_path):
+    """A key lives for an hour; each batch has new ones, and the store holds those of the last batches only."""
+    for n in range(6):
+        write_flat(spark, tmp_path, [(100 * n + i, T0 + timedelta(hours=5 * n, minutes=i % 50), 1000 * n + i, "view") for i in range(100)], n)
+    events = streams.event_stream(spark, str(tmp_path / "flat"), spark.createDataFrame([], SCHEMA).schema, files_a_trigger=1)
+    out = streams.gap_stream(events, "user_id", late="10 minutes", keep="1 hour")
+    with state.rocksdb(spark):
+        job = out.writeStream.format("parquet").option("path", str(tmp_path / "g")).option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start()
+        job.awaitTermination()
+    held = [o["numRowsTotal"] for p in job.recentProgress for o in p["stateOperators"]]
+    assert len(held) >= 6 and held[-1] <= 6 * 100 and max(held) <= 10 * 100  # a few rows a live key, with its timer's
+
+
+def test_keys_return_after_their_time_to_live(spark, tmp_path):
+    def run(part, n):
+        write_flat(spark, tmp_path, part, n)
+        events = streams.event_stream(spark, str(tmp_path / "flat"), spark.createDataFrame([], SCHEMA).schema)
+        return sorted(((r.key, r.first_time) for r in streams.drain(state.returned(events, "user_id", "ts", "20 seconds"), str(tmp_path / "g"), str(tmp_path / "s"), idle_batches=False).collect()), key=str)
+
+    at = lambda m: T0 + timedelta(minutes=m)
+    first = run([(1, at(3), 1, "x"), (2, at(1), 1, "x"), (3, at(2), None, "x")], 0)
+    assert first == sorted([("1", at(1)), (None, at(2))], key=str)
+    assert run([(4, at(5), 1, "x"), (5, at(6), 2, "x")], 1) == sorted([*first, ("2", at(6))], key=str)
+    time.sleep(21)
+    assert run([(6, at(8), 1, "x")], 2) == sorted([*first, ("2", at(6)), ("1", at(8))], key=str)
+
+
+def test_runs_by_batch_keep_the_state_of_null_keys(spark, tmp_path):
+    data, _ = keyed()
+    for n in range(3):
+        write_flat(spark, tmp_path, data[30 * n : 30 * n + 30], n)
+    events = streams.event_stream(spark, str(tmp_path / "flat"), spark.createDataFrame([], SCHEMA).schema, files_a_trigger=1)
+    got = streams.marker_runs(events, str(tmp_path / "r"), str(tmp_path / "rs"), "user_id", F.col("event_type") == "purchase")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_runs(data)
