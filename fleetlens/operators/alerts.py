@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import texts
@@ -178,34 +178,53 @@ class Decider:
         return not held, held
 
 
+def quiet_segments(events: DataFrame, instance: str, minute: str, quiet: int) -> DataFrame:
+    """(_instance, _minute, segment) for each minute with events: segments of an instance are more than `quiet` minutes apart.
+
+    The window is over distinct minutes, which a partial aggregation leaves of the events: half a million a year at most.
+    """
+    minutes = events.select(F.col(instance).alias("_instance"), F.col(minute).alias("_minute")).distinct()
+    w = Window.partitionBy("_instance").orderBy("_minute")
+    new = F.coalesce((F.col("_minute") - F.lag("_minute").over(w) > quiet).cast("long"), F.lit(0))
+    return minutes.withColumn("_new", new).withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def decide_alerts(events: DataFrame, cap: int = 50, minutes: int = 5, repeat_minutes: int = 60, sent: DataFrame | None = None) -> DataFrame:
     """DECIDED for events (instance, event_id, ts, alert_key, event_type, ignored): repeat suppression and flood control.
 
     In order of (ts, event_id) within an instance an event is held back and flagged if it is ignored, if the instance has sent cap
     events in the last minutes, or if the same key and type was sent within repeat_minutes; only what was sent counts. sent has
-    earlier events that count as sent and are not given out again. As each decision depends on earlier ones this needs the order
-    of an instance; rows stream through in sorted batches, each at constant cost, and the state kept is a count for each of the
-    recent minutes and one time for each recent key, however long the log.
+    earlier events that count as sent and are not given out again.
+
+    Ignored events are held back whatever else happens and leave no trace, so they need no order. The others do, but only as far
+    as the limits reach: after a pause longer than both an instance starts without a memory, so the segments between such pauses
+    are decided independently, an instance with a third of all events on as many tasks as it has segments. A segment passes
+    through one task in sorted batches, each row at constant cost; the state kept is a count for each of the recent minutes and
+    one time for each recent key. An instance that never pauses is one segment.
     """
     fields = ["instance", "event_id", "ts", "alert_key", "event_type"]
-    keep = events.select(*fields, "ignored", F.lit(False).alias("before"))
+    rows = events.select(*fields, F.coalesce("ignored", F.lit(False)).alias("ignored"), F.lit(False).alias("before"))
+    held = rows.where("ignored").select(*fields, F.lit(False).alias("is_sent"), F.lit(True).alias("flood_control"))
+    keep = rows.where("not ignored")
     if sent is not None:
         keep = keep.unionByName(sent.select(*fields, F.lit(False).alias("ignored"), F.lit(True).alias("before")))
-    keep = keep.withColumn("second", F.unix_seconds(F.col("ts").cast("timestamp")))
-    ordered = keep.repartition("instance").sortWithinPartitions("instance", "second", "ts", "event_id")
+    keep = keep.withColumn("second", F.unix_seconds(F.col("ts").cast("timestamp"))).withColumn("minute", F.floor(F.col("second") / 60))
+    cuts = quiet_segments(keep, "instance", "minute", max(minutes, repeat_minutes))
+    keep = keep.join(cuts, F.col("instance").eqNullSafe(F.col("_instance")) & F.col("minute").eqNullSafe(F.col("_minute"))).drop("_instance", "_minute")
+    ordered = keep.repartition("instance", "segment").sortWithinPartitions("instance", "segment", "second", "ts", "event_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, state = None, Decider(cap, minutes, repeat_minutes)
         for b in batches:
             out = []
-            for instance, second, key, kind, ignored, before in zip(b["instance"], b["second"], b["alert_key"], b["event_type"], b["ignored"], b["before"], strict=True):
-                if instance != name:
-                    name, state = instance, Decider(cap, minutes, repeat_minutes)
-                out.append(state.decide(int(second), key, int(kind), bool(ignored), bool(before)))
+            for instance, segment, second, key, kind, before in zip(b["instance"], b["segment"], b["second"], b["alert_key"], b["event_type"], b["before"], strict=True):
+                if (instance, segment) != name:
+                    name, state = (instance, segment), Decider(cap, minutes, repeat_minutes)
+                out.append(state.decide(int(second), key, int(kind), False, bool(before)))
             b["is_sent"], b["flood_control"] = [x[0] for x in out], [x[1] for x in out]
             yield b.loc[~b["before"], [*fields, "is_sent", "flood_control"]]
 
-    return ordered.mapInPandas(run, DECIDED)
+    return ordered.mapInPandas(run, DECIDED).unionByName(held)
 
 
 def job_notifications(events: DataFrame, status: str, failures: tuple[str, ...]) -> DataFrame:
