@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.measures import stale
+from fleetlens.operators.frames import ranked
 
 
 def heap_action(fragmentation: Column, deviation: Column, forwarded: Column, rebuild: float, defrag: float) -> Column:
@@ -53,10 +54,34 @@ def backup_type(changed: Column, total: Column, percent: float) -> Column:
     return F.when(F.try_divide(changed * 100.0, total) >= percent, "full").otherwise("diff")
 
 
+def _band(x: Column, level: Column) -> Column:
+    """The band of a number among bands of 2 ** level; it rises with the number, which is all that is needed of it."""
+    return F.floor(x.cast("decimal(38,0)") / F.pow(F.lit(2.0), level).cast("decimal(38,0)"))
+
+
+def covered(points: DataFrame, intervals: DataFrame, key: str, point: str, first: str, last: str) -> DataFrame:
+    """Distinct (key, point) of points that lie in an interval [first, last] of their key; numbers, times or null, which lie nowhere.
+
+    A join by bands: an interval is put in the two bands, of the power of two that is as long as itself or the next longer one,
+    that it can reach, and a point in one band of each length that there is; equal bands meet and the exact test decides. So
+    a key with all rows is dealt over its bands, and a point meets only intervals about it and not all of its key.
+    """
+    number = lambda c: c if points.schema[point].dataType.typeName() not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(c.cast("timestamp"))
+    f = intervals.select(F.col(key).alias("_k"), number(F.col(first)).alias("_f"), number(F.col(last)).alias("_l")).where("_f <= _l").distinct()
+    length = (F.col("_l") - F.col("_f")).cast("double")
+    level = F.ceil(F.log2(length + 1)).cast("int")
+    f = f.withColumn("_level", F.when(F.pow(F.lit(2.0), level) < length, level + 1).otherwise(level))
+    levels = sorted(r[0] for r in f.select("_level").distinct().collect())  # 128 at most, as numbers have so many bits
+    f = f.withColumn("_band", F.explode(F.array_distinct(F.array(_band(F.col("_f"), F.col("_level")), _band(F.col("_l"), F.col("_level"))))))
+    p = points.select(F.col(key).alias("_key"), F.col(point).alias("_point"), number(F.col(point)).alias("_at")).where("_at is not null").distinct()
+    p = p.withColumn("_on", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_in", _band(F.col("_at"), F.col("_on")))
+    hit = p.join(f, (F.col("_key") == F.col("_k")) & (F.col("_on") == F.col("_level")) & (F.col("_in") == F.col("_band")) & F.col("_at").between(F.col("_f"), F.col("_l")), "left_semi")
+    return hit.select(F.col("_key").alias(key), F.col("_point").alias(point)).distinct()
+
+
 def missing_base(chains: DataFrame, fulls: DataFrame, key: str, base: str, first: str, last: str) -> DataFrame:
-    """Diffs and logs whose base lies in no full backup of the same member; a range join that is equal on the member."""
-    f = fulls.select(F.col(key).alias("_k"), F.col(first).alias("_f"), F.col(last).alias("_l"))
-    return chains.join(f, (F.col(key) == F.col("_k")) & F.col(base).between(F.col("_f"), F.col("_l")), "left_anti")
+    """Diffs and logs whose base lies in no full backup of the same member; see covered()."""
+    return chains.join(covered(chains, fulls, key, base, first, last), [key, base], "left_anti").select(*chains.columns)
 
 
 def deletable(sets: DataFrame, keys: list[str], keep: int, mode: str, as_of: str | None = None, orphans: bool = True) -> DataFrame:
@@ -65,26 +90,32 @@ def deletable(sets: DataFrame, keys: list[str], keep: int, mode: str, as_of: str
     mode days: F is the newest full of age keep or more. mode count: the anchor is the oldest of the newest keep fulls and diffs;
     F is the newest full before it if it is a diff, else itself. A set goes when it starts before F; with orphans also diffs and
     logs before F that do not build on it, and those before X, the newest diff of age keep or more after F (days only). Without
-    an F nothing goes. All by windows over a member's own sets.
+    an F nothing goes. F, X and the anchor are aggregates of a member, told to its sets by a join that Spark can split; of the
+    newest `keep` no task keeps more than so many of a member before the shuffle.
     """
-    w = Window.partitionBy(*keys)
     full, diff = F.col("kind") == "full", F.col("kind") == "diff"
     row = F.struct("start_time", "set_id", "first_lsn")
+
+    def told(of: DataFrame) -> DataFrame:
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        return sets.join(of.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in of.columns if c not in keys)), same).drop(*(f"_{k}" for k in keys))
+
     if mode == "days":
         old = F.col("start_time") <= F.expr(f"timestamp_ntz'{as_of}' - interval {keep} days")
-        x = sets.withColumn("_f", F.max(F.when(full & old, row)).over(w))
-        x = x.withColumn("_x", F.max(F.when(diff & old & (F.col("set_id") > F.col("_f.set_id")), F.col("set_id"))).over(w))
+        of = sets.groupBy(*keys).agg(F.max(F.when(full & old, row)).alias("_f"))
+        later = told(of).where(diff & old & (F.col("set_id") > F.col("_f.set_id"))).groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max("set_id").alias("_x"))
+        of = of.join(later, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").select(*keys, "_f", "_x")
     else:
-        newest = Window.partitionBy(*keys, full | diff).orderBy(F.col("start_time").desc(), F.col("set_id").desc())
-        x = sets.withColumn("_n", F.row_number().over(newest))
-        x = x.withColumn("_anchor", F.min(F.when((full | diff) & (F.col("_n") <= keep), F.struct("start_time", "set_id"))).over(w))
-        x = x.withColumn("_enough", F.max(F.when(full | diff, F.col("_n"))).over(w) >= keep)
-        x = x.withColumn("_f", F.max(F.when(full & (F.struct("start_time", "set_id") <= F.col("_anchor")) & F.col("_enough"), row)).over(w)).withColumn("_x", F.lit(None).cast("long"))
+        newest = Window.partitionBy(*keys).orderBy(F.col("start_time").desc(), F.col("set_id").desc())
+        top = sets.where(full | diff).select(*keys, "start_time", "set_id").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= keep)
+        anchor = top.groupBy(*keys).agg(F.min(F.struct("start_time", "set_id")).alias("_anchor"), F.count("*").alias("_got")).where(F.col("_got") >= keep)
+        of = told(anchor).where(full & (F.struct("start_time", "set_id") <= F.col("_anchor"))).groupBy(*keys).agg(F.max(row).alias("_f")).withColumn("_x", F.lit(None).cast("long"))
+    x = told(of.where("_f is not null"))
     later = diff | (F.col("kind") == "log")
     gone = F.col("start_time") < F.col("_f.start_time")
     if orphans:
         gone = gone | ((F.col("set_id") < F.col("_f.set_id")) & later & ~F.col("base_lsn").eqNullSafe(F.col("_f.first_lsn"))) | ((F.col("set_id") < F.col("_x")) & later)
-    return x.where(F.col("_f").isNotNull() & F.coalesce(gone, F.lit(False))).select(*sets.columns)
+    return x.where(F.coalesce(gone, F.lit(False))).select(*sets.columns)
 
 
 def chain_gaps(backups: DataFrame, keys: list[str], order: str, first: str, last: str) -> DataFrame:
@@ -140,14 +171,23 @@ def starts_per_minute(starts: DataFrame, time: str, heavy: Column) -> DataFrame:
 def shared_volume_load(pending: DataFrame, running: DataFrame, instance: str, key: str, volumes: str, heavy: str, separator: str = ",") -> DataFrame:
     """(key, n_running, n_same_volume): for each pending job what runs on its instance, and the resource-intensive jobs of these on one of its volumes.
 
-    Lists of volumes are cut to one row a volume on both sides, so the join is on equal volumes.
+    Jobs of an instance with the same set of volumes are a class with a count. Classes meet by their volumes, each pair of them
+    once, and a class's sum is told to its jobs; so what is made between is bounded by the classes of an instance, squared, and
+    not by its jobs. Volumes of rows with the same key are put together; a null key is no job, a null list has no volume.
     """
-    cut = lambda df: df.withColumn("_volume", F.explode(F.split(F.col(volumes), separator))).withColumn("_volume", F.trim("_volume"))
+
+    def classes(df: DataFrame) -> DataFrame:
+        one = df.where(F.col(key).isNotNull()).select(instance, F.col(key).alias("_key"), F.explode(F.split(F.col(volumes), separator)).alias("_v")).withColumn("_v", F.trim("_v"))
+        return one.groupBy(instance, "_key").agg(F.array_sort(F.collect_set("_v")).alias("_set"))
+
     n = running.groupBy(instance).agg(F.count("*").alias("n_running"))
-    mine = cut(pending.select(instance, F.col(key).alias("_pending"), volumes)).select(instance, "_pending", "_volume").distinct()
-    busy = cut(running.where(heavy).select(instance, F.col(key).alias("_running"), volumes)).select(instance, "_running", "_volume").distinct()
-    same = mine.join(busy, [instance, "_volume"]).select("_pending", "_running").distinct().groupBy("_pending").agg(F.count("*").alias("n_same_volume"))
-    x = pending.select(instance, key).join(n, instance, "left").join(same, F.col(key) == F.col("_pending"), "left")
+    mine, busy = classes(pending), classes(running.where(heavy)).groupBy(instance, "_set").agg(F.count("*").alias("_jobs"))
+    left = mine.select(F.col(instance).alias("_i"), F.col("_set").alias("_mine")).distinct().withColumn("_v", F.explode("_mine"))
+    right = busy.select(F.col(instance).alias("_j"), F.col("_set").alias("_other"), "_jobs").withColumn("_w", F.explode("_other"))
+    pairs = left.join(right, (F.col("_i") == F.col("_j")) & (F.col("_v") == F.col("_w"))).select("_i", "_mine", "_other", "_jobs").distinct()
+    loads = pairs.groupBy("_i", "_mine").agg(F.sum("_jobs").alias("n_same_volume"))
+    same = mine.join(loads, (F.col(instance) == F.col("_i")) & (F.col("_set") == F.col("_mine"))).groupBy("_key").agg(F.sum("n_same_volume").alias("n_same_volume"))
+    x = pending.select(instance, key).join(n, instance, "left").join(same, F.col(key) == F.col("_key"), "left")
     return x.select(key, F.coalesce("n_running", F.lit(0)).alias("n_running"), F.coalesce("n_same_volume", F.lit(0)).alias("n_same_volume"))
 
 
@@ -223,10 +263,10 @@ def missing_statistics(columns: DataFrame, statistics: DataFrame, keys: list[str
     return columns.where(~F.col("type").isin(*kinds)).join(statistics.where("position = 1"), keys, "left_anti")
 
 
-def project_order(packed: DataFrame, project: str, priority: str) -> DataFrame:
-    """Projects in the order of their first item."""
+def project_order(packed: DataFrame, project: str, priority: str, path: str) -> DataFrame:
+    """Projects in the order of their first item, over all of them, by ranges (see frames.ranked(), which writes to path)."""
     x = packed.groupBy(project).agg(F.min(priority).alias("first_priority"))
-    return x.withColumn("project_order", F.row_number().over(Window.orderBy("first_priority", project)))
+    return ranked(x, [F.col("first_priority").asc(), F.col(project).asc()], "project_order", path)
 
 
 def archive_finished(queue: DataFrame, history: DataFrame, inactive: DataFrame, key: str, pending: tuple = (-1, 4)) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import measures, times
 from fleetlens.operators import maintenance as M
-from fleetlens.plans.registry import query, rows, table
+from fleetlens.plans.registry import place, query, rows, table
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
@@ -295,7 +295,7 @@ def duration_texts(spark: SparkSession, d: str) -> DataFrame:
 @query("with x as (select o_custkey % 25 as project, min(o_orderkey) as first_priority from orders where o_orderstatus = 'O' group by 1) select project, first_priority, row_number() over (order by first_priority, project) as project_order from x")
 def project_order(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "orders").where("o_orderstatus = 'O'").select((F.col("o_custkey") % 25).alias("project"), "o_orderkey")
-    return M.project_order(x, "project", "o_orderkey")
+    return M.project_order(x, "project", "o_orderkey", place(spark))
 
 
 def _queue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
