@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.measures import growth_percent
-from fleetlens.operators.frames import exact, first_and_last, gaps
+from fleetlens.functions.times import boundary_diff
+from fleetlens.operators.frames import exact, first_and_last, newest_two
 
 
 def growth(history: DataFrame, keys: list[str], time: str, size: str, tie: str, since: str | None = None) -> DataFrame:
@@ -21,8 +24,8 @@ def growth(history: DataFrame, keys: list[str], time: str, size: str, tie: str,
 
 def frequent_maintenance(events: DataFrame, keys: list[str], time: str, tie: str, max_days: int) -> DataFrame:
     """Objects whose newest maintenance came within max_days of the one before: the newest row with interval_days."""
-    x = gaps(events, keys, time, tie, "hour").where("sequence = 1 and gap is not null")
-    return x.withColumn("interval_days", F.ceil(F.col("gap") / 24.0)).where(F.col("interval_days") <= max_days).drop("sequence", "gap")
+    x = newest_two(events, keys, time, tie).withColumn("_gap", boundary_diff("hour", F.col("_before"), F.col(time))).where("_gap is not null")
+    return x.withColumn("interval_days", F.ceil(F.col("_gap") / 24.0)).where(F.col("interval_days") <= max_days).drop("_gap", "_before")
 
 
 def paired_actions(info: DataFrame, actions: DataFrame, keys: list[str], time: str, tolerance_seconds: int | None = None) -> DataFrame:
@@ -79,11 +82,13 @@ def space_by_owner(files: DataFrame, owner: list[str], is_log: Column, size: str
 def prefix_attribution(items: DataFrame, path: str, prefixes: DataFrame, prefix: str, separators: str = "/") -> DataFrame:
     """Each item with its longest matching prefix (null for none).
 
-    Prefixes end at a separator, so an item's starts are known and the join is on equal strings, not on containment.
+    Prefixes end at a separator, so an item's starts are known, one for each separator that it has, and the join is on equal strings, not on containment.
     """
     x = items.select(F.col(path).alias("_path")).distinct()
-    cuts = F.filter(F.transform(F.sequence(F.lit(1), F.length("_path")), lambda i: F.substring(F.col("_path"), F.lit(1), i)), lambda s: F.substring(s, -1, 1).isin(*separators))
-    starts = x.where(F.length("_path") > 0).select("_path", F.explode(cuts).alias("_start"))
+    sizes = F.transform(F.split("_path", "[" + re.escape(separators) + "]"), lambda p: F.char_length(p))
+    add = lambda ends, n: F.concat(ends, F.array(F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)) + n + 1))
+    ends = F.reduce(F.slice(sizes, 1, F.size(sizes) - 1), F.array().cast("array<int>"), add)
+    starts = x.where(F.length("_path") > 0).select("_path", F.explode(F.transform(ends, lambda n: F.substring(F.col("_path"), F.lit(1), n))).alias("_start"))
     best = starts.join(prefixes.select(F.col(prefix).alias("_start")).distinct(), "_start").groupBy("_path").agg(F.max_by("_start", F.length("_start")).alias("owner_prefix"))
     return items.join(best, items[path] == best["_path"], "left").drop("_path")
 

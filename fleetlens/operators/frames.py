@@ -34,6 +34,15 @@ def gaps(df: DataFrame, keys: list[str], time: str, tie: str, unit: str = "hour"
     return df.withColumn("gap", boundary_diff(unit, F.lag(time).over(w), F.col(time))).withColumn("sequence", F.row_number().over(back))
 
 
+def newest_two(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
+    """The newest row of each key, with the time of the one before as _before. No task keeps more than two rows of a key before it shuffles."""
+    w = Window.partitionBy(*keys).orderBy(F.col(time).desc(), F.col(tie).desc())
+    x = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= 2)
+    row = F.struct(*(c for c in df.columns if c not in keys))
+    x = x.groupBy(*keys).agg(F.max_by(row, -F.col("_n")).alias("_row"), F.max(F.when(F.col("_n") == 2, F.col(time))).alias("_before"))
+    return x.select(*keys, "_row.*", "_before").select(*df.columns, "_before")
+
+
 def position_and_total(df: DataFrame, owner: list[str], order: list[Column]) -> DataFrame:
     """df with row_no and row_count inside the owner's section."""
     return df.withColumn("row_no", F.row_number().over(Window.partitionBy(*owner).orderBy(*order))).withColumn("row_count", F.count("*").over(Window.partitionBy(*owner)))
@@ -92,12 +101,17 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def run_slices(df: DataFrame, keys: list[str], marker: Column, order: list[str]) -> DataFrame:
     """Rows of the current run (after the last marker) and of the last finished run (between the last two), as run_state.
 
-    runs_after counts markers behind a row, so that a run is known without looking for its ends. Markers themselves are left out.
+    The last two markers of a key are found first, of which a task keeps no more before it shuffles, and told to the key's rows by
+    a join, so no task sorts the history of a key. Markers themselves are left out, and a key without one has a current run only.
     """
-    later = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = df.withColumn("_marker", marker).withColumn("_after", F.sum(F.col("_marker").cast("int")).over(later))
-    state = F.when(F.col("_after") == 0, "current").when(F.col("_after") == 1, "finished")
-    return x.where("not _marker and _after <= 1").withColumn("run_state", state).drop("_marker", "_after")
+    at = F.struct(*order)
+    marks = df.where(marker).select(*(F.col(k).alias(f"_{k}") for k in keys), at.alias("_at"))
+    newest = Window.partitionBy(*(f"_{k}" for k in keys)).orderBy(F.col("_at").desc())
+    marks = marks.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= 2)
+    marks = marks.groupBy(*(f"_{k}" for k in keys)).agg(F.max("_at").alias("_last"), F.max(F.when(F.col("_n") == 2, F.col("_at"))).alias("_one_before"))
+    x = df.where(~marker).join(marks, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    state = F.when(F.col("_last").isNull() | (at > F.col("_last")), "current").when(F.col("_one_before").isNull() | (at > F.col("_one_before")), "finished")
+    return x.withColumn("run_state", state).where("run_state is not null").select(*df.columns, "run_state")
 
 
 def with_group_count(df: DataFrame, keys: list[str], name: str = "group_count") -> DataFrame:

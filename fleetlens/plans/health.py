@@ -42,7 +42,7 @@ select s_suppkey, coalesce(n, 0) as n_databases, b as size_total from supplier l
 """)
 def online_instances(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "supplier").withColumn("active", F.col("s_acctbal") > 2000)
-    c = table(spark, d, "customer").withColumn("s_suppkey", F.col("c_custkey") % 100).where("s_suppkey < 80")
+    c = table(spark, d, "customer").withColumn("s_suppkey", F.when(F.col("c_custkey") % 100 < 80, F.col("c_custkey") % 100))
     return H.online(m, c, "s_suppkey", "active", frames.exact("c_acctbal")).select("s_suppkey", "n_databases", F.col("size_total").cast("double").alias("size_total"))
 
 
