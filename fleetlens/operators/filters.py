@@ -25,8 +25,9 @@ class Sections(enum.IntFlag):
     GROWTH = 128
 
 
-#: Patterns that one expression may have.
-MOST_PATTERNS = 1000
+#: Patterns that one expression may have; more are looked up in an index of their strings of GRAM characters.
+MOST_PATTERNS = 200
+GRAM = 4
 
 
 def member_filter(df: DataFrame, column: str, pattern: str = "%") -> DataFrame:
@@ -61,21 +62,65 @@ def skip_rules(df: DataFrame, rules: DataFrame, rule_id: int, keys: list[str], k
     return df
 
 
+def _grams(text: Column, size: int | Column) -> Column:
+    """Distinct strings of `size` characters of a text, in one walk over its characters."""
+    chars = F.split(text, "")
+    run = lambda i: F.array_join(F.slice(chars, i, F.lit(size) if isinstance(size, int) else size), "")
+    n = F.char_length(text) - size
+    return F.when(n >= 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n + 1), run))).otherwise(F.array().cast("array<string>"))
+
+
+def matched_texts(texts: DataFrame, patterns: DataFrame, text: str = "text", pattern: str = "pattern") -> DataFrame:
+    """Distinct values of text that fit at least one pattern with % and _ (as in LIKE), of any number of patterns. Nulls fit none.
+
+    An inverted index: each pattern is filed under one string of GRAM characters, or fewer where it has no longer run between its
+    wildcards, that every text must hold that fits it, of those the one that the fewest patterns have. Texts are joined with it by
+    their own strings, and only pairs that meet there are tested, so a text costs about its length, however many patterns there
+    are. Patterns of wildcards alone only ask for a length. All joins are on equal values.
+    """
+    low = patterns.select(F.col(pattern).alias("_p")).where("_p is not null").distinct()
+    runs = F.filter(F.split("_p", r"[%_\\\\]"), lambda x: x != "")
+    low = low.withColumn("_run", F.reduce(runs, F.lit(""), lambda a, x: F.when(F.char_length(x) > F.char_length(a), x).otherwise(a)))
+    low = low.withColumn("_size", F.least(F.char_length("_run"), F.lit(GRAM)))
+    grams = low.where("_size > 0").select("_p", "_size", F.explode(_grams(F.col("_run"), F.col("_size"))).alias("_gram"))
+    common = grams.groupBy("_size", "_gram").agg(F.count("*").alias("_n"))
+    filed = grams.join(common, ["_size", "_gram"]).groupBy("_p").agg(F.min(F.struct("_n", "_size", "_gram")).alias("_g")).select("_p", "_g._size", "_g._gram")
+    own = texts.select(F.col(text).alias("_t")).where("_t is not null").distinct()
+    sizes = [r[0] for r in low.where("_size > 0").select("_size").distinct().collect()]  # GRAM at most
+    held = F.array_distinct(F.flatten(F.array(*(_grams(F.col("_t"), n) for n in sizes)))) if sizes else F.array().cast("array<string>")
+    met = own.withColumn("_held", F.explode(held)).join(filed, (F.col("_held") == F.col("_gram")) & F.like("_t", F.col("_p"))).select("_t")
+    wild = low.where("_size = 0").select(F.contains(F.col("_p"), F.lit("%")).alias("_open"), F.char_length(F.replace(F.col("_p"), F.lit("%"))).alias("_length")).distinct()
+    long = own.join(F.broadcast(wild.where("_open").agg(F.min("_length").alias("_least"))), F.char_length("_t") >= F.col("_least")).select("_t")  # one row
+    fixed = own.join(wild.where("not _open"), F.char_length("_t") == F.col("_length"), "left_semi").select("_t")
+    return met.unionByName(long).unionByName(fixed).distinct().withColumnRenamed("_t", text)
+
+
+def suppress_patterns(df: DataFrame, text: str, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """Drops rows whose text fits a pattern of a table, without regard to case; null texts stay. See matched_texts()."""
+    gone = matched_texts(df.select(F.lower(F.col(text)).alias("_low")), patterns.select(F.lower(F.col(pattern)).alias("_pattern")), "_low", "_pattern")
+    return df.join(gone, F.lower(F.col(text)) == F.col("_low"), "left_anti")
+
+
 def skip_rules_wild(df: DataFrame, rules: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
     """Skip rules whose skip_value may be %, for all, and whose skip_value2 equals or is a pattern for one of texts.
 
-    Rules that name a member are equi-joined, key by key, and the pattern is a condition of that join. Those for all members, of
-    which there may be MOST_PATTERNS, become one expression; more are an error, as each costs every row a test.
+    Rules that name a member are equi-joined, key by key, and the pattern is a condition of that join. Up to MOST_PATTERNS rules
+    for all members become one expression; more of them are looked up in an index (see matched_texts()), with the same rows.
     """
     live = rules.where("active").select(F.lower("skip_value").alias("_k1"), F.lower("skip_value2").alias("_k2")).distinct()
-    for_all = [r[0] for r in live.where("_k1 = '%'").select("_k2").limit(MOST_PATTERNS + 1).collect()]
-    if len(for_all) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} skip rules for all members")
-    hit = F.lit(any(p is None for p in for_all))
-    for p in (p for p in for_all if p is not None):
+    some = live.where("_k1 = '%'").select("_k2")
+    for_all = [r[0] for r in some.limit(MOST_PATTERNS + 1).collect()]
+    if len(for_all) <= MOST_PATTERNS:
+        hit = F.lit(any(p is None for p in for_all))
+        for p in (p for p in for_all if p is not None):
+            for t in texts:
+                hit = hit | F.coalesce(F.lower(F.col(t)).like(p), F.lit(False))
+        df = df.where(~hit)
+    else:
+        df = df.join(F.broadcast(some.where("_k2 is null").limit(1)), F.lit(True), "left_anti")  # one row
+        gone = matched_texts(df.select(F.explode(F.array(*(F.lower(F.col(t)) for t in texts))).alias("_low")), some, "_low", "_k2")
         for t in texts:
-            hit = hit | F.coalesce(F.lower(F.col(t)).like(p), F.lit(False))
-    df = df.where(~hit)
+            df = df.join(gone, F.lower(F.col(t)) == F.col("_low"), "left_anti")
     second = F.col("_k2").isNull()
     for t in texts:
         second = second | F.coalesce(F.like(F.lower(F.col(t)), F.col("_k2")), F.lit(False))

@@ -51,6 +51,28 @@ def pattern_suppression(spark: SparkSession, d: str) -> DataFrame:
     return X.pattern_suppression(table(spark, d, "documents"), "text", _PATTERNS).select("doc_id", "source")
 
 
+@query("""
+with o as (select o_orderkey, 'customer#' || lpad(o_custkey::varchar, 9, '0') || ' ordered at ' || o_orderpriority as message from orders),
+p as (select '%#' || lpad((s_suppkey * 7)::varchar, 9, '0') || '%at ' || (s_suppkey % 5 + 1) || '-%' as pattern from supplier)
+select o_orderkey from o where not exists (select 1 from p where message ilike pattern)
+""")
+def pattern_index(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(" ordered at "), "o_orderpriority").alias("message"))
+    k = F.col("s_suppkey")
+    p = table(spark, d, "supplier").select(F.concat(F.lit("%#"), F.lpad((k * 7).cast("string"), 9, "0"), F.lit("%at "), (k % 5 + 1).cast("string"), F.lit("-%")).alias("pattern"))
+    return X.suppress_patterns(o, "message", p).select("o_orderkey")
+
+
+@query("""
+with r as (select '%#' || lpad((c_custkey * 7)::varchar, 9, '0') as pattern from customer)
+select c_custkey, c_mktsegment from customer where not exists (select 1 from r where lower(c_name) like pattern or lower(c_mktsegment) like pattern)
+""")
+def skip_rules_many(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    r = c.select(F.lit("%").alias("skip_value"), F.concat(F.lit("%#"), F.lpad((F.col("c_custkey") * 7).cast("string"), 9, "0")).alias("skip_value2"), F.lit(True).alias("active"))
+    return X.skip_rules_wild(c, r, [], ["c_name", "c_mktsegment"]).select("c_custkey", "c_mktsegment")
+
+
 @query("select p_partkey, cast(i as bigint) as position, trim(split_part(p_name, ' ', i)) as value from part, unnest(range(1, len(string_split(p_name, ' ')) + 1)) u(i) where trim(split_part(p_name, ' ', cast(i as int))) <> ''")
 def list_filter(spark: SparkSession, d: str) -> DataFrame:
     return X.list_rows(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", " ").select("p_partkey", F.col("position").cast("long").alias("position"), "value")
