@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,6 +50,56 @@ def upsert(dest: DataFrame, src: DataFrame, keys: list[str], cols: list[str]) ->
     return both.select(*out).select(*dest.columns)
 
 
+def _rewritten(spark: SparkSession, path: str, staging: str, day: str, after: DataFrame) -> None:
+    """Puts the rows of after in place of the day partitions that it has; other partitions keep their files.
+
+    The rows are written to staging first: a job that fails before the last step has changed nothing, and the last one only moves
+    finished files in place, partition by partition.
+    """
+    after.write.partitionBy(day).parquet(staging)
+    ready = spark.read.schema(after.schema).parquet(staging)
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def upsert_stored(spark: SparkSession, path: str, src: DataFrame, keys: list[str], cols: list[str], day: str, staging: str) -> None:
+    """upsert() into a table that is stored at path in partitions by day, one of its columns and part of what identifies a row.
+
+    Only partitions that src has rows for are read (the others are pruned when the job runs) and written again.
+    """
+    schema = spark.read.parquet(path).schema
+    dest = spark.read.schema(schema).parquet(path)
+    days = src.select(day).distinct()
+    touched = dest.join(days, day, "left_semi")
+    _rewritten(spark, path, staging, day, upsert(touched, src, [*keys, day], cols).select(*(c for c in schema.names if c != day), day))
+
+
+def insert_stored(spark: SparkSession, path: str, new: DataFrame, keys: list[str], day: str) -> None:
+    """Appends the rows of new whose (keys, day) a stored table does not have; only partitions of their days are read for that."""
+    dest = spark.read.parquet(path)
+    known = dest.join(new.select(day).distinct(), day, "left_semi")
+    only_new(known, new.dropDuplicates([*keys, day]), [*keys, day]).select(*dest.columns).write.mode("append").partitionBy(day).parquet(path)
+
+
+def purge_stored(spark: SparkSession, path: str, day: str, days: int | None, as_of: str) -> list[str]:
+    """Drops the day partitions of a stored table that are older than days before as_of (0 or None: none) and returns their names.
+
+    No file is read: folders are deleted by their names. Partitions of other names stay.
+    """
+    if not days:
+        return []
+    last = datetime.date.fromisoformat(as_of[:10]) - datetime.timedelta(days=days)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        value = name.partition("=")[2]
+        if name.startswith(f"{day}=") and len(value) == 10 and value[:4].isdigit() and value < last.isoformat():
+            fs.delete(status.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
 def sync_active(dest: DataFrame, src: DataFrame, keys: list[str], scope: str, active: str = "active") -> DataFrame:
     """Members in scope (SQL) are active if src has them and else not; others stay as they are."""
     seen = src.select(*keys).distinct().withColumn("_seen", F.lit(True))

@@ -56,13 +56,41 @@ def replace_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with dest as (select c_custkey, c_name, c_acctbal from customer where c_custkey < 900), src as (select c_custkey, 'x' || c_name as c_name, c_acctbal * 2 as c_acctbal from customer where c_custkey >= 600)
-select coalesce(d.c_custkey, s.c_custkey) as c_custkey, coalesce(d.c_name, s.c_name) as c_name, case when s.c_custkey is not null then s.c_acctbal else d.c_acctbal end as c_acctbal from dest d full join src s on d.c_custkey = s.c_custkey
+with src as (select s_suppkey * 20 as c_custkey, 'x' || s_name as c_name, s_acctbal * 2 as c_acctbal from supplier)
+select coalesce(d.c_custkey, s.c_custkey) as c_custkey, coalesce(d.c_name, s.c_name) as c_name, case when s.c_custkey is not null then s.c_acctbal else d.c_acctbal end as c_acctbal from customer d full join src s on d.c_custkey = s.c_custkey
 """)
 def upsert(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    src = c.where("c_custkey >= 600").select("c_custkey", F.concat(F.lit("x"), "c_name").alias("c_name"), (F.col("c_acctbal") * 2).alias("c_acctbal"))
-    return I.upsert(c.where("c_custkey < 900"), src, ["c_custkey"], ["c_acctbal"])
+    src = table(spark, d, "supplier").select((F.col("s_suppkey") * 20).alias("c_custkey"), F.concat(F.lit("x"), "s_name").alias("c_name"), (F.col("s_acctbal") * 2).alias("c_acctbal"))
+    return I.upsert(c, src, ["c_custkey"], ["c_acctbal"])
+
+
+def _stored_orders(spark: SparkSession, d: str) -> str:
+    """Orders, stored in partitions by month."""
+    path = place(spark)
+    table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-01").alias("month")).write.partitionBy("month").parquet(path)
+    return path
+
+
+@query("""
+with src as (select l_orderkey as k, sum(l_linenumber) as n from lineitem group by 1), late as (select max(o_orderdate) - interval 60 days as d from orders)
+select o_orderkey, case when k is null or o_orderdate < (select date_trunc('month', d) from late) then o_orderstatus else 'X' end as o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-01') as month from orders left join src on k = o_orderkey
+""")
+def upsert_stored(spark: SparkSession, d: str) -> DataFrame:
+    path = _stored_orders(spark, d)
+    o = table(spark, d, "orders")
+    recent = o.agg(F.date_trunc("month", F.max("o_orderdate") - F.expr("interval 60 days")).alias("since"))
+    src = o.join(F.broadcast(recent), F.col("o_orderdate") >= F.col("since")).join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey")  # one row
+    src = src.select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.date_format("o_orderdate", "yyyy-MM-01").alias("month"))
+    I.upsert_stored(spark, path, src, ["o_orderkey"], ["o_orderstatus"], "month", place(spark))
+    return spark.read.schema("o_orderkey long, o_orderstatus string, o_totalprice double, month string").parquet(path)
+
+
+@query("select o_orderkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-01') as month from orders where strftime(o_orderdate, '%Y-%m-01') >= '1998-01-01'")
+def purge_stored(spark: SparkSession, d: str) -> DataFrame:
+    path = _stored_orders(spark, d)
+    I.purge_stored(spark, path, "month", 365, "1999-01-01")
+    return spark.read.schema("o_orderkey long, o_orderstatus string, o_totalprice double, month string").parquet(path)
 
 
 @query("select c_custkey, case when c_nationkey < 10 then c_custkey in (select o_custkey from orders where o_orderstatus = 'F') else c_acctbal > 0 end as active from customer")
@@ -151,6 +179,19 @@ def fan_in(spark: SparkSession, d: str) -> DataFrame:
     return ok.groupBy("source_name").agg(F.count("*").alias("n"), F.count("c_acctbal").alias("n_balance"))
 
 
+@query("""
+select case when l_returnflag = 'R' then 'source R' else 'source ' || l_returnflag end as source_name, count(*) as n, false as failed from lineitem where l_returnflag <> 'R' group by 1
+union all select 'source R', null, true union all select 'source Z', null, true
+""")
+def failing_sources(spark: SparkSession, d: str) -> DataFrame:
+    """One source fails while its rows are read, one when it is opened."""
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag")
+    broken = x.where("l_returnflag = 'R'").withColumn("l_orderkey", F.when(F.col("l_orderkey") % 7 == 3, F.raise_error(F.lit("a page is broken")).cast("long")).otherwise(F.col("l_orderkey")))
+    ok, errors = S.collect_sources(spark, {"source A": lambda: x.where("l_returnflag = 'A'"), "source R": lambda: broken, "source N": lambda: x.where("l_returnflag = 'N'"), "source Z": lambda: spark.read.parquet(f"{d}/no-such-table")}, place(spark), "lines")
+    n = ok.groupBy("source_name").agg(F.count("*").alias("n")).withColumn("failed", F.lit(False))
+    return n.unionByName(errors.select("source_name", F.lit(None).cast("long").alias("n"), F.lit(True).alias("failed")))
+
+
 @query("select event_id, ts - interval 3 hour as utc from events")
 def local_to_utc(spark: SparkSession, d: str) -> DataFrame:
     from fleetlens.functions.times import to_utc

@@ -41,6 +41,26 @@ def fan_in(sources: dict[str, Callable[[], DataFrame]], tag: str = "source_name"
     return out, errors
 
 
+def collect_sources(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], target: str, descriptor: str, tag: str = "source_name") -> tuple[DataFrame | None, DataFrame]:
+    """The same extract of every source, and error_rows() of those that failed, while opened or while read.
+
+    Each source is written below target with a commit of its own, so one that fails after any number of rows leaves none of them
+    and one error row, and the others arrive. A source that failed can be collected again into another target.
+    """
+    out, errors = None, []
+    for i, (name, read) in enumerate(sources.items()):
+        path = f"{target}/source-{i}"
+        try:
+            df = read().withColumn(tag, F.lit(name))
+            df.write.parquet(path)
+        except Exception as e:  # one source must not stop the others
+            errors.append((name, str(e).splitlines()[0][:500]))
+            continue
+        part = spark.read.schema(df.schema).parquet(path)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out, error_rows(spark, errors, descriptor)
+
+
 def error_rows(spark: SparkSession, errors: list[tuple[str, str]], descriptor: str) -> DataFrame:
     """Dead-letter rows (source_name, descriptor, message)."""
     return spark.createDataFrame([(s, descriptor, m) for s, m in errors], "source_name string, descriptor string, message string")
