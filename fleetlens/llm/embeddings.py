@@ -15,6 +15,7 @@ from fleetlens.llm._scratch import stored
 
 #: Aimed at rows of a cell, and most rows of one side of a tile.
 CELL_ROWS, TILE_ROWS = 512, 1024
+_OPEN = ["label", "width", "band", "cell", "low", "high", "part", "node", "code"]
 
 
 def rotation(dim: int, number: int, seed: int) -> np.ndarray:
@@ -35,6 +36,28 @@ def estimate(rotated: np.ndarray, signs: np.ndarray, factor: np.ndarray) -> np.n
     return rotated @ (signs / (math.sqrt(signs.shape[1]) * factor[:, None])).T
 
 
+def packed_codes(unit: np.ndarray, seed: int) -> list[bytes]:
+    """What is stored of each vector: a byte a dimension, with the sign and 127 levels of its rotated coordinate, and three
+    numbers: the levels' unit, the correction factor, and the most that an estimate can be off by the levels, times the other's factor.
+    """
+    rotated, signs, factor = encode(unit, seed)
+    scale = np.abs(rotated).max(axis=1) / 127
+    codes = (signs * np.maximum(1, np.rint(np.abs(rotated) / scale[:, None]))).astype(np.int8)
+    off = np.abs(rotated - codes * scale[:, None]).sum(axis=1) / math.sqrt(unit.shape[1])
+    return [c.tobytes() + f.tobytes() for c, f in zip(codes, np.stack([scale, factor, off], axis=1), strict=True)]
+
+
+def open_pairs(code: list[bytes], left: np.ndarray, right: np.ndarray, threshold: float, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, one of left and one of right, that the bounds of their estimates do not exclude."""
+    raw = np.frombuffer(b"".join(code), np.uint8).reshape(len(code), -1)
+    codes, numbers = raw[:, :-24].view(np.int8).astype(np.float64), np.ascontiguousarray(raw[:, -24:]).view(np.float64)
+    scale, factor, off = numbers.T
+    signs = np.where(codes >= 0, 1.0, -1.0)
+    upper = estimate(codes[left] * scale[left, None], signs[right], factor[right]) + off[left, None] / factor[right]
+    a, b = np.nonzero(upper >= least_estimate(factor[right], codes.shape[1], threshold, epsilon) - 1e-9)
+    return left[a], right[b]
+
+
 def least_estimate(factor: np.ndarray, dim: int, threshold: float, epsilon: float) -> np.ndarray:
     """A pair at the threshold has an estimate of this at least.
 
@@ -78,13 +101,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Cosines that decide are of double precision. n_links counts the other vectors linked directly, component_id is the
     smallest id reachable by links, itself included, and kept tells whether that is the row's own id.
 
-    Method. Equal vectors of a label are one weighted row. A label's vectors are dealt to cells by the signs of rotated
-    coordinates, in several bands of such signs (plan()), more for larger labels, so a cell stays near CELL_ROWS while work
-    grows almost in proportion to the rows. A cell that holds more, as groups of near copies make it, is cut into parts of
-    TILE_ROWS and each two parts are a tile, so no task gets an unbounded group. In a tile the binary codes and their
-    correction factors give unbiased estimates of all inner products; only pairs whose confidence bound reaches the threshold
-    are computed again, exactly. With the default epsilon the bound holds for certain up to 65 dimensions. A pair that meets in several bands
-    counts in the first. A tile gives out sums of links and a forest of its links, never pairs.
+    Method. Equal vectors of a label are one weighted row. Each is encoded once: a byte for each dimension of its randomly rotated
+    unit vector, the sign of which is its binary code, and three numbers, of which one is the correction factor. A label's
+    rows are dealt to cells by the signs of rotated coordinates, in several bands of such signs (plan()), more for larger labels,
+    so a cell stays near CELL_ROWS while work grows almost in proportion to the rows. A cell that holds more, as groups of near
+    copies make it, is cut into parts of TILE_ROWS and each two parts are a tile, so no task gets an unbounded group. What is
+    dealt is codes and factors, not vectors: in a tile they give unbiased estimates of all inner products, and a row whose
+    confidence bounds exclude all pairs is done with. Vectors are joined to the others only, and the pairs that the bounds
+    leave open are computed exactly. With the default epsilon the bound holds for certain up to 65 dimensions. A pair that meets in
+    several bands counts in the first. A tile gives out sums of links and a forest of its links, never pairs.
 
     Null, empty or zero vectors, vectors with null or non-finite components, and rows with a null label or id link with
     nothing: n_links 0, component_id their own id. Rows that share an id are one vertex for component_id, but each vector has its own n_links. Vectors of different
@@ -99,8 +124,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     packed = stored(base.where(F.coalesce(sound, F.lit(False))).mapInArrow(pack, "id long, label string, v binary"), "vectors")
     nodes = packed.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")  # numbers hold as they are written once
     sizes = nodes.groupBy("label", F.octet_length("v").alias("width")).agg(F.count("*").alias("n"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")  # numbers hold as they are written once
     placed = nodes.withColumn("width", F.octet_length("v")).join(sizes, ["label", "width"])
 
     def unit(raw: list[bytes]) -> np.ndarray:
@@ -121,34 +146,39 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             raw = b.column("v").to_pylist()
             for w, m in sorted(set(zip(width, n, strict=True))):
                 at = np.flatnonzero((width == w) & (n == m))
-                cells = band_cells(unit([raw[i] for i in at]), m)
-                rows = pa.array(np.repeat(at, cells.shape[1]))
+                x = unit([raw[i] for i in at])
+                cells, coded = band_cells(x, m), pa.array(packed_codes(x, seed), pa.binary())
+                rows, own = pa.array(np.repeat(at, cells.shape[1])), pa.array(np.repeat(np.arange(len(at)), cells.shape[1]))
                 yield pa.RecordBatch.from_arrays([
                     b.column("label").take(rows), b.column("width").take(rows), pa.array(np.tile(np.arange(cells.shape[1], dtype=np.int32), len(at))), pa.array(cells.reshape(-1)),
-                    b.column("node").take(rows), b.column("weight").take(rows), b.column("v").take(rows), b.column("n").take(rows),
-                ], names=["label", "width", "band", "cell", "node", "weight", "v", "n"])
+                    b.column("node").take(rows), coded.take(own),
+                ], names=["label", "width", "band", "cell", "node", "code"])
 
-    cells = placed.select("label", "width", "n", "node", "weight", "v").mapInArrow(deal, "label string, width int, band int, cell long, node long, weight long, v binary, n long")
+    cells = placed.select("label", "width", "n", "node", "v").mapInArrow(deal, "label string, width int, band int, cell long, node long, code binary")
     key = ["label", "width", "band", "cell"]
+    cells = stored(cells, "codes")
     counts = cells.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1")
     parts = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
     tiled = cells.join(counts, key).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", "band"), F.col("parts")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiled = tiled.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
 
+    def near(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows, one of each part of the tile, that the bounds leave open."""
+        part = np.array(table["part"].to_pylist())
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        a, b = open_pairs(table["code"].to_pylist(), np.flatnonzero(part == low), np.flatnonzero(part == high), threshold, epsilon)
+        return (a[a < b], b[a < b]) if low == high else (a, b)
+
+    def left_open(table: pa.Table) -> pa.Table:
+        rows = np.unique(np.concatenate(near(table)))
+        return table.take(pa.array(rows)).select(_OPEN)
+
     def tile(table: pa.Table) -> pa.Table:
         band, m = table["band"][0].as_py(), table["n"][0].as_py()
-        part = np.array(table["part"].to_pylist())
         x = unit(table["v"].to_pylist())
         node, weight = np.array(table["node"].to_pylist()), np.array(table["weight"].to_pylist())
-        rotated, signs, factor = encode(x, seed)
-        left = np.flatnonzero(part == table["low"][0].as_py())
-        right = np.flatnonzero(part == table["high"][0].as_py())
-        near = estimate(rotated[left], signs[right], factor[right]) >= least_estimate(factor[right], x.shape[1], threshold, epsilon)
-        a, b = np.nonzero(near)
-        a, b = left[a], right[b]
-        if table["low"][0].as_py() == table["high"][0].as_py():
-            a, b = a[a < b], b[a < b]
+        a, b = near(table)
         exact = np.concatenate([[], *(np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536))]) >= threshold
         a, b = a[exact], b[exact]
         own = band_cells(x, m)[:, :band]
@@ -162,7 +192,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             "links": pa.array(np.concatenate([links[full].astype(np.int64), np.zeros(len(i), np.int64)])),
         })
 
-    found = stored(tiled.groupBy(*key, "low", "high").applyInArrow(tile, "a long, b long, links long"), "tiles")
+    ties = stored(tiled.groupBy(*key, "low", "high").applyInArrow(left_open, "label string, width int, band int, cell long, low int, high int, part int, node long, code binary"), "open-rows")
+    exact = ties.join(placed.select("node", "n", "v", "weight"), "node")
+    found = stored(exact.groupBy(*key, "low", "high").applyInArrow(tile, "a long, b long, links long"), "tiles")
     degree = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     copies = packed.join(nodes, ["label", "v"]).select("id", "least", "node", "weight")
     own = stored(copies.join(degree, "node", "left").select("id", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.xxhash64("id").alias("h")), "degrees")

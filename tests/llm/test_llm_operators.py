@@ -466,6 +466,19 @@ def test_codes_bound_the_products():
     assert abs((est - exact)[np.abs(exact) < 0.5].mean()) < 0.01
 
 
+@pytest.mark.parametrize("dim", [1, 2, 64])
+def test_stored_codes_leave_every_link_open_and_few_others(dim):
+    x = RNG.standard_normal((400, dim))
+    x[200:] = x[:200] + (0.1 if dim > 2 else 0.02) * RNG.standard_normal((200, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code = embeddings.packed_codes(x, 7)
+    left, right = np.arange(0, 400, 2), np.arange(1, 400, 2)
+    a, b = embeddings.open_pairs(code, left, right, 0.98, 8.0)
+    links = {(i, j) for i in left.tolist() for j in right.tolist() if x[i] @ x[j] >= 0.98}
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert links <= found and (dim < 64 or len(found) < len(links) + 400) and all(len(c) == dim + 24 for c in code)
+
+
 def test_pieces_are_exact_draws_without_replacement():
     vocab = pieces.vocabulary(pieces.DEFAULT_MODEL, 1.0)
     text, n = b"then a", 6000
