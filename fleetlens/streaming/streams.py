@@ -89,7 +89,8 @@ def ingest(stream: DataFrame, target: str, keys: list[str], checkpoint: str, tim
         if time:
             first, last = batch.agg(F.min(time), F.max(time)).first()
             known = known.where(F.col(time).between(F.lit(first), F.lit(last)) | F.col(time).isNull())
-        batch.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti").write.mode("append").parquet(target)
+        known = known.select(*(F.col(k).alias(f"_{k}") for k in keys))
+        batch.dropDuplicates(keys).join(known, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti").write.mode("append").parquet(target)
 
     _run(stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint), spark)
 
@@ -109,6 +110,8 @@ def carry(stream: DataFrame, target: str, checkpoint: str, step: Step, carried:
         rows, after = step(batch, state)
         rows.write.mode("overwrite").parquet(f"{target}/batch-{number}")
         after.write.mode("overwrite").parquet(f"{checkpoint}-carried/{number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}-carried/{number - 2}")  # a batch may be run again, the one before it not
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     _run(stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint), spark)
     return read(target)

@@ -182,3 +182,15 @@ def test_runs_by_batch_keep_the_state_of_null_keys(spark, tmp_path):
     events = streams.event_stream(spark, str(tmp_path / "flat"), spark.createDataFrame([], SCHEMA).schema, files_a_trigger=1)
     got = streams.marker_runs(events, str(tmp_path / "r"), str(tmp_path / "rs"), "user_id", F.col("event_type") == "purchase")
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_runs(data)
+
+
+def test_ingest_knows_null_keys_again_and_carried_state_does_not_pile_up(spark, tmp_path):
+    data, _ = keyed(40)
+    for n in range(4):
+        write_flat(spark, tmp_path, [(None if i % 5 == 0 else i, ts, key, kind) for i, ts, key, kind in data[10 * n : 10 * n + 10]], n)
+    events = streams.event_stream(spark, str(tmp_path / "flat"), spark.createDataFrame([], SCHEMA).schema, files_a_trigger=1)
+    for checkpoint in ("one", "two"):
+        streams.ingest(events, str(tmp_path / "rows"), ["event_id"], str(tmp_path / checkpoint))
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 33
+    streams.occurrence_gaps(events, str(tmp_path / "g"), str(tmp_path / "gs"), "user_id")
+    assert sorted(p.name for p in (tmp_path / "gs-carried").iterdir()) == ["2", "3"]
