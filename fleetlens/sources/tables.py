@@ -20,13 +20,26 @@ def load(spark: SparkSession, path: str, names: tuple[str, ...] = TABLES) -> dic
 
 
 def load_jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, **options: str) -> DataFrame:
-    """A table of a live repository, in parts by a numeric column if one is named; filters are pushed to the source."""
+    """A table of a live repository, in parts by a numeric column if one is named; filters are pushed to the source.
+
+    Without bounds the source is asked for the column's least and largest value first; they only say where parts end, so rows
+    that come meanwhile are read too. An empty table is one part.
+    """
     r = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if partition_column and bounds is None:
+        ends = spark.read.format("jdbc").options(url=url, query=f"select min({partition_column}) as low, max({partition_column}) as high from {table}", **options).load().first()
+        bounds = None if ends[0] is None else (int(ends[0]), int(ends[1]) + 1)
     if partition_column and bounds:
         r = r.options(partitionColumn=partition_column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts)
     return r.load()
 
 
+def pull_jdbc(spark: SparkSession, url: str, table: str, mark: str, after: int | None, parts: int = 16, **options: str) -> DataFrame:
+    """Rows of a live table whose mark, a rising number, is beyond `after` (None: all): the source filters, and reads in parts of the marks that are new."""
+    new = table if after is None else f"(select * from {table} where {mark} > {int(after)}) new_rows"
+    return load_jdbc(spark, url, new, mark, None, parts, **options)
+
+
 def fan_in(sources: dict[str, Callable[[], DataFrame]], tag: str = "source_name") -> tuple[DataFrame | None, list[tuple[str, str]]]:
     """The same extract of every source, tagged and put together; and (source, error) for each that could not be opened."""
     out, errors = None, []

@@ -215,6 +215,18 @@ def test_a_source_that_fails_while_it_is_read_leaves_one_error_row(spark, tmp_pa
     assert none is None and failed.count() == 1
 
 
+def test_live_tables_are_pulled_from_their_last_mark(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/live;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    write = lambda df: df.write.format("jdbc").options(url=url, dbtable="T", driver=driver).mode("append").save()
+    write(spark.range(-5, 40))
+    first = tables.pull_jdbc(spark, url, "T", '"id"', None, 4, driver=driver)
+    assert first.count() == 45 and first.rdd.getNumPartitions() == 4
+    write(spark.range(40, 60))
+    new = tables.pull_jdbc(spark, url, "T", '"id"', 39, 4, driver=driver)
+    assert sorted(r.id for r in new.collect()) == list(range(40, 60)) and new.rdd.getNumPartitions() == 4
+    assert tables.pull_jdbc(spark, url, "T", '"id"', 59, driver=driver).count() == 0
+
+
 def files(path):
     return {os.path.join(os.path.basename(d), n) for d, _, names in os.walk(path) for n in names if n.endswith(".parquet")}
 
