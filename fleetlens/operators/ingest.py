@@ -61,6 +61,12 @@ def _rewritten(spark: SparkSession, path: str, staging: str, day: str, after: Da
     ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
+def replace_stored(spark: SparkSession, path: str, new: DataFrame, day: str, staging: str) -> None:
+    """replace_slice() for a table stored at path in partitions by day: days that new has rows for are replaced as a whole; nothing stored is read."""
+    names = [c for c in spark.read.parquet(path).columns if c != day]
+    _rewritten(spark, path, staging, day, new.select(*names, day))
+
+
 def upsert_stored(spark: SparkSession, path: str, src: DataFrame, keys: list[str], cols: list[str], day: str, staging: str) -> None:
     """upsert() into a table that is stored at path in partitions by day, one of its columns and part of what identifies a row.
 

@@ -86,6 +86,20 @@ def upsert_stored(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("o_orderkey long, o_orderstatus string, o_totalprice double, month string").parquet(path)
 
 
+@query("""
+with n as (select o_orderkey, 'N' as o_orderstatus, o_totalprice * 2 as o_totalprice, strftime(o_orderdate, '%Y-%m-01') as month from orders where o_orderpriority = '1-URGENT' and o_orderdate >= (select max(o_orderdate) - interval 200 days from orders))
+select o_orderkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-01') as month from orders where strftime(o_orderdate, '%Y-%m-01') not in (select month from n) union all select * from n
+""")
+def replace_stored(spark: SparkSession, d: str) -> DataFrame:
+    path = _stored_orders(spark, d)
+    o = table(spark, d, "orders")
+    recent = o.agg((F.max("o_orderdate") - F.expr("interval 200 days")).alias("since"))
+    new = o.join(F.broadcast(recent), F.col("o_orderdate") >= F.col("since")).where("o_orderpriority = '1-URGENT'")  # one row
+    new = new.select("o_orderkey", F.lit("N").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"), F.date_format("o_orderdate", "yyyy-MM-01").alias("month"))
+    I.replace_stored(spark, path, new, "month", place(spark))
+    return spark.read.schema("o_orderkey long, o_orderstatus string, o_totalprice double, month string").parquet(path)
+
+
 @query("select o_orderkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-01') as month from orders where strftime(o_orderdate, '%Y-%m-01') >= '1998-01-01'")
 def purge_stored(spark: SparkSession, d: str) -> DataFrame:
     path = _stored_orders(spark, d)

@@ -253,6 +253,14 @@ def test_upsert_rewrites_touched_days_only(spark, stored, tmp_path):
     assert {f for f in before if "2024-01-04" not in f} <= after and not {f for f in before if "2024-01-04" in f} & after
 
 
+def test_days_are_replaced_as_a_whole(spark, stored, tmp_path):
+    before = files(stored)
+    new = spark.createDataFrame([("2024-01-04", 7, 7.0), ("2024-03-01", 8, 8.0)], "day string, id long, v double")
+    ingest.replace_stored(spark, stored, new, "day", str(tmp_path / "staging"))
+    assert sorted((r.id, r.v, r.day) for r in read(spark, stored).collect()) == sorted([(i, i * 1.0, f"2024-01-{i % 10 + 1:02d}") for i in range(100) if i % 10 != 3] + [(7, 7.0, "2024-01-04"), (8, 8.0, "2024-03-01")])
+    assert {f for f in before if "2024-01-04" not in f} <= files(stored)
+
+
 def test_a_failed_upsert_leaves_the_old_table(spark, stored, tmp_path):
     before = files(stored)
     bad = spark.createDataFrame([(3, -1.0, "2024-01-04"), (4, 1.0, "2024-01-05")], "id long, v double, day string")
