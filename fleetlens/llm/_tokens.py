@@ -33,9 +33,9 @@ def joined(body: np.ndarray, size: np.ndarray) -> pa.Array:
 
 
 def _end(data: np.ndarray, word: np.ndarray, at: int, stop: int) -> int:
-    """The first place from at on, stop at the latest, where no word goes on."""
+    """The first place from at on, stop at the latest, where no word goes on; A-Z go on a word as their small letters do."""
     while at < stop:
-        part = word[data[at : min(stop, at + 4096)]]
+        part = word[LOWER[data[at : min(stop, at + 4096)]]]
         if not part.all():
             return at + int(np.argmin(part))
         at += len(part)

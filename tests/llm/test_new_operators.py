@@ -172,6 +172,18 @@ def test_features_in_any_windows():
         assert n.tolist() == [brute_features(t)[0] for t in texts]
 
 
+def test_a_window_does_not_end_before_a_capital():
+    """A window ends between two words, and capitals in a word are of it: over 1 MB a word was cut before one."""
+    texts = ["fooBar ABC aB-Cd éÉE " * 5, "X" * 50, None, "iPhone McDonald"]
+    planes = importance.gain_planes(np.arange(-5000, 5000))
+    for window in range(1, 40):
+        n, f, w = importance.weighed(pa.array(texts), planes, window)
+        assert [(a, b, c) for a, b, c in zip(n.tolist(), f.tolist(), w.tolist(), strict=True)] == [(k, len(found), sum(b - 5000 for b in found)) for k, found in map(brute_features, texts)]
+    long = "x" * ((1 << 20) - 3) + " aaBBcc dd"
+    n, f, _ = importance.weighed(pa.array([long]), planes)
+    assert n.tolist() == [3] and f.tolist() == [6]
+
+
 def test_bit_planes_give_the_sums():
     counts = RNG.integers(0, 1 << 20, (7, 10000)) * (RNG.random((7, 10000)) < 0.1)
     gain = RNG.integers(-12000, 9000, 10000)
