@@ -25,9 +25,9 @@ class Sections(enum.IntFlag):
     GROWTH = 128
 
 
-#: Patterns that one expression may have; more are looked up in an index of their strings of GRAM characters.
+#: Patterns that one expression may have; more are looked up in an index of their strings of one of these numbers of characters.
 MOST_PATTERNS = 200
-GRAM = 4
+GRAMS = (1, 2, 3, 4, 8, 16)
 
 
 def member_filter(df: DataFrame, column: str, pattern: str = "%") -> DataFrame:
@@ -63,32 +63,34 @@ def skip_rules(df: DataFrame, rules: DataFrame, rule_id: int, keys: list[str], k
 
 
 def _grams(text: Column, size: int | Column) -> Column:
-    """Distinct strings of `size` characters of a text, in one walk over its characters."""
-    chars = F.split(text, "")
-    run = lambda i: F.array_join(F.slice(chars, i, F.lit(size) if isinstance(size, int) else size), "")
+    """Distinct hashes of the strings of `size` characters of a text, which is split into characters once."""
     n = F.char_length(text) - size
-    return F.when(n >= 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n + 1), run))).otherwise(F.array().cast("array<string>"))
+    size = F.lit(size) if isinstance(size, int) else size
+    runs = lambda chars: F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(F.array_join(F.slice(chars, i, size), "")))
+    return F.when(n >= 0, F.array_distinct(F.element_at(F.transform(F.array(F.split(text, "")), runs), 1))).otherwise(F.array().cast("array<bigint>"))
 
 
 def matched_texts(texts: DataFrame, patterns: DataFrame, text: str = "text", pattern: str = "pattern") -> DataFrame:
     """Distinct values of text that fit at least one pattern with % and _ (as in LIKE), of any number of patterns. Nulls fit none.
 
-    An inverted index: each pattern is filed under one string of GRAM characters, or fewer where it has no longer run between its
-    wildcards, that every text must hold that fits it, of those the one that the fewest patterns have. Texts are joined with it by
-    their own strings, and only pairs that meet there are tested, so a text costs about its length, however many patterns there
-    are. Patterns of wildcards alone only ask for a length. All joins are on equal values.
+    An inverted index: each pattern is filed under one string that every text must hold that fits it, of as many characters as the
+    largest of GRAMS that its longest run between wildcards has, and of those the one that the fewest patterns have. Texts are
+    joined with it by hashes of their own strings, and only pairs that meet there are tested, so a text costs about its length for
+    each of GRAMS, however many patterns there are. Patterns of wildcards alone only ask for a length. All joins are on equal
+    values. Joins with strings are merged: Spark takes exploded strings for as small as the file that they come from, and would
+    send them all through the driver as a broadcast.
     """
     low = patterns.select(F.col(pattern).alias("_p")).where("_p is not null").distinct()
     runs = F.filter(F.split("_p", r"[%_\\\\]"), lambda x: x != "")
     low = low.withColumn("_run", F.reduce(runs, F.lit(""), lambda a, x: F.when(F.char_length(x) > F.char_length(a), x).otherwise(a)))
-    low = low.withColumn("_size", F.least(F.char_length("_run"), F.lit(GRAM)))
-    grams = low.where("_size > 0").select("_p", "_size", F.explode(_grams(F.col("_run"), F.col("_size"))).alias("_gram"))
-    common = grams.groupBy("_size", "_gram").agg(F.count("*").alias("_n"))
-    filed = grams.join(common, ["_size", "_gram"]).groupBy("_p").agg(F.min(F.struct("_n", "_size", "_gram")).alias("_g")).select("_p", "_g._size", "_g._gram")
+    low = low.withColumn("_size", F.coalesce(*(F.when(F.char_length("_run") >= n, n) for n in reversed(GRAMS)), F.lit(0)))
+    grams = low.where("_size > 0").select("_p", F.explode(_grams(F.col("_run"), F.col("_size"))).alias("_gram"))
+    common = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
+    filed = grams.join(common.hint("merge"), "_gram").groupBy("_p").agg(F.min(F.struct("_n", "_gram")).alias("_g")).select("_p", "_g._gram")
     own = texts.select(F.col(text).alias("_t")).where("_t is not null").distinct()
-    sizes = [r[0] for r in low.where("_size > 0").select("_size").distinct().collect()]  # GRAM at most
-    held = F.array_distinct(F.flatten(F.array(*(_grams(F.col("_t"), n) for n in sizes)))) if sizes else F.array().cast("array<string>")
-    met = own.withColumn("_held", F.explode(held)).join(filed, (F.col("_held") == F.col("_gram")) & F.like("_t", F.col("_p"))).select("_t")
+    sizes = [r[0] for r in low.where("_size > 0").select("_size").distinct().collect()]  # as many as GRAMS at most
+    held = F.array_distinct(F.flatten(F.array(*(_grams(F.col("_t"), n) for n in sizes)))) if sizes else F.array().cast("array<bigint>")
+    met = own.withColumn("_held", F.explode(held)).join(filed.hint("merge"), (F.col("_held") == F.col("_gram")) & F.like("_t", F.col("_p"))).select("_t")
     wild = low.where("_size = 0").select(F.contains(F.col("_p"), F.lit("%")).alias("_open"), F.char_length(F.replace(F.col("_p"), F.lit("%"))).alias("_length")).distinct()
     long = own.join(F.broadcast(wild.where("_open").agg(F.min("_length").alias("_least"))), F.char_length("_t") >= F.col("_least")).select("_t")  # one row
     fixed = own.join(wild.where("not _open"), F.char_length("_t") == F.col("_length"), "left_semi").select("_t")

@@ -193,6 +193,23 @@ def test_thousands_of_rules_for_all_members(spark):
     assert kept.count() == sum(1 for i in range(8000) if i % 3 and i != 11) + 1
 
 
+def test_strings_of_texts_and_patterns_are_not_broadcast(spark, tmp_path):
+    """Spark takes exploded strings for as small as the file that they come from; the index is not to pass the driver."""
+    spark.range(3000).select(F.concat(F.lit("customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("text"), F.concat(F.lit("%#"), F.lpad((F.col("id") * 7).cast("string"), 9, "0")).alias("pattern")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.schema("text string, pattern string").parquet(str(tmp_path / "t"))
+    got = filters.matched_texts(df, df)
+    assert {r.text for r in got.collect()} == {f"customer#{i:09}" for i in range(0, 3000, 7)}
+    assert not re.search(r"BroadcastHashJoin \[[^]]*(_held|_gram)", plan(got)), plan(got)
+
+
+def test_patterns_are_filed_under_long_strings(spark):
+    """Thousands of patterns of digits share all strings of four digits; of eight, a pattern has one that few others have."""
+    df = spark.range(5000).select(F.lpad((F.col("id") * 7 + 1000000).cast("string"), 9, "0").alias("p"))
+    own = df.select("p", F.explode(filters._grams(F.col("p"), max(n for n in filters.GRAMS if n <= 9))).alias("g"))
+    least = own.join(own.groupBy("g").count(), "g").groupBy("p").agg(F.min("count").alias("n"))
+    assert least.agg(F.max("n")).first()[0] <= 2
+
+
 def test_prefixes_end_at_any_separator(spark):
     items = spark.createDataFrame([("/a/b/c",), ("/a/bc",), ("c:\\d\\e",), ("",), (None,), ("/",), ("none",)], "path string")
     prefixes = spark.createDataFrame([("/a/",), ("/a/b/",), ("c:\\",), ("/",), ("none",)], "prefix string")
