@@ -161,6 +161,20 @@ def test_state_does_not_grow_with_keys_that_are_gone(spark, tmp_path):
     assert len(held) >= 6 and held[-1] <= 6 * 100 and max(held) <= 10 * 100  # a few rows a live key, with its timer's
 
 
+def test_keys_share_buckets_of_state(spark, tmp_path):
+    """The store is called by buckets, not by keys; ids beyond 2**53 stay whole beside a null one."""
+    data = [(2**60 + i, T0 + timedelta(seconds=i), i % 6000, "view") for i in range(9000)] + [(None, T0 + timedelta(seconds=9000), 5, "view")]
+    for n, part in enumerate([data, [END]]):
+        write_flat(spark, tmp_path, part, n)
+    events = streams.event_stream(spark, str(tmp_path / "flat"), spark.createDataFrame([], SCHEMA).schema, files_a_trigger=1)
+    with state.rocksdb(spark):
+        job = streams.gap_stream(events, "user_id").writeStream.format("parquet").option("path", str(tmp_path / "g")).option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start()
+        job.awaitTermination()
+    got = sorted((r.key, r.gap_seconds, r.event_id is None, r.event_id or 0) for r in spark.read.parquet(str(tmp_path / "g")).collect() if r.gap_seconds is not None)
+    assert got == sorted([(str(i - 6000), 6000, False, 2**60 + i) for i in range(6000, 9000)] + [("5", 2995, True, 0)])
+    assert max(o["numRowsTotal"] for p in job.recentProgress for o in p["stateOperators"]) < 6000
+
+
 def test_keys_return_after_their_time_to_live(spark, tmp_path):
     def run(part, n):
         write_flat(spark, tmp_path, part, n)
