@@ -49,7 +49,7 @@ def prefix(tokens: np.ndarray, codes: np.ndarray, percent: int) -> tuple[np.ndar
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """A bit for each of 64 * WORDS classes of hashes: set if a token is of the class."""
+    """A bit for each of 64 * WORDS classes of hashes: set if a token is of the class. Given known tokens only, as no other is shared."""
     bits = np.zeros(64 * WORDS, np.uint8)
     bits[(tokens & np.uint64(64 * WORDS - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.int64)
@@ -69,8 +69,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are one node, so groups of exact copies cost a row each. A node's prefix tokens (see prefix()) that occur nowhere
     else are never sent. Of the rest, each token first proposes two nodes as partners of all others: its smallest, and the one whose
     tokens are the most frequent on the whole (of a group of near copies, the one nearest to the original). When these pairs are verified and joined to components, only tokens that still touch more than one component go on to propose
-    pairs between components. So a group of near copies makes pairs in proportion to its size, and no link that could join two
-    components is left out. Tokens that no other text has, and classes of hashes that one set has and the other has not, bound a
+    pairs between components, those outside of a token's largest component with all others. So a group of near copies makes pairs in proportion to its size, and no link that could join two
+    components is left out. Tokens that no other text has, and classes of hashes that one set's other tokens have and the other's have not, bound a
     pair's overlap from above, which drops most pairs of changed copies unseen. Pairs are verified on the whole sets.
 
     One row for each input row; rows that share an id count as one document with several texts, whose class holds them all: a
@@ -100,35 +100,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows: dict[bytes, tuple] = {}
         for i, (name, s) in enumerate(once.items()):
             if len(s):
-                t, level, take = prefix(s, code[sizes[i] : sizes[i + 1]], percent)
+                t, _, take = prefix(s, code[sizes[i] : sizes[i + 1]], percent)
                 shared = code[sizes[i] : sizes[i + 1]][np.searchsorted(s, t)] > 1
                 own = code[sizes[i] : sizes[i + 1]]
-                rows[name] = (_signed(t[shared]), level[shared], take, int(np.count_nonzero(own > 1)), float(own.mean()), signature(s))
+                rows[name] = (_signed(t[shared]), np.flatnonzero(shared), take, int(np.count_nonzero(own > 1)), float(own.mean()), signature(s[own > 1]))
         ids, first = table["id"].to_pylist(), set()
-        out = {c: [] for c in ("id", "n", "name", "take", "tokens", "levels", "known", "common", "signature", "body")}
+        out = {c: [] for c in ("id", "n", "name", "take", "tokens", "places", "known", "common", "signature", "body")}
         for i, name, s in zip(ids, names, found, strict=True):
             new = name not in first and i is not None and name in rows and len(rows[name][0]) > 0
             if new:
                 first.add(name)
-            t, level, take, known, common, bits = rows[name] if new else (None,) * 6
-            for c, x in zip(out, (i, len(s), name, take, t, level, known, common, bits, s.tobytes() if new else None), strict=True):
+            t, place, take, known, common, bits = rows[name] if new else (None,) * 6
+            for c, x in zip(out, (i, len(s), name, take, t, place, known, common, bits, s.tobytes() if new else None), strict=True):
                 out[c].append(x)
-        kinds = dict(id=table["id"].type, n=pa.int64(), name=pa.binary(), take=pa.int32(), tokens=pa.list_(pa.int64()), levels=pa.list_(pa.int32()), known=pa.int64(), common=pa.float64(), signature=pa.list_(pa.int64()), body=pa.binary())
+        kinds = dict(id=table["id"].type, n=pa.int64(), name=pa.binary(), take=pa.int32(), tokens=pa.list_(pa.int64()), places=pa.list_(pa.int32()), known=pa.int64(), common=pa.float64(), signature=pa.list_(pa.int64()), body=pa.binary())
         return pa.table({c: pa.array(x, kinds[c]) for c, x in out.items()})
 
     codes = counted(blocks.groupBy("block").applyInArrow(send, SENT))
     kind = docs.schema[id_col].dataType.simpleString()
-    found = stored(with_codes(blocks, codes, nodes, f"id {kind}, n long, name binary, take int, tokens array<long>, levels array<int>, known long, common double, signature array<long>, body binary"), "shingles")
+    found = stored(with_codes(blocks, codes, nodes, f"id {kind}, n long, name binary, take int, tokens array<long>, places array<int>, known long, common double, signature array<long>, body binary"), "shingles")
 
     # one node for each set; least is the smallest id that has it
     full = found.where("n > 0 and id is not null")
     named = stored(full.groupBy("name").agg(F.min("id").alias("least")), "names")
     same = full.select("id", "name").join(named, "name").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     same = stored(same, "copies")
-    bodies = found.where("tokens is not null").select("name", "n", "known", "common", "signature", "take", "tokens", "levels", "body").dropDuplicates(["name"]).join(named, "name").drop("name")
+    bodies = found.where("tokens is not null").select("name", "n", "known", "common", "signature", "take", "tokens", "places", "body").dropDuplicates(["name"]).join(named, "name").drop("name")
     bodies = stored(bodies.withColumn("node", F.monotonically_increasing_id()), "sets")  # numbers hold as they are written once
     sets_of = bodies.select("node", "n", "known", "body")
-    postings = bodies.select("node", "n", "known", "common", "take", F.explode(F.arrays_zip("tokens", "levels")).alias("x")).select("node", "n", "known", "common", "take", F.col("x.tokens").alias("token"), F.col("x.levels").alias("level"))
+    postings = bodies.select("node", "n", "known", "common", "take", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select("node", "n", "known", "common", "take", F.col("x.tokens").alias("token"), F.col("x.places").alias("place"))
     hubs = postings.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.max(F.struct("common", "node")).alias("best")).where("least <> most").select("token", "least", F.col("best.node").alias("best"))
     postings = stored(postings.join(hubs, "token"), "postings")
 
@@ -137,12 +137,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = components(first)
 
     postings = postings.drop("least", "best", "common").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = postings.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
-    postings = postings.join(mixed, "token", "left_semi").join(bodies.select("node", "signature"), "node")
-    left, right = postings.alias("l"), postings.alias("r")
-    close = f"l.token = r.token and l.component < r.component and {_may_link('l.n', 'l.known', 'r.n', 'r.known', percent)} and {_signatures_allow(percent)}"
+    mixed = postings.groupBy("token", "component").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("components"), F.max(F.struct("rows", "component")).alias("x")).where("components > 1").select("token", F.col("x.component").alias("main"))
+    postings = postings.join(mixed, "token").join(bodies.select("node", "signature"), "node")
+    left, right = postings.where("component <> main").alias("l"), postings.alias("r")
+    apart = "l.token = r.token and l.component <> r.component and (l.component < r.component or r.component = r.main)"
+    close = f"{apart} and {_may_link('l.n', 'l.known', 'r.n', 'r.known', percent)} and {_in_prefixes('l', 'r', percent)} and {_signatures_allow(percent)}"
     take = F.least("l.take", "r.take")
-    pairs = left.join(right, F.expr(close)).where((F.col("l.level") <= take) & (F.col("r.level") <= take)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"), take.alias("take"))
+    pairs = left.join(right, F.expr(close)).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"), take.alias("take"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("matches"), F.min("take").alias("take")).where("matches >= take").select("a", "b")
     rest = _verified(pairs, sets_of, percent)
     ids = bodies.select("node", "least")
@@ -157,9 +158,15 @@ def _may_link(n_a: str, known_a: str, n_b: str, known_b: str, percent: int) -> s
     return f"{n_a} * 100 >= {n_b} * {percent} and {n_b} * 100 >= {n_a} * {percent} and least({known_a}, {known_b}) * {100 + percent} >= ({n_a} + {n_b}) * {percent}"
 
 
+def _in_prefixes(a: str, b: str, percent: int) -> str:
+    """SQL: the token is in both sets' prefixes for the overlap that this pair needs, which may be more than the least of any partner, with the lesser of their required matches. place: how many tokens of a set come before it."""
+    need = f"((({a}.n + {b}.n) * {percent} + {99 + percent}) div {100 + percent})"
+    return " and ".join(f"{x}.place < {x}.n - {need} + least({a}.take, {b}.take)" for x in (a, b))
+
+
 def _signatures_allow(percent: int) -> str:
-    """SQL: the overlap is large enough even if each class of one set that the other lacks stands for one token only."""
-    lacks = lambda a, b: " - ".join([f"{a}.n", *(f"bit_count({a}.signature[{i}] & ~{b}.signature[{i}])" for i in range(WORDS))])
+    """SQL: the overlap is large enough even if each class of one set's known tokens that the other lacks stands for one token only."""
+    lacks = lambda a, b: " - ".join([f"{a}.known", *(f"bit_count({a}.signature[{i}] & ~{b}.signature[{i}])" for i in range(WORDS))])
     return f"least({lacks('l', 'r')}, {lacks('r', 'l')}) * {100 + percent} >= (l.n + r.n) * {percent}"
 
 

@@ -728,3 +728,25 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_copies_below_the_threshold_make_few_pairs(spark, monkeypatch):
+    """Changed copies that just miss a group of near copies are not paired with all of its members; links stay those of brute force."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(n):
+        w = list(base)
+        for i in 1 + rng.choice(58, n, replace=False):
+            w[5 * int(i) + 2] = f"x{rng.integers(0, 10**9)}"
+        return " ".join(w)
+
+    texts = [changed(n) for n in [*[3] * 60, *[6] * 20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = []
+    verified = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *a: asked.append(pairs) or verified(pairs, *a))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    sets = {i: brute_shingles(t) for i, t in enumerate(texts)}
+    assert got == union([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
+    assert asked[1].count() <= 100
