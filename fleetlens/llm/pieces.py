@@ -93,6 +93,7 @@ class Lattice:
         self.vocab = vocab
         self.edge_from, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.edge_count, self.left, self.piece, self.source, self.length, self.target = (np.zeros(0, np.int32) for _ in range(6))
+        self.room: dict[str, np.ndarray] = {}
         self.prob, self.within, self.data, self.base, self.hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def covering(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[Lattice, np.ndarray]:
@@ -104,12 +105,23 @@ class Lattice:
         return both, both.base[np.searchsorted(both.hashes, u)][which]
 
     def _joined(self, part: Lattice) -> Lattice:
+        """Both behind each other. Arrays grow in place where their buffers have room, so of two lattices joined to one the later holds."""
         out = Lattice(self.vocab)
         states, edges, size = len(self.place), len(self.piece), len(self.data)
         shift = {"edge_from": edges, "place": size, "source": states, "target": states, "base": states}
+        out.room = self.room
         for f in self.FIELDS:
             a, b = getattr(self, f), getattr(part, f)
-            setattr(out, f, np.concatenate([a, b + np.array(shift[f], b.dtype) if f in shift else b]))
+            if f in ("base", "hashes"):
+                setattr(out, f, np.concatenate([a, b + np.array(shift.get(f, 0), b.dtype)]))
+                continue
+            n = len(a) + len(b)
+            if len(self.room.get(f, ())) < n:
+                self.room[f] = np.empty(n + n // 4, b.dtype)
+                self.room[f][: len(a)] = a
+            both = self.room[f][:n]
+            np.add(b, np.array(shift.get(f, 0), b.dtype), out=both[len(a) :])
+            setattr(out, f, both)
         order = np.argsort(out.hashes)
         out.hashes, out.base = out.hashes[order], out.base[order]
         return out
@@ -134,16 +146,20 @@ class Lattice:
         room, at_byte = left[states], place[states]
         bare = np.ones(len(states), bool)
         found = []
-        for size_, (h, ids, likely) in reversed(vocab.by_length.items()):  # long pieces first: a walk looks at the first edges first
-            at = np.flatnonzero(room >= size_).astype(np.int32)
-            key = rolling.raw(at_byte[at], at_byte[at] + size_)
+        wide_enough = np.arange(len(states), dtype=np.int32)
+        for size_, (h, ids, likely) in vocab.by_length.items():
+            enough = room >= size_
+            if not enough.all():
+                wide_enough, room, at_byte = wide_enough[enough], room[enough], at_byte[enough]
+            key = rolling.raw(at_byte, at_byte + size_)
             maybe = np.flatnonzero(likely[key >> np.uint64(64 - FILTER_BITS)])
-            at, key = at[maybe], key[maybe]
+            at, key = wide_enough[maybe], key[maybe]
             i = np.minimum(np.searchsorted(h, key), len(h) - 1)
             hit = h[i] == key
             at = at[hit]
             bare[at[width[at] == size_]] = False
             found.append((states[at], ids[i[hit]]))
+        found.reverse()  # long pieces first: a walk looks at the first edges first
         found.append((states[bare], np.full(bare.sum(), -1, np.int32)))
         count = np.zeros(n, np.int32)
         for at, _ in found:
@@ -169,8 +185,10 @@ class Lattice:
         weight -= rest[self.source]
         self.prob = np.exp(weight, out=weight)
         self.within = self.prob.copy()
+        more = np.flatnonzero(count > 1)
         for rank in range(1, int(count.max())):  # running sums inside a state, the same whatever else there is
-            e = self.edge_from[np.flatnonzero(count > rank)] + rank
+            more = more[count[more] > rank]
+            e = self.edge_from[more] + rank
             self.within[e] += self.within[e - 1]
         full = np.flatnonzero(count)
         self.within[self.edge_from[full] + count[full] - 1] = 2.0
@@ -234,9 +252,13 @@ class Lattice:
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """The ids that edges stand for; a character without a piece gives its bytes' ids."""
         piece = self.piece[edges]
-        count = np.where(piece < 0, self.length[edges], 1)
-        if (piece >= 0).all():
+        none = np.flatnonzero(piece < 0)
+        if not len(none):
+            return piece
+        if (self.length[edges[none]] == 1).all():
+            piece[none] = self.vocab.byte_ids[self.data[self.place[self.source[edges[none]]]]]
             return piece
+        count = np.where(piece < 0, self.length[edges], 1)
         end = np.cumsum(count)
         out = np.repeat(piece, count)
         inside = np.arange(end[-1]) - np.repeat(end - count, count)
@@ -251,12 +273,22 @@ def _step(n: int) -> np.uint64:
 
 def uniform(key: np.ndarray) -> np.ndarray:
     """Numbers within (0, 1) that depend on the key alone."""
-    return ((mix(key + GOLD) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+    x = mix(key + GOLD)
+    x >>= np.uint64(12)
+    u = x.astype(np.float64)
+    u += 0.5
+    u *= 2.0**-52
+    return u
 
 
 def cut_gumbel(location: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
     """Gumbel values at location, given that they are below bound."""
-    return -np.logaddexp(-bound, np.log(-np.log(u)) - location)
+    x = np.log(u)
+    np.negative(x, out=x)
+    np.log(x, out=x)
+    x -= location
+    np.logaddexp(-bound, x, out=x)
+    return np.negative(x, out=x)
 
 
 class Search:
@@ -273,16 +305,25 @@ class Search:
         self.paths: list[dict] = []
         self.draws = 0
 
-    def add(self, edges: np.ndarray, value: float, since: int) -> None:
-        """A full segmentation whose steps from since on are new."""
+    def add(self, edges: np.ndarray, value: float, since: int, parent: int = 0) -> None:
+        """A full segmentation whose steps from since on are new; those before since - 1 are the parent's."""
         lat = self.lattice
-        logs = lat.log_prob(edges)
-        done = np.cumsum(logs)
+        same = max(0, since - 1)
+        logs = lat.log_prob(edges[same:])
+        if same:
+            p = self.paths[parent]
+            done = np.cumsum(np.append(p["done"][same - 1], logs))[1:]
+            before = np.concatenate([p["before"][:same], done - logs])
+            done = np.concatenate([p["done"][:same], done])
+        else:
+            done = np.cumsum(logs)
+            before = done - logs
         self.draws += 1
-        u = uniform(self._seed() + np.arange(len(edges), dtype=np.uint64) * GOLD)
-        others = cut_gumbel(done - logs + lat.log_other(edges), value, u) if len(edges) else np.zeros(0)
-        others[:since] = -np.inf
-        self.paths.append({"edges": edges, "value": value, "log": float(done[-1]) if len(edges) else 0.0, "others": others, "before": done - logs, "taken": {}})
+        u = uniform(self._seed() + np.arange(since, len(edges), dtype=np.uint64) * GOLD)
+        others = np.full(len(edges), -np.inf)
+        if since < len(edges):
+            others[since:] = cut_gumbel(before[since:] + lat.log_other(edges[since:]), value, u)
+        self.paths.append({"edges": edges, "value": value, "log": float(done[-1]) if len(edges) else 0.0, "others": others, "done": done, "before": before, "taken": {}})
 
     def _seed(self) -> np.ndarray:
         return mix(np.array([self.key], np.uint64) + _step(self.draws))
@@ -363,12 +404,12 @@ def sample_chunk(shared: Shared, bodies: list[bytes], keys: np.ndarray, k: int)
         for d, s in enumerate(searches):
             value, i, t = s.best()
             if value > -np.inf:
-                pending.append((d, value, s.branch(value, i, t), t))
+                pending.append((d, value, s.branch(value, i, t), i, t))
         if not pending:
             break
         # the rest of the segment in which each one branched, then all later segments of its text, in one walk
         states, seeds, sizes = [], [], []
-        for d, _, head, _ in pending:
+        for d, _, head, _, _ in pending:
             passed = np.cumsum(lat.length[head])[-1]
             here = edge[d] + int(np.searchsorted(start[edge[d] : edge[d + 1]] - off[d], passed, "right")) - 1 if passed < off[d + 1] - off[d] else edge[d + 1] - 1
             inner = passed - (start[here] - off[d])
@@ -377,8 +418,8 @@ def sample_chunk(shared: Shared, bodies: list[bytes], keys: np.ndarray, k: int)
             sizes.append(edge[d + 1] - here)
         path, count = lat.walk(np.concatenate(states), np.concatenate(seeds))
         cut = np.concatenate([[0], np.cumsum(count)])[np.cumsum([0, *sizes])]
-        for j, (d, value, head, t) in enumerate(pending):
-            searches[d].add(np.concatenate([head, path[cut[j] : cut[j + 1]]]), value, t + 1)
+        for j, (d, value, head, i, t) in enumerate(pending):
+            searches[d].add(np.concatenate([head, path[cut[j] : cut[j + 1]]]), value, t + 1, i)
     for d in range(len(bodies)):
         if not bodies[d]:
             yield d, 0, np.zeros(0, np.int32), 0.0, 0.0, 1.0

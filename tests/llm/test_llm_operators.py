@@ -750,3 +750,11 @@ def test_near_copies_below_the_threshold_make_few_pairs(spark, monkeypatch):
     sets = {i: brute_shingles(t) for i, t in enumerate(texts)}
     assert got == union([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
     assert asked[1].count() <= 100
+
+
+def test_a_second_segmentation_draws_only_what_is_new(monkeypatch):
+    drawn, cut = [], pieces.cut_gumbel
+    monkeypatch.setattr(pieces, "cut_gumbel", lambda location, *a: drawn.append(len(location)) or cut(location, *a))
+    bodies = [f"the quick brown fox number {i} jumps over the lazy dog and runs home again".encode() for i in range(20)]
+    found = list(pieces.sample_chunk(pieces.Shared(pieces.vocabulary(pieces.DEFAULT_MODEL, 1.0)), bodies, np.arange(1, 21, dtype=np.uint64), 2))
+    assert len(found) == 40 and sum(drawn) < sum(len(x[2]) for x in found)
